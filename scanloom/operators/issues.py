@@ -52,8 +52,9 @@ def _open_route(f: Column, lookback: int, include_async: bool, auth_scope: str)
     guarded = F.exists(f["decorators"], lambda d: F.lower(d).contains("depend"))
     for word in AUTH_WORDS:
         guarded = guarded | head.contains(word)
-        if auth_scope == "decorators":
-            guarded = guarded | F.exists(f["decorators"], lambda d, w=word[1:]: F.lower(d).startswith(w))
+    if auth_scope == "decorators":
+        words = "^(" + "|".join(w[1:] for w in AUTH_WORDS) + ")"
+        guarded = guarded | F.exists(f["decorators"], lambda d: F.lower(d).rlike(words))
     open_ = offset.isNotNull() & ~guarded
     if not include_async:
         open_ = open_ & ~f["is_async"]
