@@ -394,3 +394,8 @@ def rule_findings(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         "category",
         "rule_key",
     )
+
+
+def line_rule_hits(raw: Column, code: Column, bare: Column, family: str, typed: Column) -> Column:
+    """Keys of the line rules that one line matches, for tables whose rows are lines."""
+    return _line_hits(raw, code, bare, _selected(family, "L", None), False, typed)
