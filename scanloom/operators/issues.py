@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
+from scanloom.functions.arrays import once
 from scanloom.operators.filters import SCRIPT_SUFFIXES, has_suffix, is_server_file, lang_of
 from scanloom.operators.learning import DEFAULT_AUTH
 from scanloom.sources.files import is_env_line
@@ -182,7 +183,7 @@ def with_issues(
 def explode_issues(flagged: DataFrame, *keep: str) -> DataFrame:
     """``project_id, path, line, issue_type`` and the ``keep`` columns."""
     cols = ["project_id", "path", *keep]
-    return flagged.select(*cols, F.explode("issues").alias("_i")).select(*cols, "_i.*")
+    return flagged.select(*cols, F.explode(once(F.col("issues"))).alias("_i")).select(*cols, "_i.*")
 
 
 def nested_issues(flagged: DataFrame) -> DataFrame:

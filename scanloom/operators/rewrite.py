@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
+from scanloom.functions.arrays import once
 from scanloom.functions.patterns import CHANGE_ME, GENERIC_JS, GENERIC_PY, SECRET_PATTERNS, patterns_for
 from scanloom.operators.filters import is_safe_value, lang_of
 from scanloom.operators.learning import DEFAULT_AUTH
@@ -73,17 +74,7 @@ def _fold(content: Column, lang: str) -> Column:
     )
 
 
-def _redact(content: Column, lang: str, header: str) -> Column:
-    """struct<text, n, vars> with the import or the header put first if a fix was made."""
-    fixed = F.when(may_hold_any(content, patterns_for(lang)), _fold(content, lang))
-    return F.struct(
-        F.coalesce(add_first(fixed, content, lang, header), content).alias("text"),
-        F.coalesce(fixed["n"], F.lit(0)).alias("n"),
-        F.coalesce(fixed["vars"], F.array().cast("array<string>")).alias("vars"),
-    )
-
-
-def add_first(fixed: Column, content: Column, lang: str, header: str = JS_HEADER) -> Column:
+def add_first(text_col: Column, fixes: Column, content: Column, lang: str, header: str = JS_HEADER) -> Column:
     """``import os`` for Python, a comment for scripts, where a fix was made and it is missing."""
     if lang == "py":
         missing = ~content.rlike(r"(?m)^\s*import os\b")
@@ -91,28 +82,33 @@ def add_first(fixed: Column, content: Column, lang: str, header: str = JS_HEADER
     else:
         missing = ~content.contains("process.env")
         first = header + "\n"
-    return F.when((fixed["n"] > 0) & missing, F.concat(F.lit(first), fixed["text"])).otherwise(fixed["text"])
+    return F.when((fixes > 0) & missing, F.concat(F.lit(first), text_col)).otherwise(text_col)
 
 
 def redact_secrets(files: DataFrame, *, max_size: int = MAX_FILE_SIZE, header: str = JS_HEADER) -> DataFrame:
-    """Adds ``fixed_content, modified, fixes, vars``: one projection, no shuffle.
+    """Adds ``fixed_content, modified, fixes, vars``: projections only, no shuffle.
 
-    Files of other languages and files over ``max_size`` come back as they are.
+    Files of other languages, files over ``max_size`` and files that hold no
+    secret come back as they are.
     """
     content, lang = F.col("content"), lang_of(F.col("path"))
     usable = F.col("length") <= max_size
-    none = F.struct(content.alias("text"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("vars"))
-    fix = (
-        F.when(usable & (lang == "py"), _redact(content, "py", header).cast(_STATE))
-        .when(usable & (lang == "js"), _redact(content, "js", header).cast(_STATE))
-        .otherwise(none.cast(_STATE))
+    holds = lambda family: usable & (lang == family) & may_hold_any(content, patterns_for(family))
+    # The fold is a column of its own, so that it runs once for all that is read from it.
+    folded = files.withColumn(
+        "_fix", F.when(holds("py"), _fold(content, "py")).when(holds("js"), _fold(content, "js"))
+    )
+    fix = F.col("_fix")
+    done = (
+        F.when(fix.isNull(), content)
+        .when(lang == "py", add_first(fix["text"], fix["n"], content, "py"))
+        .otherwise(add_first(fix["text"], fix["n"], content, "js", header))
     )
     return (
-        files.withColumn("_fix", fix)
-        .withColumn("fixed_content", F.col("_fix.text"))
-        .withColumn("modified", F.col("_fix.text") != content)
-        .withColumn("fixes", F.col("_fix.n"))
-        .withColumn("vars", F.col("_fix.vars"))
+        folded.withColumn("fixed_content", done)
+        .withColumn("modified", F.col("fixed_content") != content)
+        .withColumn("fixes", F.coalesce(fix["n"], F.lit(0)))
+        .withColumn("vars", F.coalesce(fix["vars"], F.array().cast("array<string>")))
         .drop("_fix")
     )
 
@@ -134,7 +130,7 @@ def new_env_names(redacted: DataFrame, env: DataFrame) -> DataFrame:
     ``env`` is the output of ``env_names``. A project has few distinct names
     (eleven, and as many numbered ones as its worst file has), whatever its size.
     """
-    used = redacted.filter(F.size("vars") > 0).select("project_id", "path", F.posexplode("vars").alias("pos", "name"))
+    used = redacted.select("project_id", "path", F.posexplode(once(F.col("vars"))).alias("pos", "name"))
     first = used.groupBy("project_id", "name").agg(F.min(F.struct("path", "pos")).alias("first_use"))
     known = env.select("project_id", "name").distinct()
     return first.join(known, ["project_id", "name"], "left_anti")

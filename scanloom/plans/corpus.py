@@ -3,7 +3,7 @@
 The tables hold prose and orders, not code, so the code queries run on files
 that Spark renders from them: one file per row, whose parts depend on the
 columns of the row. Each corpus grows with its table, and a third of its files
-falls into one project. The expressions are plain SQL that any engine reads.
+falls into one project. The expressions are plain SQL.
 """
 
 from __future__ import annotations
@@ -16,23 +16,6 @@ from scanloom.sources.tables import table
 NL = "chr(10)"
 
 
-def sql_text(code: str) -> str:
-    """A text as SQL: quoted lines joined by newlines. ``{expr}`` inserts SQL; ``{{`` is a brace."""
-    parts = []
-    for line in code.split("\n"):
-        pieces, rest = [], line
-        while "{%" in rest:
-            before, _, rest = rest.partition("{%")
-            expr, _, rest = rest.partition("%}")
-            if before:
-                pieces.append(_quote(before))
-            pieces.append(f"CAST({expr.strip()} AS STRING)")
-        if rest or not pieces:
-            pieces.append(_quote(rest))
-        parts.append(pieces[0] if len(pieces) == 1 else f"concat({', '.join(pieces)})")
-    return parts[0] if len(parts) == 1 else f"concat_ws({NL}, {', '.join(parts)})"
-
-
 def _quote(s: str) -> str:
     # A quote sign is written as chr(39), as engines differ in how they escape it.
     pieces = [f"'{p}'" for p in s.split("'")]
@@ -40,9 +23,27 @@ def _quote(s: str) -> str:
 
 
 def pick(index: str, options: list[str]) -> str:
-    """The ``index``-th of some texts, as SQL."""
-    cases = " ".join(f"WHEN {i} THEN {sql_text(t)}" for i, t in enumerate(options))
-    return f"CASE {index} {cases} END"
+    """The ``index``-th of some texts, as SQL. ``{% expr %}`` in a text inserts a column.
+
+    The texts are one constant array and insertions are replacements in the text
+    picked, so the generated code stays small however many texts there are.
+    """
+    exprs: list[str] = []
+
+    def constant(text: str) -> str:
+        out = ""
+        while "{%" in text:
+            before, _, text = text.partition("{%")
+            expr, _, text = text.partition("%}")
+            if expr.strip() not in exprs:
+                exprs.append(expr.strip())
+            out += f"{before}<#{exprs.index(expr.strip())}>"
+        return _quote(out + text)
+
+    out = f"element_at(array({', '.join(constant(t) for t in options)}), CAST({index} AS INT) + 1)"
+    for i, expr in enumerate(exprs):
+        out = f"replace({out}, '<#{i}>', CAST({expr} AS STRING))"
+    return out
 
 
 def project_of(key: str, name: str) -> str:
@@ -225,6 +226,7 @@ def rendered(spark: SparkSession, folder: str, corpus: dict[str, str]) -> DataFr
 
 
 def rendered_sql(corpus: dict[str, str]) -> str:
-    """The same as one SELECT, without ``length``."""
+    """The same as one SELECT for DuckDB, without ``length``."""
     cols = ", ".join(f"{expr} AS {name}" for name, expr in corpus.items() if name != "table")
-    return f"SELECT {cols} FROM {corpus['table']}"
+    out = f"SELECT {cols} FROM {corpus['table']}"
+    return out.replace("element_at(array(", "list_extract(list_value(")
