@@ -709,7 +709,7 @@ ORACLES["line_rules_on_pages"] = sql(
 )
 ORACLES["line_rules_on_documents"] = sql(
     "SELECT rule_key, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM text_hits GROUP BY ALL",
-    **text_rules("documents", "doc_id", "text", "py"),
+    **text_rules("documents", "doc_id", "text", "js"),
 )
 ORACLES["user_rules"] = sql(
     f"""SELECT l.project_id, l.path, l.line_no AS line, 'user/c' || c_custkey AS rule_key

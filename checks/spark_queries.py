@@ -19,7 +19,7 @@ from scanloom.plans import corpus, grouping, review, scan
 from scanloom.sources import diffs as diff_source
 from scanloom.sources import files as file_source
 from scanloom.sources.python_functions import function_table
-from scanloom.sources.tables import table
+from scanloom.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +31,7 @@ def query(fn: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def web(spark: SparkSession, sf: str) -> DataFrame:
@@ -500,7 +500,7 @@ def all_rules_by_severity(spark, sf):
 
 @query
 def line_rules_on_pages(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf, "pages")).select("page_id", "html")
     return rules.match_line_rules(pages, "ts", "html").groupBy("rule_key").agg(
         F.count(F.lit(1)).alias("n_hits"), F.countDistinct("page_id").alias("n_pages")
     )
@@ -509,7 +509,7 @@ def line_rules_on_pages(spark, sf):
 @query
 def line_rules_on_documents(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
-    return rules.match_line_rules(docs, "py", "text").groupBy("rule_key").agg(
+    return rules.match_line_rules(docs, "ts", "text").groupBy("rule_key").agg(
         F.count(F.lit(1)).alias("n_hits"), F.countDistinct("doc_id").alias("n_docs")
     )
 

@@ -1,7 +1,9 @@
-"""Column helpers for arrays."""
+"""Column helpers for arrays and for values used more than once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,3 +16,12 @@ def once(col: Column) -> Column:
     places. It does so for plain columns only.
     """
     return F.slice(col, F.lit(1), F.size(col))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row.
+
+    Inside the lambda of a higher-order function Spark works an expression out
+    again for each element and each mention; a lambda variable it does not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scanloom.functions.arrays import let
+
 # The line ends Python's str.splitlines() knows.
 LINE_BREAK_CLASS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LINE_BREAK = r"\r\n|" + LINE_BREAK_CLASS
@@ -60,11 +62,15 @@ def first_piece(line: Column, sep: str = "=") -> Column:
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
     """``text.replace(old, new, 1)`` for a literal, non-empty ``old``."""
-    at = F.instr(text, old)
-    return F.when(
-        at > 0,
-        F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text))),
-    ).otherwise(text)
+    return let(
+        F.struct(F.instr(text, old).alias("at"), F.length(old).alias("n")),
+        lambda o: F.when(
+            o["at"] > 0,
+            F.concat(
+                F.substring(text, F.lit(1), o["at"] - 1), new, F.substring(text, o["at"] + o["n"], F.length(text))
+            ),
+        ).otherwise(text),
+    )
 
 
 def numbered(lines: Column) -> Column:

@@ -5,12 +5,13 @@ A *learned* table has ``project_id, kind, value, path, pos``, one row per use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions import paths, text
 from scanloom.operators.filters import is_server_file, scannable
-from scanloom.sources.files import env_names, glob_python, glob_scripts
-from scanloom.sources.python_functions import function_table
+from scanloom.sources.files import JS_GLOB, PY_GLOB, glob_python, is_env_line
+from scanloom.sources.python_functions import function_table, functions_in, is_indented, may_define, with_lines
 
 # The kinds, the handler names, and the decorator to use when a
 # project shows none.
@@ -19,39 +20,90 @@ CSRF_VALIDATION, COOKIE_BASED = "csrf_validation", "cookie_based"
 DEFAULT_AUTH = "Depends(get_current_user)"
 
 
-def auth_decorators(files: DataFrame, *, method: str = "native") -> DataFrame:
-    """Decorators that hold "depend", of sync functions in files that parse as they stand."""
-    functions = function_table(glob_python(files), method=method).filter(~F.col("is_async") & ~F.col("file_indented"))
-    return (
-        functions.select("project_id", "path", "line", F.explode("decorators").alias("value"))
-        .filter(F.lower("value").contains("depend"))
-        .select("project_id", F.lit(AUTH).alias("kind"), "value", "path", F.col("line").alias("pos"))
-    )
+_USES = "array<struct<kind:string,value:string,pos:int>>"
 
 
-def token_handlers(files: DataFrame) -> DataFrame:
-    """How server files of a project handle tokens."""
-    content = F.col("content")
+def _auth_uses(functions: Column) -> Column:
+    """Decorators that hold "depend", of sync functions."""
+    sync = F.filter(functions, lambda f: ~f["is_async"])
+    return F.flatten(
+        F.transform(
+            sync,
+            lambda f: F.transform(
+                F.filter(f["decorators"], lambda d: F.lower(d).contains("depend")),
+                lambda d: F.struct(F.lit(AUTH).alias("kind"), d.alias("value"), f["line"].alias("pos")),
+            ),
+        )
+    ).cast(_USES)
+
+
+def _handler_uses(content: Column) -> Column:
     low = F.lower(content)
     csrf = F.when(content.contains("use server") & low.contains("csrf"), CSRF_VALIDATION)
     cookie = F.when(low.contains("cookie") & (low.contains("token") | low.contains("session")), COOKIE_BASED)
-    server = glob_scripts(files).filter(is_server_file(F.col("path"), content))
-    return server.select(
-        "project_id", "path", F.posexplode(F.array_compact(F.array(csrf, cookie))).alias("pos", "value")
-    ).select("project_id", F.lit(HANDLER).alias("kind"), "value", "path", "pos")
+    return F.transform(
+        F.array_compact(F.array(csrf, cookie)),
+        lambda v, i: F.struct(F.lit(HANDLER).alias("kind"), v.alias("value"), i.alias("pos")),
+    ).cast(_USES)
+
+
+def _env_uses(lines: Column) -> Column:
+    return F.filter(
+        F.transform(
+            lines,
+            lambda line, i: F.when(
+                is_env_line(line),
+                F.struct(F.lit(ENV).alias("kind"), text.first_piece(line).alias("value"), (i + 1).alias("pos")),
+            ),
+        ),
+        lambda x: x.isNotNull(),
+    ).cast(_USES)
+
+
+def _explode_uses(rows: DataFrame, uses: Column) -> DataFrame:
+    return rows.select("project_id", "path", F.explode(uses).alias("_u")).select(
+        "project_id", "_u.kind", "_u.value", "path", "_u.pos"
+    )
 
 
-def env_styles(files: DataFrame) -> DataFrame:
-    """Names in the ``.env.example`` at the root of a project."""
-    return env_names(files).select(
-        "project_id", F.lit(ENV).alias("kind"), F.col("name").alias("value"), "path", F.col("line_no").alias("pos")
+def exact_auth_decorators(files: DataFrame) -> DataFrame:
+    """Auth decorators of files that parse as they stand, by parsing them."""
+    functions = function_table(glob_python(files), method="exact").filter(~F.col("is_async") & ~F.col("file_indented"))
+    return (
+        functions.select("project_id", "path", "line", F.explode("decorators").alias("value"))
+        .filter(F.lower("value").contains("depend"))
+        .select("project_id", F.lit(AUTH).alias("kind"), "value", "path", F.col("line").alias("pos"))
     )
 
 
 def learn(files: DataFrame, *, method: str = "native", skip: bool = True) -> DataFrame:
-    """All three kinds over the files that the default scan reads."""
+    """All three kinds over the files that the default scan reads.
+
+    * auth: decorators that hold "depend", of sync functions in Python files
+      that parse as they stand (so not in one that is indented as a whole);
+    * handlers: how scripts that run on the server handle tokens;
+    * env: names in the ``.env.example`` at the root of a project.
+
+    The native method reads the files once for all of them.
+    """
     files = scannable(files) if skip else files
-    return auth_decorators(files, method=method).unionByName(token_handlers(files)).unionByName(env_styles(files))
+    path, content, name = F.col("path"), F.col("content"), paths.name_of(F.col("path"))
+    is_py = name.rlike(PY_GLOB) & may_define(content) & F.lower(content).contains("depend") & ~is_indented(content)
+    kind = (
+        F.when(path == ".env.example", ENV)
+        .when(name.rlike(PY_GLOB), F.when(is_py, AUTH))
+        .when(name.rlike(JS_GLOB) & is_server_file(path, content), HANDLER)
+    )
+    if method == "exact":
+        kind = F.when(kind != AUTH, kind)
+    rows = with_lines(files.select("project_id", "path", "content", kind.alias("_kind")).filter("_kind is not null"))
+    uses = (
+        F.when(F.col("_kind") == ENV, _env_uses(F.col("_lines")))
+        .when(F.col("_kind") == HANDLER, _handler_uses(content))
+        .otherwise(_auth_uses(functions_in(F.col("_lines"), F.col("_code"))))
+    )
+    native = _explode_uses(rows, uses)
+    return native if method == "native" else native.unionByName(exact_auth_decorators(files))
 
 
 def value_counts(learned: DataFrame) -> DataFrame:

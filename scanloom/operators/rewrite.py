@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
-from scanloom.functions.arrays import once
+from scanloom.functions.arrays import let, once
 from scanloom.functions.patterns import CHANGE_ME, GENERIC_JS, GENERIC_PY, SECRET_PATTERNS, patterns_for
 from scanloom.operators.filters import is_safe_value, lang_of
 from scanloom.operators.learning import DEFAULT_AUTH
@@ -24,10 +24,19 @@ _STATE = "struct<text:string,n:int,vars:array<string>>"
 
 def _with_quotes(body: Column, token: Column) -> Column:
     """The first occurrence of a token, with the quotes around it if it has the same on both sides."""
-    at = F.instr(body, token)
-    before = F.when(at > 1, F.substring(body, at - 1, F.lit(1))).otherwise("")
-    after = F.substring(body, at + F.length(token), F.lit(1))
-    return F.when((before == after) & before.isin("'", '"'), F.concat(before, token, after)).otherwise(token)
+    around = let(
+        F.instr(body, token),
+        lambda at: F.struct(
+            F.when(at > 1, F.substring(body, at - 1, F.lit(1))).otherwise("").alias("before"),
+            F.substring(body, at + F.length(token), F.lit(1)).alias("after"),
+        ),
+    )
+    return let(
+        around,
+        lambda x: F.when(
+            (x["before"] == x["after"]) & x["before"].isin("'", '"'), F.concat(x["before"], token, x["after"])
+        ).otherwise(token),
+    )
 
 
 def _fold(content: Column, lang: str) -> Column:
@@ -57,8 +66,9 @@ def _fold(content: Column, lang: str) -> Column:
             read = F.concat(F.lit("process.env."), var, F.lit(f' || "{CHANGE_ME}"'))
             generic = F.concat(F.lit("const "), name, F.lit(" = "), read, F.lit(";"))
         old = F.when(p["generic"], full).otherwise(_with_quotes(acc["text"], full))
+        new = F.when(p["generic"], generic).otherwise(read)
         done = F.struct(
-            text.replace_first(acc["text"], old, F.when(p["generic"], generic).otherwise(read)).alias("text"),
+            let(old, lambda o: text.replace_first(acc["text"], o, new)).alias("text"),
             (acc["n"] + 1).alias("n"),
             F.array_append(acc["vars"], var).alias("vars"),
         )
@@ -169,34 +179,52 @@ def insert_decorator(content: Column, at_lines: Column, decorator: Column) -> Co
     Insertions are keyed by lines of the original text, so several in one file
     do not shift one another.
     """
-    kept = text.splitlines_keep(content)
     deco = F.when(decorator.startswith("@"), decorator).otherwise(F.concat(F.lit("@"), decorator))
-    ends = F.filter(
-        F.transform(kept, lambda line, i: F.when(~_in_chain(line), i)), lambda i: i.isNotNull()
+
+    def with_inserts(s: Column) -> Column:
+        """Where each new line goes: before the first line at or after its own that ends a chain."""
+        n_lines = F.size(s["lines"])
+        return F.struct(
+            s["lines"].alias("lines"),
+            F.transform(
+                F.filter(at_lines, lambda n: (n >= 1) & (n <= n_lines)),
+                lambda n: F.struct(
+                    F.coalesce(F.get(F.filter(s["ends"], lambda e: e >= n - 1), F.lit(0)), n_lines).alias("at"),
+                    F.concat(text.indent_of(F.get(s["lines"], n - 1)), deco, F.lit("\n")).alias("text"),
+                ),
+            ).alias("inserts"),
+        )
+
+    def rebuilt(s: Column) -> Column:
+        at = lambda i: F.transform(
+            F.filter(s["inserts"], lambda x: x["at"] == i), lambda x: x["text"]
+        )
+        body = F.flatten(F.transform(s["lines"], lambda line, i: F.concat(at(i), F.array(line))))
+        return F.array_join(F.concat(body, at(F.size(s["lines"]))), "")
+
+    ends = lambda lines: F.filter(
+        F.transform(lines, lambda line, i: F.when(~_in_chain(line), i)), lambda i: i.isNotNull()
     )
-    inserts = F.transform(
-        F.filter(at_lines, lambda n: (n >= 1) & (n <= F.size(kept))),
-        lambda n: F.struct(
-            F.coalesce(F.get(F.filter(ends, lambda e: e >= n - 1), F.lit(0)), F.size(kept)).alias("at"),
-            F.concat(text.indent_of(F.get(kept, n - 1)), deco, F.lit("\n")).alias("text"),
-        ),
+    split = let(
+        text.splitlines_keep(content), lambda lines: F.struct(lines.alias("lines"), ends(lines).alias("ends"))
     )
-    at = lambda i: F.transform(F.filter(inserts, lambda x: x["at"] == i), lambda x: x["text"])
-    body = F.flatten(F.transform(kept, lambda line, i: F.concat(at(i), F.array(line))))
-    return F.array_join(F.concat(body, at(F.size(kept))), "")
+    return let(let(split, with_inserts), rebuilt)
 
 
 def upper_names(content: Column, at_lines: Column) -> Column:
     """Text with the name on each of ``at_lines`` of an env file in upper case."""
-    return F.array_join(
-        F.transform(
-            text.splitlines_keep(content),
-            lambda line, i: F.when(
-                F.array_contains(at_lines, i + 1),
-                text.replace_first(line, text.first_piece(line), F.upper(text.first_piece(line))),
-            ).otherwise(line),
+    return let(
+        at_lines,
+        lambda wanted: F.array_join(
+            F.transform(
+                text.splitlines_keep(content),
+                lambda line, i: F.when(
+                    F.array_contains(wanted, i + 1),
+                    text.replace_first(line, text.first_piece(line), F.upper(text.first_piece(line))),
+                ).otherwise(line),
+            ),
+            "",
         ),
-        "",
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
+from scanloom.functions.arrays import let
 from scanloom.operators.rule_data import RULES
 from scanloom.operators.rule_predicates import PREDICATES, Block, Func, Line, Pair, block_regex
 from scanloom.sources.files import lines as line_rows
@@ -25,7 +26,8 @@ RULES_SCHEMA = (
     "category string, languages array<string>, metadata map<string,string>"
 )
 _HITS = "array<struct<line:int,rule_key:string>>"
-_RULE_SALTS = 64  # there are three languages, so a join on them alone would run in three tasks
+LITERAL_RULES = 500
+_RULE_SALTS = 64
 _RULE_OF = {f"{r[0]}/{r[1]}": r for r in RULES}
 
 
@@ -172,68 +174,73 @@ def _named_lines(lines: Column, regex: str) -> Column:
     )
 
 
+def _left_lines(lines: Column, rule: Pair) -> Column:
+    """array<struct<at, line, indent, name>>: first lines; ``at`` is where a finding goes."""
+    is_left = lambda line: line["text"].rlike(rule.left)
+    if rule.before is None:
+        return F.transform(
+            F.filter(lines, is_left),
+            lambda line: F.struct(
+                line["line"].alias("at"), line["line"], line["indent"], _name_of(line["text"], rule.left).alias("name")
+            ),
+        )
+
+    def with_line_before(line: Column, i: Column) -> Column:
+        above = F.get(lines, i - 1)
+        names = [_name_of(above["text"], rule.before)]
+        if _groups(rule.left):
+            names.append(_name_of(line["text"], rule.left))
+        return F.when(
+            is_left(line) & (i > 0) & above["text"].rlike(rule.before),
+            F.struct(above["line"].alias("at"), line["line"], line["indent"], F.concat_ws(" ", *names).alias("name")),
+        )
+
+    return F.filter(F.transform(lines, with_line_before), lambda x: x.isNotNull())
+
+
 def _pair_hits(key: str, rule: Pair) -> Column:
     """First lines that have a fitting second line in their scope.
 
     The end of a scope is the first code line that is indented less (block) or
-    not more (body). Only lines that could end some scope are looked at.
+    not more (body). It is looked for only where a second line of the same name
+    comes later at all.
     """
     lines = F.col("_code_lines")
-    left = lambda line: line["text"].rlike(rule.left)
-    if rule.before is not None:
-        names = F.transform(
-            lines,
-            lambda line, i: F.when(
-                left(line) & F.get(lines, i - 1)["text"].rlike(rule.before) & (i > 0),
-                F.struct(
-                    F.get(lines, i - 1)["line"].alias("at"),
-                    line["line"].alias("line"),
-                    line["indent"].alias("indent"),
-                    F.concat_ws(
-                        " ",
-                        _name_of(F.get(lines, i - 1)["text"], rule.before),
-                        *([_name_of(line["text"], rule.left)] if _groups(rule.left) else []),
-                    ).alias("name"),
-                ),
-            ),
-        )
-        lefts = F.filter(names, lambda x: x.isNotNull())
-    else:
-        lefts = F.transform(
-            F.filter(lines, left),
-            lambda line: F.struct(
-                line["line"].alias("at"),
-                line["line"].alias("line"),
-                line["indent"].alias("indent"),
-                _name_of(line["text"], rule.left).alias("name"),
-            ),
+    fits = lambda x, r: (r["name"] == x["name"]) & (r["line"] > x["line"])
+
+    def candidates(s: Column) -> Column:
+        return F.struct(
+            F.filter(s["lefts"], lambda x: F.exists(s["rights"], lambda r: fits(x, r))).alias("lefts"), s["rights"]
         )
-    rights = F.concat(*[_named_lines(lines, rx) for rx in rule.rights])
 
-    def ends(x: Column) -> Column:
+    def end_of(x: Column) -> Column:
         if rule.scope == "file":
             return F.lit(None).cast("int")
-        deepest = x["indent"] if rule.scope == "block" else x["indent"] + 1
-        after = F.filter(lines, lambda line: (line["line"] > x["line"]) & (line["indent"] < deepest))
+        below = x["indent"] + (0 if rule.scope == "block" else 1)
+        after = F.filter(lines, lambda line: (line["line"] > x["line"]) & (line["indent"] < below))
         return F.get(after, F.lit(0))["line"]
 
-    scoped = F.transform(
-        lefts, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), x["name"].alias("name"), ends(x).alias("end"))
-    )
-    hit = F.filter(
-        scoped,
-        lambda x: F.exists(
-            rights,
-            lambda r: (r["name"] == x["name"])
-            & (r["line"] > x["line"])
-            & (x["end"].isNull() | (r["line"] < x["end"])),
-        ),
-    )
-    out = F.transform(hit, lambda x: F.struct(x["at"].alias("line"), F.lit(key).alias("rule_key"))).cast(_HITS)
+    def scoped(s: Column) -> Column:
+        return F.struct(
+            F.transform(
+                s["lefts"], lambda x: F.struct(x["at"], x["line"], x["name"], end_of(x).alias("end"))
+            ).alias("lefts"),
+            s["rights"],
+        )
+
+    def hits(s: Column) -> Column:
+        found = F.filter(
+            s["lefts"],
+            lambda x: F.exists(s["rights"], lambda r: fits(x, r) & (x["end"].isNull() | (r["line"] < x["end"]))),
+        )
+        return F.transform(found, lambda x: F.struct(x["at"].alias("line"), F.lit(key).alias("rule_key")))
+
+    rights = F.concat(*[_named_lines(lines, rx) for rx in rule.rights])
+    both = F.struct(_left_lines(lines, rule).alias("lefts"), rights.alias("rights"))
     hinted = F.lit(False)
     for h in rule.hints:
         hinted = hinted | F.col("_code").contains(h)
-    return F.when(hinted, out)
+    return F.when(hinted, let(let(let(both, candidates), scoped), hits).cast(_HITS))
 
 
 # --- all of them -------------------------------------------------------------
@@ -351,26 +358,54 @@ def match_line_rules(table: DataFrame, lang: str, content: str, *, keys: Iterabl
     return rows.select(*keep, (F.col("_pos") + 1).alias("line"), F.explode(hits).alias("rule_key"))
 
 
-def match_user_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+def match_user_rules(files: DataFrame, rules: DataFrame, *, literal_rules: int = LITERAL_RULES) -> DataFrame:
     """Line rules given as rows (``rule_key, regex, mask, languages``), any number of them.
 
-    An equi join on the language with the regex as a condition: only hits leave
-    the join. The rules are not broadcast unless Spark measures them as small.
+    Up to ``literal_rules`` rows become constant patterns, compiled once per
+    task. More of them are joined on the language with the regex as a
+    condition, so that only hits leave the join. Both ways give the same rows.
     """
-    per_lang = rules.select("rule_key", "regex", "mask", F.explode("languages").alias("lang"))
+    rows = _masked_lines(files)
+    columns = ["rule_key", "regex", "mask", "languages"]
+    few = rules.select(*columns).limit(literal_rules + 1).collect()
+    out = ["project_id", "path", "lang", "line", "rule_key"]
+    if len(few) > literal_rules:
+        return _join_rules(rows, rules.select(*columns)).select(*out)
+    tests = [
+        F.when(
+            F.col("lang").isin(list(r["languages"])) & F.col(_masked(r["mask"])).rlike(r["regex"]), F.lit(r["rule_key"])
+        )
+        for r in few
+    ]
+    if not tests:
+        return rows.withColumn("rule_key", F.lit("")).select(*out).limit(0)
+    hits = F.array_compact(F.array(*tests))
+    return rows.select("project_id", "path", "lang", "line", F.explode(hits).alias("rule_key"))
+
+
+def _masked_lines(files: DataFrame) -> DataFrame:
+    """Lines as they are (``_raw``), without comments (``_code``), without strings (``_bare``)."""
     source = files.withColumn("lang", rule_lang(F.col("path"))).filter(F.col("lang").isNotNull())
-    rows = line_rows(source, "project_id", "path", "lang").withColumnRenamed("line_no", "line_nr")
-    family = lambda f, c: F.when(F.col("lang") == "py", f(c, "py")).otherwise(f(c, "js"))
-    rows = rows.withColumn("_c", family(text.drop_comments, F.col("line")))
-    rows = rows.withColumn("_b", family(text.empty_strings, F.col("_c")))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("project_id", "path", "line_nr"), F.lit(_RULE_SALTS)).cast("int"))
-    spread = per_lang.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_RULE_SALTS - 1))))
-    shown = "case mask when 'none' then line when 'strings' then _b else _c end"
-    return (
-        rows.join(spread, ["lang", "_salt"])
-        .filter(F.expr(f"rlike({shown}, regex)"))
-        .select("project_id", "path", "lang", F.col("line_nr").alias("line"), "rule_key")
+    rows = line_rows(source, "project_id", "path", "lang").withColumnsRenamed({"line": "_raw", "line_no": "line"})
+    rows = rows.withColumn(
+        "_code", _by_family(text.drop_comments(F.col("_raw"), "py"), text.drop_comments(F.col("_raw"), "js"))
+    )
+    return rows.withColumn(
+        "_bare", _by_family(text.empty_strings(F.col("_code"), "py"), text.empty_strings(F.col("_code"), "js"))
+    )
+
+
+def _join_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Lines and rules of one language whose regex matches.
+
+    There are three languages, so lines are spread over copies of the rules.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("project_id", "path", "line"), F.lit(_RULE_SALTS)).cast("int"))
+    copies = rules.withColumn("lang", F.explode("languages")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(_RULE_SALTS - 1)))
     )
+    shown = "case mask when 'none' then _raw when 'strings' then _bare else _code end"
+    return salted.join(copies, ["lang", "_salt"]).filter(F.expr(f"rlike({shown}, regex)"))
 
 
 def rule_findings(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:

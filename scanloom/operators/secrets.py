@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.functions.patterns import ASSIGN_HINT, SECRET_PATTERNS, SecretPattern, patterns_for
+from scanloom.functions.patterns import (
+    ASSIGN_HINT,
+    GENERIC_JS,
+    GENERIC_PY,
+    SECRET_PATTERNS,
+    TOKEN_PATTERNS,
+    SecretPattern,
+)
 from scanloom.operators.filters import is_safe_value, lang_of
 
 _CUT, _CUT_IN_TEXT = "\ufdd0", "\ufdd1"  # noncharacters; the first stands where a match starts
@@ -107,25 +114,22 @@ def find_secrets(table: DataFrame, content: str = "content", *, patterns: list[S
 
 
 def find_file_secrets(files: DataFrame, *, skip_safe: bool = True) -> DataFrame:
-    """Secrets of a files table, each language with its own patterns.
+    """Secrets of a files table, each language with its own patterns, in one scan.
 
     ``skip_safe`` leaves out values that are read from the environment already.
     """
-    out = None
-    for lang in ("py", "js"):
-        patterns = patterns_for(lang)
-        part = (
-            files.filter((lang_of(F.col("path")) == lang) & may_hold_any(F.col("content"), patterns))
-            .select(
-                "project_id",
-                "path",
-                F.lit(lang).alias("lang"),
-                F.explode(secrets_in(F.col("content"), patterns, safe_lang=lang if skip_safe else None)).alias("_m"),
-            )
-            .select("project_id", "path", "lang", "_m.*")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    lang, content = F.col("lang"), F.col("content")
+    generic = lambda p, family: secrets_in(content, [p], safe_lang=family if skip_safe else None)
+    found = F.concat(
+        secrets_in(content, TOKEN_PATTERNS),
+        F.when(lang == "py", generic(GENERIC_PY, "py")).otherwise(generic(GENERIC_JS, "js")),
+    )
+    return (
+        files.withColumn("lang", lang_of(F.col("path")))
+        .filter(lang.isin("py", "js") & may_hold_any(content, SECRET_PATTERNS))
+        .select("project_id", "path", "lang", F.explode(found).alias("_m"))
+        .select("project_id", "path", "lang", "_m.*")
+    )
 
 
 def count_by_type(secrets: DataFrame, *keys: str) -> DataFrame:

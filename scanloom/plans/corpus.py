@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.sources.tables import table
+from scanloom.sources.tables import spread, table
 
 NL = "chr(10)"
 
@@ -219,7 +219,7 @@ DIFFS = {
 def rendered(spark: SparkSession, folder: str, corpus: dict[str, str]) -> DataFrame:
     """A corpus over the tables of ``folder``; file corpora also get ``length``."""
     cols = [f"{expr} AS {name}" for name, expr in corpus.items() if name != "table"]
-    out = table(spark, folder, corpus["table"]).selectExpr(*cols)
+    out = spread(table(spark, folder, corpus["table"])).selectExpr(*cols)
     if "content" in corpus:
         out = out.withColumn("length", F.octet_length("content").cast("long"))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.plans.joins import join_lookup
+from scanloom.session import cut_lineage
 
 ITEMS_PER_PART = 20_000
 
@@ -21,7 +22,8 @@ def collect_in_parts(
     every row. Equal rows are counted before the shuffle and their count is cut
     as well, so a group of copies does not end up in one part either.
     """
-    equal = rows.groupBy(*keys, *items).agg(F.count(F.lit(1)).alias("_copies"))
+    # Written once: both the sizes and the lists read it, and finding the rows is the costly part.
+    equal = cut_lineage(rows.groupBy(*keys, *items).agg(F.count(F.lit(1)).alias("_copies")))
     sizes = equal.groupBy(*keys).agg(F.sum("_copies").alias("_size"))
     sizes = sizes.select(*keys, F.ceil(F.col("_size") / max_items).cast("int").alias("parts"))
     spread = (

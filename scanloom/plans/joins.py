@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.session import cut_lineage
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 
 
@@ -18,18 +18,20 @@ def join_lookup(
     how: str = "left",
     *,
     salt_on: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``left`` to ``lookup``, which holds one short row per ``on`` key.
 
-    ``lookup`` is computed once and counted. Up to ``broadcast_rows`` rows it is
+    ``lookup`` is computed once and measured. Up to ``broadcast_bytes`` it is
     broadcast and ``left`` does not move. Beyond that it is copied ``SALTS``
     times and ``left`` is spread over the copies by a hash of ``salt_on``, so a
     key that holds a third of ``left`` still runs in many tasks. Both ways give
     the same rows.
     """
     lookup = cut_lineage(lookup)
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    per_row = F.lit(64) + F.coalesce(F.octet_length(F.to_json(F.struct(*lookup.columns))), F.lit(0))
+    size = lookup.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
         return left.join(F.broadcast(lookup), on, how)
     return salted_join(left, lookup, on, how, salt_on=salt_on)
 

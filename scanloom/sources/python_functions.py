@@ -43,7 +43,7 @@ _PAREN = _brackets(3)
 _DECORATOR = rf"{MARK}[ \t]*+@[^\n(]*+(?:{_PAREN}[^\n(]*+)*+\n"
 _BLANK = rf"{MARK}[ \t\r]*+\n"
 HEADER = (
-    rf"((?:{_DECORATOR}|{_BLANK})*+)"  # 1 decorators
+    rf"((?:{_DECORATOR})*+)"  # 1 decorators
     rf"{MARK_OPEN}(\d+){MARK_CLOSE}([ \t]*+)"  # 2 line, 3 indent
     rf"(async[ \t]++)?def[ \t]++(\w++)(?:\[[^\]\n]*+\])?{_W}"  # 4 async, 5 name
     rf"({_PAREN}){_W}"  # 6 parameters
@@ -92,7 +92,9 @@ def functions_in(lines: Column, code: Column, *, lookback: int = LOOKBACK) -> Co
             ).alias("context"),
         )
 
-    return F.transform(F.regexp_extract_all(code, F.lit(HEADER), F.lit(0)), describe)
+    # Without blank lines, so that a long run of them is not tried from each of its lines.
+    solid = F.regexp_replace(code, _BLANK, "")
+    return F.transform(F.regexp_extract_all(solid, F.lit(HEADER), F.lit(0)), describe)
 
 
 def with_lines(files: DataFrame, content: str = "content") -> DataFrame:

@@ -7,3 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all cores, where its files give fewer splits than there are cores.
+
+    A table in one small file is read by one task, and all that follows without
+    a shuffle would run in that task. Scans with enough splits, which is every
+    large one, are left as they are. Give it a plain scan, before any shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
