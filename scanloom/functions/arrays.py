@@ -4,20 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def once(col: Column) -> Column:
-    """An array to explode whose computation must not run twice.
-
-    For ``explode(column)`` Spark infers a filter ``size(column) > 0`` and pushes
-    it below the projection that computes the column, which then runs in both
-    places. It does so for plain columns only.
-    """
-    return F.slice(col, F.lit(1), F.size(col))
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once per row.
 
@@ -25,3 +15,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     again for each element and each mention; a lambda variable it does not.
     """
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def with_fields(rows: DataFrame, value: Column) -> DataFrame:
+    """Adds the fields of a struct as columns that are worked out exactly once.
+
+    A plain projection may be merged into what reads it, and a filter on one of
+    its columns is pushed below it, with a copy of the whole expression for each
+    mention. Neither goes through a generator, and a generator of one row costs
+    next to nothing beside a pass over a text.
+    """
+    return rows.select("*", F.inline(F.array(value)))

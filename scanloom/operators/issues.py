@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
-from scanloom.functions.arrays import once
+from scanloom.functions.arrays import with_fields
 from scanloom.operators.filters import SCRIPT_SUFFIXES, has_suffix, is_server_file, lang_of
 from scanloom.operators.learning import DEFAULT_AUTH
 from scanloom.sources.files import is_env_line
@@ -170,20 +170,20 @@ def with_issues(
     auth = F.transform(functions, lambda f: _open_route(f, lookback, include_async, auth_scope))
     csrf = F.transform("_lines", lambda line, i: F.when(lacks_csrf(line), i + 1))
     env = F.transform("_lines", lambda line, i: F.when(breaks_env_style(line, F.col("env_style"), env_check), i + 1))
-    return prepared.withColumn(
-        "issues",
+    all_issues = (
         F.when(found == "py", _as_issues(auth, MISSING_AUTH))
         .when(found == "js", _as_issues(csrf, MISSING_CSRF))
         .when(found == "env", _as_issues(env, ENV_VAR_STYLE))
         .otherwise(none)
-        .cast(_ISSUES),
-    ).drop("_check", "_text", "_lines", "_code")
+        .cast(_ISSUES)
+    )
+    return with_fields(prepared, F.struct(all_issues.alias("issues"))).drop("_check", "_text", "_lines", "_code")
 
 
 def explode_issues(flagged: DataFrame, *keep: str) -> DataFrame:
     """``project_id, path, line, issue_type`` and the ``keep`` columns."""
     cols = ["project_id", "path", *keep]
-    return flagged.select(*cols, F.explode(once(F.col("issues"))).alias("_i")).select(*cols, "_i.*")
+    return flagged.select(*cols, F.explode("issues").alias("_i")).select(*cols, "_i.*")
 
 
 def nested_issues(flagged: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
-from scanloom.functions.arrays import let, once
+from scanloom.functions.arrays import let, with_fields
 from scanloom.functions.patterns import CHANGE_ME, GENERIC_JS, GENERIC_PY, SECRET_PATTERNS, patterns_for
 from scanloom.operators.filters import is_safe_value, lang_of
 from scanloom.operators.learning import DEFAULT_AUTH
@@ -96,7 +96,7 @@ def add_first(text_col: Column, fixes: Column, content: Column, lang: str, heade
 
 
 def redact_secrets(files: DataFrame, *, max_size: int = MAX_FILE_SIZE, header: str = JS_HEADER) -> DataFrame:
-    """Adds ``fixed_content, modified, fixes, vars``: projections only, no shuffle.
+    """Adds ``fixed_content, fixes, vars, modified`` in the row of the file: no shuffle.
 
     Files of other languages, files over ``max_size`` and files that hold no
     secret come back as they are.
@@ -104,23 +104,16 @@ def redact_secrets(files: DataFrame, *, max_size: int = MAX_FILE_SIZE, header: s
     content, lang = F.col("content"), lang_of(F.col("path"))
     usable = F.col("length") <= max_size
     holds = lambda family: usable & (lang == family) & may_hold_any(content, patterns_for(family))
-    # The fold is a column of its own, so that it runs once for all that is read from it.
-    folded = files.withColumn(
-        "_fix", F.when(holds("py"), _fold(content, "py")).when(holds("js"), _fold(content, "js"))
-    )
-    fix = F.col("_fix")
-    done = (
-        F.when(fix.isNull(), content)
-        .when(lang == "py", add_first(fix["text"], fix["n"], content, "py"))
-        .otherwise(add_first(fix["text"], fix["n"], content, "js", header))
-    )
-    return (
-        folded.withColumn("fixed_content", done)
-        .withColumn("modified", F.col("fixed_content") != content)
-        .withColumn("fixes", F.coalesce(fix["n"], F.lit(0)))
-        .withColumn("vars", F.coalesce(fix["vars"], F.array().cast("array<string>")))
-        .drop("_fix")
-    )
+    as_it_is = F.struct(content.alias("text"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("vars"))
+    fold = F.when(holds("py"), _fold(content, "py")).when(holds("js"), _fold(content, "js")).otherwise(as_it_is.cast(_STATE))
+
+    def with_first_line(fix: Column) -> Column:
+        done = F.when(lang == "py", add_first(fix["text"], fix["n"], content, "py")).otherwise(
+            add_first(fix["text"], fix["n"], content, "js", header)
+        )
+        return F.struct(done.alias("fixed_content"), fix["n"].alias("fixes"), fix["vars"].alias("vars"))
+
+    return with_fields(files, let(fold, with_first_line)).withColumn("modified", F.col("fixed_content") != content)
 
 
 def redact_text(content: Column) -> Column:
@@ -140,7 +133,7 @@ def new_env_names(redacted: DataFrame, env: DataFrame) -> DataFrame:
     ``env`` is the output of ``env_names``. A project has few distinct names
     (eleven, and as many numbered ones as its worst file has), whatever its size.
     """
-    used = redacted.select("project_id", "path", F.posexplode(once(F.col("vars"))).alias("pos", "name"))
+    used = redacted.select("project_id", "path", F.posexplode("vars").alias("pos", "name"))
     first = used.groupBy("project_id", "name").agg(F.min(F.struct("path", "pos")).alias("first_use"))
     known = env.select("project_id", "name").distinct()
     return first.join(known, ["project_id", "name"], "left_anti")
@@ -246,7 +239,9 @@ def apply_improvements(flagged: DataFrame, content: str = "content") -> DataFram
         .otherwise(col)
     )
     can = ((lang == "py") & (F.size(auth) > 0)) | ((lang == "env") & (F.size(env) > 0))
-    return flagged.withColumn("improved_content", out).withColumn("improved", F.coalesce(can, F.lit(False)))
+    return with_fields(
+        flagged, F.struct(out.alias("improved_content"), F.coalesce(can, F.lit(False)).alias("improved"))
+    )
 
 
 def insert_in_lines(line_table: DataFrame, issues: DataFrame, decorator: Column) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions.arrays import once
 from scanloom.operators.filters import is_added
 
 # The kinds of change.
@@ -78,7 +77,8 @@ def parse(diffs: DataFrame, text: str = "text") -> DataFrame:
         head.rlike(r"(?m)^(Binary files .* differ|GIT binary patch)").alias("is_binary"),
         F.when(F.size("_cut") > 1, F.slice("_cut", F.lit(2), F.size("_cut"))).otherwise(F.array(F.lit(""))).alias("_hunks"),
     )
-    hunks = files.select("*", F.posexplode(once(F.col("_hunks"))).alias("_h", "_hunk"))
+    # Not the bare column: for that Spark would infer a filter and run the splits twice.
+    hunks = files.select("*", F.posexplode(F.slice("_hunks", F.lit(1), F.size("_hunks"))).alias("_h", "_hunk"))
     body = F.split(F.regexp_replace("_hunk", r"\n\z", ""), "\n", -1)
     hunks = hunks.withColumn("lines", F.when(F.col("_hunk") == "", F.array().cast("array<string>")).otherwise(body))
     first = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
