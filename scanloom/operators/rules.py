@@ -81,6 +81,13 @@ def _masked(name: str) -> str:
     return {"none": "_raw", "comments": "_code", "strings": "_bare"}[name]
 
 
+def _holds_any(col: Column, literals: Iterable[str]) -> Column:
+    out = F.lit(False)
+    for s in literals:
+        out = out | col.contains(s)
+    return out
+
+
 # --- line rules --------------------------------------------------------------
 
 
@@ -98,6 +105,8 @@ def _line_hits(
     for (rule, typed_only), same in by_predicate.items():
         line = {"none": raw, "comments": code, "strings": bare}[rule.mask]
         hit = line.rlike(rule.regex)
+        if rule.hints:
+            hit = _holds_any(line, rule.hints) & hit
         if typed is not None and typed_only:
             hit = typed & hit
         if rule.unless:
@@ -237,10 +246,7 @@ def _pair_hits(key: str, rule: Pair) -> Column:
 
     rights = F.concat(*[_named_lines(lines, rx) for rx in rule.rights])
     both = F.struct(_left_lines(lines, rule).alias("lefts"), rights.alias("rights"))
-    hinted = F.lit(False)
-    for h in rule.hints:
-        hinted = hinted | F.col("_code").contains(h)
-    return F.when(hinted, let(let(let(both, candidates), scoped), hits).cast(_HITS))
+    return F.when(_holds_any(F.col("_code"), rule.hints), let(let(let(both, candidates), scoped), hits).cast(_HITS))
 
 
 # --- all of them -------------------------------------------------------------

@@ -171,3 +171,13 @@ def test_long_and_odd_texts_do_not_overflow(make_files):
     }
     keys = {r.rule_key for r in rules.match_rules(make_files(tree)).collect()}
     assert {PS + "pydantic.arbitrary-types-allowed", TS + "react.missing-dependency-array", TQ + "a11y.button-type"} <= keys
+
+
+def test_hints_never_hide_a_match():
+    """A line that a regex matches holds one of the literals tested before it."""
+    lines = [x for t in [*corpus.PY_SAMPLES, *corpus.TS_SAMPLES] for x in t.split("\n")]
+    lines += [x.replace(" ", "\t") for x in lines] + [x.replace(" ", "  ") for x in lines]
+    for key, p in PREDICATES.items():
+        if p.cls == "L":
+            matched = [x for x in lines if re.search(p.regex, x)]
+            assert matched and all(any(h in x for h in p.hints) for x in matched), key
