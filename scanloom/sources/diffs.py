@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.functions.arrays import let, with_fields
 from scanloom.operators.filters import is_added
 
 # The kinds of change.
@@ -45,12 +46,8 @@ def _start(line: Column, group: int) -> Column:
     return F.when(line == "", 0).otherwise(F.regexp_extract(line, _HUNK, group).cast("int"))
 
 
-def parse(diffs: DataFrame, text: str = "text") -> DataFrame:
-    """Hunks of each diff: the other columns of ``diffs`` and ``HUNK_COLUMNS``."""
-    keep = [c for c in diffs.columns if c != text]
-    files = diffs.select(*keep, F.posexplode(_file_chunks(F.col(text))).alias("_f", "_chunk"))
-    files = files.withColumn("_cut", F.split("_chunk", r"(?m)^(?=@@ -\d)", -1)).withColumn("_head", F.get("_cut", F.lit(0)))
-    head = F.col("_head")
+def _names(head: Column) -> Column:
+    """struct<old, new, is_new, is_gone> from the header of a file."""
     old = F.coalesce(
         _found(head, r"(?m)^--- (?:a/)?([^\t\r\n]+)"),
         _found(head, r"(?m)^(?:rename|copy) from ([^\r\n]+)"),
@@ -61,40 +58,85 @@ def parse(diffs: DataFrame, text: str = "text") -> DataFrame:
         _found(head, r"(?m)^(?:rename|copy) to ([^\r\n]+)"),
         _found(head, r"(?m)^diff --git a/.+? b/([^\r\n]+)"),
     )
-    is_new = head.rlike(r"(?m)^new file mode") | (old == "/dev/null")
-    is_gone = head.rlike(r"(?m)^deleted file mode") | (new == "/dev/null")
-    files = files.select(
-        *keep,
-        (F.col("_f") + 1).alias("file_no"),
-        F.when(~is_new, old).alias("old_file"),
-        F.when(~is_gone, new).alias("new_file"),
-        F.when(is_new, ADDED)
-        .when(is_gone, DELETED)
-        .when(head.rlike(r"(?m)^rename from "), RENAMED)
-        .when(head.rlike(r"(?m)^copy from "), COPIED)
-        .otherwise(MODIFIED)
-        .alias("diff_type"),
-        head.rlike(r"(?m)^(Binary files .* differ|GIT binary patch)").alias("is_binary"),
-        F.when(F.size("_cut") > 1, F.slice("_cut", F.lit(2), F.size("_cut"))).otherwise(F.array(F.lit(""))).alias("_hunks"),
+    return let(
+        F.struct(old.alias("old"), new.alias("new")),
+        lambda n: F.struct(
+            n["old"].alias("old"),
+            n["new"].alias("new"),
+            (head.rlike(r"(?m)^new file mode") | (n["old"] == "/dev/null")).alias("is_new"),
+            (head.rlike(r"(?m)^deleted file mode") | (n["new"] == "/dev/null")).alias("is_gone"),
+        ),
+    )
+
+
+def _file_fields(chunk: Column) -> Column:
+    """struct<old_file, new_file, diff_type, is_binary, _hunks> of one file of a diff.
+
+    A file without hunks has one empty hunk, so that it keeps a row.
+    """
+
+    def fields(x: Column) -> Column:
+        head, names, cut = x["cut"][0], x["names"], x["cut"]
+        kind = (
+            F.when(names["is_new"], ADDED)
+            .when(names["is_gone"], DELETED)
+            .when(head.rlike(r"(?m)^rename from "), RENAMED)
+            .when(head.rlike(r"(?m)^copy from "), COPIED)
+            .otherwise(MODIFIED)
+        )
+        return F.struct(
+            F.when(~names["is_new"], names["old"]).alias("old_file"),
+            F.when(~names["is_gone"], names["new"]).alias("new_file"),
+            kind.alias("diff_type"),
+            head.rlike(r"(?m)^(Binary files .* differ|GIT binary patch)").alias("is_binary"),
+            F.when(F.size(cut) > 1, F.slice(cut, F.lit(2), F.size(cut))).otherwise(F.array(F.lit(""))).alias("_hunks"),
+        )
+
+    cut = F.split(chunk, r"(?m)^(?=@@ -\d)", -1)
+    return let(let(cut, lambda c: F.struct(c.alias("cut"), _names(c[0]).alias("names"))), fields)
+
+
+def _hunk_fields(hunk: Column) -> Column:
+    """struct of the line range, the lines and their counts."""
+    lines = F.when(hunk == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.regexp_replace(hunk, r"\n\z", ""), "\n", -1)
     )
-    # Not the bare column: for that Spark would infer a filter and run the splits twice.
-    hunks = files.select("*", F.posexplode(F.slice("_hunks", F.lit(1), F.size("_hunks"))).alias("_h", "_hunk"))
-    body = F.split(F.regexp_replace("_hunk", r"\n\z", ""), "\n", -1)
-    hunks = hunks.withColumn("lines", F.when(F.col("_hunk") == "", F.array().cast("array<string>")).otherwise(body))
-    first = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
+
+    def fields(body: Column) -> Column:
+        first = F.coalesce(F.get(body, F.lit(0)), F.lit(""))
+        return F.struct(
+            _start(first, 1).alias("old_start"),
+            _count(first, 2).alias("old_count"),
+            _start(first, 3).alias("new_start"),
+            _count(first, 4).alias("new_count"),
+            body.alias("lines"),
+            F.size(F.filter(body, is_added)).alias("additions"),
+            F.size(F.filter(body, lambda x: x.startswith("-") & ~x.startswith("---"))).alias("deletions"),
+        )
+
+    return let(lines, fields)
+
+
+def parse(diffs: DataFrame, text: str = "text") -> DataFrame:
+    """Hunks of each diff: the other columns of ``diffs`` and ``HUNK_COLUMNS``."""
+    keep = [c for c in diffs.columns if c != text]
+    chunks = diffs.select(*keep, F.posexplode(_file_chunks(F.col(text))).alias("_f", "_chunk"))
+    files = with_fields(chunks, _file_fields(F.col("_chunk"))).drop("_chunk")
+    hunks = files.select("*", F.posexplode("_hunks").alias("_h", "_hunk")).drop("_hunks")
+    hunks = with_fields(hunks, _hunk_fields(F.col("_hunk")))
     return hunks.select(
         *keep,
-        "file_no",
+        (F.col("_f") + 1).alias("file_no"),
         (F.col("_h") + 1).alias("hunk_no"),
         F.coalesce("new_file", "old_file").alias("file_path"),
-        _start(first, 1).alias("old_start"),
-        _count(first, 2).alias("old_count"),
-        _start(first, 3).alias("new_start"),
-        _count(first, 4).alias("new_count"),
+        "old_start",
+        "old_count",
+        "new_start",
+        "new_count",
         "lines",
         "diff_type",
-        F.size(F.filter("lines", is_added)).alias("additions"),
-        F.size(F.filter("lines", lambda x: x.startswith("-") & ~x.startswith("---"))).alias("deletions"),
+        "additions",
+        "deletions",
         "old_file",
         "new_file",
         "is_binary",
