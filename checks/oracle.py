@@ -712,9 +712,8 @@ ORACLES["line_rules_on_documents"] = sql(
     **text_rules("documents", "doc_id", "text", "js"),
 )
 ORACLES["user_rules"] = sql(
-    f"""SELECT l.project_id, l.path, l.line_no AS line, 'user/c' || c_custkey AS rule_key
-    FROM raw_lines l JOIN customer ON c_custkey % 50 = 1
-      AND contains(l.line, 'sk_live_' || (1000000000 + c_custkey)) WHERE {SUFFIX} = '.py'""",
+    f"""SELECT l.project_id, l.path, l.line_no AS line, 'user/n' || n_nationkey AS rule_key
+    FROM raw_lines l JOIN nation ON contains(l.line, 'jwt_secret = "' || n_nationkey || '"') WHERE {SUFFIX} = '.py'""",
     raw_lines=line_table("web", "project_id, path"),
 )
 _TS_FOUND = {

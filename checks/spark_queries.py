@@ -515,13 +515,13 @@ def line_rules_on_documents(spark, sf):
 
 
 def _user_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """One rule per customer: its key as a number in the code."""
-    return table(spark, sf, "customer").select(
-        F.concat(F.lit("user/c"), "c_custkey").alias("rule_key"),
-        F.concat(F.lit(r"\bsk_live_"), 1000000000 + F.col("c_custkey"), F.lit(r"\b")).alias("regex"),
+    """One rule per nation: its key as a secret in the code."""
+    return table(spark, sf, "nation").select(
+        F.concat(F.lit("user/n"), "n_nationkey").alias("rule_key"),
+        F.concat(F.lit(r"\bjwt_secret\s*=\s*\""), "n_nationkey", F.lit('"')).alias("regex"),
         F.lit("comments").alias("mask"),
         F.array(F.lit("py")).alias("languages"),
-    ).filter(F.col("c_custkey") % 50 == 1)
+    )
 
 
 @query
