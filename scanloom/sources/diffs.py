@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.arrays import let, with_fields
 from scanloom.operators.filters import is_added
+from scanloom.plans.ordered import BLOCK_ROWS, carry_forward, in_blocks, running_sum
 
 # The kinds of change.
 ADDED, MODIFIED, DELETED, RENAMED, COPIED = DIFF_TYPES = ["added", "modified", "deleted", "renamed", "copied"]
@@ -207,31 +208,39 @@ def added_text(hunks: DataFrame) -> DataFrame:
     )
 
 
-def parse_lines(diff_lines: DataFrame) -> DataFrame:
+def parse_lines(diff_lines: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Current file and hunk of each line, for diffs that come one line per row.
 
-    ``diff_lines`` has ``diff_id, line_no, line``; one window per diff carries
-    the last header forward. Adds ``file_path, new_start, new_line_no``.
+    ``diff_lines`` has ``diff_id, line_no, line``. Adds ``file_path, new_start,
+    new_line_no``. The last headers are carried forward in blocks, so a diff of
+    any length runs in many tasks.
     """
-    upto = Window.partitionBy("diff_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("line")
-    is_hunk = line.rlike(_HUNK)
-    named = F.last(F.when(line.startswith("diff --git "), F.regexp_extract(line, r"^diff --git a/.+? b/(.+)$", 1)), True)
-    out = (
-        diff_lines.withColumn("file_path", named.over(upto))
-        .withColumn("_file_at", F.max(F.when(line.startswith("diff --git "), F.col("line_no"))).over(upto))
-        .withColumn("_hunk_at", F.max(F.when(is_hunk, F.col("line_no"))).over(upto))
-        .withColumn("_start", F.last(F.when(is_hunk, F.regexp_extract(line, _HUNK, 3).cast("int")), True).over(upto))
-        .withColumn("new_start", F.when(F.col("_hunk_at") > F.col("_file_at"), F.col("_start")))
+    line, line_no = F.col("line"), F.col("line_no")
+    is_file, is_hunk = line.startswith("diff --git "), line.rlike(_HUNK)
+    is_new = line.startswith("+") | line.startswith(" ") | (line == "")
+    rows = in_blocks(diff_lines, "line_no", block_rows)
+    rows = running_sum(rows, "diff_id", "line_no", F.when(is_new, 1).otherwise(0), "_seen")
+    start = F.regexp_extract(line, _HUNK, 3).cast("int")
+    rows = carry_forward(
+        rows,
+        "diff_id",
+        "line_no",
+        _file=F.when(
+            is_file,
+            F.struct(line_no.alias("at"), F.regexp_extract(line, r"^diff --git a/.+? b/(.+)$", 1).alias("path")),
+        ),
+        _hunk=F.when(
+            is_hunk,
+            F.struct(line_no.alias("at"), start.alias("start"), (start - F.col("_seen")).alias("base")),
+        ),
     )
-    in_hunk = (
-        Window.partitionBy("diff_id", "_file_at", "_hunk_at").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    in_hunk = F.col("_hunk.at") > F.col("_file.at")
+    return rows.select(
+        *diff_lines.columns,
+        F.col("_file.path").alias("file_path"),
+        F.when(in_hunk, F.col("_hunk.start")).alias("new_start"),
+        F.when(in_hunk & is_new, F.col("_hunk.base") + F.col("_seen") - 1).alias("new_line_no"),
     )
-    counted = F.sum(F.when(line.startswith("+") | line.startswith(" ") | (line == ""), 1).otherwise(0)).over(in_hunk)
-    is_new = line.startswith("+") | line.startswith(" ") | (line == "")
-    return out.withColumn(
-        "new_line_no", F.when(F.col("new_start").isNotNull() & is_new, F.col("new_start") + counted - 1)
-    ).drop("_file_at", "_hunk_at", "_start")
 
 
 TRUNCATION = ["head", "tail", "middle"]
