@@ -58,7 +58,8 @@ class Pair:
     scope: str  # block (same block or deeper), body (deeper only) or file
     before: str | None = None  # the code line before left must match; its groups come first in the name
     mask: str = "comments"
-    hints: tuple[str, ...] = ()
+    hints: tuple[str, ...] = ()  # every second line holds one of these literals
+    left_hint: str = "="  # every first line holds this literal
     cls: str = "J"
 
 
@@ -115,7 +116,7 @@ PREDICATES = {
     ),
     # The pattern does not tie the two names.
     "py-security/python.sql-injection-sqlalchemy-fstring": Pair(
-        rf"^\s*query\s*=\s*f{Q}.*\{{", (r"\.execute\(\s*text\(\s*\w+\s*\)",), "block", hints=("text(",)
+        rf"^\s*query\s*=\s*f{Q}.*\{{", (r"\.execute\(\s*text\(\s*\w+\s*\)",), "block", left_hint="query", hints=("text(",)
     ),
     "py-security/python.sql-injection-sqlalchemy-text-fstring": Line(r"""\.execute\(\s*text\(\s*f["'][^"']*\{""", hints=("text(",)),
     "py-security/python.sql-injection-sqlalchemy-text-format": Line(r"\.execute\(\s*text\(.*\.format\(", hints=("text(",)),
@@ -125,7 +126,7 @@ PREDICATES = {
         r"^\s*(?:async\s+)?for\s+(\w+)\s+in\b",
         (r"\.(?:get_tokens_for_user|get_tokens)\(\s*(\w+)(?:\.id)?\s*\)", r"\.execute\(.*\b(\w+)\.id\b"),
         "body",
-        hints=("get_tokens", ".execute("),
+        left_hint="for", hints=("get_tokens", ".execute("),
     ),
     "py-security/fastapi.missing-response-model": Func(
         r"f.is_async and exists(f.decorators, d -> d rlike '^app\\.(get|post|put|delete|patch)\\(')",
@@ -172,21 +173,21 @@ PREDICATES = {
         rf"[ \t]*except[ \t]*:{W}pass[ \t]*(?=\n|\z)", "strings", hint="except"
     ),
     "py-quality/python.inefficient-loop": Pair(
-        r"^\s*(?:async\s+)?for\s+\w+\s+in\s+(\w+)\s*:", (r"^\s*(\w+)\.append\(",), "body", hints=(".append(",)
+        r"^\s*(?:async\s+)?for\s+\w+\s+in\s+(\w+)\s*:", (r"^\s*(\w+)\.append\(",), "body", left_hint="for", hints=(".append(",)
     ),
     "py-quality/python.string-concat-loop": Pair(
         r"^\s*(?:async\s+)?for\s+(\w+)\s+in\b",
         (r"^\s*(\w+)\s*\+=\s*(\w+)\s*$",),
         "body",
         before=rf"^\s*(\w+)\s*=\s*(?:\"\"|'')\s*$",
-        hints=("+=",),
+        left_hint="for", hints=("+=",),
     ),
     "py-quality/python.list-comprehension-opportunity": Pair(
         r"^\s*(?:async\s+)?for\s+\w+\s+in\b",
         (r"^\s*(\w+)\.append\(",),
         "body",
         before=r"^\s*(\w+)\s*=\s*\[\]\s*$",
-        hints=(".append(",),
+        left_hint="for", hints=(".append(",),
     ),
     "py-quality/python.assert-without-message": Line(r"^\s*assert\s+[^,]+$", "strings", hints=("assert",)),
     "py-quality/python.missing-docstring": Func("true", "not f.has_docstring and not startswith(f.name, '_')"),
@@ -202,7 +203,7 @@ PREDICATES = {
         rf"^\s*{Q}use client{Q}",
         (rf"^\s*import\s*\{{\s*useEffect\s*\}}\s*from\s*{Q}react{Q}",),
         "file",
-        hints=("use client",),
+        left_hint="use client", hints=("useEffect",),
     ),
     "ts-security/nextjs.dangerous-inner-html": Line(r"dangerouslySetInnerHTML\s*=\s*\{\s*\{?\s*__html:", "strings", hints=("dangerouslySetInnerHTML",)),
     "ts-security/nextjs.missing-csp-headers": Line(r"\bnext\.config\.js\b", "strings", hints=("next.config.js",)),

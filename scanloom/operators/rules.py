@@ -175,17 +175,17 @@ def _name_of(line: Column, regex: str) -> Column:
     return F.concat_ws(" ", *[F.regexp_extract(line, regex, g + 1) for g in range(_groups(regex))])
 
 
-def _named_lines(lines: Column, regex: str) -> Column:
+def _named_lines(lines: Column, regex: str, hints: Iterable[str]) -> Column:
     """array<struct<line, name>> of the lines that match."""
     return F.transform(
-        F.filter(lines, lambda line: line["text"].rlike(regex)),
+        F.filter(lines, lambda line: _holds_any(line["text"], hints) & line["text"].rlike(regex)),
         lambda line: F.struct(line["line"].alias("line"), _name_of(line["text"], regex).alias("name")),
     )
 
 
 def _left_lines(lines: Column, rule: Pair) -> Column:
     """array<struct<at, line, indent, name>>: first lines; ``at`` is where a finding goes."""
-    is_left = lambda line: line["text"].rlike(rule.left)
+    is_left = lambda line: line["text"].contains(rule.left_hint) & line["text"].rlike(rule.left)
     if rule.before is None:
         return F.transform(
             F.filter(lines, is_left),
@@ -244,9 +244,10 @@ def _pair_hits(key: str, rule: Pair) -> Column:
         )
         return F.transform(found, lambda x: F.struct(x["at"].alias("line"), F.lit(key).alias("rule_key")))
 
-    rights = F.concat(*[_named_lines(lines, rx) for rx in rule.rights])
+    rights = F.concat(*[_named_lines(lines, rx, rule.hints) for rx in rule.rights])
     both = F.struct(_left_lines(lines, rule).alias("lefts"), rights.alias("rights"))
-    return F.when(_holds_any(F.col("_code"), rule.hints), let(let(let(both, candidates), scoped), hits).cast(_HITS))
+    hinted = F.col("_code").contains(rule.left_hint) & _holds_any(F.col("_code"), rule.hints)
+    return F.when(hinted, let(let(let(both, candidates), scoped), hits).cast(_HITS))
 
 
 # --- all of them -------------------------------------------------------------

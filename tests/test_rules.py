@@ -181,3 +181,8 @@ def test_hints_never_hide_a_match():
         if p.cls == "L":
             matched = [x for x in lines if re.search(p.regex, x)]
             assert matched and all(any(h in x for h in p.hints) for x in matched), key
+        if p.cls == "J":
+            lefts = [x for x in lines if re.search(p.left, x)]
+            rights = [x for x in lines for rx in p.rights if re.search(rx, x)]
+            assert lefts and all(p.left_hint in x for x in lefts), key
+            assert rights and all(any(h in x for h in p.hints) for x in rights), key
