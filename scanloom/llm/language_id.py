@@ -204,25 +204,32 @@ class Tables:
             out[missing] = self._backed_off(hashed[missing] * np.uint64(UNHASH), order)
         return out
 
-    def entropies(self, text: str, letters: np.ndarray) -> tuple[int, np.ndarray]:
-        """Number of characters judged, and the cross-entropy per character in each language."""
+    def entropies(self, text: str, letters: np.ndarray, order: int = ORDER) -> tuple[int, np.ndarray]:
+        """Number of characters judged, and the cross-entropy per character in each language, by grams of the order."""
         grams = grams_of(text, letters)
         if not len(grams):
             return 0, np.zeros(len(self.langs))
+        mask = np.uint64((1 << 16 * order) - 1)
         total = np.zeros(len(self.langs))
         for i in range(0, len(grams), 1_000_000):
-            hashed, n = _tally(grams[i : i + 1_000_000] * np.uint64(HASH))
-            total -= n @ self.of(hashed).astype(np.float64)
+            hashed, n = _tally((grams[i : i + 1_000_000] & mask) * np.uint64(HASH))
+            total -= n @ self.of(hashed, order).astype(np.float64)
         return len(grams), total / len(grams)
 
 
 class Model:
-    """Tables, and by language the usual cross-entropy and how far above it texts of some length may lie."""
+    """Tables, and by language the usual cross-entropy and how far above it texts may lie.
+
+    That is the reach of the language's own texts, more for short ones, and at least the
+    slack: half the way to what single characters without context give, since new texts
+    lie above those learned from.
+    """
 
     def __init__(self, tables: Tables):
         self.tables, self.sharpness = tables, 1.0
         self.usual = np.zeros(len(tables.langs))
         self.reach = np.full(len(tables.langs), np.inf)
+        self.slack = np.zeros(len(tables.langs))
 
     def judge(self, text: str | None, letters: np.ndarray) -> tuple[str, float, float | None, bool]:
         """(language, score, cross-entropy, rejected). The score is the calibrated share of the best language."""
@@ -231,7 +238,7 @@ class Model:
         n, h = self.tables.entropies(text, letters)
         best = int(np.argmin(h))
         share = float(1 / np.exp(np.maximum(-700, -self.sharpness * (h - h[best]))).sum())
-        limit = self.usual[best] + self.reach[best] / np.sqrt(min(n, STEADY_CHARS))
+        limit = self.usual[best] + max(self.slack[best], self.reach[best] / np.sqrt(min(n, STEADY_CHARS)))
         return self.tables.langs[best], share, float(h[best]), bool(h[best] > limit)
 
 
@@ -280,15 +287,17 @@ def _calibrate(model: Model, labelled: DataFrame, texts: int) -> None:
     chosen = settle(dealt.distinct(), "sample")
     sample = keyed.join(F.broadcast(chosen), ["lang", "deal"])  # at most ``texts`` rows a language
     held = spark.sparkContext.broadcast(model.tables)
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("h", pa.list_(pa.float64()))])
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("h", pa.list_(pa.float64())), ("bare", pa.list_(pa.float64()))])
 
     def run(source):
         letters = letter_table()
         for batch in source:
-            got = [held.value.entropies(t.as_py(), letters) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([n for n, _ in got], pa.int64()), pa.array([h.tolist() for _, h in got], pa.list_(pa.float64()))], schema=schema)
+            texts = [t.as_py() for t in batch.column("text")]
+            got = [held.value.entropies(t, letters) for t in texts]
+            bare = [held.value.entropies(t, letters, 1)[1].tolist() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([n for n, _ in got], pa.int64()), pa.array([h.tolist() for _, h in got], schema.field("h").type), pa.array(bare, schema.field("h").type)], schema=schema)
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, n long, h array<double>").where("n > 0").collect()
+    rows = sample.select("lang", "text").mapInArrow(run, "lang string, n long, h array<double>, bare array<double>").where("n > 0").collect()
     best_like, best = -np.inf, 1.0
     gaps = np.array([np.array(r["h"]) - r["h"][langs.index(r["lang"])] for r in rows]).reshape(-1, len(langs))
     for sharpness in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
@@ -297,11 +306,12 @@ def _calibrate(model: Model, labelled: DataFrame, texts: int) -> None:
             best_like, best = like, sharpness
     model.sharpness = best
     for i, lang in enumerate(langs):
-        own = [(r["n"], r["h"][i]) for r in rows if r["lang"] == lang]
+        own = [(r["n"], r["h"][i], r["bare"][i]) for r in rows if r["lang"] == lang]
         if own:
-            n, h = (np.array(x, float) for x in zip(*own, strict=True))
+            n, h, bare = (np.array(x, float) for x in zip(*own, strict=True))
             model.usual[i] = np.median(h)
             model.reach[i] = MARGIN * max(0.5, ((h - model.usual[i]) * np.sqrt(np.minimum(n, STEADY_CHARS))).max())
+            model.slack[i] = max(0.0, (np.median(bare) - model.usual[i]) / 2)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:

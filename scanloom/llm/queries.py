@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import language_id, simhash
+from scanloom.llm import language_id, line_dedup, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,9 +21,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    return kept.select("doc_id", "lines_removed", F.size(lines).cast("long").alias("lines_kept"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
