@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import language_id, line_dedup, packing, simhash
+from scanloom.llm import language_id, line_dedup, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of all words as the budget."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), F.floor(F.col("all_tokens") * 4 / 5))
+    return mixed.select("doc_id", "domain", F.col("language").alias("leaf_language"), F.coalesce("source", F.lit(mixing.NONE)).alias("leaf_source"), "epoch", "tokens", "draw")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,8 +41,41 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_mixing_sources": op5_mixing_sources,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing_sources": """
+WITH docs AS (
+    SELECT doc_id, coalesce(lang, 'none') AS l, coalesce(source, 'none') AS s,
+        coalesce('domain' || (try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS INT) % 4), 'none') AS d,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens
+    FROM documents),
+leaves AS (SELECT d, l, s, sum(tokens)::BIGINT AS have, 3 * sum(tokens)::BIGINT AS cap FROM docs GROUP BY ALL),
+usable AS (SELECT * FROM leaves WHERE cap > 0),
+d1 AS (SELECT d, sum(cap)::BIGINT AS cap, coalesce(map {'domain0': 4, 'domain1': 3, 'domain2': 2}[d], 1) AS w,
+        floor((SELECT sum(have) FROM leaves) * 4 / 5)::DOUBLE AS b FROM usable GROUP BY d),
+d2 AS (SELECT *, (b - coalesce(sum(cap) OVER (ORDER BY cap / w, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+        / sum(w) OVER (ORDER BY cap / w, d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM d1),
+d3 AS (SELECT d, CASE WHEN cap / w <= level THEN cap::DOUBLE
+        ELSE w * max(CASE WHEN cap / w > level THEN level END) OVER () END AS b FROM d2),
+l1 AS (SELECT u.d, u.l, sum(cap)::BIGINT AS cap, coalesce(map {'en': 5, 'de': 2, 'fr': 2}[u.l], 1) AS w, any_value(b) AS b
+        FROM usable u JOIN d3 USING (d) GROUP BY u.d, u.l),
+l2 AS (SELECT *, (b - coalesce(sum(cap) OVER (PARTITION BY d ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+        / sum(w) OVER (PARTITION BY d ORDER BY cap / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM l1),
+l3 AS (SELECT d, l, CASE WHEN cap / w <= level THEN cap::DOUBLE
+        ELSE w * max(CASE WHEN cap / w > level THEN level END) OVER (PARTITION BY d) END AS b FROM l2),
+s1 AS (SELECT u.*, 1 AS w, b FROM usable u JOIN l3 USING (d, l)),
+s2 AS (SELECT *, (b - coalesce(sum(cap) OVER (PARTITION BY d, l ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+        / sum(w) OVER (PARTITION BY d, l ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM s1),
+s3 AS (SELECT d, l, s, have, floor(CASE WHEN cap / w <= level THEN cap::DOUBLE
+        ELSE w * max(CASE WHEN cap / w > level THEN level END) OVER (PARTITION BY d, l) END + 1e-6)::BIGINT AS given FROM s2),
+plan AS (SELECT d, l, s, given // have AS whole, given % have AS rest FROM s3),
+drawn AS (SELECT docs.*, whole, rest, md5('mix-1|' || whole || '|' || doc_id) AS next FROM docs JOIN plan USING (d, l, s)),
+cut AS (SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY next) AS upto FROM drawn),
+epochs AS (SELECT *, unnest(range(0, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM cut)
+SELECT doc_id, d AS domain, l AS leaf_language, s AS leaf_source, epoch, tokens, md5('mix-1|' || epoch || '|' || doc_id) AS draw FROM epochs
+""",
+}
