@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import language_id, line_dedup, mixing, packing, simhash
+from scanloom.llm import language_id, line_dedup, line_frequency, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_frequency.line_rules(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four fifths of all words as the budget."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), F.floor(F.col("all_tokens") * 4 / 5))
@@ -41,12 +46,32 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_line_frequency": op4_line_frequency,
     "op5_mixing_sources": op5_mixing_sources,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_frequency": """
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM docs),
+worded AS (SELECT *, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS lw
+    FROM lines WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM worded GROUP BY doc_id),
+frequent AS (SELECT source, array_to_string(lw, ' ') AS line FROM worded GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
+removed AS (SELECT doc_id, sum(len(lw)) AS gone FROM worded JOIN frequent ON worded.source IS NOT DISTINCT FROM frequent.source
+    AND array_to_string(lw, ' ') = line GROUP BY doc_id),
+positions AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) >= 8),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM positions),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM windows WHERE n > 1) GROUP BY doc_id),
+base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, (len(w) - coalesce(gone, 0))::BIGINT AS words_left
+    FROM docs LEFT JOIN dups USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND words_left >= 20 AND words_left >= 0.3::DOUBLE * n_words AS kept FROM base
+""",
     "op5_mixing_sources": """
 WITH docs AS (
     SELECT doc_id, coalesce(lang, 'none') AS l, coalesce(source, 'none') AS s,
