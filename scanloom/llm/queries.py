@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import language_id, line_dedup, line_frequency, mixing, packing, simhash
+from scanloom.llm import language_id, line_dedup, line_frequency, mixing, packing, simhash, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", F.col("language").alias("leaf_language"), F.coalesce("source", F.lit(mixing.NONE)).alias("leaf_source"), "epoch", "tokens", "draw")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chunks", "widened")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_line_frequency": op4_line_frequency,
     "op5_mixing_sources": op5_mixing_sources,
+    "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
 }
