@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import language_id, line_dedup, line_frequency, mixing, packing, simhash, token_counts
+from scanloom.llm import language_id, line_dedup, line_frequency, mixing, packing, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", F.col("language").alias("leaf_language"), F.coalesce("source", F.lit(mixing.NONE)).alias("leaf_source"), "epoch", "tokens", "draw")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chunks", "widened")
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_line_frequency": op4_line_frequency,
     "op5_mixing_sources": op5_mixing_sources,
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
@@ -77,6 +83,15 @@ base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '
     FROM docs LEFT JOIN dups USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN removed USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND words_left >= 20 AND words_left >= 0.3::DOUBLE * n_words AS kept FROM base
+""",
+    "op6_warc": """
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM rows),
+coded AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS v FROM firsts)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM coded
 """,
     "op5_mixing_sources": """
 WITH docs AS (
