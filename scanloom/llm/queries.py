@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import language_id, line_dedup, line_frequency, mixing, packing, simhash, token_counts, warc
+from scanloom.llm import ego_join, language_id, line_dedup, line_frequency, mixing, packing, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
@@ -54,6 +58,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_line_frequency": op4_line_frequency,
@@ -65,6 +70,19 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM good UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(component_id, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
+""",
     "op4_line_frequency": """
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
 lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM docs),
