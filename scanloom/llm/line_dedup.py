@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.llm.common import measured, null_safe, settle
 
@@ -135,7 +136,7 @@ def _emit_variants(source):
             yield _record(rows, _VARIANTS)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
 
@@ -191,7 +192,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("place.doc_id", "place.text_key").agg(F.collect_set("place.line").alias("lines"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
     def cut(t, gone):
         if t is None or gone is None:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.llm.common import measured, settle
 
@@ -96,7 +97,10 @@ def frequent_lines(docs: DataFrame, host: Column, text_col: str = "text", max_do
     return found.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
 
 
-@F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, sizes array<int>")
+_PROFILE = T.StructType([T.StructField(c, T.LongType()) for c in _BASE] + [T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_PROFILE)
 def _profile(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -131,7 +135,7 @@ def line_rules(docs: DataFrame, host: Column | None = None, text_col: str = "tex
     return judged.withColumn("base_failed", base_failed).withColumn("kept", kept).drop("_host", "_row", "_removed")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _clean(texts: pd.Series, gone: pd.Series) -> pd.Series:
     def cut(text, lines):
         if text is None or lines is None or not len(lines):

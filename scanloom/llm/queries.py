@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import ego_join, language_id, line_dedup, line_frequency, mixing, packing, simhash, token_counts, warc
+from scanloom.llm import ego_join, language_id, line_dedup, line_frequency, mixing, packing, secret_forest, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lines_removed", F.size(lines).cast("long").alias("lines_kept"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_forest.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "number", F.md5(F.encode("candidate", "UTF-8")).alias("candidate_md5"), F.col("size").cast("long").alias("size"), "held_out", "label", "p_secret", "secret")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_language_id": op2_language_id,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_secret_forest": op10_secret_forest,
 }
 
 ORACLES: dict[str, str] = {
