@@ -149,17 +149,24 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     variant is one edit from all that have it; so it is enough to compare each line
     with the earliest such line of a variant, and no pairs within a group are made.
     """
-    halves = classes.where(F.size("halves") > 0).select("first", F.explode(F.array_distinct("halves")).alias("half"))
+    long = classes.where(F.size("halves") > 0)
+    halves = long.select("h1", F.explode(F.array_distinct("halves")).alias("half"))
     shared = settle(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
-    wanted = halves.join(shared, "half", "left_semi").select("first").distinct()
+    some = settle(halves.join(measured(shared), "half", "left_semi").select("h1").distinct(), "halves")
+    wanted = long.join(measured(some), "h1", "left_semi")  # by one of the line's two hashes: at worst a line too many
     wanted = settle(wanted.groupBy("first.doc_id", "first.text_key").agg(F.collect_list("first.line").alias("lines")), "wanted")
     keyed, few = _keyed(docs, id_col, text_col), measured(wanted)
     texts = keyed.join(few, null_safe(keyed, few, ["doc_id", "text_key"])).select(keyed["doc_id"], keyed["text_key"], "lines", "text")
     emitted = settle(texts.mapInArrow(_emit_variants, _VARIANTS_DDL), "variants")
     place = F.struct("doc_id", "text_key", "line")
     words = emitted.where("variant is null").select(place.alias("first"), "words").distinct()
-    members = emitted.where("variant is not null").select("variant", "place", place.alias("first"))
 
+    # Most variants belong to one line: the others are found by a narrow sum, and all that follows is about them.
+    line = F.xxhash64("doc_id", "text_key", "line").alias("id")
+    common = emitted.where("variant is not null").select("variant", line).groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    common = settle(common.where("low <> high").select("variant"), "variants")
+    members = emitted.join(measured(common), "variant", "left_semi").select("variant", "place", place.alias("first"))
+    members = settle(members, "variants")
     same = settle(members.groupBy("variant", "place").agg(F.min("first").alias("earliest"), F.max("first").alias("latest")).where("earliest <> latest").drop("latest"), "variants")
     lacking = members.join(same, ["variant", "place"]).where("earliest < first").select("first", "earliest")
     left_out = F.col("place") >= 0
@@ -184,11 +191,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("lines of one word are all one edit apart")
     lines = settle(lines_of(docs, id_col, text_col, min_words), "lines")
     place = F.struct("doc_id", "text_key", "line")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("halves").alias("halves"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     classes = settle(classes, "lines")
     near = settle(near_lines(docs, classes, id_col, text_col).withColumn("near", F.lit(True)), "near")
-    told = classes.join(near, "first", "left").where("near or first <> last").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h1", "h2", place.alias("place")).join(settle(told, "lines"), ["h1", "h2"]).where("near or place <> first")
+    told = classes.join(measured(near), "first", "left").where("near or n > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("h1", "h2", place.alias("place")).join(measured(settle(told, "lines")), ["h1", "h2"]).where("near or place <> first")
     return gone.groupBy("place.doc_id", "place.text_key").agg(F.collect_set("place.line").alias("lines"))
 
 
