@@ -308,6 +308,12 @@ ORACLES["shown_text"] = " UNION ALL ".join(
 # --- filters ---------------------------------------------------------------------------
 
 ORACLES["scannable_files"] = sql(f"SELECT project_id, path FROM files WHERE {KEEP} AND strlen(content) <= 400")
+ORACLES["skipped_files"] = sql(
+    f"""SELECT project_id, path, reason FROM (SELECT *, CASE
+      WHEN list_has_any(string_split(path, '/'), {strings(filters.EXCLUDED_DIRS)}) THEN 'excluded folder'
+      WHEN {SUFFIX} IN ({', '.join(q(s) for s in filters.EXCLUDED_SUFFIXES)}) THEN 'excluded suffix'
+      WHEN strlen(content) > 400 THEN 'larger than 400 bytes' END AS reason FROM files) WHERE reason IS NOT NULL"""
+)
 _GLOBS = " OR ".join(
     f"{NAME} GLOB {q(g)} OR path GLOB {q(g)}" for g in [*filters.CONFIG_GLOBS, "p?.ts", "c[0-4]*.py"]
 )
@@ -372,7 +378,7 @@ FINDINGS = f"""
         WHEN 'MISSING_AUTH' THEN {_message(issues._AUTH_TEXT, f"coalesce(auth_decorator, {q(learning.DEFAULT_AUTH)})")}
         WHEN 'MISSING_CSRF' THEN {_message(issues._CSRF_TEXT, _hint)}
         ELSE {_message(issues._ENV_TEXT, 'env_style')} END AS message,
-      'medium' AS severity, 'SPP_IMPROVE' AS rule_id
+      'medium' AS severity, 'IMPROVEMENT' AS rule_id
     FROM found LEFT JOIN summary USING (project_id)"""
 ORACLES["scan_findings"] = sql(FINDINGS)
 
@@ -509,6 +515,20 @@ def bare(col: str, lang: str) -> str:
     return f"regexp_replace({col}, {q(_STRINGS[lang])}, '\"\"', 'g')"
 
 
+def nested(opening: str, closing: str, depth: int) -> str:
+    other = opening[:-1] + closing[1:]
+    inner = f"|{nested(opening, closing, depth - 1)}" if depth else ""
+    return f"{opening}(?:[^{other[1:-1]}]{inner})*{closing}"
+
+
+_CALL, _BRACKET = nested(r"[(]", r"[)]", 2), nested(r"[(\[{]", r"[)\]}]", 2)
+# Patterns of the oracle's own, where the library's use what this engine has not.
+OWN_LINES = {
+    "py-security/path.traversal-open": rf"\bopen\((?:[^,)]*\.\.[^,)]*|[\w.]+\((?:[^()]|{_CALL})*\.\.(?:[^()]|{_CALL})*\)\s*),",
+    "py-quality/python.assert-without-message": rf"^\s*assert\s+(?:[^,]+|(?:[^,()\[\]{{}}]|{_BRACKET})+)$",
+}
+
+
 def line_rules(lang: str, typed: str = "true") -> str:
     """List of the rules that a line (``line, code, bare``) matches."""
     tests = []
@@ -517,7 +537,7 @@ def line_rules(lang: str, typed: str = "true") -> str:
         if p.cls != "L" or ("py" in rule[4]) != (lang == "py"):
             continue
         col = {"none": "line", "comments": "code", "strings": "bare"}[p.mask]
-        test = f"regexp_matches({col}, {q(p.regex)})"
+        test = f"regexp_matches({col}, {q(OWN_LINES.get(key, p.regex))})"
         if p.unless:
             test += f" AND NOT regexp_matches({col}, {q(p.unless)})"
         if rule[4] == ("ts",):
@@ -548,7 +568,7 @@ _PAGE = r"[ \t]*export[ \t]+default[ \t]+function[ \t]+\w+\s*\([^)]*\)[^{\n]*\{\
 _EFFECT = r"[^\n]*?\buseEffect\(\s*\(\s*\)\s*=>\s*\{(?:[^{}]|\{[^{}]*\})*\}\s*\)"
 _TEST = rf"[^\n]*?\btest\(\s*{_Q}[^\"'\n]*{_Q}\s*,\s*\(\s*\)\s*=>\s*\{{"
 BLOCKS = {
-    "py-security/fastapi.cors-wildcard": rf"[^\n]*?\bCORSMiddleware\([^)]*\ballow_origins\s*=\s*\[{_Q}\*{_Q}\]",
+    "py-security/fastapi.cors-wildcard": rf"[^\n]*?\bCORSMiddleware\((?:[^()]|{_CALL})*\ballow_origins\s*=\s*\[{_Q}\*{_Q}\]",
     "py-security/pydantic.missing-validation": r"[ \t]*class[ \t]+\w+\([ \t]*BaseModel[ \t]*\)[ \t]*:\s*\w+[ \t]*:[ \t]*str"
     r"[ \t]*(?:\n[ \t]*)*(?:\n[^ \t\n]|$)",
     "py-security/pydantic.arbitrary-types-allowed": r"    class[ \t]+Config[ \t]*:[ \t]*\n(?:        [^\n]*\n)*?"
@@ -562,6 +582,7 @@ BLOCKS = {
     "ts-quality/typescript.complex-function": r"[^\n]*?\bfunction[ \t]+\w+\s*\([^)]*\)[^{};\n]*\{",
     "ts-quality/typescript.arrow-function-complex": r"[^\n]*?\bconst[ \t]+\w+[^=\n]*=[ \t]*(?:async[ \t]+)?"
     r"\([^)]*\)[^=\n]*=>\s*\{",
+    "ts-quality/typescript.too-many-parameters": r"[^\n]*?\bfunction\s+\w+\s*\((?:[^,()]*,){5,}[^)]*\)",
     "ts-quality/typescript.test-naming": _TEST,
     "ts-quality/typescript.test-without-expect": _TEST,
     "ts-quality/react.missing-dependency-array": _EFFECT,
@@ -711,6 +732,11 @@ ORACLES["line_rules_on_documents"] = sql(
     "SELECT rule_key, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM text_hits GROUP BY ALL",
     **text_rules("documents", "doc_id", "text", "js"),
 )
+ORACLES["user_rules_many"] = sql(
+    f"""SELECT l.project_id, l.path, l.line_no AS line, 'user/p' || p_partkey AS rule_key
+    FROM raw_lines l JOIN part ON contains(l.line, 'jwt_secret = "' || p_partkey || '"') WHERE {SUFFIX} = '.py'""",
+    raw_lines=line_table("web", "project_id, path"),
+)
 ORACLES["user_rules"] = sql(
     f"""SELECT l.project_id, l.path, l.line_no AS line, 'user/n' || n_nationkey AS rule_key
     FROM raw_lines l JOIN nation ON contains(l.line, 'jwt_secret = "' || n_nationkey || '"') WHERE {SUFFIX} = '.py'""",
@@ -763,9 +789,12 @@ _SECRET_FOUND = {
       CASE WHEN lang = 'en' THEN 'high' ELSE 'medium' END AS severity, lower(type) AS rule_id FROM hits""",
 }
 _ORDER = "ORDER BY file, line, message, severity, rule_id"
-ORACLES["findings_json"] = sql(
-    f"""SELECT project_id, CAST(to_json({{'findings': list({{'file': file, 'line': line, 'message': message,
-      'severity': severity, 'rule_id': rule_id}} {_ORDER})}}) AS VARCHAR) AS report FROM secret_found GROUP BY project_id""",
+_FINDINGS_JSON = f"""SELECT project_id, 0 AS part, 1 AS parts, CAST(to_json({{'findings': list({{'file': file, 'line': line,
+      'message': message, 'severity': severity, 'rule_id': rule_id}} {_ORDER})}}) AS VARCHAR) AS report
+    FROM secret_found GROUP BY project_id"""
+ORACLES["findings_json"] = sql(_FINDINGS_JSON, **_SECRET_FOUND)
+ORACLES["findings_json_of_unnamed"] = sql(
+    _FINDINGS_JSON.replace("FROM secret_found", "FROM (SELECT * REPLACE (nullif(project_id, 'src1') AS project_id) FROM secret_found)"),
     **_SECRET_FOUND,
 )
 _TOOL = f"'name': {q(reports.TOOL_NAME)}, 'version': {q(reports.TOOL_VERSION)}"
@@ -788,7 +817,7 @@ def sarif_result(rule: str, message: str, uri: str, line: str) -> str:
 _RULE_ITEM = """{'id': x, 'name': x, 'shortDescription': {'text': 'Security finding'},
       'defaultConfiguration': {'level': 'warning'}}"""
 ORACLES["findings_sarif"] = sql(
-    "SELECT project_id, "
+    "SELECT project_id, 0 AS part, 1 AS parts, "
     + sarif(
         f"list({sarif_result('rule_id', 'message', 'file', 'line')} {_ORDER})",
         f"list_transform(list_sort(list_distinct(list(rule_id))), lambda x: {_RULE_ITEM})",
@@ -808,7 +837,7 @@ def _md_block(level: str) -> str:
 
 
 ORACLES["findings_markdown"] = sql(
-    f"""SELECT p.project_id, coalesce(r.report, {q(reports.NO_ISSUES)}) AS report
+    f"""SELECT p.project_id, 0 AS part, 1 AS parts, coalesce(r.report, {q(reports.NO_ISSUES)}) AS report
     FROM (SELECT DISTINCT source AS project_id FROM documents) p LEFT JOIN (
       SELECT project_id, '## Security Findings' || chr(10) || {_md_block('high')} || {_md_block('medium')} AS report
       FROM secret_found GROUP BY project_id) r USING (project_id)""",
@@ -920,7 +949,7 @@ ORACLES["diff_json"] = sql(
     FROM hunks JOIN totals USING (diff_id) GROUP BY diff_id""",
     **_DIFF,
 )
-_RESULTS = """SELECT diff_id, rule_no, format('HRS{:04d}', rule_no) AS rule_id, file_path AS uri, line_no,
+_RESULTS = """SELECT diff_id, rule_no, format('SL{:04d}', rule_no) AS rule_id, file_path AS uri, line_no,
     'Added line: ' || trim(line) AS message FROM added"""
 _ADDED_RULE = f"""{{'id': rule_id, 'name': {q(reports.ADDED_NAME)}, 'shortDescription': {{'text': {q(reports.ADDED_SHORT)}}},
     'fullDescription': {{'text': {q(reports.ADDED_FULL)}}}, 'defaultConfiguration': {{'level': 'warning'}}}}"""

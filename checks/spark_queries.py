@@ -258,6 +258,11 @@ def scannable_files(spark, sf):
     return filters.scannable(all_files(spark, sf), max_size=400).select("project_id", "path")
 
 
+@query
+def skipped_files(spark, sf):
+    return filters.skipped(all_files(spark, sf), max_size=400).select("project_id", "path", "reason")
+
+
 @query
 def config_exclusion(spark, sf):
     keep = filters.Exclusion(directories=[*filters.CONFIG_DIRS, "jobs"], globs=[*filters.CONFIG_GLOBS, "p?.ts", "c[0-4]*.py"])
@@ -529,6 +534,18 @@ def user_rules(spark, sf):
     return rules.match_user_rules(web(spark, sf), _user_rules(spark, sf)).drop("lang")
 
 
+@query
+def user_rules_many(spark, sf):
+    """More rules than one batch holds, without a mask, with a language twice."""
+    many = table(spark, sf, "part").select(
+        F.concat(F.lit("user/p"), "p_partkey").alias("rule_key"),
+        F.concat(F.lit(r"\bjwt_secret\s*=\s*\""), "p_partkey", F.lit('"')).alias("regex"),
+        F.lit(None).cast("string").alias("mask"),
+        F.array(F.lit("py"), F.lit("py")).alias("languages"),
+    )
+    return rules.match_user_rules(web(spark, sf), many, batch=64).drop("lang")
+
+
 def _rule_findings(spark: SparkSession, sf: str) -> DataFrame:
     return rules.rule_findings(rules.match_rules(ts_samples(spark, sf), keys=_keys("L")))
 
@@ -589,18 +606,25 @@ def _secret_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def findings_json(spark, sf):
-    return reports.findings_report(_secret_findings(spark, sf), "json").select("project_id", "report")
+    return reports.findings_report(_secret_findings(spark, sf), "json")
+
+
+@query
+def findings_json_of_unnamed(spark, sf):
+    """Findings without a project are a group like any other."""
+    found = _secret_findings(spark, sf).withColumn("project_id", F.nullif("project_id", F.lit("src1")))
+    return reports.findings_report(found, "json")
 
 
 @query
 def findings_sarif(spark, sf):
-    return reports.findings_report(_secret_findings(spark, sf), "sarif").select("project_id", "report")
+    return reports.findings_report(_secret_findings(spark, sf), "sarif")
 
 
 @query
 def findings_markdown(spark, sf):
     projects = documents(spark, sf).select(F.col("source").alias("project_id"))
-    return reports.findings_report(_secret_findings(spark, sf), "markdown", projects=projects).select("project_id", "report")
+    return reports.findings_report(_secret_findings(spark, sf), "markdown", projects=projects)
 
 
 @query

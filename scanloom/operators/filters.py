@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, severity
+from scanloom.plans.joins import join_lookup
 from scanloom.sources.files import MAX_FILE_SIZE
 
 # Folders, suffixes, globs and extensions of the default scan and
@@ -63,6 +64,21 @@ def scannable(files: DataFrame, *, max_size: int = MAX_FILE_SIZE) -> DataFrame:
     )
 
 
+def skipped(files: DataFrame, *, max_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """``project_id, path, length, reason``: what ``scannable`` leaves out, and files without readable text.
+
+    A file with several reasons has the first of: folder, suffix, size, encoding.
+    """
+    path = F.col("path")
+    reason = (
+        F.when(in_folder(path, EXCLUDED_DIRS), "excluded folder")
+        .when(has_suffix(path, EXCLUDED_SUFFIXES), "excluded suffix")
+        .when(too_large(F.col("length"), max_size), F.format_string("larger than %d bytes", F.lit(max_size)))
+        .when(F.col("content").isNull(), "not readable as UTF-8")
+    )
+    return files.select("project_id", "path", "length", reason.alias("reason")).where("reason is not null")
+
+
 def below_root(files: DataFrame, root: str) -> DataFrame:
     """Files below ``root``, with the path made relative to it."""
     return files.withColumn("path", paths.relative_to(F.col("path"), root)).filter(F.col("path").isNotNull())
@@ -124,7 +140,9 @@ def severe(findings: DataFrame, threshold: str = "low") -> DataFrame:
 def without_rules(findings: DataFrame, excluded: Iterable[str] | DataFrame) -> DataFrame:
     """Findings whose ``rule_id`` is not excluded; a list stays in the filter, a table is anti-joined."""
     if isinstance(excluded, DataFrame):
-        return findings.join(excluded.select("rule_id").distinct(), "rule_id", "left_anti")
+        out = excluded.where("rule_id is not null").select("rule_id").distinct().withColumn("_out", F.lit(True))
+        rest = [c for c in findings.columns if c != "rule_id"]
+        return join_lookup(findings, out, ["rule_id"], "left", salt_on=rest).where("_out is null").select(*findings.columns)
     excluded = list(excluded)
     return findings.filter(~F.col("rule_id").isin(excluded) | F.col("rule_id").isNull()) if excluded else findings
 

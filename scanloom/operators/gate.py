@@ -118,7 +118,9 @@ def gate(
         .na.fill(0, numbers)
         .na.fill({"touches_tests": False})
     )
-    approvable = (F.col("risk_score") <= max_risk) & (F.col("errors") == 0) & (F.col("changed_lines") <= max_changed)
+    # A change of unknown size is not approvable.
+    small = F.coalesce(F.col("changed_lines") <= max_changed, F.lit(False))
+    approvable = (F.col("risk_score") <= max_risk) & (F.col("errors") == 0) & small
     return (
         rows.withColumn("risk_score", risk_score())
         .withColumn("auto_approvable", approvable)

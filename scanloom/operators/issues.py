@@ -214,19 +214,19 @@ def _alone(files: DataFrame, lang: str) -> DataFrame:
 
 # The texts of the suggestions.
 _AUTH_TEXT = (
-    "💡 [SPP] Rota sem autenticação detectada. Padrão do projeto: `%s`. "
-    "Use --auto-improve para aplicar com indentação automática."
+    "💡 Rota sem autenticação detectada. Padrão do projeto: `%s`. "
+    "Pode ser aplicado com indentação automática."
 )
 _CSRF_TEXT = (
-    "💡 [SPP] Manipulação de token/session sem validação CSRF.%s "
+    "💡 Manipulação de token/session sem validação CSRF.%s "
     "Recomendado adicionar middleware de validação CSRF."
 )
 _CSRF_HINT = " Padrão detectado: %s."
 _ENV_TEXT = (
-    "💡 [SPP] Estilo de variável inconsistente. Padrão do projeto: `%s=`. "
-    "Use --auto-improve para padronizar."
+    "💡 Estilo de variável inconsistente. Padrão do projeto: `%s=`. "
+    "Pode ser padronizado."
 )
-FINDING_SEVERITY, FINDING_RULE = "medium", "SPP_IMPROVE"
+FINDING_SEVERITY, FINDING_RULE = "medium", "IMPROVEMENT"
 
 
 def suggest_improvement(issues: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Findings of a project go through ``collect_in_parts``: one document for a
 project of ordinary size, several with a ``part`` number for a huge one. The
-documents of a project together hold all of its findings.
+documents of a project follow each other in the order of its findings and hold all
+of them; the rules of a SARIF document and the counts in Markdown headings are
+those of the whole project in each.
 """
 
 from __future__ import annotations
@@ -13,16 +15,17 @@ from pyspark.sql import functions as F
 from scanloom.functions.severity import FINDING_LEVELS
 from scanloom.operators.gate import top_findings, top_fixes
 from scanloom.plans.grouping import ITEMS_PER_PART, collect_in_parts
+from scanloom.plans.joins import join_lookup
 from scanloom.sources.diffs import added_lines, diff_totals
 
-TOOL_NAME, TOOL_VERSION = "scanloom", "2.1.0"
+TOOL_NAME, TOOL_VERSION = "scanloom", "0.2.0"
 
 # The SARIF frame, default texts, headings and signs.
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 NO_ISSUES = "✅ No issues found."
 SEVERITY_SIGNS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵", "info": "ℹ️"}
-RULE_FORMAT = "HRS%04d"
+RULE_FORMAT = "SL%04d"
 ADDED_NAME, ADDED_SHORT = "Added Line", "A new line was added"
 ADDED_FULL = "A line was added to the codebase, which may introduce security issues or changes in behavior."
 FINDING_ITEMS = ["file", "line", "message", "severity", "rule_id", "level"]
@@ -49,11 +52,11 @@ def _or(col: Column, default) -> Column:
     return F.coalesce(col, F.lit(default))
 
 
-def _findings_json(items: Column) -> Column:
+def _findings_json(items: Column, counts: Column, ids: Column) -> Column:
     return F.to_json(_named(findings=items))
 
 
-def _findings_sarif(items: Column) -> Column:
+def _findings_sarif(items: Column, counts: Column, ids: Column) -> Column:
     results = F.transform(
         items,
         lambda f: _named(
@@ -63,7 +66,6 @@ def _findings_sarif(items: Column) -> Column:
             locations=_location(_or(f["file"], "unknown"), _or(f["line"], 1)),
         ),
     )
-    ids = F.array_sort(F.array_distinct(F.transform(items, lambda f: _or(f["rule_id"], RULE_FORMAT % 1))))
     rules = F.transform(
         ids,
         lambda i: _named(
@@ -76,12 +78,12 @@ def _findings_sarif(items: Column) -> Column:
     return _sarif(results, rules)
 
 
-def _findings_markdown(items: Column) -> Column:
+def _findings_markdown(items: Column, counts: Column, ids: Column) -> Column:
     blocks = []
     for level in FINDING_LEVELS:
         of_level = F.filter(items, lambda f: _or(f["severity"], "low") == level)  # noqa: B023
         head = F.concat(
-            F.lit(f"### {SEVERITY_SIGNS[level]} {level.capitalize()} ("), F.size(of_level).cast("string"), F.lit(")\n")
+            F.lit(f"### {SEVERITY_SIGNS[level]} {level.capitalize()} ("), counts[level].cast("string"), F.lit(")\n")
         )
         points = F.transform(
             of_level,
@@ -134,15 +136,30 @@ def findings_report(
         findings = findings.withColumn("level", F.lit(None).cast("string"))
     rows = findings.withColumn("line", F.col("line").cast("int"))
     grouped = collect_in_parts(rows, ["project_id"], FINDING_ITEMS, max_items=max_items)
+    of_level = lambda level: F.count(F.when(_or(F.col("severity"), "low") == level, 1)).alias(level)
+    whole = rows.groupBy("project_id").agg(
+        F.array_sort(F.collect_set(_or(F.col("rule_id"), RULE_FORMAT % 1))).alias("_ids"),
+        *[of_level(level) for level in FINDING_LEVELS],
+    )
+    whole = whole.select("project_id", "_ids", F.struct(*FINDING_LEVELS).alias("_counts"))
+    grouped = join_lookup(grouped, whole, ["project_id"], "left", salt_on=["part"])
     if projects is not None:
         none = F.array().cast(dict(grouped.dtypes)["items"])
         grouped = (
-            projects.select("project_id").distinct().join(grouped, "project_id", "left")
+            _all_projects(projects, grouped)
             .withColumn("part", F.coalesce("part", F.lit(0)))
             .withColumn("parts", F.coalesce("parts", F.lit(1)))
             .withColumn("items", F.coalesce("items", none))
         )
-    return grouped.select("project_id", "part", "parts", render(F.col("items")).alias("report"))
+    ids = F.coalesce("_ids", F.array().cast("array<string>"))
+    report = render(F.col("items"), F.col("_counts"), ids).alias("report")
+    return grouped.select("project_id", "part", "parts", report)
+
+
+def _all_projects(projects: DataFrame, grouped: DataFrame) -> DataFrame:
+    every = projects.select(F.col("project_id").alias("_every")).distinct()
+    same = F.col("_every").eqNullSafe(F.col("project_id"))
+    return every.join(grouped, same, "left").drop("project_id").withColumnRenamed("_every", "project_id")
 
 
 # --- diffs: one document per diff, which was one row of text to begin with --------

@@ -14,7 +14,7 @@ from scanloom.functions.patterns import CHANGE_ME, GENERIC_JS, GENERIC_PY, SECRE
 from scanloom.operators.filters import is_safe_value, lang_of
 from scanloom.operators.learning import DEFAULT_AUTH
 from scanloom.operators.secrets import may_hold_any
-from scanloom.sources.files import MAX_FILE_SIZE, is_env_line, lines
+from scanloom.sources.files import is_env_line, lines
 
 JS_HEADER = "// IMPORTANTE: Variáveis de ambiente geradas automaticamente"
 ENV_HEADER = "# Variáveis de ambiente auto-geradas"
@@ -95,14 +95,15 @@ def add_first(text_col: Column, fixes: Column, content: Column, lang: str, heade
     return F.when((fixes > 0) & missing, F.concat(F.lit(first), text_col)).otherwise(text_col)
 
 
-def redact_secrets(files: DataFrame, *, max_size: int = MAX_FILE_SIZE, header: str = JS_HEADER) -> DataFrame:
+def redact_secrets(files: DataFrame, *, max_size: int | None = None, header: str = JS_HEADER) -> DataFrame:
     """Adds ``fixed_content, fixes, vars, modified`` in the row of the file: no shuffle.
 
-    Files of other languages, files over ``max_size`` and files that hold no
-    secret come back as they are.
+    Files of other languages and files that hold no secret come back as they are.
+    A file of any size is redacted; only where a ``max_size`` is given, files above
+    it come back as they are, secrets and all (``filters.skipped`` lists them).
     """
     content, lang = F.col("content"), lang_of(F.col("path"))
-    usable = F.col("length") <= max_size
+    usable = F.lit(True) if max_size is None else F.col("length") <= max_size
     holds = lambda family: usable & (lang == family) & may_hold_any(content, patterns_for(family))
     as_it_is = F.struct(content.alias("text"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("vars"))
     fold = F.when(holds("py"), _fold(content, "py")).when(holds("js"), _fold(content, "js")).otherwise(as_it_is.cast(_STATE))

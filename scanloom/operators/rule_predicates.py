@@ -74,6 +74,27 @@ def _braces(depth: int) -> str:
     return rf"\{{(?:[^{{}}]++{inner})*+\}}"
 
 
+def _parens(depth: int) -> str:
+    inner = f"|{_parens(depth - 1)}" if depth else ""
+    return rf"\((?:[^()]++{inner})*+\)"
+
+
+def _undotted(depth: int) -> str:
+    inner = f"|{_undotted(depth - 1)}" if depth else ""
+    return rf"\((?:[^().]++|\.(?!\.){inner})*+\)"
+
+
+def _dotted(depth: int) -> str:
+    """Parentheses that hold two dots somewhere."""
+    inner = f"|{_dotted(depth - 1)}" if depth else ""
+    return rf"\((?:[^().]++|\.(?!\.)|{_undotted(depth)})*+(?:\.\.{inner})(?:[^()]++|{_parens(depth)})*+\)"
+
+
+def _any_brackets(depth: int) -> str:
+    inner = f"|{_any_brackets(depth - 1)}" if depth else ""
+    return rf"[(\[{{](?:[^()\[\]{{}}]++{inner})*+[)\]}}]"
+
+
 _ANY_TYPE = Line(r"\w+\s*:\s*any\b", "strings", hints=("any",))
 _TS_IGNORE = Line(r"//\s*@ts-ignore", "none", hints=("@ts-ignore",))
 _NON_NULL = Line(r"[\w)\]]!([^=]|$)", "strings", hints=("!",))
@@ -86,7 +107,7 @@ _SERVER_ACTION = Block(
 _PAGE = Block(
     rf"[ \t]*export[ \t]+default[ \t]+function[ \t]+\w+{W}\([^)]*\)[^{{\n]*\{{{W}return[ \t]*\(", hint="export"
 )
-_EFFECT = Block(rf"[^\n]*?\buseEffect\({W}\({W}\){W}=>{W}{_braces(3)}{W}\)", "strings", hint="useEffect(")
+_EFFECT = Block(rf"[^\n]*?\buseEffect\({W}\({W}\){W}=>{W}{_braces(15)}{W}\)", "strings", hint="useEffect(")
 _TEST = Block(rf"[^\n]*?\btest\({W}{Q}[^\"'\n]*{Q}{W},{W}\({W}\){W}=>{W}\{{", hint="test(")
 _EVERY_FUNCTION = Func("true")
 _EXECUTE = r"\bcursor\.execute\(\s*(\w+)\s*[,)]"
@@ -138,7 +159,8 @@ PREDICATES = {
         r"and exists(f.params, p -> p rlike ':.*=\\s*Depends')"
     ),
     "py-security/fastapi.cors-wildcard": Block(
-        rf"[^\n]*?\bCORSMiddleware\([^)]*\ballow_origins\s*=\s*\[{Q}\*{Q}\]", hint="CORSMiddleware("
+        rf"[^\n]*?\bCORSMiddleware\((?:[^()a]++|a(?!llow_origins\b)|{_parens(7)})*+\ballow_origins\s*=\s*\[{Q}\*{Q}\]",
+        hint="CORSMiddleware(",
     ),
     "py-security/pydantic.missing-validation": Block(
         rf"[ \t]*class[ \t]+\w+\([ \t]*BaseModel[ \t]*\)[ \t]*:{W}\w+[ \t]*:[ \t]*str{_CLASS_END}", hint="BaseModel"
@@ -156,7 +178,8 @@ PREDICATES = {
     "py-security/crypto.insecure-random": Line(r"\brandom\.(random\(\)|randint\(|choice\()", "strings", hints=("random.",)),
     "py-security/debug.print-in-production": Line(r"\bprint\(|\blogging\.debug\(", "strings", hints=("print(", "logging.debug(")),
     "py-security/debug.pdb-breakpoint": Line(r"\bbreakpoint\(\)", "strings", hints=("breakpoint()",)),
-    "py-security/path.traversal-open": Line(r"\bopen\([^,)]*\.\.[^,)]*,", hints=("open(",)),
+    "py-security/path.traversal-open": Line(
+        rf"\bopen\((?:[^,)]*\.\.[^,)]*,|[\w.]+{_dotted(3)}\s*,)", hints=("open(",)),
     "py-security/python.hardcoded-postgres-url": Line(rf"{Q}postgresql{Q}", hints=("postgresql",)),
     "py-security/python.hardcoded-mysql-url": Line(rf"{Q}mysql{Q}", hints=("mysql",)),
     "py-security/python.hardcoded-mongodb-url": Line(rf"{Q}mongodb{Q}", hints=("mongodb",)),
@@ -189,7 +212,8 @@ PREDICATES = {
         before=r"^\s*(\w+)\s*=\s*\[\]\s*$",
         left_hint="for", hints=(".append(",),
     ),
-    "py-quality/python.assert-without-message": Line(r"^\s*assert\s+[^,]+$", "strings", hints=("assert",)),
+    "py-quality/python.assert-without-message": Line(
+        rf"^\s*assert\s+(?:[^,]+|(?:[^,()\[\]{{}}]++|{_any_brackets(7)})++)$", "strings", hints=("assert",)),
     "py-quality/python.missing-docstring": Func("true", "not f.has_docstring and not startswith(f.name, '_')"),
     # --- TypeScript and JavaScript, security
     "ts-security/typescript.hardcoded-jwt-secret": Line(rf"\b(JWT_SECRET(_KEY)?|SECRET_KEY)\s*=\s*{QJ}", hints=("JWT_SECRET", "SECRET_KEY")),
@@ -231,8 +255,9 @@ PREDICATES = {
     "ts-quality/typescript.arrow-function-complex": Block(
         rf"[^\n]*?\bconst[ \t]+\w+[^=\n]*=[ \t]*(?:async[ \t]+)?\([^)]*\)[^=\n]*=>{W}\{{", "strings", hint="=>"
     ),
-    "ts-quality/typescript.too-many-parameters": Line(
-        r"\bfunction\s+\w+\s*\((?:[^,()]*,){5,}[^)]*\)", "strings", hints=("function",)),
+    "ts-quality/typescript.too-many-parameters": Block(
+        rf"[^\n]*?\bfunction\s+\w+{W}\((?:[^,()]*+,){{5,}}+[^)]*+\)", "strings", hint="function"
+    ),
     "ts-quality/typescript.any-type-usage": _ANY_TYPE,
     "ts-quality/typescript.ts-ignore-comment": _TS_IGNORE,
     "ts-quality/typescript.non-null-assertion": _NON_NULL,

@@ -18,6 +18,7 @@ from scanloom.functions import paths, text
 from scanloom.functions.arrays import let
 from scanloom.operators.rule_data import RULES
 from scanloom.operators.rule_predicates import PREDICATES, Block, Func, Line, Pair, block_regex
+from scanloom.plans.joins import join_lookup
 from scanloom.sources.files import lines as line_rows
 from scanloom.sources.python_functions import functions_in, may_define
 
@@ -26,8 +27,7 @@ RULES_SCHEMA = (
     "category string, languages array<string>, metadata map<string,string>"
 )
 _HITS = "array<struct<line:int,rule_key:string>>"
-LITERAL_RULES = 500
-_RULE_SALTS = 64
+RULES_PER_BATCH = 500
 _RULE_OF = {f"{r[0]}/{r[1]}": r for r in RULES}
 
 
@@ -365,29 +365,30 @@ def match_line_rules(table: DataFrame, lang: str, content: str, *, keys: Iterabl
     return rows.select(*keep, (F.col("_pos") + 1).alias("line"), F.explode(hits).alias("rule_key"))
 
 
-def match_user_rules(files: DataFrame, rules: DataFrame, *, literal_rules: int = LITERAL_RULES) -> DataFrame:
+def match_user_rules(files: DataFrame, rules: DataFrame, *, batch: int = RULES_PER_BATCH) -> DataFrame:
     """Line rules given as rows (``rule_key, regex, mask, languages``), any number of them.
 
-    Up to ``literal_rules`` rows become constant patterns, compiled once per
-    task. More of them are joined on the language with the regex as a
-    condition, so that only hits leave the join. Both ways give the same rows.
+    They become constant patterns over one scan, ``batch`` of them to an array. A
+    null mask is ``comments``; a repeated language counts once; equal rows are one
+    rule; a row without key, regex or languages is no rule.
     """
+    mask = F.coalesce("mask", F.lit("comments"))
+    usable = rules.where(F.col("rule_key").isNotNull() & F.col("regex").isNotNull() & F.col("languages").isNotNull())
+    known = usable.select("rule_key", "regex", mask.alias("mask"), F.array_sort(F.array_distinct("languages")).alias("languages"))
+    known = sorted(known.distinct().collect(), key=lambda r: (r["rule_key"], r["regex"], r["mask"]))
     rows = _masked_lines(files)
-    columns = ["rule_key", "regex", "mask", "languages"]
-    few = rules.select(*columns).limit(literal_rules + 1).collect()
     out = ["project_id", "path", "lang", "line", "rule_key"]
-    if len(few) > literal_rules:
-        return _join_rules(rows, rules.select(*columns)).select(*out)
     tests = [
         F.when(
-            F.col("lang").isin(list(r["languages"])) & F.col(_masked(r["mask"])).rlike(r["regex"]), F.lit(r["rule_key"])
+            F.col("lang").isin([x for x in r["languages"] if x is not None]) & F.col(_masked(r["mask"])).rlike(r["regex"]),
+            F.lit(r["rule_key"]),
         )
-        for r in few
+        for r in known
     ]
     if not tests:
         return rows.withColumn("rule_key", F.lit("")).select(*out).limit(0)
-    hits = F.array_compact(F.array(*tests))
-    return rows.select("project_id", "path", "lang", "line", F.explode(hits).alias("rule_key"))
+    hits = [F.array_compact(F.array(*tests[i : i + batch])) for i in range(0, len(tests), batch)]
+    return rows.select("project_id", "path", "lang", "line", F.explode(F.concat(*hits)).alias("rule_key"))
 
 
 def _masked_lines(files: DataFrame) -> DataFrame:
@@ -402,27 +403,18 @@ def _masked_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def _join_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Lines and rules of one language whose regex matches.
-
-    There are three languages, so lines are spread over copies of the rules.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("project_id", "path", "line"), F.lit(_RULE_SALTS)).cast("int"))
-    copies = rules.withColumn("lang", F.explode("languages")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(_RULE_SALTS - 1)))
-    )
-    shown = "case mask when 'none' then _raw when 'strings' then _bare else _code end"
-    return salted.join(copies, ["lang", "_salt"]).filter(F.expr(f"rlike({shown}, regex)"))
-
-
 def rule_findings(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Hits with the severity, category and message of their rule.
 
     The built-in table has 94 rows and is broadcast; a table of the user's is
-    joined as Spark sees fit.
+    measured first, and beyond the limit its rows are copied over salts.
     """
-    meta = F.broadcast(rule_table(hits.sparkSession)) if rules is None else rules
-    return hits.join(meta.select("rule_key", "rule_id", "message", "severity", "category"), "rule_key").select(
+    meta = ["rule_key", "rule_id", "message", "severity", "category"]
+    if rules is None:
+        joined = hits.join(F.broadcast(rule_table(hits.sparkSession)).select(*meta), "rule_key")
+    else:
+        joined = join_lookup(hits, rules.select(*meta), ["rule_key"], "inner", salt_on=["project_id", "path", "line"])
+    return joined.select(
         "project_id",
         F.col("path").alias("file"),
         "line",

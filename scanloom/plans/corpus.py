@@ -154,6 +154,9 @@ PY_SAMPLES = [
     "out = \"\"\nfor p in parts:\n    out += p",
     "acc = []\nfor p in parts:\n    acc.append(p)",
     "value = 1  # DATABASE_URL = 'x'\ntext = \"SECRET_KEY\"",
+    "assert same(a, b)\nassert f(a, b), \"m\"\nassert g(x)[1, 2] == {3, 4}",
+    "f = open(os.path.join(a, '..', b), 'r')\ng = open(path.join(a, b), 'r')\nh = open(safe(a), '../x')",
+    "app.add(CORSMiddleware(\n    make(app, wrap(1)),\n    allow_origins=[\"*\"],\n))",
 ]
 TS_SAMPLES = [
     "const JWT_SECRET = \"a\"\nprocess.env.JWT_SECRET = 'b'\nconst API_KEY = `c`",

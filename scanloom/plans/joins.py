@@ -26,17 +26,28 @@ def join_lookup(
     broadcast and ``left`` does not move. Beyond that it is copied ``SALTS``
     times and ``left`` is spread over the copies by a hash of ``salt_on``, so a
     key that holds a third of ``left`` still runs in many tasks. Both ways give
-    the same rows.
+    the same rows. A null key meets a null key.
     """
     lookup = cut_lineage(lookup)
     per_row = F.lit(64) + F.coalesce(F.octet_length(F.to_json(F.struct(*lookup.columns))), F.lit(0))
     size = lookup.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        return left.join(F.broadcast(lookup), on, how)
+        return _null_safe(left, F.broadcast(_named(lookup, on)), on, how)
     return salted_join(left, lookup, on, how, salt_on=salt_on)
 
 
+def _named(lookup: DataFrame, on: list[str]) -> DataFrame:
+    return lookup.withColumnsRenamed({k: f"_of_{k}" for k in on})
+
+
+def _null_safe(left: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
+    same = F.lit(True)
+    for k in on:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return left.join(lookup, same, how).drop(*[f"_of_{k}" for k in on])
+
+
 def salted_join(left: DataFrame, lookup: DataFrame, on: list[str], how: str, *, salt_on: list[str]) -> DataFrame:
     salt = F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    return _null_safe(left.withColumn("_salt", salt), _named(copies, [*on, "_salt"]), [*on, "_salt"], how).drop("_salt")

@@ -2,8 +2,9 @@
 
 A *diffs* table has ``diff_id, text``; a *hunks* table has one row per hunk (and
 one for a file without hunks), with ``lines`` starting at its ``@@`` line. A
-diff is cut into files and files into hunks by splitting at their headers, so
-nothing looks back over lines and nothing is shuffled.
+diff is cut into files and files into hunks by splitting at their headers, and a
+hunk ends where the counts of its header are used up. All of it happens in the row
+of the diff; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,11 +26,79 @@ HUNK_COLUMNS = [
 ]
 
 
+def _body_size(hunk_lines: Column) -> Column:
+    """How many lines a hunk has by the counts of its header, that line included.
+
+    One pass with three numbers: old and new lines still to come, and lines taken. A
+    note on a missing line end belongs to the line before it. What can't be a line of
+    a hunk ends it as well.
+    """
+
+    def step(s: Column, line: Column) -> Column:
+        old, new = line.startswith("-"), line.startswith("+")
+        both = line.startswith(" ") | (line == "") | (line == "\r")
+        open_ = (s["old"] > 0) | (s["new"] > 0)
+        note = line.startswith("\\")
+        taken = ~s["done"] & ((open_ & (old | new | both)) | note)
+        return F.struct(
+            (s["old"] - F.when(taken & (old | both), 1).otherwise(0)).alias("old"),
+            (s["new"] - F.when(taken & (new | both), 1).otherwise(0)).alias("new"),
+            (s["n"] + F.when(taken, 1).otherwise(0)).alias("n"),
+            (s["done"] | ~taken).alias("done"),
+        )
+
+    def count(body: Column) -> Column:
+        start = F.struct(
+            _count(body[0], 2).alias("old"), _count(body[0], 4).alias("new"), F.lit(1).alias("n"), F.lit(False).alias("done")
+        )
+        return F.aggregate(F.slice(body, F.lit(2), F.size(body)), start, step, lambda s: s["n"])
+
+    return let(hunk_lines, count)
+
+
+def _own_lines(hunk: Column) -> Column:
+    """Lines of a hunk without what follows it."""
+    return let(_lines_of(hunk), lambda body: F.slice(body, F.lit(1), _body_size(body)))
+
+
+def _lines_of(piece: Column) -> Column:
+    return F.split(F.regexp_replace(piece, r"\n\z", ""), "\n", -1)
+
+
+# Stands between the files of a diff without git headers while they are cut; a private-use character.
+_FILE_CUT = "\ue002"
+_PLAIN_HEADER = r"(?md)^--- [^\n]*\n\+\+\+ "
+
+
+def _cut_plain(diff: Column) -> Column:
+    """A diff without git headers cut into files.
+
+    A deleted line ``-- x`` above an added line ``++ y`` looks like the header of a
+    file. So each hunk is ended by its counts first, and only what follows it can hold
+    a header.
+    """
+
+    def marked(piece: Column) -> Column:
+        def split(body: Column) -> Column:
+            n = _body_size(body)
+            own = F.concat(F.array_join(F.slice(body, F.lit(1), n), "\n"), F.lit("\n"))
+            rest = F.array_join(F.slice(body, n + 1, F.size(body)), "\n")
+            header = F.regexp_extract(rest, r"(?sd)(--- [^\n]*\n\+\+\+ .*)", 1)
+            return F.when(rest.rlike(_PLAIN_HEADER), F.concat(own, F.lit(_FILE_CUT), header, F.lit("\n"))).otherwise(own)
+
+        return F.when(piece.startswith("@@ -"), let(_lines_of(piece), split)).otherwise(piece)
+
+    clean = F.replace(diff, F.lit(_FILE_CUT), F.lit("\ufffd"))
+    pieces = F.split(clean, r"(?md)^(?=@@ -\d)", -1)
+    first = F.regexp_replace(pieces[0], r"(?sd)\A.*?^?(?=--- [^\n]*\n\+\+\+ )", "")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), marked)
+    return F.split(F.concat(first, F.array_join(rest, "")), _FILE_CUT, -1)
+
+
 def _file_chunks(diff: Column) -> Column:
     """One text per file, from its header on. Diffs without git headers are cut at ``---``/``+++``."""
-    git = F.split(diff, r"(?m)^(?=diff --git )", -1)
-    plain = F.split(diff, r"(?m)^(?=--- [^\n]*\n\+\+\+ )", -1)
-    chunks = F.when(diff.rlike(r"(?m)^diff --git "), git).otherwise(plain)
+    git = F.split(diff, r"(?md)^(?=diff --git )", -1)
+    chunks = F.when(diff.rlike(r"(?md)^diff --git "), git).otherwise(_cut_plain(diff))
     return F.filter(chunks, lambda c: c.startswith("diff --git ") | c.startswith("--- "))
 
 
@@ -50,22 +119,22 @@ def _start(line: Column, group: int) -> Column:
 def _names(head: Column) -> Column:
     """struct<old, new, is_new, is_gone> from the header of a file."""
     old = F.coalesce(
-        _found(head, r"(?m)^--- (?:a/)?([^\t\r\n]+)"),
-        _found(head, r"(?m)^(?:rename|copy) from ([^\r\n]+)"),
-        _found(head, r"(?m)^diff --git a/(.+?) b/"),
+        _found(head, r"(?md)^--- (?:a/)?([^\t\r\n]+)"),
+        _found(head, r"(?md)^(?:rename|copy) from ([^\r\n]+)"),
+        _found(head, r"(?md)^diff --git a/(.+?) b/"),
     )
     new = F.coalesce(
-        _found(head, r"(?m)^\+\+\+ (?:b/)?([^\t\r\n]+)"),
-        _found(head, r"(?m)^(?:rename|copy) to ([^\r\n]+)"),
-        _found(head, r"(?m)^diff --git a/.+? b/([^\r\n]+)"),
+        _found(head, r"(?md)^\+\+\+ (?:b/)?([^\t\r\n]+)"),
+        _found(head, r"(?md)^(?:rename|copy) to ([^\r\n]+)"),
+        _found(head, r"(?md)^diff --git a/.+? b/([^\r\n]+)"),
     )
     return let(
         F.struct(old.alias("old"), new.alias("new")),
         lambda n: F.struct(
             n["old"].alias("old"),
             n["new"].alias("new"),
-            (head.rlike(r"(?m)^new file mode") | (n["old"] == "/dev/null")).alias("is_new"),
-            (head.rlike(r"(?m)^deleted file mode") | (n["new"] == "/dev/null")).alias("is_gone"),
+            (head.rlike(r"(?md)^new file mode") | (n["old"] == "/dev/null")).alias("is_new"),
+            (head.rlike(r"(?md)^deleted file mode") | (n["new"] == "/dev/null")).alias("is_gone"),
         ),
     )
 
@@ -81,27 +150,25 @@ def _file_fields(chunk: Column) -> Column:
         kind = (
             F.when(names["is_new"], ADDED)
             .when(names["is_gone"], DELETED)
-            .when(head.rlike(r"(?m)^rename from "), RENAMED)
-            .when(head.rlike(r"(?m)^copy from "), COPIED)
+            .when(head.rlike(r"(?md)^rename from "), RENAMED)
+            .when(head.rlike(r"(?md)^copy from "), COPIED)
             .otherwise(MODIFIED)
         )
         return F.struct(
             F.when(~names["is_new"], names["old"]).alias("old_file"),
             F.when(~names["is_gone"], names["new"]).alias("new_file"),
             kind.alias("diff_type"),
-            head.rlike(r"(?m)^(Binary files .* differ|GIT binary patch)").alias("is_binary"),
+            head.rlike(r"(?md)^(Binary files .* differ|GIT binary patch)").alias("is_binary"),
             F.when(F.size(cut) > 1, F.slice(cut, F.lit(2), F.size(cut))).otherwise(F.array(F.lit(""))).alias("_hunks"),
         )
 
-    cut = F.split(chunk, r"(?m)^(?=@@ -\d)", -1)
+    cut = F.split(chunk, r"(?md)^(?=@@ -\d)", -1)
     return let(let(cut, lambda c: F.struct(c.alias("cut"), _names(c[0]).alias("names"))), fields)
 
 
 def _hunk_fields(hunk: Column) -> Column:
     """struct of the line range, the lines and their counts."""
-    lines = F.when(hunk == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(hunk, r"\n\z", ""), "\n", -1)
-    )
+    lines = F.when(hunk == "", F.array().cast("array<string>")).otherwise(_own_lines(hunk))
 
     def fields(body: Column) -> Column:
         first = F.coalesce(F.get(body, F.lit(0)), F.lit(""))
@@ -155,7 +222,7 @@ def diff_totals(hunks: DataFrame) -> DataFrame:
 
 def changed_lines(diff: Column) -> Column:
     """Lines of a diff that start with ``+``; the ``+++`` headers count too."""
-    return F.regexp_count(diff, F.lit(r"(?m)^\+"))
+    return F.regexp_count(diff, F.lit(r"(?md)^\+"))
 
 
 def _new_lines() -> Column:

@@ -5,9 +5,10 @@ returns, has_docstring, context, file_indented``. ``context[0]`` is the ``def``
 line and ``context[k]`` the line ``k`` above it.
 
 *native* finds headers by one regex per file and stays inside the JVM. It does
-not see syntax errors, gives decorators as written (blanks squeezed), and counts
-brackets in a header to a depth of four. *exact* parses each file in an Arrow
-worker and gives nothing for a file that does not parse.
+not see syntax errors, so a file that does not parse still gives its functions; it
+gives decorators and return types as written (blanks squeezed), and counts brackets
+in a header to a depth of ``DEPTH``. *exact* parses each file in an Arrow worker and
+gives nothing for a file that does not parse.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import text
+from scanloom.functions.arrays import let
 from scanloom.functions.text import MARK, MARK_CLOSE, MARK_OPEN
 
 LOOKBACK = 4
+#: Nested brackets in a header; a regex needs a bound, and this is far above what is written.
+DEPTH = 16
 
 FUNCTION_FIELDS = (
     "line int, name string, is_async boolean, indent int, decorators array<string>, params array<string>, "
     "returns string, has_docstring boolean, context array<string>"
 )
 
-_W = rf"(?:\s|{MARK})*+"
+_W = rf"(?:\s|{MARK}|\\(?=\r?\n))*+"
 _STR = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|' + r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'" + r"|[\"']"
 
 
@@ -39,7 +43,12 @@ def _brackets(depth: int) -> str:
     return rf"\((?:[^()\"']++|{_STR}{inner})*+\)"
 
 
-_PAREN = _brackets(3)
+def _squares(depth: int) -> str:
+    inner = f"|{_squares(depth - 1)}" if depth else ""
+    return rf"\[(?:[^\[\]]++{inner})*+\]"
+
+
+_PAREN = _brackets(DEPTH - 1)
 _DECORATOR = rf"{MARK}[ \t]*+@[^\n(]*+(?:{_PAREN}[^\n(]*+)*+\n"
 _BLANK = rf"{MARK}[ \t\r]*+\n"
 HEADER = (
@@ -47,7 +56,7 @@ HEADER = (
     rf"{MARK_OPEN}(\d+){MARK_CLOSE}([ \t]*+)"  # 2 line, 3 indent
     rf"(async[ \t]++)?def[ \t]++(\w++)(?:\[[^\]\n]*+\])?{_W}"  # 4 async, 5 name
     rf"({_PAREN}){_W}"  # 6 parameters
-    rf"(?:->{_W}([^:\n]*+))?{_W}:"  # 7 return type
+    rf"(?:->{_W}((?:[^:\n\[]++|{_squares(DEPTH - 1)})*+))?{_W}:"  # 7 return type
     rf"({_W}[rRuU]?[\"'])?"  # 8 docstring
 )
 
@@ -60,8 +69,9 @@ def _squeeze(col: Column) -> Column:
 def _parameters(col: Column) -> Column:
     """Top-level parameters of a bracketed list; the signs ``*`` and ``/`` are none."""
     flat = F.regexp_replace(text.empty_strings(F.substring(col, F.lit(2), F.length(col) - 2), "py"), MARK, "")
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"[(\[{][^()\[\]{}]*[)\]}]", "")
+    for _ in range(DEPTH):
+        flat = F.regexp_replace(flat, r"[(\[{][^()\[\]{}]*+[)\]}]", "")
+    flat = F.regexp_replace(flat, r"\blambda\b[^:]*+:", "lambda:")  # its parameters are none of the function's
     return F.filter(
         F.transform(F.split(flat, ",", -1), text.strip), lambda p: (p != "") & (p != "*") & (p != "/")
     )
@@ -82,10 +92,10 @@ def functions_in(lines: Column, code: Column, *, lookback: int = LOOKBACK) -> Co
             (part(h, 4) != "").alias("is_async"),
             F.length(part(h, 3)).alias("indent"),
             F.transform(
-                F.slice(F.split(part(h, 1), rf"{MARK}[ \t]*@", -1), 2, 1_000_000), _squeeze
+                let(F.split(part(h, 1), rf"{MARK}[ \t]*@", -1), lambda d: F.slice(d, F.lit(2), F.size(d))), _squeeze
             ).alias("decorators"),
             _parameters(part(h, 6)).alias("params"),
-            F.nullif(text.strip(part(h, 7)), F.lit("")).alias("returns"),
+            F.nullif(_squeeze(part(h, 7)), F.lit("")).alias("returns"),
             (part(h, 8) != "").alias("has_docstring"),
             F.reverse(
                 F.slice(lines, F.greatest(line - lookback, F.lit(1)), F.least(line, F.lit(lookback + 1)))

@@ -91,7 +91,7 @@ def test_diff_reports(hunks):
     assert js["many"]["files"][2]["old_file"] is None
     sarif = {r.diff_id: json.loads(r.report) for r in reports.diff_report(hunks, "SARIF").collect()}
     run = sarif["many"]["runs"][0]
-    assert [r["ruleId"] for r in run["results"]] == ["HRS0001", "HRS0002"] == [r["id"] for r in run["tool"]["driver"]["rules"]]
+    assert [r["ruleId"] for r in run["results"]] == ["SL0001", "SL0002"] == [r["id"] for r in run["tool"]["driver"]["rules"]]
     assert run["results"][0]["message"]["text"] == "Added line: new"
     assert run["results"][1]["locations"][0]["physicalLocation"]["region"] == {"startLine": 22, "startColumn": 1}
     whole = {r.diff_id: json.loads(r.report) for r in reports.diff_hunks_json(hunks).collect()}
@@ -133,3 +133,25 @@ def test_gate_numbers(spark):
     assert got == {"1": (0.5, "WARNING", "gaps", 0), "2": (0.3, "WARNING", None, 3), "3": (0.0, "PASS", "none", 0)}
     many = spark.createDataFrame([("1", "a", "ERROR", "security", "m")] * 9, found.schema)
     assert gate.gate(many, changes).filter("pr_id = '1'").first().risk_score == 1.0
+
+
+def parsed(spark, text):
+    rows = diffs.parse(spark.createDataFrame([("d", text)], "diff_id string, text string")).orderBy("file_no", "hunk_no").collect()
+    return [(r.file_path, r.new_start, r.additions, r.deletions, len(r.lines)) for r in rows]
+
+
+def test_hunks_end_by_their_counts(spark):
+    plain = "--- a/x.sql\n+++ b/x.sql\n@@ -1,2 +1,2 @@\n keep\n--- old comment\n+++ new comment\n@@ -9 +9 @@\n-a\n+b\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n-c\n+d\n\\ No newline at end of file\n"
+    rows = diffs.parse(spark.createDataFrame([("d", plain)], "diff_id string, text string")).orderBy("file_no", "hunk_no").collect()
+    assert [(r.file_path, r.new_start, len(r.lines)) for r in rows] == [("x.sql", 1, 4), ("x.sql", 9, 3), ("y", 1, 4)]
+    # What looks like a header stays in its hunk, and is no change, as everywhere.
+    assert [(r.additions, r.deletions) for r in rows] == [(0, 0), (1, 1), (1, 1)]
+    mailed = "Subject: x\n---\n x | 2 +-\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n-- \n2.39.0\n"
+    assert parsed(spark, mailed) == [("x", 1, 1, 1, 3)]
+
+
+def test_only_line_feeds_end_lines(spark):
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n+a\r+b\r@@ -9 +9 @@\u2028+c\n c\n+d\u0085+e\n"
+    assert [r[:2] for r in parsed(spark, text)] == [("x", 1)]
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(diffs.changed_lines(F.col("t"))).first()[0] == 3

@@ -70,3 +70,10 @@ def test_diff_noise_switches(spark):
     assert left(None) == {"m.py"}
     assert left(filters.DiffNoise(lockfiles=False)) == {"m.py", "a.lock", "go.sum"}
     assert left(filters.DiffNoise(False, False, False, False)) == {r.file_path for r in df.collect()}
+
+
+def test_skipped_files_and_their_reasons(spark):
+    rows = [("p", "a/node_modules/x.js", "x", 1), ("p", "a.png", "x", 1), ("p", "big.py", "x", 9_000_000), ("p", "bad.py", None, 3), ("p", "ok.py", "x", 1)]
+    files = spark.createDataFrame(rows, "project_id string, path string, content string, length long")
+    got = {r.path: r.reason for r in filters.skipped(files).collect()}
+    assert got == {"a/node_modules/x.js": "excluded folder", "a.png": "excluded suffix", "big.py": "larger than 1048576 bytes", "bad.py": "not readable as UTF-8"}

@@ -146,7 +146,7 @@ def test_findings_carry_the_learned_pattern(make_files):
     rows = {r.project_id: r for r in scan.findings(files).collect()}
     assert "`depends(get_current_user)`" in rows["p"].message
     assert f"`{learning.DEFAULT_AUTH}`" in rows["q"].message
-    assert (rows["p"].severity, rows["p"].rule_id, rows["p"].file, rows["p"].line) == ("medium", "SPP_IMPROVE", "a.py", 1)
+    assert (rows["p"].severity, rows["p"].rule_id, rows["p"].file, rows["p"].line) == ("medium", "IMPROVEMENT", "a.py", 1)
 
 
 def test_nested_issues(make_files):

@@ -38,7 +38,7 @@ def test_json_and_sarif(findings):
     run = sarif["p"]["runs"][0]
     assert sarif["p"]["version"] == "2.1.0" and [r["level"] for r in run["results"]] == ["warning", "error", "warning"]
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["odd", "secret", "sql"]
-    assert sarif["q"]["runs"][0]["results"][0]["ruleId"] == "HRS0001"
+    assert sarif["q"]["runs"][0]["results"][0]["ruleId"] == "SL0001"
     with pytest.raises(ValueError, match="Supported"):
         reports.findings_report(findings, "xml")
 
@@ -53,16 +53,32 @@ def test_parts_hold_every_row(spark):
     back = parts.select("k", F.explode("items").alias("i")).select("k", "i.v")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
     sizes = {(r.k, r.part): r["n"] for r in parts.select("k", "part", F.size("items").alias("n")).collect()}
-    assert sum(1 for k, _ in sizes if k == "hot") > 10 and max(sizes.values()) < 250
+    assert [n for (k, _), n in sorted(sizes.items()) if k == "hot"] == [50] * 20
     assert all(part == 0 for k, part in sizes if k != "hot")
 
 
+def test_parts_follow_each_other_and_keep_null_groups(spark):
+    rows = [(None, "f", i) for i in range(25)] + [("a", f"f{i // 40}", i % 3) for i in range(95)] + [("a", None, None)]
+    df = spark.createDataFrame(rows, "k string, file string, line int")
+    parts = sorted(collect_in_parts(df, ["k"], ["file", "line"], max_items=10).collect(), key=lambda r: (r.k or "", r.part))
+    for k in (None, "a"):
+        own = [r for r in parts if r.k == k]
+        assert [r.part for r in own] == list(range(len(own))) and {r.parts for r in own} == {len(own)}
+        assert [len(r["items"]) for r in own[:-1]] == [10] * (len(own) - 1)
+        want = sorted(((f or "", -1 if n is None else n) for q, f, n in rows if q == k))
+        assert [(i.file or "", -1 if i.line is None else i.line) for r in own for i in r["items"]] == want
+
+
 def test_hot_project_reports_together_hold_all(spark):
     rows = [("p", f"f{i % 7}.py", i, "m", "high", f"r{i % 5}", None) for i in range(300)]
     docs = reports.findings_report(spark.createDataFrame(rows, SCHEMA), "json", max_items=40).collect()
     assert len(docs) > 1
     lines = [f["line"] for d in docs for f in json.loads(d.report)["findings"]]
     assert sorted(lines) == list(range(300))
+    shown = reports.findings_report(spark.createDataFrame(rows, SCHEMA), "markdown", max_items=40).collect()
+    assert len(shown) == 8 and all("High (300)" in d.report for d in shown)
+    sarif = reports.findings_report(spark.createDataFrame(rows, SCHEMA), "sarif", max_items=40).collect()
+    assert all(len(json.loads(d.report)["runs"][0]["tool"]["driver"]["rules"]) == 5 for d in sarif)
 
 
 def test_summaries(spark, findings):

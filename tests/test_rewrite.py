@@ -54,7 +54,8 @@ def test_scripts(make_files):
 
 def test_safe_other_and_large_files_stay(make_files):
     tree = {"a.py": 'token = os.getenv("T")\n', "s.py": "token = \"os.environ['T']\"\n", "r.rs": 'token = "x"\n', "big.py": 'token = "x"\n' + "#" * 1_048_576}
-    for r in fixed(make_files(tree)).values():
+    limited = rewrite.redact_secrets(make_files(tree), max_size=1_048_576).collect()
+    for r in limited:
         assert not r.modified and r.fixes == 0 and r.fixed_content == tree[r.path]
 
 
@@ -140,3 +141,10 @@ def test_fix_then_improve(make_files):
     assert tree.env.first().content == "A=1\n\nSECRET_KEY=\n"
     plain = scan.fix(files, improve=False).files.filter("path = 'a.py'").first()
     assert plain.improved_content == row.fixed_content and not plain.improved
+
+
+def test_large_files_are_redacted_unless_a_limit_is_given(spark):
+    big = "x = 1\n" * 200_000 + 'API_KEY = "abcdefabcdefabcdefabcdef12345678"\n'
+    files = spark.createDataFrame([("p", "a.py", big, len(big))], "project_id string, path string, content string, length long")
+    assert rewrite.redact_secrets(files).first().fixes == 1
+    assert rewrite.redact_secrets(files, max_size=1_048_576).first().fixes == 0

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import text
 from scanloom.sources import files as source
+from scanloom.sources import python_functions
 
 
 def test_splitlines_is_pythons(spark):
@@ -63,3 +64,19 @@ def test_numbered_text_keeps_numbers(spark):
     code = text.drop_comments(text.numbered(text.splitlines(F.col("t"))), "py")
     pieces = df.select(text.numbered_pieces(code).alias("p")).first().p
     assert [(p.line, p.text) for p in pieces] == [(1, 'a = """'), (4, 'b = "#"  ')]
+
+
+def test_functions_with_deep_and_long_headers(spark):
+    code = (
+        "def deep(a=g(h(i(j(k(l(1))))))): pass\n"
+        "def long(\n    a: int,\n) -> Tuple[\n    int,\n    Dict[str, int],\n]:\n    return 1\n"
+        "def lam(a, b=lambda x, y: 1, *, c={'k': (1, 2)}): pass\n"
+        "def cont(a, b) \\\n        -> int:\n    pass\n"
+    )
+    files = spark.createDataFrame([("p", "a.py", code)], "project_id string, path string, content string")
+    got = {r.name: r for r in python_functions.function_table(files).collect()}
+    want = {r.name: r for r in python_functions.function_table(files, method="exact").collect()}
+    assert set(got) == set(want) == {"deep", "long", "lam", "cont"}
+    for name, f in got.items():
+        assert (f.line, len(f.params)) == (want[name].line, len(want[name].params)), name
+    assert got["long"].returns == want["long"].returns == "Tuple[int, Dict[str, int]]" and got["cont"].returns == "int"
