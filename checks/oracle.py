@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from checks import spark_queries
 from scanloom.functions.patterns import CHANGE_ME, SECRET_PATTERNS, TOKEN_PATTERNS
 from scanloom.functions.severity import RULE_TO_FINDING
 from scanloom.operators import filters, issues, learning, reports, rewrite
@@ -1051,3 +1052,29 @@ ORACLES["gate_by_source"] = sql(
         count(*) FILTER (severity = 'medium') AS medium FROM secret_found GROUP BY project_id) f USING (project_id)))""",
     **_SECRET_FOUND,
 )
+
+# --- kinds that the given texts do not hold -------------------------------------------------
+
+
+def _token(key: str, i: int) -> str:
+    prefix, n = spark_queries.TOKENS[i]
+    return f"'{prefix}' || left(repeat(md5(CAST({key} AS VARCHAR)), 2), {n})"
+
+
+_KINDS = [p.type for p in TOKEN_PATTERNS]
+ORACLES["token_kinds"] = " UNION ALL ".join(
+    f"SELECT c_custkey, {q(t)} AS type, 2 AS line, {_token('c_custkey', i)} AS match FROM customer WHERE c_custkey % {len(_KINDS)} = {i}"
+    for i, t in enumerate(_KINDS)
+)
+ORACLES["redacted_three_tokens"] = f"""SELECT 's' || s_suppkey AS project_id, 'import os' || chr(10)
+      || {" || ".join(f"{q(f'{n} = ' + _PY_READ % f'API_KEY_{i}')} || chr(10)" for i, n in enumerate("abc", 1))} AS fixed_content,
+      3 AS fixes, 'API_KEY_1,API_KEY_2,API_KEY_3' AS vars FROM supplier"""
+ORACLES["env_upsert_existing"] = f"""SELECT 's' || s_suppkey AS project_id, CASE s_suppkey % 3
+      WHEN 0 THEN 'TOKEN=x' || chr(10) || chr(10) || 'PASSWORD=' || chr(10)
+      WHEN 1 THEN 'OTHER=1' || chr(10) || chr(10) || 'TOKEN=' || chr(10) || chr(10) || 'PASSWORD=' || chr(10)
+      ELSE {q(rewrite.ENV_HEADER)} || chr(10) || 'TOKEN=' || chr(10) || chr(10) || 'PASSWORD=' || chr(10) END AS content FROM supplier"""
+ORACLES["report_formats"] = " UNION ALL ".join(
+    f"SELECT {q(name)} AS format, project_id, md5(report) AS report_md5 FROM ({ORACLES[f'findings_{of}']}) WHERE report <> {q(reports.NO_ISSUES)}"
+    for name, of in (("json", "json"), ("sarif", "sarif"), ("md", "markdown"))
+)
+ORACLES["report_files"] = f"SELECT project_id, md5(report || chr(10)) AS content_md5 FROM ({ORACLES['findings_markdown']})"

@@ -6,9 +6,10 @@ and diffs that Spark renders from the tables (``scanloom.plans.corpus``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, severity, text
@@ -16,6 +17,7 @@ from scanloom.functions.patterns import SECRET_PATTERNS
 from scanloom.operators import filters, gate, issues, learning, reports, rewrite, rules, secrets
 from scanloom.operators.rule_predicates import PREDICATES
 from scanloom.plans import corpus, grouping, review, scan
+from scanloom.session import shared_folder
 from scanloom.sources import diffs as diff_source
 from scanloom.sources import files as file_source
 from scanloom.sources.python_functions import function_table
@@ -723,6 +725,74 @@ def review_comments(spark, sf):
     return review.review(diff_table(spark, sf)).comments
 
 
+def _token(key: str, i: int) -> Column:
+    """A token of the i-th kind, made from a key."""
+    prefix, n = TOKENS[i]
+    return F.concat(F.lit(prefix), F.left(F.repeat(F.md5(F.col(key).cast("string")), 2), F.lit(n)))
+
+
+#: Prefix and length of each kind of token, in the order of the patterns.
+TOKENS = [
+    ("sk_live_", 20), ("sk_test_", 20), ("ghp_", 36), ("gho_", 36), ("ghu_", 36), ("ghs_", 36), ("ghr_", 36), ("ai_", 32),
+    ("xoxb-", 50), ("xoxp-", 50), ("xoxa-", 50),
+]
+
+
+@query
+def token_kinds(spark, sf):
+    """Each kind of token in turn, on the second line of a text."""
+    which = F.element_at(F.array(*[_token("c_custkey", i) for i in range(len(TOKENS))]), (F.col("c_custkey") % len(TOKENS) + 1).cast("int"))
+    texts = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("# one\nvalue = \""), which, F.lit('"')).alias("content"))
+    return secrets.find_secrets(texts).select("c_custkey", "type", "line", "match")
+
+
+def _with_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """A Python file per supplier with three tokens, another with two named secrets, and some env files."""
+    rows = table(spark, sf, "supplier").withColumn("project_id", F.concat(F.lit("s"), "s_suppkey"))
+    line = lambda name, i: F.concat(F.lit(f"{name} = \""), _token("s_suppkey", i), F.lit('"\n'))
+    named = F.concat(F.lit('token = "t'), "s_suppkey", F.lit('"\npassword = "p'), "s_suppkey", F.lit('"\n'))
+    known = F.when(F.col("s_suppkey") % 3 == 0, "TOKEN=x\n").when(F.col("s_suppkey") % 3 == 1, "OTHER=1\n")
+    file = lambda path, content: rows.select("project_id", F.lit(path).alias("path"), content.alias("content"))
+    files = file("keys.py", F.concat(line("a", 2), line("b", 2), line("c", 2))).unionByName(file("named.py", named))
+    files = files.unionByName(file(".env.example", known).where("content is not null"))
+    return files.withColumn("length", F.octet_length("content").cast("long"))
+
+
+@query
+def redacted_three_tokens(spark, sf):
+    fixed = rewrite.redact_secrets(_with_secrets(spark, sf).where("path = 'keys.py'"))
+    return fixed.select("project_id", "fixed_content", "fixes", F.array_join("vars", ",").alias("vars"))
+
+
+@query
+def env_upsert_existing(spark, sf):
+    """Projects whose env file has the name already, has others, or is missing."""
+    files = _with_secrets(spark, sf).where("path <> 'keys.py'")
+    return rewrite.upsert_env(rewrite.redact_secrets(files), files, file_source.env_names(files))
+
+
+@query
+def report_formats(spark, sf):
+    """Each format by a name in any case."""
+    found = _secret_findings(spark, sf)
+    parts = [
+        reports.findings_report(found, name).select(F.lit(name.lower()).alias("format"), "project_id", F.md5("report").alias("report_md5"))
+        for name in ("JSON", "Sarif", "MD")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def report_files(spark, sf):
+    """Reports written to the shared folder and read back as a tree of files."""
+    projects = documents(spark, sf).select(F.col("source").alias("project_id"))
+    report = reports.findings_report(_secret_findings(spark, sf), "markdown", projects=projects)
+    folder = f"{shared_folder(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    reports.write_report(report.select("project_id", "report"), folder)
+    tree = file_source.read_tree(spark, folder, glob="*.txt")
+    return tree.select(F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), F.md5("content").alias("content_md5"))
+
+
 @query
 def gate_by_source(spark, sf):
     found = _secret_findings(spark, sf).withColumn("category", F.lit("security"))
