@@ -25,6 +25,9 @@ SEQUENCE = 1024
 END = 0
 DIMENSIONS, BITS, BUCKETS, SEED = 3, 16, 256, 17
 
+#: Texts whose new pieces are encoded together.
+TEXTS = 64
+
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tokens", pa.int64())] + [(f"x{i}", pa.float32()) for i in range(DIMENSIONS)])
 _TOKENS_DDL = "doc_id long, ids binary, tokens long, " + ", ".join(f"x{i} float" for i in range(DIMENSIONS))
 _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -69,21 +72,16 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """(doc_id, ids, tokens, x0, x1, ..): ids of each whole text and the end id, as bytes, and the projected vector's mean."""
 
     def run(source):
-        pieces = PieceIds(tokenizer)
+        pieces = PieceIds.shared(tokenizer)
         table = projection(1 << 8 * pieces.dtype.itemsize if pieces.dtype.itemsize == 2 else pieces.tokenizer.get_vocab_size())
         close = np.array([end], pieces.dtype).tobytes()
         for batch in source:
-            rows, size = [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = pieces.ids(text.as_py() or "") + close
-                units = np.frombuffer(ids, pieces.dtype)
-                mean = sum(table[units[i : i + 100_000]].sum(axis=0, dtype=np.float64) for i in range(0, len(units), 100_000)) / len(units)
-                rows.append((doc, ids, len(units), *mean.tolist()))
-                size += len(ids)
-                if size > 1 << 24:
-                    yield _columns(rows, _TOKENS)
-                    rows, size = [], 0
-            if rows:
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                found = [ids + close for ids in pieces.ids_of([t or "" for t in part.column("text").to_pylist()])]
+                units = [np.frombuffer(ids, pieces.dtype) for ids in found]
+                means = [sum(table[u[k : k + 100_000]].sum(axis=0, dtype=np.float64) for k in range(0, len(u), 100_000)) / len(u) for u in units]
+                rows = [(doc, ids, len(u), *m.tolist()) for doc, ids, u, m in zip(part.column("doc_id").to_pylist(), found, units, means, strict=True)]
                 yield _columns(rows, _TOKENS)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _TOKENS_DDL)

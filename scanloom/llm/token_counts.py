@@ -19,6 +19,8 @@ from scanloom.llm.tokens import PieceIds
 
 CHUNK, OVERLAP = 1 << 15, 256
 LIMIT = 2048
+#: Texts whose new pieces are encoded together.
+TEXTS = 64
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("chunks", pa.int32()), ("widened", pa.int32())])
 _COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long, chunks int, widened int"
@@ -97,18 +99,17 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
 
     def run(source):
-        pieces = PieceIds(tokenizer)
+        pieces = PieceIds.shared(tokenizer)
         for batch in source:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                if len(text) > chunk:
-                    got = spliced_count(text, pieces.tokenizer, chunk, overlap)
-                else:
-                    got = (len(pieces.ids(text)) // pieces.dtype.itemsize, 1, 0)
-                rows.append((doc, len(text.encode("utf-8", "surrogatepass")), *got))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(_COUNTS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                whole = pieces.ids_of([t if len(t) <= chunk else "" for t in texts])
+                rows = []
+                for doc, text, ids in zip(part.column("doc_id").to_pylist(), texts, whole, strict=True):
+                    got = (len(ids) // pieces.dtype.itemsize, 1, 0) if len(text) <= chunk else spliced_count(text, pieces.tokenizer, chunk, overlap)
+                    rows.append((doc, len(text.encode("utf-8", "surrogatepass")), *got))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, _COUNTS_DDL).withColumn("over_limit", F.col("n_tokens") > limit)
