@@ -678,17 +678,17 @@ def hunks_without_noise(spark, sf):
 
 @query
 def diff_markdown(spark, sf):
-    return reports.diff_report(hunk_table(spark, sf), "markdown")
+    return reports.report_of_diffs(diff_table(spark, sf), "markdown")
 
 
 @query
 def diff_json(spark, sf):
-    return reports.diff_report(hunk_table(spark, sf), "json")
+    return reports.report_of_diffs(diff_table(spark, sf), "json")
 
 
 @query
 def diff_sarif(spark, sf):
-    return reports.diff_report(hunk_table(spark, sf), "sarif")
+    return reports.report_of_diffs(diff_table(spark, sf), "sarif")
 
 
 @query

@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.arrays import let, with_fields
 from scanloom.functions.severity import FINDING_LEVELS
 from scanloom.operators.gate import top_findings, top_fixes
 from scanloom.plans.grouping import ITEMS_PER_PART, collect_in_parts
 from scanloom.plans.joins import join_lookup
-from scanloom.sources.diffs import added_lines, diff_totals
+from scanloom.sources.diffs import added_in, added_lines, diff_totals, hunks_in_row, truncated
 
 TOOL_NAME, TOOL_VERSION = "scanloom", "0.2.0"
 
@@ -185,7 +186,24 @@ def _with_truncation(hunks: DataFrame) -> DataFrame:
     return out.join(flags, "diff_id")
 
 
-def _diff_json(hunks: DataFrame) -> DataFrame:
+def _in_row(diffs: DataFrame, max_size: int | None, strategy: str) -> DataFrame:
+    """What ``_with_truncation`` gives, from whole diffs and without moving them."""
+    def shown(whole: Column) -> Column:
+        if max_size is not None:
+            return truncated(whole, max_size=max_size, strategy=strategy)
+        return _named(text=whole, is_truncated=F.lit(False), truncation_reason=F.lit(None).cast("string"))
+
+    rows = with_fields(diffs.select("diff_id", F.col("text").alias("_whole")), let(F.col("_whole"), shown)).drop("_whole")
+    rows = hunks_in_row(rows).where(F.size("files") > 0)
+    total = lambda field: F.aggregate("files", F.lit(0).cast("long"), lambda s, h: s + h[field])
+    return rows.withColumns({
+        "total_additions": total("additions"),
+        "total_deletions": total("deletions"),
+        "total_files": F.size(F.array_distinct(F.filter(F.transform("files", lambda h: h["file_path"]), lambda x: x.isNotNull()))).cast("long"),
+    })
+
+
+def _diff_json(rows: DataFrame) -> DataFrame:
     files = F.transform(
         "files",
         lambda h: _named(
@@ -202,7 +220,7 @@ def _diff_json(hunks: DataFrame) -> DataFrame:
     whole = F.struct(
         "total_files", "total_additions", "total_deletions", "is_truncated", "truncation_reason", files.alias("files")
     )
-    return _with_truncation(hunks).select("diff_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
+    return rows.select("diff_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def diff_hunks_json(hunks: DataFrame) -> DataFrame:
@@ -238,11 +256,20 @@ def added_line_results(hunks: DataFrame) -> DataFrame:
     )
 
 
-def _diff_sarif(hunks: DataFrame) -> DataFrame:
-    results = added_line_results(hunks).groupBy("diff_id").agg(
-        F.sort_array(F.collect_list(F.struct("rule_no", "rule_id", "uri", "line_no", "message"))).alias("r")
+def _diff_sarif(rows: DataFrame) -> DataFrame:
+    lines = F.flatten(
+        F.transform("files", lambda h: F.transform(added_in(h), lambda x: _named(uri=h["file_path"], line_no=x["line_no"], line=x["line"])))
     )
-    every = hunks.select("diff_id").distinct().join(results, "diff_id", "left")
+    numbered = F.transform(
+        lines,
+        lambda x, i: _named(
+            rule_id=F.format_string(RULE_FORMAT, i + 1),
+            uri=x["uri"],
+            line_no=x["line_no"],
+            message=F.concat(F.lit("Added line: "), F.trim(F.substring(x["line"], F.lit(2), F.length(x["line"])), F.lit(" \t\r"))),
+        ),
+    )
+    every = with_fields(rows, F.struct(numbered.alias("r")))
     found = F.transform(
         "r",
         lambda x: _named(
@@ -262,11 +289,10 @@ def _diff_sarif(hunks: DataFrame) -> DataFrame:
             defaultConfiguration=_named(level=F.lit("warning")),
         ),
     )
-    none = F.array().cast("array<struct<rule_no:bigint,rule_id:string,uri:string,line_no:int,message:string>>")
-    return every.withColumn("r", F.coalesce("r", none)).select("diff_id", _sarif(found, rules).alias("report"))
+    return every.select("diff_id", _sarif(found, rules).alias("report"))
 
 
-def _diff_markdown(hunks: DataFrame) -> DataFrame:
+def _diff_markdown(rows: DataFrame) -> DataFrame:
     note = F.when(
         F.col("is_truncated"), F.concat(F.lit("> ⚠️ **Diff Truncated**: "), F.col("truncation_reason"), F.lit("\n"))
     )
@@ -289,7 +315,7 @@ def _diff_markdown(hunks: DataFrame) -> DataFrame:
         ),
     )
     text = F.array_join(F.concat(F.array_compact(F.array(note, summary)), blocks), "\n")
-    return _with_truncation(hunks).select("diff_id", text.alias("report"))
+    return rows.select("diff_id", text.alias("report"))
 
 
 _DIFF_FORMATS = {"markdown": _diff_markdown, "json": _diff_json, "sarif": _diff_sarif}
@@ -297,7 +323,18 @@ _DIFF_FORMATS = {"markdown": _diff_markdown, "json": _diff_json, "sarif": _diff_
 
 def diff_report(hunks: DataFrame, format: str = "markdown") -> DataFrame:
     """``diff_id, report``: hunks of each diff as Markdown, JSON or SARIF."""
-    return _pick(_DIFF_FORMATS, format)(hunks)
+    return _pick(_DIFF_FORMATS, format)(_with_truncation(hunks))
+
+
+def report_of_diffs(
+    diffs: DataFrame, format: str = "markdown", *, max_size: int | None = None, strategy: str = "head"
+) -> DataFrame:
+    """``diff_id, report`` of each diff (``diff_id, text``) that changes a file, with no shuffle.
+
+    With ``max_size`` a longer diff is cut by the strategy first, and its report says so.
+    """
+    return _pick(_DIFF_FORMATS, format)(_in_row(diffs, max_size, strategy))
+
 
 
 # --- review comment ---------------------------------------------------------------

@@ -211,6 +211,40 @@ def parse(diffs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def hunks_in_row(diffs: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns of ``diffs`` and ``files``, an array with a struct per hunk in order.
+
+    What belongs to a diff is in its row before it is parsed and stays there, so a
+    report of whole diffs moves nothing.
+    """
+
+    def of_file(chunk: Column, i: Column) -> Column:
+        def of_hunk(f: Column, hunk: Column, j: Column) -> Column:
+            return let(
+                _hunk_fields(hunk),
+                lambda x: F.struct(
+                    (i + 1).alias("file_no"),
+                    (j + 1).alias("hunk_no"),
+                    F.coalesce(f["new_file"], f["old_file"]).alias("file_path"),
+                    *[f[c].alias(c) for c in ("old_file", "new_file", "diff_type")],
+                    *[x[c].alias(c) for c in ("additions", "deletions", "lines")],
+                    f["is_binary"].alias("is_binary"),
+                    *[x[c].alias(c) for c in ("old_start", "old_count", "new_start", "new_count")],
+                ),
+            )
+
+        return let(_file_fields(chunk), lambda f: F.transform(f["_hunks"], lambda h, j: of_hunk(f, h, j)))
+
+    files = F.flatten(F.transform(_file_chunks(F.col(text)), of_file))
+    return with_fields(diffs, F.struct(files.alias("files"))).drop(text)
+
+
+def added_in(hunk: Column) -> Column:
+    """array<struct<line_no, line>>: added lines of one hunk with their signs; a binary file has none."""
+    added = F.filter(_new_lines(hunk["lines"], hunk["new_start"]), lambda x: is_added(x["line"]))
+    return F.when(hunk["is_binary"], F.slice(added, F.lit(1), F.lit(0))).otherwise(added)
+
+
 def diff_totals(hunks: DataFrame) -> DataFrame:
     """Additions, deletions and files per diff."""
     return hunks.groupBy("diff_id").agg(
@@ -225,13 +259,13 @@ def changed_lines(diff: Column) -> Column:
     return F.regexp_count(diff, F.lit(r"(?md)^\+"))
 
 
-def _new_lines() -> Column:
+def _new_lines(lines: Column, new_start: Column) -> Column:
     """Lines of the new file in a hunk with their numbers: deleted lines and marks have none.
 
     A context line that lost its blank is taken as an empty line.
     """
-    kept = F.filter("lines", lambda x: x.startswith("+") | x.startswith(" ") | (x == ""))
-    return F.transform(kept, lambda x, i: F.struct((F.col("new_start") + i).alias("line_no"), x.alias("line")))
+    kept = F.filter(lines, lambda x: x.startswith("+") | x.startswith(" ") | (x == ""))
+    return F.transform(kept, lambda x, i: F.struct((new_start + i).alias("line_no"), x.alias("line")))
 
 
 def added_lines(hunks: DataFrame) -> DataFrame:
@@ -243,7 +277,7 @@ def added_lines(hunks: DataFrame) -> DataFrame:
     before = Window.partitionBy("diff_id").orderBy("file_no", "hunk_no").rowsBetween(Window.unboundedPreceding, -1)
     keep = [c for c in hunks.columns if c not in HUNK_COLUMNS]
     text = hunks.filter(~F.col("is_binary")).withColumn("_before", F.coalesce(F.sum("additions").over(before), F.lit(0)))
-    added = F.filter(_new_lines(), lambda x: is_added(x["line"]))
+    added = F.filter(_new_lines(F.col("lines"), F.col("new_start")), lambda x: is_added(x["line"]))
     return text.select(
         *keep, "file_no", "hunk_no", "file_path", "_before", F.posexplode(added).alias("_i", "_l")
     ).select(
@@ -260,7 +294,7 @@ def added_lines(hunks: DataFrame) -> DataFrame:
 def added_text(hunks: DataFrame) -> DataFrame:
     """Added lines without the running number: no window, so it also runs on a stream."""
     keep = [c for c in hunks.columns if c not in HUNK_COLUMNS]
-    added = F.filter(_new_lines(), lambda x: is_added(x["line"]))
+    added = F.filter(_new_lines(F.col("lines"), F.col("new_start")), lambda x: is_added(x["line"]))
     return (
         hunks.filter(~F.col("is_binary"))
         .select(*keep, "file_no", "hunk_no", "file_path", F.explode(added).alias("_l"))

@@ -155,3 +155,19 @@ def test_only_line_feeds_end_lines(spark):
     assert [r[:2] for r in parsed(spark, text)] == [("x", 1)]
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(diffs.changed_lines(F.col("t"))).first()[0] == 3
+
+
+@pytest.mark.parametrize("format", ["markdown", "json", "sarif"])
+def test_reports_of_whole_diffs_move_nothing(spark, hunks, format):
+    table = spark.createDataFrame([("one", ONE), ("many", MANY), ("none", "")], "diff_id string, text string")
+    whole = reports.report_of_diffs(table, format)
+    assert sorted(whole.collect()) == sorted(reports.diff_report(hunks, format).collect())
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_truncation_is_told_in_the_report(spark):
+    table = spark.createDataFrame([("one", ONE), ("many", MANY)], "diff_id string, text string")
+    got = {r.diff_id: r.report for r in reports.report_of_diffs(table, max_size=200).collect()}
+    assert got["many"].startswith(f"> ⚠️ **Diff Truncated**: {len(MANY)} characters, head 200 kept") and "Truncated" not in got["one"]
+    told = json.loads(reports.report_of_diffs(table, "json", max_size=200).where("diff_id = 'many'").first().report)
+    assert told["is_truncated"] and "head 200" in told["truncation_reason"]
