@@ -10,7 +10,9 @@ most are looked up and only new ones are encoded.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Pieces that a worker remembers at most, and characters that are cut into pieces at a time.
-MEMORY = 400_000
+MEMORY = 250_000
 WINDOW = 1 << 20
 #: Punctuation that may be cut from the word before it; no apostrophe, as that begins endings, nor brackets of special strings.
 PUNCTUATION = ".,;:!?*#%$&"
@@ -27,6 +29,7 @@ PUNCTUATION = ".,;:!?*#%$&"
 #: How byte-level tokenizers write bytes: printable ones as themselves, the others in turn from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+BLANK_SIGN = chr(BYTE_SIGNS[32])
 
 
 def load(path: str) -> Tokenizer:
@@ -67,6 +70,7 @@ class PieceIds:
     def __init__(self, path: str, memory: int = MEMORY):
         self.tokenizer, self.memory = load(path), memory
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes | bool] = {}
         self.tails: dict[str, bytes] = {}
         # A word of letters alone is one part for a byte-level tokenizer that normalises nothing: it goes to the merges at once.
@@ -85,17 +89,20 @@ class PieceIds:
         return held[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes() if sys.byteorder == "big" else array(self.code, ids).tobytes()
 
     def _encode_keys(self, keys: list[str]) -> Iterator[tuple[str, bytes]]:
         """Keys of pieces with ids of their own, each with them."""
         rest = keys
         if self.direct:
-            rest, merge, dtype = [], self.tokenizer.model.tokenize, self.dtype
+            rest, merge = [], self.tokenizer.model.tokenize
             for k in keys:
                 if k.isalpha():
-                    shown = (" " + k).encode("utf-8").decode("latin-1").translate(BYTE_SIGNS)
-                    yield k, np.array([t.id for t in merge(shown)], dtype).tobytes()
+                    shown = k if k.isascii() else k.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS)
+                    yield k, self._packed([t.id for t in merge(BLANK_SIGN + shown)])
                 else:
                     rest.append(k)
         yield from zip(rest, self._encode(list(map(self._text, rest))), strict=True)
@@ -145,14 +152,15 @@ class PieceIds:
         """The ids of several texts, whose new pieces are encoded together."""
         parts = [list(map(self._keys, windows(t))) if t else [] for t in texts]
         found = [[list(map(self.known.get, keys)) for keys in p] for p in parts]
-        missing = [k for p, q in zip(parts, found, strict=True) for keys, ids in zip(p, q, strict=True) if None in ids for k, i in zip(keys, ids, strict=True) if i is None]
-        fresh = self._learn(missing) if missing else {}
+        gaps = [(keys, ids, [n for n, i in enumerate(ids) if i is None]) for p, q in zip(parts, found, strict=True) for keys, ids in zip(p, q, strict=True) if None in ids]
+        fresh = self._learn([keys[n] for keys, _, at in gaps for n in at]) if gaps else {}
+        for keys, ids, at in gaps:
+            for n in at:
+                ids[n] = fresh[keys[n]]
         out = []
         for p, q in zip(parts, found, strict=True):
             done = []
             for keys, ids in zip(p, q, strict=True):
-                if None in ids:
-                    ids = [fresh[k] if i is None else i for k, i in zip(keys, ids, strict=True)]
                 try:
                     done.append(b"".join(ids))
                 except TypeError:  # a piece without ids of its own
