@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from scanloom.session import shared_folder
 
-#: A side of a join is broadcast if it is measured to have at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast if it is measured to have at most so many rows and bytes of files.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -33,13 +33,17 @@ def settle(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> list[tuple]:
+    """(file system, path) of each folder that a table is read from."""
+    sc = df.sparkSession.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})]
+    return [(p.getFileSystem(sc._jsc.hadoopConfiguration()), p) for p in paths]
+
+
 def drop_settled(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for place, path in _folders(df):
+        place.delete(path, True)
 
 
 @contextmanager
@@ -65,8 +69,10 @@ def batches(columns: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Cal
     return run
 
 
-def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a settled table of narrow rows, marked for broadcast if it is counted to be small."""
+def measured(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a settled table or columns of one, marked for broadcast if it is measured to be small in rows and bytes."""
+    if sum(place.getContentSummary(path).getLength() for place, path in _folders(df)) > size:
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
