@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from scanloom.session import shared_folder
 
+#: Rows that a Python worker gets at once while a table is written: whole texts are wide, and memory must not follow their number.
+BATCH_ROWS = 1000
+
 #: A side of a join is broadcast if it is measured to have at most so many rows and bytes of files.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
@@ -21,7 +24,7 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str = "table") -> DataFrame:
+def settle(df: DataFrame, what: str = "table", batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     A lost executor then costs the tasks it ran, not the work before this table.
@@ -29,7 +32,8 @@ def settle(df: DataFrame, what: str = "table") -> DataFrame:
     rows anew and Spark can split a hot key.
     """
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

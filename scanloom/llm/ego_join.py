@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import settle, small_batches
+from scanloom.llm.common import settle
 from scanloom.llm.components import components
 
 #: Axes of the grid, axes of the boxes, vectors of a block and of the smallest interval.
@@ -202,7 +202,7 @@ def node_links(nodes: DataFrame, min_cosine: float, grid: int = GRID_AXES, block
 
     ``nodes``: (node, label, vector, copies), usable vectors, no two equal under a label.
     """
-    spark, eps = nodes.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
+    eps = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
     axes = principal_axes(nodes)
     placed = nodes.mapInArrow(_gridded(axes, max(eps, 1e-6) + SLACK, grid), "node long, label string, dim int, copies long, cell array<int>, units binary")
     order = ["label", "dim", *(F.coalesce(F.get("cell", F.lit(i)), F.lit(0)) for i in range(grid)), "node"]
@@ -216,9 +216,8 @@ def node_links(nodes: DataFrame, min_cosine: float, grid: int = GRID_AXES, block
 
     wide = blocks.select("block", "dim", "nodes", "copies", "units")
     wide2 = blocks.select(F.col("block").alias("block2"), F.col("nodes").alias("nodes2"), F.col("copies").alias("copies2"), F.col("units").alias("units2"))
-    with small_batches(spark, 64):
-        met = pairs.join(wide, "block").join(wide2, "block2").select("block", "block2", "dim", "nodes", "copies", "units", "nodes2", "copies2", "units2")
-        return settle(met.mapInArrow(_join_blocks(axes, eps, min_cosine), "node long, links long, root long"), "links")
+    met = pairs.join(wide, "block").join(wide2, "block2").select("block", "block2", "dim", "nodes", "copies", "units", "nodes2", "copies2", "units2")
+    return settle(met.mapInArrow(_join_blocks(axes, eps, min_cosine), "node long, links long, root long"), "links", batch_rows=64)
 
 
 def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

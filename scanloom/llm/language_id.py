@@ -14,7 +14,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +29,10 @@ UNHASH = pow(HASH, -1, 1 << 64)
 MODEL_ENTRIES = 1 << 21
 CALIBRATION_TEXTS = 512
 UNDETERMINED = "und"
+#: Grams of a language that a worker gathers before it sorts them, and distinct ones that it holds before it hands them on.
+PENDING, HELD = 500_000, 500_000
+#: Grams of a text that are looked up at a time.
+LOOKUP = 250_000
 #: Texts of more characters than this vary no less in their cross-entropy.
 STEADY_CHARS = 400
 MARGIN = 1.25
@@ -103,13 +106,14 @@ def _count_grams(source):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
     for batch in source:
+        pa.default_memory_pool().release_unused()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             grams = grams_of(text.as_py(), table)
             raw.setdefault(lang, []).append(grams)
             size[lang] = size.get(lang, 0) + len(grams)
-            if size[lang] > 2_000_000:
+            if size[lang] > PENDING:
                 fold(lang)
-                if sum(len(g) for g, _ in held[lang]) > 1_000_000:
+                if sum(len(g) for g, _ in held[lang]) > HELD:
                     yield from out(lang)
     for lang in sorted({*raw, *held}):
         yield from out(lang)
@@ -211,8 +215,8 @@ class Tables:
             return 0, np.zeros(len(self.langs))
         mask = np.uint64((1 << 16 * order) - 1)
         total = np.zeros(len(self.langs))
-        for i in range(0, len(grams), 1_000_000):
-            hashed, n = _tally((grams[i : i + 1_000_000] & mask) * np.uint64(HASH))
+        for i in range(0, len(grams), LOOKUP):
+            hashed, n = _tally((grams[i : i + LOOKUP] & mask) * np.uint64(HASH))
             total -= n @ self.of(hashed, order).astype(np.float64)
         return len(grams), total / len(grams)
 
@@ -325,11 +329,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     held = spark.sparkContext.broadcast(model)
     names = [prefix + x for x in ("lang_pred", "score", "cross_entropy", "rejected")]
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def judged(source: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def judged(source: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = letter_table()
-        for texts in source:
-            yield pd.DataFrame([held.value.judge(t, letters) for t in texts], columns=["lang_pred", "score", "cross_entropy", "rejected"])
+        for texts in source:  # one text at a time becomes a Python string
+            columns = list(zip(*(held.value.judge(t.as_py(), letters) for t in texts), strict=True)) or [[]] * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "cross_entropy", "rejected"])
+            pa.default_memory_pool().release_unused()
 
     made = docs.withColumn("_judged", judged(F.col(text_col).cast("string")))
     return made.withColumns({n: F.col("_judged")[x] for n, x in zip(names, ("lang_pred", "score", "cross_entropy", "rejected"), strict=True)}).drop("_judged")

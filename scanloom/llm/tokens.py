@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Pieces that a worker remembers at most, and characters that are cut into pieces at a time.
-MEMORY = 250_000
+MEMORY = 200_000
 WINDOW = 1 << 20
 #: Punctuation that may be cut from the word before it; no apostrophe, as that begins endings, nor brackets of special strings.
 PUNCTUATION = ".,;:!?*#%$&"
