@@ -3,30 +3,34 @@
 Every labelled text gives its 4-grams of characters (UTF-16 code units, letters in
 lower case, all else one blank). Spark counts them and derives the lower orders'
 continuation counts, discounts, probabilities and back-off weights with grouped
-sums and joins. The model is a few sorted arrays of hashes with a row of log
-probabilities, one for each language; its number of entries is bounded, so it can
-be broadcast. A text goes to the language with the lowest cross-entropy per
-character. It is rejected if that is further above what the language's own texts
+sums and joins. The model keeps every gram and context. Up to a measured size it is
+a few sorted arrays of hashes with a row of log probabilities, one for each
+language, that are broadcast; beyond it stays in tables, and the grams of texts are
+counted and joined with it. A text goes to the language with the lowest
+cross-entropy per character. It is rejected if that is further above what the language's own texts
 have than a limit calibrated on a bounded sample of them.
 """
 
+import copy
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import drop_settled, settle
+from scanloom.llm.common import drop_settled, measured, settle
 
 ORDER = 4
 BLANK = 32
 #: The hash of a gram is its 64 bits times this odd number; the other undoes it.
 HASH = 0x9E3779B97F4A7C15
 UNHASH = pow(HASH, -1, 1 << 64)
-#: Bounds: entries of the model over all orders and languages, and texts per language that set the limits of rejection.
-MODEL_ENTRIES = 1 << 21
+#: A model of at most so many numbers of 4 bytes, over all orders and languages, is broadcast; a larger one is joined, with equal results.
+MODEL_ENTRIES = 1 << 23
+#: Texts per language that set the limits of rejection.
 CALIBRATION_TEXTS = 512
 UNDETERMINED = "und"
 #: Grams of a language that a worker gathers before it sorts them, and distinct ones that it holds before it hands them on.
@@ -221,6 +225,76 @@ class Tables:
         return len(grams), total / len(grams)
 
 
+class Joined:
+    """The model as tables: for each order (gram, own) and (context, back), arrays of logarithms by language, null and 0 where a language has none."""
+
+    def __init__(self, langs: list[str], orders: list[tuple[DataFrame, DataFrame]], unseen: np.ndarray):
+        self.langs, self.unseen = langs, unseen
+        self.orders = [(self._wide(p, "gram", "p", "own", None), self._wide(c, "context", "weight", "back", 0.0)) for p, c in orders]
+
+    def _wide(self, df: DataFrame, key: str, value: str, name: str, empty: float | None) -> DataFrame:
+        by_lang = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", F.log(value).cast("float")))).alias("logs"))
+        found = F.transform(F.lit(self.langs), lambda lang: F.coalesce(F.try_element_at("logs", lang), F.lit(empty).cast("float")))
+        return settle(by_lang.select(key, found.alias(name)), "model")
+
+    def logs(self, grams: DataFrame) -> DataFrame:
+        """(gram, logs, bare) for each distinct gram: by language the logarithm of its probability, and that of its last character alone."""
+        needed = {ORDER: settle(grams.select("gram").distinct(), "needed")}
+        for k in range(ORDER - 1, 0, -1):
+            needed[k] = settle(needed[k + 1].select(_last(k).alias("gram")).distinct(), "needed")
+        below = None
+        for k, (own, back) in enumerate(self.orders, 1):
+            context = F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")
+            found = needed[k].join(own, "gram", "left").withColumn("context", context).join(measured(back), "context", "left")
+            if below is None:
+                found = found.withColumn("lower", F.lit(self.unseen.tolist()).cast("array<float>"))
+            else:
+                found = found.withColumn("rest", _last(k - 1)).join(below, "rest")
+            left = F.transform("lower", lambda x, i: F.coalesce(F.get("back", i), F.lit(0.0).cast("float")) + x)
+            logs = F.transform(left, lambda x, i: F.coalesce(F.get("own", i), x))
+            made = settle(found.select("gram", logs.alias("logs"), (logs if below is None else F.col("bare")).alias("bare")), "logs")
+            below = made.select(F.col("gram").alias("rest"), F.col("logs").alias("lower"), "bare")
+        return made
+
+    def entropies(self, texts: DataFrame) -> DataFrame:
+        """(text_key, n, has_letters, h, bare) for each distinct text that has grams: its characters and its cross-entropies by language."""
+        counts = settle(texts.select("text").mapInArrow(_text_grams, _TEXT_GRAMS_DDL), "grams")
+        joined = counts.join(measured(self.logs(counts)), "gram")
+        # A text that is repeated has its grams and their number repeated alike.
+        sums = [F.sum(F.col("n") * F.col(c)[i].cast("double")).alias(f"{c}{i}") for c in ("logs", "bare") for i in range(len(self.langs))]
+        summed = joined.groupBy("text_key").agg(F.sum("n").alias("all"), F.first("chars").alias("n"), F.first("has_letters").alias("has_letters"), *sums)
+        mean = lambda c: F.array(*[-F.col(f"{c}{i}") / F.col("all") for i in range(len(self.langs))])
+        return summed.select("text_key", "n", "has_letters", mean("logs").alias("h"), mean("bare").alias("bare"))
+
+
+def _last(k: int) -> Column:
+    """The last k characters of a gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1).cast("long"))
+
+
+_TEXT_GRAMS = pa.schema([("text_key", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("has_letters", pa.bool_())])
+_TEXT_GRAMS_DDL = "text_key binary, gram long, n long, chars long, has_letters boolean"
+
+
+def text_key(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _text_grams(source):
+    """The distinct grams of each text with their counts."""
+    letters = letter_table()
+    for batch in source:
+        for text in batch.column("text"):
+            if (text := text.as_py()) is None:
+                continue
+            grams, n = _tally(grams_of(text, letters))
+            key, chars, lettered = text_key(text), int(n.sum()), has_letter(text)
+            for i in range(0, len(grams), LOOKUP):
+                g, m = grams[i : i + LOOKUP], n[i : i + LOOKUP]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(g), pa.binary()), pa.array(g.view(np.int64)), pa.array(m.astype(np.int64)), pa.array([chars] * len(g), pa.int64()), pa.array([lettered] * len(g))], schema=_TEXT_GRAMS)
+        pa.default_memory_pool().release_unused()
+
+
 class Model:
     """Tables, and by language the usual cross-entropy and how far above it texts may lie.
 
@@ -229,68 +303,78 @@ class Model:
     lie above those learned from.
     """
 
-    def __init__(self, tables: Tables):
-        self.tables, self.sharpness = tables, 1.0
+    def __init__(self, tables: Tables | Joined):
+        self.tables, self.langs, self.sharpness = tables, tables.langs, 1.0
         self.usual = np.zeros(len(tables.langs))
         self.reach = np.full(len(tables.langs), np.inf)
         self.slack = np.zeros(len(tables.langs))
 
     def judge(self, text: str | None, letters: np.ndarray) -> tuple[str, float, float | None, bool]:
         """(language, score, cross-entropy, rejected). The score is the calibrated share of the best language."""
-        if not self.tables.langs or not has_letter(text):
+        if not self.langs or not has_letter(text):
             return UNDETERMINED, 0.0, None, True
-        n, h = self.tables.entropies(text, letters)
+        if isinstance(self.tables, Joined):
+            spark = self.tables.orders[0][0].sparkSession
+            return tuple(predict(spark.createDataFrame([(text,)], "text string"), self).drop("text").first())
+        return self.verdict(*self.tables.entropies(text, letters))
+
+    def verdict(self, n: int, h: np.ndarray) -> tuple[str, float, float, bool]:
         best = int(np.argmin(h))
         share = float(1 / np.exp(np.maximum(-700, -self.sharpness * (h - h[best]))).sum())
         limit = self.usual[best] + max(self.slack[best], self.reach[best] / np.sqrt(min(n, STEADY_CHARS)))
-        return self.tables.langs[best], share, float(h[best]), bool(h[best] > limit)
+        return self.langs[best], share, float(h[best]), bool(h[best] > limit)
 
 
 def train(labelled: DataFrame, model_entries: int = MODEL_ENTRIES, calibration_texts: int = CALIBRATION_TEXTS) -> Model:
     """A model of all texts of ``labelled`` (key, lang, text).
 
-    Rows with a null language or text are left out. All texts are counted. If there
-    are more grams than ``model_entries``, the rarer ones of the two highest orders
-    fall to the lower orders' probabilities; ``calibration_texts`` texts of each
+    Rows with a null language or text are left out. All texts are counted, and all
+    their grams and contexts are kept. A model of up to ``model_entries`` numbers is
+    held in memory, a larger one in tables; ``calibration_texts`` texts of each
     language, dealt by the hash of their key, set sharpness and limits.
     """
     labelled = labelled.where("lang is not null and text is not null")
     counts = settle(gram_counts(labelled), "grams")
-    orders = kneser_ney(counts)
-    langs = sorted(r["lang"] for r in orders[0][0].select("lang").distinct().collect())
-    index = {lang: i for i, lang in enumerate(langs)}
-    room = max(1, model_entries // max(1, 2 * ORDER * len(langs)))
-
-    def bounded(df: DataFrame, key: str, value: str, by: str) -> tuple:
-        parts = [df.where(F.col("lang") == lang).orderBy(F.desc(by), key).limit(room).select("lang", key, F.log(value).alias("log")).toPandas() for lang in langs]
-        lang = np.concatenate([p["lang"].map(index).to_numpy(np.int64) for p in parts] or [np.zeros(0, np.int64)])
-        return lang, np.concatenate([p[key].to_numpy(np.int64) for p in parts] or [np.zeros(0, np.int64)]), np.concatenate([p["log"].to_numpy(np.float64) for p in parts] or [np.zeros(0)])
-
-    contexts = [settle(c, "contexts") for _, c in orders]
-    rows = [bounded(p, "gram", "p", "n") for p, _ in orders]
-    weights = [bounded(c, "context", "weight", "total") for c in contexts]
-    share = {r["lang"]: r["types"] for r in contexts[0].collect()}
-    model = Model(Tables(langs, rows, weights, np.array([-np.log(share[lang] + 1.0) for lang in langs], np.float32)))
-    for p, _ in orders:
-        drop_settled(p)
-    for c in [counts, *contexts]:
-        drop_settled(c)
+    orders = [(p, settle(c, "contexts")) for p, c in kneser_ney(counts)]
+    share = {r["lang"]: r["types"] for r in orders[0][1].collect()}
+    langs = sorted(share)
+    unseen = np.array([-np.log(share[lang] + 1.0) for lang in langs], np.float32)
+    if _entries(orders, len(langs), model_entries) <= model_entries:
+        index = {lang: i for i, lang in enumerate(langs)}
+
+        def held(df: DataFrame, key: str, value: str) -> tuple:
+            got = df.select("lang", key, F.log(value).alias("log")).toArrow()
+            lang = got["lang"].combine_chunks().dictionary_encode()
+            at = np.array([index[x] for x in lang.dictionary.to_pylist()], np.int64)
+            return at[lang.indices.to_numpy()], got[key].to_numpy(), got["log"].to_numpy()
+
+        model = Model(Tables(langs, [held(p, "gram", "p") for p, _ in orders], [held(c, "context", "weight") for _, c in orders], unseen))
+    else:
+        model = Model(Joined(langs, orders, unseen))
+    for df in [counts, *(t for pair in orders for t in pair)]:
+        drop_settled(df)
     if langs:
         _calibrate(model, labelled, calibration_texts)
     return model
 
 
-def _calibrate(model: Model, labelled: DataFrame, texts: int) -> None:
-    spark, langs = labelled.sparkSession, model.tables.langs
-    keyed = labelled.withColumn("deal", F.xxhash64("key", "text"))
-    # Only ids are dealt here; the texts follow by a join, so the driver holds neither.
-    dealt = None
-    for lang in langs:
-        part = keyed.where(F.col("lang") == lang).select("lang", "deal").orderBy("deal").limit(texts)
-        dealt = part if dealt is None else dealt.unionByName(part)
-    chosen = settle(dealt.distinct(), "sample")
-    sample = keyed.join(F.broadcast(chosen), ["lang", "deal"])  # at most ``texts`` rows a language
-    held = spark.sparkContext.broadcast(model.tables)
+def _entries(orders: list[tuple[DataFrame, DataFrame]], langs: int, most: int) -> int:
+    """Numbers of 4 bytes in the arrays of the model, a key as two; counted until there are more than ``most``."""
+    found = 0
+    for p, c in reversed(orders):
+        for keys in (p.select("gram"), c.select("context")):
+            found += keys.distinct().count() * (langs + 2)
+            if found > most:
+                return found
+    return found
+
+
+def _entropies(texts: DataFrame, tables: Tables | Joined) -> DataFrame:
+    """(lang, n, h, bare) of the texts with grams: characters, cross-entropies by language, and those by single characters."""
+    if isinstance(tables, Joined):
+        found, keyed = tables.entropies(texts), texts.select("lang", _key_of("text").alias("text_key"))
+        return keyed.join(found, "text_key").select("lang", "n", "h", "bare")
+    held = texts.sparkSession.sparkContext.broadcast(tables)
     schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("h", pa.list_(pa.float64())), ("bare", pa.list_(pa.float64()))])
 
     def run(source):
@@ -301,7 +385,24 @@ def _calibrate(model: Model, labelled: DataFrame, texts: int) -> None:
             bare = [held.value.entropies(t, letters, 1)[1].tolist() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([n for n, _ in got], pa.int64()), pa.array([h.tolist() for _, h in got], schema.field("h").type), pa.array(bare, schema.field("h").type)], schema=schema)
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, n long, h array<double>, bare array<double>").where("n > 0").collect()
+    return texts.select("lang", "text").mapInArrow(run, "lang string, n long, h array<double>, bare array<double>").where("n > 0")
+
+
+def _key_of(text_col: str) -> Column:
+    return F.unhex(F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8")))
+
+
+def _calibrate(model: Model, labelled: DataFrame, texts: int) -> None:
+    langs = model.langs
+    keyed = labelled.withColumn("deal", F.xxhash64("key", "text"))
+    # Only ids are dealt here; the texts follow by a join, so the driver holds neither.
+    dealt = None
+    for lang in langs:
+        part = keyed.where(F.col("lang") == lang).select("lang", "deal").orderBy("deal").limit(texts)
+        dealt = part if dealt is None else dealt.unionByName(part)
+    chosen = settle(dealt.distinct(), "sample")
+    sample = keyed.join(F.broadcast(chosen), ["lang", "deal"])  # at most ``texts`` rows a language
+    rows = _entropies(sample, model.tables).collect()
     best_like, best = -np.inf, 1.0
     gaps = np.array([np.array(r["h"]) - r["h"][langs.index(r["lang"])] for r in rows]).reshape(-1, len(langs))
     for sharpness in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
@@ -326,8 +427,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     first by name. Columns of the same names are replaced.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
     names = [prefix + x for x in ("lang_pred", "score", "cross_entropy", "rejected")]
+    if isinstance(model.tables, Joined):
+        return _predict_joined(docs, model, text_col, names)
+    held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def judged(source: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -342,6 +445,26 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     return made.withColumns({n: F.col("_judged")[x] for n, x in zip(names, ("lang_pred", "score", "cross_entropy", "rejected"), strict=True)}).drop("_judged")
 
 
+def _predict_joined(docs: DataFrame, model: Model, text_col: str, names: list[str]) -> DataFrame:
+    light = copy.copy(model)
+    light.tables = None
+    held = docs.sparkSession.sparkContext.broadcast(light)
+    schema = pa.schema([("_text_key", pa.binary()), ("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_rejected", pa.bool_())])
+
+    def run(source):
+        for batch in source:
+            got = [held.value.verdict(n, np.array(h.as_py())) for n, h in zip(batch.column("n").to_pylist(), batch.column("h"), strict=True)]
+            columns = list(zip(*got, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    found = model.tables.entropies(texts).where("has_letters").select("text_key", "n", "h")
+    judged = settle(found.mapInArrow(run, "_text_key binary, _lang string, _score double, _entropy double, _rejected boolean"), "judged")
+    made = docs.withColumn("_key", _key_of(text_col)).join(measured(judged), F.col("_key") == F.col("_text_key"), "left")
+    values = (F.coalesce("_lang", F.lit(UNDETERMINED)), F.coalesce("_score", F.lit(0.0)), F.col("_entropy"), F.coalesce("_rejected", F.lit(True)))
+    return made.withColumns(dict(zip(names, values, strict=True))).drop("_key", "_text_key", "_lang", "_score", "_entropy", "_rejected")
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(key, lang, text) of the rows to learn from: crc32 of the id as text, modulo 4, is not 2, and neither lang nor text is null.
 

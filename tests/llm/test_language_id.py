@@ -71,6 +71,19 @@ def test_bounded_model_still_tells_languages_apart(spark):
     assert small.judge("the dog on the hill", LETTERS)[0] == "en" and small.judge("das haus und der hund", LETTERS)[0] == "de"
 
 
+def test_a_model_too_large_to_broadcast_keeps_all_and_judges_alike(spark, model, odd_docs):
+    rows = [(str(i), lang, t) for lang, texts in (("en", EN), ("de", DE)) for i, t in enumerate(texts)]
+    large = lid.train(spark.createDataFrame(rows, "key string, lang string, text string"), model_entries=400)
+    assert isinstance(large.tables, lid.Joined) and isinstance(model.tables, lid.Tables)
+    assert [own.count() for own, _ in large.tables.orders] == [len(k) for k in model.tables.keys]
+    texts = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(20 + i, t) for i, t in enumerate([*EN, *DE, "the house is größer", "qxzj wvkq"])], "doc_id long, text string"))
+    one, other = (sorted(lid.predict(texts, m).collect(), key=repr) for m in (model, large))
+    assert len(one) == len(other)
+    for a, b in zip(one, other, strict=True):
+        assert (a.doc_id, a.text, a.lang_pred, a.rejected) == (b.doc_id, b.text, b.lang_pred, b.rejected)
+        assert a.score == pytest.approx(b.score, rel=1e-6) and a.cross_entropy == (None if b.cross_entropy is None else pytest.approx(b.cross_entropy, rel=1e-6))
+
+
 def test_judgement_and_rejection(model):
     assert model.judge("the other house that they have", LETTERS)[0] == "en"
     assert model.judge("ich und der hund sind größer", LETTERS)[0] == "de"
