@@ -8,7 +8,7 @@ a few sorted arrays of hashes with a row of log probabilities, one for each
 language, that are broadcast; beyond it stays in tables, and the grams of texts are
 counted and joined with it. A text goes to the language with the lowest
 cross-entropy per character. It is rejected if that is further above what the language's own texts
-have than a limit calibrated on a bounded sample of them.
+have than a limit calibrated on all of them.
 """
 
 import copy
@@ -30,7 +30,7 @@ HASH = 0x9E3779B97F4A7C15
 UNHASH = pow(HASH, -1, 1 << 64)
 #: A model of at most so many numbers of 4 bytes, over all orders and languages, is broadcast; a larger one is joined, with equal results.
 MODEL_ENTRIES = 1 << 23
-#: Texts per language that set the limits of rejection.
+#: Texts per language that set the sharpness of the score; the limits of rejection come from all texts.
 CALIBRATION_TEXTS = 512
 UNDETERMINED = "und"
 #: Grams of a language that a worker gathers before it sorts them, and distinct ones that it holds before it hands them on.
@@ -330,8 +330,8 @@ def train(labelled: DataFrame, model_entries: int = MODEL_ENTRIES, calibration_t
 
     Rows with a null language or text are left out. All texts are counted, and all
     their grams and contexts are kept. A model of up to ``model_entries`` numbers is
-    held in memory, a larger one in tables; ``calibration_texts`` texts of each
-    language, dealt by the hash of their key, set sharpness and limits.
+    held in memory, a larger one in tables. Limits come from all texts; ``calibration_texts``
+    texts of each language, dealt by the hash of their key, set the sharpness.
     """
     labelled = labelled.where("lang is not null and text is not null")
     counts = settle(gram_counts(labelled), "grams")
@@ -370,22 +370,22 @@ def _entries(orders: list[tuple[DataFrame, DataFrame]], langs: int, most: int) -
 
 
 def _entropies(texts: DataFrame, tables: Tables | Joined) -> DataFrame:
-    """(lang, n, h, bare) of the texts with grams: characters, cross-entropies by language, and those by single characters."""
+    """(lang, deal, n, h, bare) of the texts with grams: characters, cross-entropies by language, and those by single characters."""
     if isinstance(tables, Joined):
-        found, keyed = tables.entropies(texts), texts.select("lang", _key_of("text").alias("text_key"))
-        return keyed.join(found, "text_key").select("lang", "n", "h", "bare")
+        found, keyed = tables.entropies(texts), texts.select("lang", "deal", _key_of("text").alias("text_key"))
+        return keyed.join(found, "text_key").select("lang", "deal", "n", "h", "bare")
     held = texts.sparkSession.sparkContext.broadcast(tables)
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("h", pa.list_(pa.float64())), ("bare", pa.list_(pa.float64()))])
+    schema = pa.schema([("lang", pa.string()), ("deal", pa.int64()), ("n", pa.int64()), ("h", pa.list_(pa.float64())), ("bare", pa.list_(pa.float64()))])
 
     def run(source):
         letters = letter_table()
         for batch in source:
-            texts = [t.as_py() for t in batch.column("text")]
-            got = [held.value.entropies(t, letters) for t in texts]
-            bare = [held.value.entropies(t, letters, 1)[1].tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([n for n, _ in got], pa.int64()), pa.array([h.tolist() for _, h in got], schema.field("h").type), pa.array(bare, schema.field("h").type)], schema=schema)
+            got = [held.value.entropies(t.as_py(), letters) for t in batch.column("text")]
+            bare = [held.value.entropies(t.as_py(), letters, 1)[1].tolist() for t in batch.column("text")]
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("deal"), pa.array([n for n, _ in got], pa.int64()), pa.array([h.tolist() for _, h in got], schema.field("h").type), pa.array(bare, schema.field("h").type)], schema=schema)
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, n long, h array<double>, bare array<double>").where("n > 0")
+    return texts.select("lang", "deal", "text").mapInArrow(run, "lang string, deal long, n long, h array<double>, bare array<double>").where("n > 0")
 
 
 def _key_of(text_col: str) -> Column:
@@ -394,15 +394,12 @@ def _key_of(text_col: str) -> Column:
 
 def _calibrate(model: Model, labelled: DataFrame, texts: int) -> None:
     langs = model.langs
-    keyed = labelled.withColumn("deal", F.xxhash64("key", "text"))
-    # Only ids are dealt here; the texts follow by a join, so the driver holds neither.
+    scored = settle(_entropies(labelled.select("lang", F.xxhash64("key", "text").alias("deal"), "text"), model.tables), "scored")
     dealt = None
     for lang in langs:
-        part = keyed.where(F.col("lang") == lang).select("lang", "deal").orderBy("deal").limit(texts)
+        part = scored.where(F.col("lang") == lang).orderBy("deal").select("lang", "h").limit(texts)
         dealt = part if dealt is None else dealt.unionByName(part)
-    chosen = settle(dealt.distinct(), "sample")
-    sample = keyed.join(F.broadcast(chosen), ["lang", "deal"])  # at most ``texts`` rows a language
-    rows = _entropies(sample, model.tables).collect()
+    rows = dealt.collect()
     best_like, best = -np.inf, 1.0
     gaps = np.array([np.array(r["h"]) - r["h"][langs.index(r["lang"])] for r in rows]).reshape(-1, len(langs))
     for sharpness in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
@@ -410,13 +407,20 @@ def _calibrate(model: Model, labelled: DataFrame, texts: int) -> None:
         if like > best_like:
             best_like, best = like, sharpness
     model.sharpness = best
-    for i, lang in enumerate(langs):
-        own = [(r["n"], r["h"][i], r["bare"][i]) for r in rows if r["lang"] == lang]
-        if own:
-            n, h, bare = (np.array(x, float) for x in zip(*own, strict=True))
-            model.usual[i] = np.median(h)
-            model.reach[i] = MARGIN * max(0.5, ((h - model.usual[i]) * np.sqrt(np.minimum(n, STEADY_CHARS))).max())
-            model.slack[i] = max(0.0, (np.median(bare) - model.usual[i]) / 2)
+    place = F.array_position(F.lit(langs), F.col("lang")).cast("int")
+    own = scored.select("lang", "n", F.element_at("h", place).alias("h"), F.element_at("bare", place).alias("bare"))
+    middle = own.groupBy("lang").agg(*(F.percentile_approx(c, 0.5, 100_000).alias(c) for c in ("h", "bare"))).collect()
+    usual = {r["lang"]: r["h"] for r in middle}
+    if not usual:
+        return
+    above = F.col("h") - F.element_at(F.create_map(*[F.lit(x) for pair in usual.items() for x in pair]), F.col("lang"))
+    reach = own.groupBy("lang").agg(F.max(above * F.sqrt(F.least("n", F.lit(STEADY_CHARS)))).alias("reach")).collect()
+    for r in middle:
+        i = langs.index(r["lang"])
+        model.usual[i], model.slack[i] = r["h"], max(0.0, (r["bare"] - r["h"]) / 2)
+    for r in reach:
+        model.reach[langs.index(r["lang"])] = MARGIN * max(0.5, r["reach"])
+    drop_settled(scored)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:

@@ -92,6 +92,15 @@ def test_judgement_and_rejection(model):
     assert model.judge("qxzj wvkq jjxz pqvw zzkx qqjw " * 10, LETTERS)[3]
 
 
+def test_limits_of_rejection_come_from_all_texts(spark):
+    rows = [(str(i), "en", EN[0]) for i in range(40)] + [(str(40 + i), "de", t) for i, t in enumerate(DE)] + [("rare", "en", "zqxj")]
+    limits = [lid.train(spark.createDataFrame(rows, "key string, lang string, text string"), calibration_texts=n) for n in (1, 2, 100)]
+    assert len({tuple(m.reach) for m in limits}) == len({tuple(m.usual) for m in limits}) == 1
+    n, h = limits[0].tables.entropies("zqxj", LETTERS)
+    en = limits[0].langs.index("en")
+    assert limits[0].reach[en] == pytest.approx(lid.MARGIN * (h[en] - limits[0].usual[en]) * n**0.5)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = lid.identify(odd_docs).select("doc_id", "text", "lang_pred", "score", "rejected", "held_out").collect()
     assert len(got) == odd_docs.count()
