@@ -1,6 +1,8 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions and the JVM's forest only.
 
-Candidates are runs of 16 or more characters of keys and tokens. Each gets numbers
+Candidates are runs of 16 or more characters of keys and tokens, and all that the
+secret patterns find: tokens, and values of any length and characters in quotes that
+are assigned to a name of secrets. Each gets numbers
 for its length and characters, the transitions between its characters, how much of
 it the corpus' dictionary covers, its path, and the words beside it. A forest is
 fitted on labelled findings and gives each candidate the probability of a secret.
@@ -16,11 +18,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.patterns import ASSIGN_HINT, GENERIC_JS, GENERIC_PY, TOKEN_PATTERNS
 from scanloom.llm.common import measured, settle
 
 CHARACTERS = "A-Za-z0-9_+/="
 LEAST_LENGTH = 16
 CANDIDATE = rf"(?<![{CHARACTERS}\-])[{CHARACTERS}\-]{{{LEAST_LENGTH},}}+"
+WHOLE_RUN = rf"^[{CHARACTERS}\-]{{{LEAST_LENGTH},}}$"
+#: A token, and a value with its name and quotes.
+TOKEN = "|".join(f"(?:{p.regex})" for p in TOKEN_PATTERNS)
+TOKEN_HINT = "|".join(p.hint for p in TOKEN_PATTERNS)
+QUOTED = r"""["']([^"']{1,})["']"""
+ASSIGNMENT = "|".join(f"(?:{p.regex})" for p in (GENERIC_JS, GENERIC_PY))
+ASSIGNED_TO = "|".join(f"(?:{p.regex.removesuffix(QUOTED)}[\"']$)" for p in (GENERIC_JS, GENERIC_PY))
 #: Characters before and after a candidate that count as beside it.
 BEFORE, AFTER = 48, 16
 #: A word is in the dictionary if it occurs so often in the corpus.
@@ -44,12 +54,44 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(doc_id, path, number, candidate, before, after): each candidate of each whole text; number counts those of a text from 0."""
+    """(doc_id, path, number, candidate, before, after): each candidate of each whole text; number counts those of a text from 0.
+
+    First come the long runs, then assigned values, then tokens, each in the order of
+    the text; what is a long run or an assigned value as a whole comes only once.
+    """
     text = F.col(text_col).cast("string")
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found"), text.alias("text"))
-    split = split.where(F.size("found") > 0).withColumn("between", F.split("text", CANDIDATE, -1))
-    beside = F.transform("found", lambda c, i: F.struct(i.alias("number"), c.alias("candidate"), F.right(F.get("between", i), F.lit(BEFORE)).alias("before"), F.left(F.get("between", i + 1), F.lit(AFTER)).alias("after")))
-    return split.select("doc_id", "path", F.inline(beside))
+    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text.alias("text"))
+    for name, regex, hint in (("run", CANDIDATE, None), ("value", ASSIGNMENT, ASSIGN_HINT), ("token", TOKEN, TOKEN_HINT)):
+        found = F.regexp_extract_all("text", F.lit(regex), 0)
+        split = split.withColumn(name, found if hint is None else F.when(F.col("text").rlike(hint), found))
+    split = split.where("size(run) > 0 or size(value) > 0 or size(token) > 0")
+    for name, regex in (("run", CANDIDATE), ("value", ASSIGNMENT), ("token", TOKEN)):
+        split = split.withColumn(f"{name}_between", F.when(F.size(name) > 0, F.split("text", regex, -1)))
+
+    def place(candidate: Column, before: Column, after: Column) -> Column:
+        return F.struct(candidate.alias("candidate"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
+
+    def beside(name: str, of=lambda found, before, after: place(found, before, after)) -> Column:
+        made = F.transform(name, lambda c, i: of(c, F.get(f"{name}_between", i), F.get(f"{name}_between", i + 1)))
+        return F.coalesce(made, F.array().cast("array<struct<candidate:string,before:string,after:string>>"))
+
+    def value(found: Column, before: Column, after: Column) -> Column:
+        named = F.regexp_extract(found, r"""^[^"']*["']""", 0)
+        inner = F.substring(found, F.length(named) + 1, F.length(found) - F.length(named) - 1)
+        return place(inner, F.concat(before, named), F.concat(F.right(found, F.lit(1)), after))
+
+    def is_run(c: Column) -> Column:
+        return c["candidate"].rlike(WHOLE_RUN) & ~c["before"].rlike(rf"[{CHARACTERS}\-]$") & ~c["after"].rlike(rf"^[{CHARACTERS}\-]")
+
+    def token(found: Column, before: Column, after: Column) -> Column:
+        whole = before.rlike(ASSIGNED_TO) & after.rlike("^[\"']") & F.array_contains(F.transform("value", lambda c: c["candidate"]), found)
+        return F.when(~whole, place(found, before, after))
+
+    split = split.withColumn("value", beside("value", value))
+    split = split.withColumn("token", F.filter(beside("token", token), lambda c: c.isNotNull() & ~is_run(c))).withColumn("run", beside("run"))
+    split = split.withColumn("value", F.filter("value", lambda c: ~is_run(c)))
+    every = F.concat("run", "value", "token")
+    return split.select("doc_id", "path", F.inline(F.transform(every, lambda c, i: F.struct(i.alias("number"), c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after")))))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", least: int = DICTIONARY_COUNT) -> DataFrame:

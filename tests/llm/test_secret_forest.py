@@ -15,6 +15,26 @@ def test_candidates_with_what_stands_beside_them(spark, odd_docs, no_docs):
     assert [r.candidate for r in sf.candidates(odd_docs).collect()] == ["x" * 5000] and sf.candidates(no_docs).count() == 0
 
 
+def test_short_and_broken_secrets_are_candidates(spark):
+    rows = [
+        (1, """password = "hunter22" and api_key = 'ab12cd34'"""),
+        (2, 'token="p@ss.w0rd!$ x"'),
+        (3, "use sk_live_ab.cd.ef.gh1 here"),
+        (4, 'let apiKey = "k" and const stripeKey = "sk_test_12.34.56.78"'),
+        (5, 'api_key = "sk_live_0123456789abcdef"'),
+        (6, 'password = "see 0123456789abcdef0123"'),
+        (7, "no secrets here, name = 'hunter22'"),
+    ]
+    got = {}
+    for r in sf.candidates(spark.createDataFrame([(*r, "src") for r in rows], "doc_id long, text string, source string")).orderBy("doc_id", "number").collect():
+        got.setdefault(r.doc_id, []).append(r.candidate)
+    assert got == {
+        1: ["hunter22", "ab12cd34"], 2: ["p@ss.w0rd!$ x"], 3: ["sk_live_ab.cd.ef.gh1"], 4: ["k", "sk_test_12.34.56.78"],
+        5: ["sk_live_0123456789abcdef"], 6: ["0123456789abcdef0123", "see 0123456789abcdef0123"],
+    }
+    assert {r.candidate: r.label for r in sf.scan(spark.createDataFrame([(1, rows[0][1], "src")], "doc_id long, text string, source string")).collect()} == {"hunter22": 1, "ab12cd34": 1}
+
+
 def test_features_by_hand(spark):
     rows = [(1, "c/tests/a.yml", 0, "Abc123Abc123abcd", 'key: "', '"'), (2, "", 0, "----------------", "", "")]
     found = spark.createDataFrame(rows, "candidate_id long, path string, number int, candidate string, before string, after string")
