@@ -212,25 +212,30 @@ def read_archives(paths: DataFrame, keep_payload: bool = False) -> DataFrame:
 
     payload_bytes of a revisit is the length that its HTTP header says, null if it says
     none; payload is null unless ``keep_payload``, and for revisits. error is null for a
-    record whose framing and digests hold.
+    record whose framing and digests hold. If ``paths`` has a column ``records``, the
+    task of an archive with fewer or more members fails.
     """
 
     def run(source):
         for batch in source:
-            for path in batch.column("path").to_pylist():
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 place, file = fs.FileSystem.from_uri(path)
-                rows, size = [], 0
+                rows, size, members = [], 0, 0
                 with place.open_input_stream(file, compression=None) as stream:
                     for row in read_records(stream, keep_payload):
                         rows.append({"path": path, **row})
+                        members += 1
                         size += len(row.get("payload") or b"") + 500
                         if size > 1 << 24:
                             yield pa.RecordBatch.from_pylist(rows, _ROWS)
                             rows, size = [], 0
+                if records is not None and members != records:
+                    raise ValueError(f"{path} has {members} records and not {records}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
-    files = paths.select("path").where("path is not null")
+    records = F.col("records").cast("long") if "records" in paths.columns else F.lit(None).cast("long")
+    files = paths.select("path", records.alias("records")).where("path is not null")
     return files.repartition(max(1, files.count())).mapInArrow(run, _ROWS_DDL)
 
 

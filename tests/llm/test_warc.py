@@ -56,3 +56,14 @@ def test_payloads_are_read_back(spark, tmp_path):
     for r in read.collect():
         assert r.payload.decode() == by_id[int(r.record_id.rsplit(":", 1)[1])]
     assert written.selectExpr("sum(records)").first()[0] == len(by_id)
+
+
+def test_an_archive_cut_between_members_is_an_error(spark, tmp_path):
+    members = [warc.record(i, None, b"page", None, False) for i in range(2)]
+    path = tmp_path / "cut.warc.gz"
+    path.write_bytes(members[0])
+    archives = lambda n: spark.createDataFrame([(f"file://{path}", n)], "path string, records long")
+    assert warc.read_archives(archives(1)).count() == warc.read_archives(archives(2).select("path")).count() == 1
+    for wrong in (0, 2):
+        with pytest.raises(Exception, match="has 1 records and not"):
+            warc.read_archives(archives(wrong)).collect()
