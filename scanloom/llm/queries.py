@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import ego_join, language_id, line_dedup, line_frequency, mixing, packing, secret_forest, simhash, token_counts, warc
+from scanloom.llm import ego_join, language_id, line_dedup, line_frequency, merkle, mixing, packing, secret_forest, sentence_pieces, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,22 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "number", F.md5(F.encode("candidate", "UTF-8")).alias("candidate_md5"), F.col("size").cast("long").alias("size"), "held_out", "label", "p_secret", "secret")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows proved; of every seventh (by its id's checksum) a copy with another n_chars is what is claimed."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = [F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars")) if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    proved = merkle.prove(merkle.build(_table(spark, sf_dir, "documents"), merkle.leaf_digest(claimed)))
+    proof = F.sha2(F.array_join("siblings", "").cast("binary"), 256)
+    return proved.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_language_id": op2_language_id,
@@ -73,6 +89,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_forest": op10_secret_forest,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 ORACLES: dict[str, str] = {
@@ -147,5 +165,31 @@ drawn AS (SELECT docs.*, whole, rest, md5('mix-1|' || whole || '|' || doc_id) AS
 cut AS (SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY next) AS upto FROM drawn),
 epochs AS (SELECT *, unnest(range(0, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM cut)
 SELECT doc_id, d AS domain, l AS leaf_language, s AS leaf_source, epoch, tokens, md5('mix-1|' || epoch || '|' || doc_id) AS draw FROM epochs
+""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE coded AS (
+    SELECT doc_id, lang, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')) AS f,
+        coalesce(octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1), '-') AS more,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)),
+            lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) AS crc FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM (
+    SELECT doc_id, lang, sha256(array_to_string(f, '')) AS leaf, sha256(f[1] || f[2] || f[3] || (CASE WHEN crc % 7 = 0 THEN more ELSE f[4] END) || f[5]) AS claimed FROM coded)),
+low AS (SELECT lang, 0 AS level, i, n, leaf AS h FROM leaves UNION ALL
+    SELECT lang, level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lang, level, i // 2),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS k FROM low WHERE n = 1),
+top AS (SELECT 0 AS level, g AS i, k AS n, h FROM subroots UNION ALL
+    SELECT level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 2),
+steps AS (
+    SELECT l.lang, l.i, p.level, p.i & 1 AS side, s.h FROM leaves l JOIN low p ON p.lang IS NOT DISTINCT FROM l.lang AND p.n > 1 AND p.i = l.i >> p.level
+        LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = p.level AND s.i = xor(p.i, 1)
+    UNION ALL
+    SELECT l.lang, l.i, 1000 + p.level, p.i & 1, s.h FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN top p ON p.n > 1 AND p.i = r.g >> p.level
+        LEFT JOIN top s ON s.level = p.level AND s.i = xor(p.i, 1)),
+paths AS (SELECT lang, i, list(CASE WHEN h IS NULL THEN 'N' WHEN side = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY level) AS path,
+    coalesce(string_agg(h, '' ORDER BY level), '') AS proof FROM steps GROUP BY lang, i),
+folded AS (SELECT l.*, r.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(claimed, coalesce(path, [])), lambda a, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || a) WHEN 'R' THEN sha256(a || s[2:]) ELSE sha256(a) END) AS folded_root
+    FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """,
 }
