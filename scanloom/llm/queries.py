@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import ego_join, language_id, line_dedup, line_frequency, merkle, mixing, packing, secret_forest, sentence_pieces, simhash, token_counts, warc
+from scanloom.llm import ego_join, language_id, line_dedup, line_frequency, merkle, mixing, packing, secret_forest, sentence_pieces, simhash, spelling, token_counts, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,16 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "number", F.md5(F.encode("candidate", "UTF-8")).alias("candidate_md5"), F.col("size").cast("long").alias("size"), "held_out", "label", "p_secret", "secret")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven or more letters that occur twice or more; of one run in 31 a letter is deleted first. A null id deletes none."""
+    runs = spelling.letter_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), 7, "text", "doc_id")
+    mark = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = (mark % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(mark % 31 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
+    return spelling.spelling_variants(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows proved; of every seventh (by its id's checksum) a copy with another n_chars is what is claimed."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -89,6 +99,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_forest": op10_secret_forest,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
@@ -165,6 +176,27 @@ drawn AS (SELECT docs.*, whole, rest, md5('mix-1|' || whole || '|' || doc_id) AS
 cut AS (SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY next) AS upto FROM drawn),
 epochs AS (SELECT *, unnest(range(0, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM cut)
 SELECT doc_id, d AS domain, l AS leaf_language, s AS leaf_source, epoch, tokens, md5('mix-1|' || epoch || '|' || doc_id) AS draw FROM epochs
+""",
+    "op11_spelling_variants": """
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+pairs AS (SELECT doc_id, run, count(*) AS times, doc_id::VARCHAR || ':' || run AS s FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+marked AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(s) + 1),
+        lambda i: CASE WHEN ord(s[i]) < 128 THEN [ord(s[i])::BIGINT] ELSE [(ord(s[i]) >> 6 | 192)::BIGINT, (ord(s[i]) & 63 | 128)::BIGINT] END))),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) AS h FROM pairs),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+    FROM marked GROUP BY 1 HAVING length(word) >= 7 AND sum(times) >= 2),
+cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+variants AS (SELECT word, n, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS v FROM cuts),
+links AS (
+    SELECT a.word AS a, b.word AS b, b.n FROM variants a JOIN variants b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM variants a JOIN words b ON a.v = b.word
+    UNION SELECT b.word, a.word, a.n FROM variants a JOIN words b ON a.v = b.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS top FROM links GROUP BY a),
+forms AS (SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * words.n THEN top END AS form_n,
+    CASE WHEN top >= 10 * words.n THEN (SELECT min(b) FROM links WHERE links.a = word AND links.n = top) END AS form FROM words LEFT JOIN best ON a = word),
+ways AS (SELECT word, word AS place, form AS next FROM forms UNION ALL SELECT w.word, f.word, f.form FROM ways w JOIN forms f ON f.word = w.next)
+SELECT forms.word, form, place AS root, n, n_near, form_n FROM forms JOIN ways ON ways.word = forms.word AND ways.next IS NULL
 """,
     "op12_merkle_manifest": """
 WITH RECURSIVE coded AS (
