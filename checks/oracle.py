@@ -733,6 +733,33 @@ ORACLES["line_rules_on_documents"] = sql(
     "SELECT rule_key, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM text_hits GROUP BY ALL",
     **text_rules("documents", "doc_id", "text", "js"),
 )
+# What the texts of the rules ask for, sample by sample, read off by hand: (sample, line, rule).
+_PY_HITS = [
+    (0, 1, "python.sql-injection-format"), (0, 1, "python.raw-sql-execution"), (1, 1, "python.sql-injection-fstring"),
+    (2, 1, "python.sql-injection-sqlalchemy-fstring"), (3, 1, "python.hardcoded-postgres-url"), (4, 3, "debug.pdb-breakpoint"),
+    (5, 4, "debug.pdb-breakpoint"), (6, 1, "python.sql-injection-sqlalchemy-text-percent"), (7, 1, "crypto.weak-hash-md5"),
+    (9, 5, "debug.pdb-breakpoint"), (10, 2, "python.sql-injection-fstring"), (11, 1, "python.sql-injection-percent"),
+    (11, 1, "python.raw-sql-execution"), (12, 4, "debug.pdb-breakpoint"),
+]
+_TS_HITS = [
+    (0, 2, "security.eval-usage"), (1, 2, "security.eval-usage"), (2, 3, "security.eval-usage"), (2, 5, "security.eval-usage"),
+    (3, 1, "security.document-write"), (4, 2, "debug.console-log-production"), (6, 1, "security.inner-html-assignment"),
+    (6, 4, "crypto.weak-hash"),
+]
+
+
+def _by_hand(files: dict[str, str], pack: str, hits: list[tuple], samples: int) -> str:
+    known = ", ".join(f"({n}, {line}, {q(f'{pack}/{rule}')})" for n, line, rule in hits)
+    return f"""SELECT project_id, path, line, rule_key FROM ({corpus.rendered_sql(files)}) f
+      JOIN (VALUES {known}) h(sample, line, rule_key)
+        ON CAST(regexp_extract(f.path, '[0-9]+') AS BIGINT) % {samples} = h.sample"""
+
+
+ORACLES["rules_in_strings"] = (
+    _by_hand(corpus.PY_STRING_FILES, "py-security", _PY_HITS, len(corpus.PY_STRINGS))
+    + " UNION ALL "
+    + _by_hand(corpus.TS_STRING_FILES, "ts-security", _TS_HITS, len(corpus.TS_STRINGS))
+)
 ORACLES["user_rules_many"] = sql(
     f"""SELECT l.project_id, l.path, l.line_no AS line, 'user/p' || p_partkey AS rule_key
     FROM raw_lines l JOIN part ON contains(l.line, 'jwt_secret = "' || p_partkey || '"') WHERE {SUFFIX} = '.py'""",

@@ -505,6 +505,23 @@ def all_rules_by_severity(spark, sf):
     return found.groupBy("project_id", "severity", "category").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
+#: Rules whose hits in ``corpus.PY_STRINGS`` and ``TS_STRINGS`` the oracle lists by hand.
+STRING_RULES = [
+    *[k for k in PREDICATES if k.startswith("py-security/python.sql-injection")],
+    "py-security/python.raw-sql-execution", "py-security/python.hardcoded-postgres-url", "py-security/python.hardcoded-database-url",
+    "py-security/debug.pdb-breakpoint", "py-security/crypto.weak-hash-md5", "ts-security/security.eval-usage",
+    "ts-security/security.document-write", "ts-security/security.inner-html-assignment", "ts-security/debug.console-log-production",
+    "ts-security/typescript.hardcoded-jwt-secret", "ts-security/crypto.weak-hash",
+]
+
+
+@query
+def rules_in_strings(spark, sf):
+    """Triple-quoted and prefixed strings, f-strings, template literals and comments of several lines."""
+    files = corpus.rendered(spark, sf, corpus.PY_STRING_FILES).unionByName(corpus.rendered(spark, sf, corpus.TS_STRING_FILES))
+    return rules.match_rules(files, keys=STRING_RULES).drop("lang")
+
+
 @query
 def line_rules_on_pages(spark, sf):
     pages = spread(table(spark, sf, "pages")).select("page_id", "html")

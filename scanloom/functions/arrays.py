@@ -26,3 +26,36 @@ def with_fields(rows: DataFrame, value: Column) -> DataFrame:
     next to nothing beside a pass over a text.
     """
     return rows.select("*", F.inline(F.array(value)))
+
+
+#: Elements of an array that a fold takes at a time: what it gives out is appended within a block, and blocks to each other.
+BLOCK = 64
+
+
+def fold(items: Column, state: Column, step: Callable[[Column, Column], Column], out_type: str) -> Column:
+    """What ``step`` gives out for each element of an array, in one pass from left to right.
+
+    ``step(state, item)`` returns a struct of ``state``, the next one, and ``out``, of
+    ``out_type``; an ``out`` of NULL is left out. An accumulator that grows by one
+    element at a time would be copied as often as there are elements; here only that
+    of a block is, and the blocks' results are appended to each other.
+    """
+    blocks = F.when(F.size(items) <= BLOCK, F.array(items)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    )
+    none = F.array().cast(f"array<{out_type}>")
+
+    def within(acc: Column, item: Column) -> Column:
+        return let(
+            step(acc["state"], item),
+            lambda r: F.struct(r["state"].alias("state"), F.when(r["out"].isNull(), acc["outs"]).otherwise(F.concat(acc["outs"], F.array(r["out"]))).alias("outs")),
+        )
+
+    def over(acc: Column, block: Column) -> Column:
+        return let(
+            F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("outs")), within),
+            lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs")),
+        )
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("outs"))
+    return F.flatten(F.aggregate(blocks, start, over, lambda acc: acc["outs"]))

@@ -101,29 +101,12 @@ def numbered_pieces(text: Column) -> Column:
     )
 
 
-# --- masking -------------------------------------------------------------
-# One left-to-right pass finds strings and comments, so a quote in a comment or
-# a comment sign in a string is not taken for the real thing. Loops are
-# possessive: Java runs those without recursion, so long strings are safe.
+# --- strings ---------------------------------------------------------------
+# Loops are possessive: Java runs those without recursion, so long strings are safe.
 
-_DQ = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-_SQ = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-_BT = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
-_PY_TRIPLE = r"(\"\"\"|''')(?:[^\\\"']++|\\.|(?!\1)[\"'])*+\1"
+_STRINGS = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|' + r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 
-PY_TOKENS = rf"(?s){_PY_TRIPLE}|({_DQ}|{_SQ})|#[^\n]*+"
-JS_TOKENS = rf"(?s)({_DQ}|{_SQ}|{_BT})|//[^\n]*+|/\*.*?\*/"
-PY_STRINGS = rf"{_DQ}|{_SQ}"
-JS_STRINGS = rf"(?s){_DQ}|{_SQ}|{_BT}"
 
-
-def drop_comments(text: Column, lang: str) -> Column:
-    """Text without comments. Of a triple-quoted string only the opening stays."""
-    if lang == "py":
-        return F.regexp_replace(text, PY_TOKENS, "$1$2")
-    return F.regexp_replace(text, JS_TOKENS, "$1")
-
-
-def empty_strings(text: Column, lang: str) -> Column:
-    """Text whose one-line string literals are replaced by ``""``."""
-    return F.regexp_replace(text, PY_STRINGS if lang == "py" else JS_STRINGS, '""')
+def empty_strings(code: Column) -> Column:
+    """Python code whose one-line string literals are replaced by ``""``."""
+    return F.regexp_replace(code, _STRINGS, '""')

@@ -8,8 +8,7 @@ Classes
 
 Mask of a line rule
     ``comments`` (dropped; the default), ``strings`` (comments dropped and
-    string literals emptied), ``none`` (the line as it is). Masking by regex is
-    an approximation of what a parser sees.
+    string literals emptied), ``none`` (the line as it is); see ``functions.lexer``.
 
 Where the text of a rule asks for more than its pattern tests, the pattern
 decides; ``strict`` then leaves out what the text would accept.

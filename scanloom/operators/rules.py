@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
-from scanloom.functions.arrays import let
+from scanloom.functions.arrays import let, with_fields
+from scanloom.functions.lexer import lex
 from scanloom.operators.rule_data import RULES
 from scanloom.operators.rule_predicates import PREDICATES, Block, Func, Line, Pair, block_regex
 from scanloom.plans.joins import join_lookup
-from scanloom.sources.files import lines as line_rows
 from scanloom.sources.python_functions import functions_in, may_define
 
 RULES_SCHEMA = (
@@ -261,28 +261,11 @@ def _prepare(files: DataFrame) -> DataFrame:
     """Adds what the rules look at, each once per file.
 
     ``_raw`` lines; ``_code`` and ``_bare``, the numbered text without comments
-    and without strings; ``_pieces`` of ``_code``; ``_code_lines``, those that
-    hold code; ``_functions`` of Python files.
+    and without strings; ``_pieces``, its lines; ``_code_lines``, those that hold
+    code; ``_functions`` of Python files.
     """
-    code = text.numbered(F.col("_raw"))
     return (
-        files.withColumn("lang", rule_lang(F.col("path")))
-        .filter(F.col("lang").isNotNull())
-        .select("project_id", "path", "lang", "content")
-        .withColumn("_raw", text.splitlines(F.col("content")))
-        .withColumn("_numbered", code)
-        .withColumn(
-            "_code",
-            F.concat(
-                _by_family(text.drop_comments(F.col("_numbered"), "py"), text.drop_comments(F.col("_numbered"), "js")),
-                F.lit("\n"),
-            ),
-        )
-        .withColumn(
-            "_bare", _by_family(text.empty_strings(F.col("_code"), "py"), text.empty_strings(F.col("_code"), "js"))
-        )
-        .withColumn("_pieces", text.numbered_pieces(F.col("_code")))
-        .withColumn("_pieces", _by_family(_full_pieces("py"), _full_pieces("js")))
+        _lexed(files)
         .withColumn(
             "_functions",
             F.when(
@@ -293,17 +276,35 @@ def _prepare(files: DataFrame) -> DataFrame:
     )
 
 
-def _full_pieces(family: str) -> Column:
-    """Pieces with the line as it was and without strings: the three texts a line rule may ask for."""
-    return F.transform(
-        "_pieces",
-        lambda p: F.struct(
-            p["line"].alias("line"),
-            p["text"].alias("text"),
-            F.get("_raw", p["line"] - 1).alias("raw"),
-            text.empty_strings(p["text"], family).alias("bare"),
-        ),
+def _lexed(files: DataFrame) -> DataFrame:
+    """Files that rules look at, with ``lang, _raw, _code, _bare, _pieces``."""
+    rows = (
+        files.withColumn("lang", rule_lang(F.col("path")))
+        .filter(F.col("lang").isNotNull())
+        .select("project_id", "path", "lang", "content")
+        .withColumn("_raw", text.splitlines(F.col("content")))
     )
+    lexed = _by_family(lex(text.numbered(F.col("_raw")), "py"), lex(text.numbered(F.col("_raw")), "js"))
+    return with_fields(rows, masked(F.col("_raw"), lexed))
+
+
+def masked(raw: Column, lexed: Column) -> Column:
+    """``_code`` and ``_bare`` of a lexed text and its ``_pieces``: each line as it was (``raw``), without comments (``text``), without strings (``bare``)."""
+
+    def of(both: Column) -> Column:
+        return let(
+            F.struct(text.numbered_pieces(both["code"]).alias("code"), text.numbered_pieces(both["bare"]).alias("bare")),
+            lambda p: F.struct(
+                F.concat(both["code"], F.lit("\n")).alias("_code"),
+                F.concat(both["bare"], F.lit("\n")).alias("_bare"),
+                F.transform(
+                    p["code"],
+                    lambda c, i: F.struct(c["line"], c["text"], F.get(raw, i).alias("raw"), F.get(p["bare"], i)["text"].alias("bare")),
+                ).alias("_pieces"),
+            ),
+        )
+
+    return let(lexed, of)
 
 
 def _code_lines() -> Column:
@@ -358,11 +359,11 @@ def match_line_rules(table: DataFrame, lang: str, content: str, *, keys: Iterabl
     keep = [c for c in table.columns if c != content]
     family = "py" if lang == "py" else "js"
     rules = {k: r for k, r in _selected(family, "L", keys).items() if lang in _RULE_OF[k][4]}
-    rows = table.select(*keep, F.posexplode(text.splitlines(F.col(content))).alias("_pos", "_r"))
-    rows = rows.withColumn("_c", text.drop_comments(F.col("_r"), family))
-    rows = rows.withColumn("_b", text.empty_strings(F.col("_c"), family))
-    hits = _line_hits(F.col("_r"), F.col("_c"), F.col("_b"), rules, False)
-    return rows.select(*keep, (F.col("_pos") + 1).alias("line"), F.explode(hits).alias("rule_key"))
+    raw = text.splitlines(F.col(content))
+    pieces = let(raw, lambda r: masked(r, lex(text.numbered(r), family))["_pieces"])
+    rows = table.select(*keep, F.explode(pieces).alias("_p"))
+    hits = _line_hits(F.col("_p.raw"), F.col("_p.text"), F.col("_p.bare"), rules, False)
+    return rows.select(*keep, F.col("_p.line").alias("line"), F.explode(hits).alias("rule_key"))
 
 
 def match_user_rules(files: DataFrame, rules: DataFrame, *, batch: int = RULES_PER_BATCH) -> DataFrame:
@@ -393,14 +394,8 @@ def match_user_rules(files: DataFrame, rules: DataFrame, *, batch: int = RULES_P
 
 def _masked_lines(files: DataFrame) -> DataFrame:
     """Lines as they are (``_raw``), without comments (``_code``), without strings (``_bare``)."""
-    source = files.withColumn("lang", rule_lang(F.col("path"))).filter(F.col("lang").isNotNull())
-    rows = line_rows(source, "project_id", "path", "lang").withColumnsRenamed({"line": "_raw", "line_no": "line"})
-    rows = rows.withColumn(
-        "_code", _by_family(text.drop_comments(F.col("_raw"), "py"), text.drop_comments(F.col("_raw"), "js"))
-    )
-    return rows.withColumn(
-        "_bare", _by_family(text.empty_strings(F.col("_code"), "py"), text.empty_strings(F.col("_code"), "js"))
-    )
+    lines = _lexed(files).select("project_id", "path", "lang", F.explode("_pieces").alias("_p"))
+    return lines.select("project_id", "path", "lang", "_p.line", F.col("_p.raw").alias("_raw"), F.col("_p.text").alias("_code"), F.col("_p.bare").alias("_bare"))
 
 
 def rule_findings(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:

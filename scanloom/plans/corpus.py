@@ -196,6 +196,46 @@ TS_SAMPLE_FILES = {
     f"{pick(f'(p_partkey + p_size) % {len(TS_SAMPLES)}', TS_SAMPLES)}, {NL})",
 }
 
+# --- strings, comments and templates that hold code or end on another line --------
+
+PY_STRINGS = [
+    "q = \"\"\"select {}\"\"\".format(a)\ncursor.execute(q)",
+    "q = rf\"select {a}\"\ncursor.execute(q)",
+    "query = f\"\"\"\nselect {a}\n\"\"\"\nsession.execute(text(query))",
+    "x = \"\"\"postgresql\"\"\"",
+    "\"\"\"\nfoo\n\"\"\"; breakpoint()",
+    "\"\"\"\nbreakpoint()\n\"\"\"\nbreakpoint()",
+    "session.execute(text(\"\"\"\nselect %s\n\"\"\" % (a)))",
+    "s = f\"{hashlib.md5(x)}\"\nt = \"hashlib.md5(x)\"",
+    "q = f\"{{a}}\"\ncursor.execute(q)",
+    "def f():\n    \"\"\"eval\n    breakpoint()\n    \"\"\"\n    breakpoint()",
+    "u = f\"{d[\"k\"]}\"\nq = f\"{d[\"k\"]} {e[\"l\"]}\"\ncursor.execute(q)",
+    "q = b'select %s' % (a)\ncursor.execute(q)",
+    "run(\n\"\"\"a\nb\"\"\"\n); breakpoint()",
+]
+# A dollar sign before a brace is written as chr(36), as Spark's parser takes it for a variable.
+TS_STRINGS = [
+    "/* a\n b */ eval(x)",
+    "const a = `eval(x)`\neval(y)",
+    "const a = `text\neval(x)\n{% chr(36) %}{eval(y)}\n`\neval(z)",
+    "const t = `a {% chr(36) %}{ c ? `eval({% chr(36) %}{d})` : 'e' } f`; document.write(x)",
+    "// `\nconsole.log(a) // `",
+    "const s = `\nJWT_SECRET = 'x'\n`",
+    "el.innerHTML = `\n<b>\n`\ncrypto.createHash('md5')",
+]
+PY_STRING_FILES = {
+    "table": "orders",
+    "project_id": project_of("o_custkey", "py"),
+    "path": "concat('src/s', CAST(o_orderkey AS STRING), '.py')",
+    "content": f"concat({pick(f'o_orderkey % {len(PY_STRINGS)}', PY_STRINGS)}, {NL})",
+}
+TS_STRING_FILES = {
+    "table": "part",
+    "project_id": project_of("p_partkey", "ts"),
+    "path": "concat('src/t', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.tsx' ELSE '.js' END)",
+    "content": f"concat({pick(f'p_partkey % {len(TS_STRINGS)}', TS_STRINGS)}, {NL})",
+}
+
 # --- diffs, one per order ------------------------------------------------------
 
 DIFF_FILES = [

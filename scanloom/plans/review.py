@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import text
+from scanloom.functions.arrays import let
+from scanloom.functions.lexer import lex
 from scanloom.functions.patterns import patterns_for
 from scanloom.operators import gate, rules, secrets
 from scanloom.operators.filters import DiffNoise, without_noise
@@ -32,17 +34,27 @@ def _hits(family: str) -> Column:
     return F.when(secret, F.array_append(found, F.lit(SECRET_RULE))).otherwise(found)
 
 
+def _masked_new_side(family: str) -> Column:
+    """The lines of ``_new``: as they are, without comments, without strings."""
+    raw = F.transform("_new", lambda x: F.substring(x["line"], F.lit(2), F.length(x["line"])))
+    return let(raw, lambda r: rules.masked(r, lex(text.numbered(r), family))["_pieces"])
+
+
 def review_findings(hunks: DataFrame) -> DataFrame:
     """Secrets and line rules on the added lines of hunks, in one pass (``diff_id`` is the pull request)."""
-    is_py = F.col("lang") == "py"
-    by_family = lambda f: F.when(is_py, f("py")).otherwise(f("js"))
+    by_family = lambda f: F.when(F.col("lang") == "py", f("py")).otherwise(f("js"))
+    shown = hunks.filter(~F.col("is_binary")).withColumn("lang", rules.rule_lang(F.col("file_path"))).filter(F.col("lang").isNotNull())
+    # The new side of a hunk is lexed as a whole, so that a string or comment of several lines is one.
     added = (
-        diff_source.added_text(hunks)
-        .withColumn("lang", rules.rule_lang(F.col("file_path")))
-        .filter(F.col("lang").isNotNull())
-        .withColumn("_code", by_family(lambda f: text.drop_comments(F.col("line"), f)))
-        .withColumn("_bare", by_family(lambda f: text.empty_strings(F.col("_code"), f)))
-    )
+        shown.withColumn("_new", diff_source.new_lines(F.col("lines"), F.col("new_start")))
+        .withColumn("_masked", by_family(_masked_new_side))
+        .select("diff_id", "file_path", "lang", F.explode(F.arrays_zip("_new", "_masked")).alias("_l"))
+        .filter(diff_source.is_added(F.col("_l._new.line")))
+        .select(
+            "diff_id", "file_path", "lang", F.col("_l._new.line_no").alias("line_no"),
+            F.col("_l._masked.raw").alias("line"), F.col("_l._masked.text").alias("_code"), F.col("_l._masked.bare").alias("_bare"),
+        )
+    )
     hits = added.select(
         F.col("diff_id").alias("project_id"),
         F.col("file_path").alias("path"),

@@ -241,7 +241,7 @@ def hunks_in_row(diffs: DataFrame, text: str = "text") -> DataFrame:
 
 def added_in(hunk: Column) -> Column:
     """array<struct<line_no, line>>: added lines of one hunk with their signs; a binary file has none."""
-    added = F.filter(_new_lines(hunk["lines"], hunk["new_start"]), lambda x: is_added(x["line"]))
+    added = F.filter(new_lines(hunk["lines"], hunk["new_start"]), lambda x: is_added(x["line"]))
     return F.when(hunk["is_binary"], F.slice(added, F.lit(1), F.lit(0))).otherwise(added)
 
 
@@ -259,7 +259,7 @@ def changed_lines(diff: Column) -> Column:
     return F.regexp_count(diff, F.lit(r"(?md)^\+"))
 
 
-def _new_lines(lines: Column, new_start: Column) -> Column:
+def new_lines(lines: Column, new_start: Column) -> Column:
     """Lines of the new file in a hunk with their numbers: deleted lines and marks have none.
 
     A context line that lost its blank is taken as an empty line.
@@ -277,7 +277,7 @@ def added_lines(hunks: DataFrame) -> DataFrame:
     before = Window.partitionBy("diff_id").orderBy("file_no", "hunk_no").rowsBetween(Window.unboundedPreceding, -1)
     keep = [c for c in hunks.columns if c not in HUNK_COLUMNS]
     text = hunks.filter(~F.col("is_binary")).withColumn("_before", F.coalesce(F.sum("additions").over(before), F.lit(0)))
-    added = F.filter(_new_lines(F.col("lines"), F.col("new_start")), lambda x: is_added(x["line"]))
+    added = F.filter(new_lines(F.col("lines"), F.col("new_start")), lambda x: is_added(x["line"]))
     return text.select(
         *keep, "file_no", "hunk_no", "file_path", "_before", F.posexplode(added).alias("_i", "_l")
     ).select(
@@ -294,7 +294,7 @@ def added_lines(hunks: DataFrame) -> DataFrame:
 def added_text(hunks: DataFrame) -> DataFrame:
     """Added lines without the running number: no window, so it also runs on a stream."""
     keep = [c for c in hunks.columns if c not in HUNK_COLUMNS]
-    added = F.filter(_new_lines(F.col("lines"), F.col("new_start")), lambda x: is_added(x["line"]))
+    added = F.filter(new_lines(F.col("lines"), F.col("new_start")), lambda x: is_added(x["line"]))
     return (
         hunks.filter(~F.col("is_binary"))
         .select(*keep, "file_no", "hunk_no", "file_path", F.explode(added).alias("_l"))

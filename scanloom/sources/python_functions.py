@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import text
-from scanloom.functions.arrays import let
+from scanloom.functions.arrays import let, with_fields
+from scanloom.functions.lexer import lex
 from scanloom.functions.text import MARK, MARK_CLOSE, MARK_OPEN
 
 LOOKBACK = 4
@@ -68,7 +69,7 @@ def _squeeze(col: Column) -> Column:
 
 def _parameters(col: Column) -> Column:
     """Top-level parameters of a bracketed list; the signs ``*`` and ``/`` are none."""
-    flat = F.regexp_replace(text.empty_strings(F.substring(col, F.lit(2), F.length(col) - 2), "py"), MARK, "")
+    flat = F.regexp_replace(text.empty_strings(F.substring(col, F.lit(2), F.length(col) - 2)), MARK, "")
     for _ in range(DEPTH):
         flat = F.regexp_replace(flat, r"[(\[{][^()\[\]{}]*+[)\]}]", "")
     flat = F.regexp_replace(flat, r"\blambda\b[^:]*+:", "lambda:")  # its parameters are none of the function's
@@ -108,10 +109,9 @@ def functions_in(lines: Column, code: Column, *, lookback: int = LOOKBACK) -> Co
 
 
 def with_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds ``_lines`` and ``_code`` (numbered, without Python comments)."""
-    return files.withColumn("_lines", text.splitlines(F.col(content))).withColumn(
-        "_code", F.concat(text.drop_comments(text.numbered(F.col("_lines")), "py"), F.lit("\n"))
-    )
+    """Adds ``_lines`` and ``_code`` (numbered, without Python comments, strings on one line)."""
+    rows = files.withColumn("_lines", text.splitlines(F.col(content)))
+    return with_fields(rows, F.struct(F.concat(lex(text.numbered(F.col("_lines")), "py")["code"], F.lit("\n")).alias("_code")))
 
 
 def may_define(content: Column) -> Column:

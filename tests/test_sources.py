@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scanloom.functions import text
+from scanloom.functions import lexer, text
 from scanloom.sources import files as source
 from scanloom.sources import python_functions
 
@@ -61,9 +61,9 @@ def test_globs(make_files):
 
 def test_numbered_text_keeps_numbers(spark):
     df = spark.createDataFrame([('a = """x\ny # z\n"""\nb = "#"  # c\n',)], "t string")
-    code = text.drop_comments(text.numbered(text.splitlines(F.col("t"))), "py")
+    code = lexer.lex(text.numbered(text.splitlines(F.col("t"))), "py")["code"]
     pieces = df.select(text.numbered_pieces(code).alias("p")).first().p
-    assert [(p.line, p.text) for p in pieces] == [(1, 'a = """'), (4, 'b = "#"  ')]
+    assert [(p.line, p.text) for p in pieces] == [(1, 'a = "x y # z "'), (2, ""), (3, ""), (4, 'b = "#"  ')]
 
 
 def test_functions_with_deep_and_long_headers(spark):
