@@ -20,6 +20,7 @@ from scanloom.functions.lexer import lex
 from scanloom.operators.rule_data import RULES
 from scanloom.operators.rule_predicates import PREDICATES, Block, Func, Line, Pair, block_regex
 from scanloom.plans.joins import join_lookup
+from scanloom.session import cut_lineage
 from scanloom.sources.python_functions import functions_in, may_define
 
 RULES_SCHEMA = (
@@ -28,6 +29,8 @@ RULES_SCHEMA = (
 )
 _HITS = "array<struct<line:int,rule_key:string>>"
 RULES_PER_BATCH = 500
+#: Characters of the key under which a user's rule is found.
+GRAM = 3
 _RULE_OF = {f"{r[0]}/{r[1]}": r for r in RULES}
 
 
@@ -369,27 +372,83 @@ def match_line_rules(table: DataFrame, lang: str, content: str, *, keys: Iterabl
 def match_user_rules(files: DataFrame, rules: DataFrame, *, batch: int = RULES_PER_BATCH) -> DataFrame:
     """Line rules given as rows (``rule_key, regex, mask, languages``), any number of them.
 
-    They become constant patterns over one scan, ``batch`` of them to an array. A
-    null mask is ``comments``; a repeated language counts once; equal rows are one
-    rule; a row without key, regex or languages is no rule.
+    Rules are found by an index: of the literals that a regex needs, the three
+    characters that fewest rules need are its key, and a line meets the rules whose
+    key it holds. The distinct keys go to all tasks, so only lines that hold one
+    leave theirs. A regex that needs no three characters in a row is tried on every
+    line of its languages, ``batch`` of them to a row.
+
+    A null mask is ``comments``; a repeated language counts once; equal rows are one
+    rule; a row without key, regex or languages is no rule. The rules are written
+    once, as several joins read them.
     """
-    mask = F.coalesce("mask", F.lit("comments"))
-    usable = rules.where(F.col("rule_key").isNotNull() & F.col("regex").isNotNull() & F.col("languages").isNotNull())
-    known = usable.select("rule_key", "regex", mask.alias("mask"), F.array_sort(F.array_distinct("languages")).alias("languages"))
-    known = sorted(known.distinct().collect(), key=lambda r: (r["rule_key"], r["regex"], r["mask"]))
-    rows = _masked_lines(files)
+    known = cut_lineage(_known_rules(rules))
+    masks = sorted(r["mask"] for r in known.select("mask").distinct().collect())  # three at most
     out = ["project_id", "path", "lang", "line", "rule_key"]
-    tests = [
-        F.when(
-            F.col("lang").isin([x for x in r["languages"] if x is not None]) & F.col(_masked(r["mask"])).rlike(r["regex"]),
-            F.lit(r["rule_key"]),
-        )
-        for r in known
-    ]
-    if not tests:
-        return rows.withColumn("rule_key", F.lit("")).select(*out).limit(0)
-    hits = [F.array_compact(F.array(*tests[i : i + batch])) for i in range(0, len(tests), batch)]
-    return rows.select("project_id", "path", "lang", "line", F.explode(F.concat(*hits)).alias("rule_key"))
+    texts = F.array(*[F.struct(F.lit(m).alias("mask"), F.col(_masked(m)).alias("text")) for m in masks] or [F.struct(F.lit("").alias("mask"), F.lit("").alias("text"))])
+    lines = _masked_lines(files).select("project_id", "path", "lang", "line", F.inline(texts))
+    spread_by = ["project_id", "path", "line"]
+
+    keyed = known.filter(F.col("gram").isNotNull()).select("lang", "mask", "gram", "rule_key", "regex")
+    grams = lines.withColumn("gram", F.explode(grams_of(F.col("text"))))
+    held = join_lookup(grams, keyed.select("lang", "mask", "gram").distinct(), ["lang", "mask", "gram"], "leftsemi", salt_on=spread_by)
+    met = join_lookup(held, keyed, ["lang", "mask", "gram"], "inner", salt_on=spread_by)
+    by_key = met.filter(F.rlike("text", F.col("regex"))).select(*out)
+
+    others = known.filter(F.col("gram").isNull())
+    part = F.pmod(F.xxhash64("rule_key", "regex"), F.lit(max(1, -(-others.count() // batch))))
+    batches = others.withColumn("_part", part).groupBy("lang", "mask", "_part").agg(F.collect_list(F.struct("rule_key", "regex")).alias("rules"))
+    tried = join_lookup(lines, batches.drop("_part"), ["lang", "mask"], "inner", salt_on=spread_by)
+    matching = F.filter("rules", lambda r: F.rlike(F.col("text"), r["regex"]))
+    one_by_one = tried.select("project_id", "path", "lang", "line", F.explode(matching).alias("_r")).select(*out[:-1], "_r.rule_key")
+    return by_key.unionByName(one_by_one)
+
+
+def _known_rules(rules: DataFrame) -> DataFrame:
+    """``lang, mask, rule_key, regex, gram``: a row for each rule and language, with the key under which the rule is found."""
+    mask = F.coalesce("mask", F.lit("comments"))
+    known = mask.isin("none", "comments", "strings")
+    usable = rules.filter(F.col("rule_key").isNotNull() & F.col("regex").isNotNull())
+    rows = usable.select(
+        "rule_key", "regex", F.when(known, mask).otherwise(F.raise_error(F.concat(F.lit("no such mask: "), mask))).alias("mask"),
+        F.explode(F.array_distinct("languages")).alias("lang"),
+    ).distinct()
+    rows = rows.filter(F.col("lang").isNotNull())
+    needed = rows.select("*", F.explode(F.flatten(F.transform(needed_literals(F.col("regex")), grams_of))).alias("gram"))
+    same = ["lang", "mask", "rule_key", "regex"]
+    counts = needed.groupBy("lang", "mask", "gram").agg(F.count("*").alias("n"))
+    rarest = needed.join(counts, ["lang", "mask", "gram"]).groupBy(*same).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return rows.join(rarest, same, "left")
+
+
+_ESCAPE = r"\\(?:[xN]\{[^}]*\}|x..|u....|[pP]\{[^}]*\}|[pP].|c.|0[0-7]{1,3}|k<[^>]*>|[0-9]+|.)"
+_CUT = "\x00"
+
+
+def needed_literals(regex: Column) -> Column:
+    """Runs of printable characters that every match of a regex holds; none where that is not plain to see.
+
+    Regexes with alternatives, flags, look-around, quotations, nested classes or groups
+    that may be missing give none.
+    """
+    atoms = F.regexp_replace(F.regexp_replace(regex, _ESCAPE, _CUT), r"\[\^?\]?[^\]]*\]", _CUT)
+    unclear = regex.rlike(r"\\Q|\[[^\]]*(?:\[|&&)") | atoms.rlike(r"\||\(\?(?!:)|\)[*?{]")
+    solid = F.regexp_replace(F.regexp_replace(atoms, r"\(\?:", "("), r".(?:[*?]|\{[^}]*\})[+?]?", _CUT)
+    runs = F.split(solid, r"[^ -~]|[.^$+()\[\]{}*?|\\]", -1)
+    return F.when(unclear, F.array().cast("array<string>")).otherwise(F.filter(runs, lambda r: F.length(r) >= GRAM))
+
+
+def grams_of(text: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters of a text."""
+    return let(
+        F.split(text, ""),
+        lambda c: F.array_distinct(
+            F.transform(
+                F.slice(c, F.lit(1), F.greatest(F.size(c) - (GRAM - 1), F.lit(0))),
+                lambda x, i: F.concat(x, *[F.get(c, i + k) for k in range(1, GRAM)]),
+            )
+        ),
+    )
 
 
 def _masked_lines(files: DataFrame) -> DataFrame:

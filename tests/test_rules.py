@@ -210,3 +210,41 @@ def test_long_lines_do_not_overflow(spark):
     code = "assert f(" + "a, " * 60_000 + "b)\nopen(" + "x" * 100_000 + ")\nCORSMiddleware(" + "a" * 100_000 + ")\n"
     files = spark.createDataFrame([("p", "a.py", code)], "project_id string, path string, content string")
     assert "py-quality/python.assert-without-message" in {r.rule_key for r in rules.match_rules(files).collect()}
+
+
+def test_literals_that_a_regex_needs(spark):
+    want = {
+        r'\bjwt_secret\s*=\s*"123"': ["jwt_secret", '"123"'], "abc?def": ["def"], "(abc)+xyz": ["abc", "xyz"], "(abc)?xyz": [],
+        "(?:foo)bar": ["foo", "bar"], "(?i)abc": [], "abc|def": [], r"[a-z]+_key[0-9]{2}tail": ["_key", "tail"], r"\x41bcd\.efg": ["bcd", "efg"],
+        "a.b.c": [], r"\Qabc\E": [], "ab*cde": ["cde"], r"\p{L}abc": ["abc"], "[^]abc]def": ["def"], "[[abc]def]ghi": [], "(?=abc)def": [],
+    }
+    rows = spark.createDataFrame([(r,) for r in want], "r string").select("r", rules.needed_literals(F.col("r")).alias("l")).collect()
+    assert {r.r: r.l for r in rows} == want
+
+
+def test_user_rules_by_index_equal_plain_search(spark, make_files):
+    """Rules with and without a key, every mask, many of one literal."""
+    import random
+    import re
+
+    r = random.Random(3)
+    parts = ["key", "token", "abc", r"\d+", "[xyz]", r"\s*=\s*", "a?", "(ab)+", "(foo|bar)", ".", "q"]
+    own = [(f"r{i}", "".join(r.choices(parts, k=r.randint(1, 4))), r.choice([None, "none", "comments"]), ["js", "py"]) for i in range(300)]
+    own += [(f"n{i}", rf'\bkey\s*=\s*"{i}"', "comments", ["py", "py"]) for i in range(1500)]
+    texts = {f"f{i}.py": "\n".join("".join(r.choices(["key", "token", "abc", "12", "x", " = ", "abab", "foo", "q", " "], k=8)) for _ in range(10)) for i in range(4)}
+    texts["k.py"] = "\n".join(f'key = "{i}"' for i in range(0, 3000, 7))
+    table = spark.createDataFrame(own, "rule_key string, regex string, mask string, languages array<string>")
+    got = {(h.path, h.line, h.rule_key) for h in rules.match_user_rules(make_files(texts), table, batch=50).collect()}
+    want = {(p, n, k) for p, t in texts.items() for n, line in enumerate(t.split("\n"), 1) for k, rx, _, _ in own if re.search(rx, line)}
+    assert got == want
+
+
+def test_user_rules_do_not_pass_through_the_driver(spark, make_files, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    seen, before = [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: seen.append(len(out := before(self))) or out)
+    table = spark.range(5000).select(F.concat(F.lit("r"), "id").alias("rule_key"), F.concat(F.lit("name"), "id").alias("regex"), F.lit("none").alias("mask"), F.array(F.lit("py")).alias("languages"))
+    found = rules.match_user_rules(make_files({"a.py": "x = name4999"}), table)
+    assert max(seen, default=0) <= 3
+    assert {h.rule_key for h in found.collect()} == {"r4999", "r499", "r49", "r4"}
