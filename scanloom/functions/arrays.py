@@ -40,9 +40,9 @@ def fold(items: Column, state: Column, step: Callable[[Column, Column], Column],
     element at a time would be copied as often as there are elements; here only that
     of a block is, and the blocks' results are appended to each other.
     """
-    blocks = F.when(F.size(items) <= BLOCK, F.array(items)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
-    )
+    last = lambda x: F.floor((F.size(x) - 1) / BLOCK).cast("int")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), last(x)), lambda i: F.slice(x, i * BLOCK + 1, F.lit(BLOCK)))
+    blocks = let(items, lambda x: F.when(F.size(x) <= BLOCK, F.array(x)).otherwise(cut(x)))
     none = F.array().cast(f"array<{out_type}>")
 
     def within(acc: Column, item: Column) -> Column:

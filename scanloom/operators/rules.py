@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
-from scanloom.functions.arrays import let, with_fields
+from scanloom.functions.arrays import fold, let, with_fields
 from scanloom.functions.lexer import lex
 from scanloom.operators.rule_data import RULES
 from scanloom.operators.rule_predicates import PREDICATES, Block, Func, Line, Pair, block_regex
@@ -187,14 +187,12 @@ def _named_lines(lines: Column, regex: str, hints: Iterable[str]) -> Column:
 
 
 def _left_lines(lines: Column, rule: Pair) -> Column:
-    """array<struct<at, line, indent, name>>: first lines; ``at`` is where a finding goes."""
+    """array<struct<at, line, name>>: first lines, as they are in ``lines``; ``at`` is where a finding goes."""
     is_left = lambda line: line["text"].contains(rule.left_hint) & line["text"].rlike(rule.left)
     if rule.before is None:
         return F.transform(
             F.filter(lines, is_left),
-            lambda line: F.struct(
-                line["line"].alias("at"), line["line"], line["indent"], _name_of(line["text"], rule.left).alias("name")
-            ),
+            lambda line: F.struct(line["line"].alias("at"), line.alias("line"), _name_of(line["text"], rule.left).alias("name")),
         )
 
     def with_line_before(line: Column, i: Column) -> Column:
@@ -204,7 +202,7 @@ def _left_lines(lines: Column, rule: Pair) -> Column:
             names.append(_name_of(line["text"], rule.left))
         return F.when(
             is_left(line) & (i > 0) & above["text"].rlike(rule.before),
-            F.struct(above["line"].alias("at"), line["line"], line["indent"], F.concat_ws(" ", *names).alias("name")),
+            F.struct(above["line"].alias("at"), line.alias("line"), F.concat_ws(" ", *names).alias("name")),
         )
 
     return F.filter(F.transform(lines, with_line_before), lambda x: x.isNotNull())
@@ -213,44 +211,31 @@ def _left_lines(lines: Column, rule: Pair) -> Column:
 def _pair_hits(key: str, rule: Pair) -> Column:
     """First lines that have a fitting second line in their scope.
 
-    The end of a scope is the first code line that is indented less (block) or
-    not more (body). It is looked for only where a second line of the same name
-    comes later at all.
+    Only the next second line of the name can be the one that counts. First and second
+    lines are sorted by name and from the last line up, and one pass over them
+    remembers the second line that it met last.
     """
     lines = F.col("_code_lines")
-    fits = lambda x, r: (r["name"] == x["name"]) & (r["line"] > x["line"])
-
-    def candidates(s: Column) -> Column:
-        return F.struct(
-            F.filter(s["lefts"], lambda x: F.exists(s["rights"], lambda r: fits(x, r))).alias("lefts"), s["rights"]
-        )
+    end = {"block": lambda x: x["end_block"], "body": lambda x: x["end_body"], "file": lambda x: F.lit(None).cast("int")}[rule.scope]
+    event = lambda x, name, right, at, end: F.struct(
+        name.alias("name"), (-x["line"]).alias("up"), F.lit(right).alias("right"), at.cast("int").alias("at"), end.cast("int").alias("end")
+    )
+    lefts = F.transform(_left_lines(lines, rule), lambda x: event(x["line"], x["name"], 0, x["at"], end(x["line"])))
+    rights = F.concat(*[_named_lines(lines, rx, rule.hints) for rx in rule.rights])
+    rights = F.transform(rights, lambda r: event(r, r["name"], 1, F.lit(None), F.lit(None)))
 
-    def end_of(x: Column) -> Column:
-        if rule.scope == "file":
-            return F.lit(None).cast("int")
-        below = x["indent"] + (0 if rule.scope == "block" else 1)
-        after = F.filter(lines, lambda line: (line["line"] > x["line"]) & (line["indent"] < below))
-        return F.get(after, F.lit(0))["line"]
+    def step(last: Column, e: Column) -> Column:
+        found = (e["right"] == 0) & (last["name"] == e["name"]) & (e["end"].isNull() | (last["line"] < e["end"]))
+        seen = F.when(e["right"] == 1, F.struct(e["name"].alias("name"), (-e["up"]).alias("line"))).otherwise(last)
+        return F.struct(seen.alias("state"), F.when(found, F.struct(e["at"].alias("line"), F.lit(key).alias("rule_key"))).alias("out"))
 
-    def scoped(s: Column) -> Column:
-        return F.struct(
-            F.transform(
-                s["lefts"], lambda x: F.struct(x["at"], x["line"], x["name"], end_of(x).alias("end"))
-            ).alias("lefts"),
-            s["rights"],
-        )
+    none = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"))
+    hits = let(lefts, lambda x: F.when(F.size(x) > 0, fold(F.sort_array(F.concat(x, rights)), none, step, "struct<line:int,rule_key:string>")))
+    return F.when(_hinted(rule), hits).cast(_HITS)
 
-    def hits(s: Column) -> Column:
-        found = F.filter(
-            s["lefts"],
-            lambda x: F.exists(s["rights"], lambda r: fits(x, r) & (x["end"].isNull() | (r["line"] < x["end"]))),
-        )
-        return F.transform(found, lambda x: F.struct(x["at"].alias("line"), F.lit(key).alias("rule_key")))
 
-    rights = F.concat(*[_named_lines(lines, rx, rule.hints) for rx in rule.rights])
-    both = F.struct(_left_lines(lines, rule).alias("lefts"), rights.alias("rights"))
-    hinted = F.col("_code").contains(rule.left_hint) & _holds_any(F.col("_code"), rule.hints)
-    return F.when(hinted, let(let(let(both, candidates), scoped), hits).cast(_HITS))
+def _hinted(rule: Pair) -> Column:
+    return F.col("_code").contains(rule.left_hint) & _holds_any(F.col("_code"), rule.hints)
 
 
 # --- all of them -------------------------------------------------------------
@@ -260,12 +245,12 @@ def _by_family(of_py: Column, of_js: Column) -> Column:
     return F.when(F.col("lang") == "py", of_py).otherwise(of_js)
 
 
-def _prepare(files: DataFrame) -> DataFrame:
+def _prepare(files: DataFrame, pairs: Iterable[Pair]) -> DataFrame:
     """Adds what the rules look at, each once per file.
 
     ``_raw`` lines; ``_code`` and ``_bare``, the numbered text without comments
     and without strings; ``_pieces``, its lines; ``_code_lines``, those that hold
-    code; ``_functions`` of Python files.
+    code, if one of ``pairs`` may match; ``_functions`` of Python files.
     """
     return (
         _lexed(files)
@@ -275,7 +260,7 @@ def _prepare(files: DataFrame) -> DataFrame:
                 (F.col("lang") == "py") & may_define(F.col("content")), functions_in(F.col("_raw"), F.col("_code"))
             ),
         )
-        .withColumn("_code_lines", _code_lines())
+        .withColumn("_code_lines", _code_lines(pairs))
     )
 
 
@@ -310,9 +295,16 @@ def masked(raw: Column, lexed: Column) -> Column:
     return let(lexed, of)
 
 
-def _code_lines() -> Column:
-    """Lines that hold code: array<struct<line, indent, text>>."""
-    return F.transform(
+_CODE_LINE = "struct<line:int,indent:int,text:string,end_block:int,end_body:int>"
+
+
+def _code_lines(rules: Iterable[Pair]) -> Column:
+    """Lines that hold code, with the line at which what is indented like them (``end_block``) or more (``end_body``) ends.
+
+    Only of files in which a rule may find its two lines. One pass from the last line
+    up holds the lines below that are less and less indented.
+    """
+    lines = F.transform(
         F.filter("_pieces", lambda p: p["text"].rlike(r"\S")),
         lambda p: F.struct(
             p["line"].alias("line"),
@@ -321,6 +313,19 @@ def _code_lines() -> Column:
         ),
     )
 
+    def step(below: Column, line: Column) -> Column:
+        less = F.filter(below, lambda b: b["indent"] < line["indent"])
+        last = lambda kept: F.try_element_at(kept, F.lit(-1))["line"]
+        body = last(F.filter(below, lambda b: b["indent"] <= line["indent"]))
+        out = F.struct(line["line"], line["indent"], line["text"], last(less).alias("end_block"), body.alias("end_body"))
+        return F.struct(F.concat(less, F.array(F.struct(line["indent"].alias("indent"), line["line"].alias("line")))).alias("state"), out.alias("out"))
+
+    wanted = F.lit(False)
+    for rule in rules:
+        wanted = wanted | _hinted(rule)
+    start = F.array().cast("array<struct<indent:int,line:int>>")
+    return F.when(wanted, let(lines, lambda x: F.reverse(fold(F.reverse(x), start, step, _CODE_LINE))))
+
 
 def _family_hits(family: str, keys: Iterable[str] | None, strict: bool) -> Column:
     rules = {c: _selected(family, c, keys) for c in "LBFJ"}
@@ -346,8 +351,9 @@ def match_rules(files: DataFrame, *, keys: Iterable[str] | None = None, strict:
     if unknown:
         raise ValueError(f"no such rules: {sorted(unknown)}")
     hits = _by_family(_family_hits("py", keys, strict), _family_hits("js", keys, strict))
+    pairs = {r for family in ("py", "js") for r in _selected(family, "J", keys).values()}
     return (
-        _prepare(files)
+        _prepare(files, pairs)
         .select("project_id", "path", "lang", F.explode(hits).alias("_h"))
         .select("project_id", "path", "lang", "_h.line", "_h.rule_key")
     )

@@ -248,3 +248,14 @@ def test_user_rules_do_not_pass_through_the_driver(spark, make_files, monkeypatc
     found = rules.match_user_rules(make_files({"a.py": "x = name4999"}), table)
     assert max(seen, default=0) <= 3
     assert {h.rule_key for h in found.collect()} == {"r4999", "r499", "r49", "r4"}
+
+
+def test_a_file_of_loops_takes_seconds(make_files):
+    import time
+
+    code = "".join(f"for x{i} in xs:\n    repo.get_tokens(x{i if i % 2 else i + 1})\n" for i in range(24_000))
+    files = make_files({"a.py": code})
+    start = time.time()
+    found = {r.line for r in rules.match_rules(files, keys=[PS + "python.n-plus-one-query"]).collect()}
+    assert len(code) > 1 << 20 and found == {2 * i + 1 for i in range(1, 24_000, 2)}
+    assert time.time() - start < 60
