@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
-from scanloom.functions.arrays import let, with_fields
+from scanloom.functions.arrays import fold, let, with_fields
 from scanloom.functions.patterns import CHANGE_ME, GENERIC_JS, GENERIC_PY, SECRET_PATTERNS, patterns_for
 from scanloom.operators.filters import is_safe_value, lang_of
 from scanloom.operators.learning import DEFAULT_AUTH
@@ -22,66 +22,59 @@ REDACTED = "[REDACTED]"
 _STATE = "struct<text:string,n:int,vars:array<string>>"
 
 
-def _with_quotes(body: Column, token: Column) -> Column:
-    """The first occurrence of a token, with the quotes around it if it has the same on both sides."""
-    around = let(
-        F.instr(body, token),
-        lambda at: F.struct(
-            F.when(at > 1, F.substring(body, at - 1, F.lit(1))).otherwise("").alias("before"),
-            F.substring(body, at + F.length(token), F.lit(1)).alias("after"),
-        ),
-    )
-    return let(
-        around,
-        lambda x: F.when(
-            (x["before"] == x["after"]) & x["before"].isin("'", '"'), F.concat(x["before"], token, x["after"])
-        ).otherwise(token),
-    )
+def _quoted(regex: str) -> str:
+    """A token, with the quotes around it if it has the same on both sides."""
+    return f"\"(?:{regex})\"|'(?:{regex})'|(?:{regex})"
 
 
-def _fold(content: Column, lang: str) -> Column:
+def _redacted(content: Column, lang: str) -> Column:
     """Text, fix count and names after all patterns of a language ran in order.
 
-    The outer fold goes over the patterns; each takes its matches from the text
-    as the earlier ones left it. The inner fold replaces match by match, the
-    first literal occurrence each time.
+    The fold goes over the patterns; each takes its matches from the text as the
+    earlier ones left it. The text is cut at all of them and put together once, so
+    its length counts once for each pattern, however many matches there are.
 
-    Where the original misbehaves this does the sane thing: quotes around a
-    token are replaced with it (a call inside quotes is not code), and a
-    script's variable is named by its identifier, not by the secret.
+    Where the original misbehaves this does the sane thing: a match is replaced
+    where it stands, quotes around a token are replaced with it (a call inside
+    quotes is not code), and a script's variable is named by its identifier, not by
+    the secret.
     """
     named = GENERIC_PY if lang == "py" else GENERIC_JS
     patterns = F.array(
-        *[F.struct(F.lit(p.regex).alias("rx"), F.lit(p is named).alias("generic")) for p in patterns_for(lang)]
+        *[F.struct(F.lit(p.regex if p is named else _quoted(p.regex)).alias("rx"), F.lit(p is named).alias("generic")) for p in patterns_for(lang)]
     )
 
-    def fix(acc: Column, full: Column, p: Column) -> Column:
+    def fixed(full: Column, i: Column, acc: Column, p: Column) -> Column:
         name = F.regexp_extract(full, named.regex, 1)
         value = F.when(p["generic"], F.regexp_extract(full, named.regex, 2)).otherwise("")
-        var = F.when(p["generic"], F.upper(name)).otherwise(F.concat(F.lit("API_KEY_"), (acc["n"] + 1).cast("string")))
+        var = F.when(p["generic"], F.upper(name)).otherwise(F.concat(F.lit("API_KEY_"), (acc["n"] + i + 1).cast("string")))
         if lang == "py":
             read = F.concat(F.lit('os.getenv("'), var, F.lit(f'", "{CHANGE_ME}")'))
             generic = F.concat(name, F.lit(" = "), read)
         else:
             read = F.concat(F.lit("process.env."), var, F.lit(f' || "{CHANGE_ME}"'))
             generic = F.concat(F.lit("const "), name, F.lit(" = "), read, F.lit(";"))
-        old = F.when(p["generic"], full).otherwise(_with_quotes(acc["text"], full))
-        new = F.when(p["generic"], generic).otherwise(read)
-        done = F.struct(
-            let(old, lambda o: text.replace_first(acc["text"], o, new)).alias("text"),
-            (acc["n"] + 1).alias("n"),
-            F.array_append(acc["vars"], var).alias("vars"),
+        new = F.struct(F.when(p["generic"], generic).otherwise(read).alias("text"), var.alias("var"))
+        return F.when(is_safe_value(value, full, lang), F.struct(full.alias("text"), F.lit(None).cast("string").alias("var"))).otherwise(new)
+
+    def joined(acc: Column, p: Column, fixes: Column) -> Column:
+        between = F.split(acc["text"], p["rx"], F.lit(-1))
+        body = F.flatten(F.transform(between, lambda part, i: F.array(part, F.get(fixes, i)["text"])))
+        names = F.filter(F.transform(fixes, lambda f: f["var"]), lambda v: v.isNotNull())
+        return let(
+            names,
+            lambda v: F.struct(F.array_join(body, "").alias("text"), (acc["n"] + F.size(v)).alias("n"), F.concat(acc["vars"], v).alias("vars")),
+        )
+
+    def step(acc: Column, p: Column) -> Column:
+        matches = F.regexp_extract_all(acc["text"], p["rx"], F.lit(0))
+        return let(
+            F.transform(matches, lambda full, i: fixed(full, i, acc, p)),
+            lambda fixes: F.when(F.size(fixes) == 0, acc).otherwise(joined(acc, p, fixes).cast(_STATE)),
         )
-        return F.when(is_safe_value(value, full, lang), acc).otherwise(done.cast(_STATE))
 
     start = F.struct(content.alias("text"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("vars"))
-    return F.aggregate(
-        patterns,
-        start.cast(_STATE),
-        lambda acc, p: F.aggregate(
-            F.regexp_extract_all(acc["text"], p["rx"], F.lit(0)), acc, lambda inner, full: fix(inner, full, p)
-        ),
-    )
+    return F.aggregate(patterns, start.cast(_STATE), step)
 
 
 def add_first(text_col: Column, fixes: Column, content: Column, lang: str, header: str = JS_HEADER) -> Column:
@@ -106,15 +99,15 @@ def redact_secrets(files: DataFrame, *, max_size: int | None = None, header: str
     usable = F.lit(True) if max_size is None else F.col("length") <= max_size
     holds = lambda family: usable & (lang == family) & may_hold_any(content, patterns_for(family))
     as_it_is = F.struct(content.alias("text"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("vars"))
-    fold = F.when(holds("py"), _fold(content, "py")).when(holds("js"), _fold(content, "js")).otherwise(as_it_is.cast(_STATE))
+    done = F.when(holds("py"), _redacted(content, "py")).when(holds("js"), _redacted(content, "js")).otherwise(as_it_is.cast(_STATE))
 
     def with_first_line(fix: Column) -> Column:
-        done = F.when(lang == "py", add_first(fix["text"], fix["n"], content, "py")).otherwise(
+        first = F.when(lang == "py", add_first(fix["text"], fix["n"], content, "py")).otherwise(
             add_first(fix["text"], fix["n"], content, "js", header)
         )
-        return F.struct(done.alias("fixed_content"), fix["n"].alias("fixes"), fix["vars"].alias("vars"))
+        return F.struct(first.alias("fixed_content"), fix["n"].alias("fixes"), fix["vars"].alias("vars"))
 
-    return with_fields(files, let(fold, with_first_line)).withColumn("modified", F.col("fixed_content") != content)
+    return with_fields(files, let(done, with_first_line)).withColumn("modified", F.col("fixed_content") != content)
 
 
 def redact_text(content: Column) -> Column:
@@ -175,48 +168,53 @@ def insert_decorator(content: Column, at_lines: Column, decorator: Column) -> Co
     """
     deco = F.when(decorator.startswith("@"), decorator).otherwise(F.concat(F.lit("@"), decorator))
 
-    def with_inserts(s: Column) -> Column:
-        """Where each new line goes: before the first line at or after its own that ends a chain."""
-        n_lines = F.size(s["lines"])
-        return F.struct(
-            s["lines"].alias("lines"),
-            F.transform(
-                F.filter(at_lines, lambda n: (n >= 1) & (n <= n_lines)),
-                lambda n: F.struct(
-                    F.coalesce(F.get(F.filter(s["ends"], lambda e: e >= n - 1), F.lit(0)), n_lines).alias("at"),
-                    F.concat(text.indent_of(F.get(s["lines"], n - 1)), deco, F.lit("\n")).alias("text"),
-                ),
-            ).alias("inserts"),
+    # One pass from the last line up tells where the chain of each line ends; then each line takes what is put before it.
+    def step(end: Column, line: Column) -> Column:
+        here = F.when(line["chain"], end).otherwise(line["i"])
+        text_ = F.when(line["wanted"] > 0, F.array_repeat(F.concat(text.indent_of(line["line"]), deco, F.lit("\n")), line["wanted"]))
+        out = F.struct(here.alias("at"), text_.alias("new"))
+        return F.struct(here.alias("state"), F.when(line["wanted"] > 0, out).alias("out"))
+
+    def marked(lines: Column) -> Column:
+        return F.transform(
+            _flags(at_lines, F.size(lines)),
+            lambda wanted, i: let(F.get(lines, i), lambda line: F.struct(i.alias("i"), line.alias("line"), wanted.alias("wanted"), _in_chain(line).alias("chain"))),
         )
 
-    def rebuilt(s: Column) -> Column:
-        at = lambda i: F.transform(
-            F.filter(s["inserts"], lambda x: x["at"] == i), lambda x: x["text"]
-        )
-        body = F.flatten(F.transform(s["lines"], lambda line, i: F.concat(at(i), F.array(line))))
-        return F.array_join(F.concat(body, at(F.size(s["lines"]))), "")
+    def rebuilt(lines: Column) -> Column:
+        ends = fold(F.reverse(marked(lines)), F.size(lines), step, "struct<at:int,new:array<string>>")
+        # In order of their places, which is that of their lines; what is at one place follows the order of the lines, too.
+        pieces = let(F.reverse(ends), lambda inserts: F.concat(
+            F.transform(inserts, lambda x, k: F.struct(x["at"].alias("at"), F.lit(0).alias("kind"), k.alias("k"), F.array_join(x["new"], "").alias("text"))),
+            F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("k"), line.alias("text"))),
+        ))
+        return F.array_join(F.transform(F.sort_array(pieces), lambda x: x["text"]), "")
+
+    return let(text.splitlines_keep(content), rebuilt)
 
-    ends = lambda lines: F.filter(
-        F.transform(lines, lambda line, i: F.when(~_in_chain(line), i)), lambda i: i.isNotNull()
-    )
-    split = let(
-        text.splitlines_keep(content), lambda lines: F.struct(lines.alias("lines"), ends(lines).alias("ends"))
-    )
-    return let(let(split, with_inserts), rebuilt)
+
+def _flags(at_lines: Column, n_lines: Column) -> Column:
+    """How often each line is among ``at_lines``: an array with an entry for each of the lines."""
+    hits = F.concat(F.filter(at_lines, lambda n: (n >= 1) & (n <= n_lines)), F.sequence(F.lit(1), F.greatest(n_lines, F.lit(1))))
+
+    def step(last: Column, n: Column) -> Column:
+        # Sorted, each line stands once more than it is asked for; the count goes out with the last of them.
+        same = last["n"] == n
+        out = F.when(~same & (last["n"] > 0), last["times"])
+        return F.struct(F.struct(n.alias("n"), F.when(same, last["times"] + 1).otherwise(0).alias("times")).alias("state"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("times"))
+    counts = fold(F.concat(F.sort_array(hits.cast("array<int>")), F.array(F.lit(-1))), start, step, "int")
+    return F.when(n_lines > 0, counts).otherwise(F.array().cast("array<int>"))
 
 
 def upper_names(content: Column, at_lines: Column) -> Column:
     """Text with the name on each of ``at_lines`` of an env file in upper case."""
+    upper = lambda line: text.replace_first(line, text.first_piece(line), F.upper(text.first_piece(line)))
     return let(
-        at_lines,
-        lambda wanted: F.array_join(
-            F.transform(
-                text.splitlines_keep(content),
-                lambda line, i: F.when(
-                    F.array_contains(wanted, i + 1),
-                    text.replace_first(line, text.first_piece(line), F.upper(text.first_piece(line))),
-                ).otherwise(line),
-            ),
+        text.splitlines_keep(content),
+        lambda lines: F.array_join(
+            F.transform(_flags(at_lines, F.size(lines)), lambda wanted, i: let(F.get(lines, i), lambda line: F.when(wanted > 0, upper(line)).otherwise(line))),
             "",
         ),
     )

@@ -148,3 +148,40 @@ def test_large_files_are_redacted_unless_a_limit_is_given(spark):
     files = spark.createDataFrame([("p", "a.py", big, len(big))], "project_id string, path string, content string, length long")
     assert rewrite.redact_secrets(files).first().fixes == 1
     assert rewrite.redact_secrets(files, max_size=1_048_576).first().fixes == 0
+
+
+def test_many_secrets_and_edits_take_seconds(spark, make_files):
+    import time
+
+    code = "".join(f'a{i} = "{GHP}"\npassword = "p{i}"\n' for i in range(10_000))
+    start = time.time()
+    got = fixed(make_files({"a.py": code}))["a.py"]
+    assert got.fixes == 20_000 and GHP not in got.fixed_content and got.vars[:1] + got.vars[-1:] == ["API_KEY_1", "PASSWORD"]
+    assert time.time() - start < 40
+
+    lines = [f"def f{i}(): pass" for i in range(20_000)]
+    env = [f"name{i}=1" for i in range(20_000)]
+    table = spark.createDataFrame([("\n".join(lines), "\n".join(env), list(range(1, 20_001)))], "a string, b string, at array<int>")
+    start = time.time()
+    row = table.select(rewrite.insert_decorator(F.col("a"), F.col("at"), F.lit("x")).alias("a"), rewrite.upper_names(F.col("b"), F.col("at")).alias("b")).first()
+    assert row.a == "\n".join(f"@x\n{x}" for x in lines) and row.b == "\n".join(env).upper()
+    assert time.time() - start < 40
+
+
+def test_inserts_and_names_against_plain_python(spark):
+    import random
+
+    r = random.Random(7)
+    for _ in range(12):
+        lines = [r.choice(["@a", "@b(", "    x)", "def f():", "    return", "", "y = 1", "async def g(): pass"]) for _ in range(r.randrange(0, 12))]
+        at = [r.randrange(-1, 14) for _ in range(r.randrange(0, 6))]
+        want: dict[int, list[str]] = {}
+        in_chain = lambda x: x.strip().startswith("@") or (not x.strip().startswith(("def ", "async def ", "class ")) and x.startswith((" ", "\t")))
+        for n in sorted(at):
+            if 1 <= n <= len(lines):
+                end = next((k for k in range(n - 1, len(lines)) if not in_chain(lines[k])), len(lines))
+                want.setdefault(end, []).append(lines[n - 1][: len(lines[n - 1]) - len(lines[n - 1].lstrip())] + "@d\n")
+        text = "".join(x + "\n" for x in lines)
+        out = "".join("".join(want.get(k, [])) + x + "\n" for k, x in enumerate(lines)) + "".join(want.get(len(lines), []))
+        row = spark.createDataFrame([(text, at)], "t string, at array<int>").select(rewrite.insert_decorator(F.col("t"), F.col("at"), F.lit("d")).alias("a")).first()
+        assert row.a == out, (lines, at)
