@@ -6,6 +6,8 @@ neither lines nor texts are shuffled. ``issues`` gives the same as a table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from scanloom.sources.python_functions import LOOKBACK, function_table, function
 
 MISSING_AUTH, MISSING_CSRF, ENV_VAR_STYLE = "MISSING_AUTH", "MISSING_CSRF", "ENV_VAR_STYLE"
 _ISSUES = "array<struct<line:int,issue_type:string>>"
+_FOUND = "array<struct<line:int,issue_type:string,env_name:string>>"
 
 # Words and patterns the checks look for.
 AUTH_WORDS = ["@auth", "@login_required", "@permission"]
@@ -70,7 +73,7 @@ def _check_scope(auth_scope: str) -> None:
 def _as_issues(line_nos: Column, type_: str) -> Column:
     return F.transform(
         F.filter(line_nos, lambda n: n.isNotNull()),
-        lambda n: F.struct(n.cast("int").alias("line"), F.lit(type_).alias("issue_type")),
+        lambda n: F.struct(n.cast("int").alias("line"), F.lit(type_).alias("issue_type"), F.lit(None).cast("string").alias("env_name")),
     )
 
 
@@ -150,10 +153,39 @@ def with_issues(
     ``files`` carry the learned column ``env_style`` of their project. Python
     functions are found natively; see ``missing_auth`` for the exact way.
     """
+    wrong = lambda line: breaks_env_style(line, F.col("env_style"), env_check)
+    prepared, found = _detected(files, content, wrong, include_async, auth_scope, lookback)
+    issues = F.transform(found, lambda i: F.struct(i["line"], i["issue_type"])).cast(_ISSUES)
+    return with_fields(prepared, F.struct(issues.alias("issues"))).drop("_check", "_text", "_lines", "_code")
+
+
+def issue_candidates(
+    files: DataFrame, *, include_async: bool = False, auth_scope: str = "def_line", lookback: int = LOOKBACK, env_check: str = "mode"
+) -> DataFrame:
+    """``project_id, path, line, issue_type, env_name`` without what is learned of projects.
+
+    Narrow rows, to be joined with it afterwards: with ``mode`` every line of an env
+    file that sets a name is a candidate, with its name (``confirmed``).
+    """
+    wrong = is_env_line if env_check == "mode" else lambda line: breaks_env_style(line, F.lit(None), env_check)
+    prepared, found = _detected(files.select("project_id", "path", "content"), "content", wrong, include_async, auth_scope, lookback)
+    return prepared.select("project_id", "path", F.explode(found).alias("_i")).select("project_id", "path", "_i.*")
+
+
+def confirmed(candidates: DataFrame, *, env_check: str = "mode") -> DataFrame:
+    """Candidates, joined with ``env_style``, that are issues."""
+    if env_check == "mode":
+        candidates = candidates.filter(F.col("env_name").isNull() | (F.col("env_name") != F.upper("env_style")))
+    return candidates.drop("env_name")
+
+
+def _detected(
+    files: DataFrame, content: str, wrong: Callable[[Column], Column], include_async: bool, auth_scope: str, lookback: int
+) -> tuple[DataFrame, Column]:
+    """Files prepared for the checks, and the array of what is found; ``wrong`` tells the lines of env files to be reported."""
     _check_scope(auth_scope)
     col, path = F.col(content), F.col("path")
     lang = lang_of(path)
-    none = F.array().cast(_ISSUES)
     prepared = with_lines(
         files.withColumn(
             "_check",
@@ -164,20 +196,21 @@ def with_issues(
             .when(lang == "env", "env"),
         ).withColumn("_text", F.when(F.col("_check").isNotNull(), col)),
         "_text",
+        F.col("_check") == "py",
     )
-    found = F.col("_check")
+    check = F.col("_check")
     functions = functions_in(F.col("_lines"), F.col("_code"), lookback=lookback)
     auth = F.transform(functions, lambda f: _open_route(f, lookback, include_async, auth_scope))
     csrf = F.transform("_lines", lambda line, i: F.when(lacks_csrf(line), i + 1))
-    env = F.transform("_lines", lambda line, i: F.when(breaks_env_style(line, F.col("env_style"), env_check), i + 1))
-    all_issues = (
-        F.when(found == "py", _as_issues(auth, MISSING_AUTH))
-        .when(found == "js", _as_issues(csrf, MISSING_CSRF))
-        .when(found == "env", _as_issues(env, ENV_VAR_STYLE))
-        .otherwise(none)
-        .cast(_ISSUES)
+    names = F.transform("_lines", lambda line, i: F.when(wrong(line), F.struct((i + 1).alias("line"), text.first_piece(line).alias("name"))))
+    env = F.transform(F.filter(names, lambda x: x.isNotNull()), lambda x: F.struct(x["line"], F.lit(ENV_VAR_STYLE).alias("issue_type"), x["name"]))
+    found = (
+        F.when(check == "py", _as_issues(auth, MISSING_AUTH).cast(_FOUND))
+        .when(check == "js", _as_issues(csrf, MISSING_CSRF).cast(_FOUND))
+        .when(check == "env", env.cast(_FOUND))
+        .otherwise(F.array().cast(_FOUND))
     )
-    return with_fields(prepared, F.struct(all_issues.alias("issues"))).drop("_check", "_text", "_lines", "_code")
+    return prepared, found
 
 
 def explode_issues(flagged: DataFrame, *keep: str) -> DataFrame:

@@ -96,7 +96,7 @@ def learn(files: DataFrame, *, method: str = "native", skip: bool = True) -> Dat
     )
     if method == "exact":
         kind = F.when(kind != AUTH, kind)
-    rows = with_lines(files.select("project_id", "path", "content", kind.alias("_kind")).filter("_kind is not null"))
+    rows = with_lines(files.select("project_id", "path", "content", kind.alias("_kind")).filter("_kind is not null"), is_code=F.col("_kind") == AUTH)
     uses = (
         F.when(F.col("_kind") == ENV, _env_uses(F.col("_lines")))
         .when(F.col("_kind") == HANDLER, _handler_uses(content))

@@ -29,15 +29,24 @@ def flag(files: DataFrame, *, learned: DataFrame | None = None, **options) -> Da
     return issues.with_issues(with_learned(files, learned), **options)
 
 
-def scan(files: DataFrame, **options) -> DataFrame:
+def _issues(files: DataFrame, learned: DataFrame | None, options: dict) -> DataFrame:
+    """Issues with the habits of their project. What is joined are the narrow rows of candidates, not the files."""
+    files = scannable(files)
+    summary = learning.summarise(learned if learned is not None else learning.learn(files))
+    found = join_lookup(issues.issue_candidates(files, **options), summary, ["project_id"], salt_on=["path", "line"])
+    return issues.confirmed(found, env_check=options.get("env_check", "mode"))
+
+
+def scan(files: DataFrame, *, learned: DataFrame | None = None, **options) -> DataFrame:
     """Issue table of a files table: ``project_id, path, line, issue_type``."""
-    return issues.explode_issues(flag(files, **options))
+    return _issues(files, learned, options).select("project_id", "path", "line", "issue_type")
 
 
-def findings(files: DataFrame, **options) -> DataFrame:
+def findings(files: DataFrame, *, learned: DataFrame | None = None, **options) -> DataFrame:
     """Findings with their suggestions."""
-    found = issues.explode_issues(flag(files, **options), "auth_decorator", "token_handler", "env_style")
-    return issues.to_findings(issues.suggest_improvement(found))
+    found = _issues(files, learned, options)
+    columns = ["project_id", "path", "auth_decorator", "token_handler", "env_style", "line", "issue_type"]
+    return issues.to_findings(issues.suggest_improvement(found.select(*columns)))
 
 
 @dataclass

@@ -108,10 +108,11 @@ def functions_in(lines: Column, code: Column, *, lookback: int = LOOKBACK) -> Co
     return F.transform(F.regexp_extract_all(solid, F.lit(HEADER), F.lit(0)), describe)
 
 
-def with_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds ``_lines`` and ``_code`` (numbered, without Python comments, strings on one line)."""
+def with_lines(files: DataFrame, content: str = "content", is_code: Column | None = None) -> DataFrame:
+    """Adds ``_lines`` and ``_code`` (numbered, without Python comments, strings on one line); NULL unless ``is_code``."""
     rows = files.withColumn("_lines", text.splitlines(F.col(content)))
-    return with_fields(rows, F.struct(F.concat(lex(text.numbered(F.col("_lines")), "py")["code"], F.lit("\n")).alias("_code")))
+    code = F.concat(lex(text.numbered(F.col("_lines")), "py")["code"], F.lit("\n"))
+    return with_fields(rows, F.struct((code if is_code is None else F.when(is_code, code)).alias("_code")))
 
 
 def may_define(content: Column) -> Column:

@@ -106,3 +106,27 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     folder = spark.sparkContext.getCheckpointDir()
     assert folder and df.count() == 3
     assert cut_lineage(spark.range(2)).count() == 2 and spark.sparkContext.getCheckpointDir() == folder
+
+
+def test_texts_do_not_move_when_the_learned_table_is_large(spark, stored, monkeypatch):
+    """Beyond the broadcast limit the narrow rows of issues are joined, not the files."""
+    small = [sorted(map(str, f(stored).collect())) for f in (scan.scan, scan.findings)]
+    monkeypatch.setattr(joins.join_lookup, "__kwdefaults__", {**joins.join_lookup.__kwdefaults__, "broadcast_bytes": 0})
+    monkeypatch.setattr(joins.heavy_keys, "__defaults__", (2000,))
+    for f, want in zip((scan.scan, scan.findings), small, strict=True):
+        df = f(stored)
+        tree = df._jdf.queryExecution().optimizedPlan().toString()
+        joined = tree.split("Join LeftOuter")[1:]
+        assert joined and all("content" not in line for line in tree.split("\n") if "Join" in line)
+        assert sorted(map(str, df.collect())) == want
+
+
+def test_copies_follow_the_weight_of_a_key(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("k"), "id")).alias("k"), "id")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3)], "k string, v int")
+    heavy = joins.heavy_keys(left, ["k"], 4000)
+    assert {r.k: r._salts for r in heavy.collect()} == {"hot": 5}  # 1000 rows of 3 + 16 bytes
+    for how in ("left", "inner"):
+        plain = joins.join_lookup(left, right, ["k"], how, salt_on=["id"])
+        salted = joins.salted_join(left, right, ["k"], how, salt_on=["id"], heavy=heavy)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, salted.select(plain.columns).collect()))
