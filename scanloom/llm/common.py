@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,22 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def plain_state(thing) -> dict:
+    """What an object of a class of this package holds, as dictionaries of plain values.
+
+    Broadcasts are pickled by name of their classes, and workers need not have the
+    package; functions travel by value and build the object again (``rebuilt``).
+    """
+    return {k: plain_state(v) if hasattr(v, "__dict__") and not isinstance(v, np.ndarray) else v for k, v in vars(thing).items()}
+
+
+def rebuilt(kind: type, state: dict, **parts: type):
+    """An object of ``kind`` with the values of ``plain_state``; ``parts`` names the classes of those that are objects themselves."""
+    made = kind.__new__(kind)
+    vars(made).update({k: rebuilt(parts[k], v) if k in parts and v is not None else v for k, v in state.items()})
+    return made
+
+
 def batches(columns: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Callable:
     """A function for ``mapInArrow`` that turns each batch into columns of ``schema``."""
 
@@ -86,3 +103,10 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for k in keys:
         on = on & left[k].eqNullSafe(right[k])
     return on
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of ``values`` in the given order joined, and where each begins, with the end of the last."""
+    n = lengths[order]
+    at = np.concatenate([[0], np.cumsum(n)])
+    return values[np.repeat(starts[order] - at[:-1], n) + np.arange(at[-1])], at

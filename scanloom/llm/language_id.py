@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import drop_settled, measured, settle
+from scanloom.llm.common import drop_settled, measured, plain_state, rebuilt, settle
 
 ORDER = 4
 BLANK = 32
@@ -374,14 +374,14 @@ def _entropies(texts: DataFrame, tables: Tables | Joined) -> DataFrame:
     if isinstance(tables, Joined):
         found, keyed = tables.entropies(texts), texts.select("lang", "deal", _key_of("text").alias("text_key"))
         return keyed.join(found, "text_key").select("lang", "deal", "n", "h", "bare")
-    held = texts.sparkSession.sparkContext.broadcast(tables)
+    held = texts.sparkSession.sparkContext.broadcast(plain_state(tables))
     schema = pa.schema([("lang", pa.string()), ("deal", pa.int64()), ("n", pa.int64()), ("h", pa.list_(pa.float64())), ("bare", pa.list_(pa.float64()))])
 
     def run(source):
-        letters = letter_table()
+        letters, tables = letter_table(), rebuilt(Tables, held.value)
         for batch in source:
-            got = [held.value.entropies(t.as_py(), letters) for t in batch.column("text")]
-            bare = [held.value.entropies(t.as_py(), letters, 1)[1].tolist() for t in batch.column("text")]
+            got = [tables.entropies(t.as_py(), letters) for t in batch.column("text")]
+            bare = [tables.entropies(t.as_py(), letters, 1)[1].tolist() for t in batch.column("text")]
             pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("deal"), pa.array([n for n, _ in got], pa.int64()), pa.array([h.tolist() for _, h in got], schema.field("h").type), pa.array(bare, schema.field("h").type)], schema=schema)
 
@@ -434,13 +434,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     names = [prefix + x for x in ("lang_pred", "score", "cross_entropy", "rejected")]
     if isinstance(model.tables, Joined):
         return _predict_joined(docs, model, text_col, names)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(plain_state(model))
 
     @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def judged(source: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        letters = letter_table()
+        letters, model = letter_table(), rebuilt(Model, held.value, tables=Tables)
         for texts in source:  # one text at a time becomes a Python string
-            columns = list(zip(*(held.value.judge(t.as_py(), letters) for t in texts), strict=True)) or [[]] * 4
+            columns = list(zip(*(model.judge(t.as_py(), letters) for t in texts), strict=True)) or [[]] * 4
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "cross_entropy", "rejected"])
             pa.default_memory_pool().release_unused()
@@ -452,12 +452,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
 def _predict_joined(docs: DataFrame, model: Model, text_col: str, names: list[str]) -> DataFrame:
     light = copy.copy(model)
     light.tables = None
-    held = docs.sparkSession.sparkContext.broadcast(light)
+    held = docs.sparkSession.sparkContext.broadcast(plain_state(light))
     schema = pa.schema([("_text_key", pa.binary()), ("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_rejected", pa.bool_())])
 
     def run(source):
+        model = rebuilt(Model, held.value)
         for batch in source:
-            got = [held.value.verdict(n, np.array(h.as_py())) for n, h in zip(batch.column("n").to_pylist(), batch.column("h"), strict=True)]
+            got = [model.verdict(n, np.array(h.as_py())) for n, h in zip(batch.column("n").to_pylist(), batch.column("h"), strict=True)]
             columns = list(zip(*got, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 

@@ -34,13 +34,22 @@ _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 _PIECES_DDL = ", ".join(f"{c} long" for c in _PIECES)
 
 
-def projection(vocabulary: int, dimensions: int = DIMENSIONS, buckets: int = BUCKETS, seed: int = SEED) -> np.ndarray:
-    """By token id: the projection of its signed hash bucket, a row of a seeded normal matrix."""
-    rng = np.random.default_rng(seed)
-    matrix = rng.standard_normal((buckets, dimensions)).astype(np.float32)
+def projection(dimensions: int = DIMENSIONS, buckets: int = BUCKETS, seed: int = SEED) -> np.ndarray:
+    """A row for each hash bucket: its place among the dimensions, of a seeded normal matrix."""
+    return np.random.default_rng(seed).standard_normal((buckets, dimensions)).astype(np.float32)
+
+
+def signed_buckets(vocabulary: int, buckets: int = BUCKETS) -> np.ndarray:
+    """By token id: its hash bucket, those of negative sign after all others."""
     hashed = np.arange(vocabulary, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    sign = np.where(hashed >> np.uint64(63), np.float32(1), np.float32(-1))
-    return matrix[(hashed >> np.uint64(40)) % np.uint64(buckets)] * sign[:, None]
+    negative = hashed >> np.uint64(63) == 0
+    return ((hashed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64) + buckets * negative
+
+
+def projected(ids: np.ndarray, buckets: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The mean of a document's hashed token vector, projected."""
+    counts = np.bincount(buckets[ids], minlength=2 * len(matrix))
+    return (counts[: len(matrix)] - counts[len(matrix) :]) @ matrix.astype(np.float64) / len(ids)
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -73,14 +82,14 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def run(source):
         pieces = PieceIds.shared(tokenizer)
-        table = projection(1 << 8 * pieces.dtype.itemsize if pieces.dtype.itemsize == 2 else pieces.tokenizer.get_vocab_size())
+        buckets, matrix = signed_buckets(pieces.tokenizer.get_vocab_size()), projection()
         close = np.array([end], pieces.dtype).tobytes()
         for batch in source:
             for i in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(i, TEXTS)
                 found = [ids + close for ids in pieces.ids_of([t or "" for t in part.column("text").to_pylist()])]
                 units = [np.frombuffer(ids, pieces.dtype) for ids in found]
-                means = [sum(table[u[k : k + 100_000]].sum(axis=0, dtype=np.float64) for k in range(0, len(u), 100_000)) / len(u) for u in units]
+                means = [projected(u, buckets, matrix) for u in units]
                 rows = [(doc, ids, len(u), *m.tolist()) for doc, ids, u, m in zip(part.column("doc_id").to_pylist(), found, units, means, strict=True)]
                 yield _columns(rows, _TOKENS)
 

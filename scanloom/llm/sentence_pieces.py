@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_format
 
+from scanloom.llm.common import gathered
+
 BLANK = "▁"
 #: Words that a task remembers at most, characters of texts that are encoded together, longest word for a row of the matrix.
 MEMORY, TOGETHER, ROW = 200_000, 1 << 21, 32
@@ -267,7 +269,7 @@ class Coder:
                 if len(known) < self.memory:
                     known[w] = found
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        joined, at = _gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
+        joined, at = gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
         ends = at[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return [joined[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
@@ -275,7 +277,7 @@ class Coder:
 
     def decoded_bytes(self, ids: np.ndarray) -> bytes:
         """The pieces of ids one after the other, blank signs as blanks."""
-        return _gathered(self.bytes, self.starts, self.lengths, ids)[0].tobytes()
+        return gathered(self.bytes, self.starts, self.lengths, ids)[0].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids as the library's decode gives it: without the blank in front; bytes that are no character become U+FFFD each."""
@@ -313,13 +315,6 @@ def _characters(raw: bytes) -> str:
     return "".join(out)
 
 
-def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slices of ``values`` in the given order joined, and where each begins, with the end of the last."""
-    n = lengths[order]
-    at = np.concatenate([[0], np.cumsum(n)])
-    return values[np.repeat(starts[order] - at[:-1], n) + np.arange(at[-1])], at
-
-
 def _windows(text: str, size: int) -> Iterator[str]:
     """The text in parts of about ``size`` characters, cut at a blank that follows something other than blanks; that blank goes."""
     start = 0
