@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import drop_settled, measured, plain_state, rebuilt, settle
+from scanloom.llm.common import drop_settled, measured, plain_state, rebuilt, settle, tidied, tidy
 
 ORDER = 4
 BLANK = 32
@@ -125,7 +125,7 @@ def _count_grams(source):
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n) over all texts of ``labelled`` (lang, text), neither null."""
-    found = labelled.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
+    found = labelled.select("lang", "text").mapInArrow(tidied(_count_grams), "lang string, gram long, n long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -382,10 +382,9 @@ def _entropies(texts: DataFrame, tables: Tables | Joined) -> DataFrame:
         for batch in source:
             got = [tables.entropies(t.as_py(), letters) for t in batch.column("text")]
             bare = [tables.entropies(t.as_py(), letters, 1)[1].tolist() for t in batch.column("text")]
-            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("deal"), pa.array([n for n, _ in got], pa.int64()), pa.array([h.tolist() for _, h in got], schema.field("h").type), pa.array(bare, schema.field("h").type)], schema=schema)
 
-    return texts.select("lang", "deal", "text").mapInArrow(run, "lang string, deal long, n long, h array<double>, bare array<double>").where("n > 0")
+    return texts.select("lang", "deal", "text").mapInArrow(tidied(run), "lang string, deal long, n long, h array<double>, bare array<double>").where("n > 0")
 
 
 def _key_of(text_col: str) -> Column:
@@ -443,7 +442,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
             columns = list(zip(*(model.judge(t.as_py(), letters) for t in texts), strict=True)) or [[]] * 4
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "cross_entropy", "rejected"])
-            pa.default_memory_pool().release_unused()
+            tidy()
 
     made = docs.withColumn("_judged", judged(F.col(text_col).cast("string")))
     return made.withColumns({n: F.col("_judged")[x] for n, x in zip(names, ("lang_pred", "score", "cross_entropy", "rejected"), strict=True)}).drop("_judged")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.llm.common import measured, null_safe, settle
+from scanloom.llm.common import measured, null_safe, settle, tidied, tidy
 
 MIN_WORDS = 5
 #: A Python worker hands on so many rows at a time.
@@ -115,7 +115,7 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each line with a word: its place, number of words, 128-bit hash, and half keys if it is long enough."""
-    return _keyed(docs, id_col, text_col).mapInArrow(_emit_lines(min_words), _LINES_DDL)
+    return _keyed(docs, id_col, text_col).mapInArrow(tidied(_emit_lines(min_words)), _LINES_DDL)
 
 
 def _emit_variants(source):
@@ -157,7 +157,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     wanted = settle(wanted.groupBy("first.doc_id", "first.text_key").agg(F.collect_list("first.line").alias("lines")), "wanted")
     keyed, few = _keyed(docs, id_col, text_col), measured(wanted)
     texts = keyed.join(few, null_safe(keyed, few, ["doc_id", "text_key"])).select(keyed["doc_id"], keyed["text_key"], "lines", "text")
-    emitted = settle(texts.mapInArrow(_emit_variants, _VARIANTS_DDL), "variants")
+    emitted = settle(texts.mapInArrow(tidied(_emit_variants), _VARIANTS_DDL), "variants")
     place = F.struct("doc_id", "text_key", "line")
     words = emitted.where("variant is null").select(place.alias("first"), "words").distinct()
 
@@ -207,7 +207,9 @@ def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
         gone = set(gone)
         return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
 
-    return pd.Series([cut(t, g) for t, g in zip(text, lines, strict=True)], dtype=object)
+    out = pd.Series([cut(t, g) for t, g in zip(text, lines, strict=True)], dtype=object)
+    tidy()
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import drop_settled, settle
+from scanloom.llm.common import drop_settled, settle, tidied
 from scanloom.llm.tokens import PieceIds
 
 SEQUENCE = 1024
@@ -93,7 +93,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 rows = [(doc, ids, len(u), *m.tolist()) for doc, ids, u, m in zip(part.column("doc_id").to_pylist(), found, units, means, strict=True)]
                 yield _columns(rows, _TOKENS)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _TOKENS_DDL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run, keeps_pieces=True), _TOKENS_DDL)
 
 
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -184,6 +184,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     dtype = str(PieceIds(tokenizer, 0).dtype)
     keyed = tokens.select("doc_id", "ids", "tokens", curve_key(tokens).alias("curve"))
     order = ["curve", "doc_id", "tokens"]
-    pieces = settle(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(_pack(sequence, dtype), _PIECES_DDL), "pieces")
+    pieces = settle(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(tidied(_pack(sequence, dtype)), _PIECES_DDL), "pieces")
     drop_settled(tokens)
     return pieces
