@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scanloom.session import shared_folder
 
 #: Rows that a Python worker gets at once while a table is written: whole texts are wide, and memory must not follow their number.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 #: A side of a join is broadcast if it is measured to have at most so many rows and bytes of files.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20

@@ -12,7 +12,6 @@ words with it. Distinct lines that share no half with another distinct line emit
 nothing: that loses no pair and leaves few lines to expand.
 """
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -136,9 +135,9 @@ def _emit_variants(source):
             yield _record(rows, _VARIANTS)
 
 
-@F.pandas_udf(T.BooleanType())
-def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
+@F.arrow_udf(T.BooleanType())
+def _one_edit(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([within_one_edit(x.as_py().split(" "), y.as_py().split(" ")) for x, y in zip(a, b, strict=True)], pa.bool_())
 
 
 def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -199,15 +198,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("place.doc_id", "place.text_key").agg(F.collect_set("place.line").alias("lines"))
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, lines: pa.Array) -> pa.Array:
     def cut(t, gone):
-        if t is None or gone is None:
-            return t
-        gone = set(gone)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+        if not t.is_valid or not gone.is_valid:
+            return t.as_py()
+        gone = set(gone.as_py())
+        return "\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in gone)
 
-    out = pd.Series([cut(t, g) for t, g in zip(text, lines, strict=True)], dtype=object)
+    out = pa.array([cut(t, g) for t, g in zip(text, lines, strict=True)], pa.string())
     tidy()
     return out
 

@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -107,12 +106,12 @@ def curve_key(tokens: DataFrame) -> Column:
     mean = np.array([got[f"m_{x}"] or 0.0 for x in axes])
     spread = np.array([got[f"s_{x}"] or 1.0 for x in axes])
 
-    @F.pandas_udf("long")
-    def key(source: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def key(source: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in source:
-            z = (np.stack([c.to_numpy(np.float64) for c in columns], axis=1) - mean) / spread
+            z = (np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in columns], axis=1) - mean) / spread
             cells = np.minimum(((np.tanh(0.8 * z) + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            yield pd.Series(hilbert_keys(cells))
+            yield pa.array(hilbert_keys(cells), pa.int64())
 
     return key(*axes)
 
