@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import drop_settled, settle, tidied
-from scanloom.llm.tokens import PieceIds
+from scanloom.llm.tokens import MEMORY, PieceIds
 
 SEQUENCE = 1024
 END = 0
@@ -76,11 +76,11 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, memory: int = MEMORY) -> DataFrame:
     """(doc_id, ids, tokens, x0, x1, ..): ids of each whole text and the end id, as bytes, and the projected vector's mean."""
 
     def run(source):
-        pieces = PieceIds.shared(tokenizer)
+        pieces = PieceIds.shared(tokenizer, memory)
         buckets, matrix = signed_buckets(pieces.tokenizer.get_vocab_size()), projection()
         close = np.array([end], pieces.dtype).tobytes()
         for batch in source:
@@ -166,7 +166,7 @@ def _pack(sequence: int, dtype: str):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end: int = END, memory: int = MEMORY) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, all longs.
 
     A document is the ids of its whole text and the id ``end``; a null or empty text is
@@ -177,9 +177,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Other columns are not looked at. An empty table gives an empty table.
 
     Documents with equal keys are told apart by doc_id and length, so a group of
-    copies is spread over as many partitions as it fills.
+    copies is spread over as many partitions as it fills. A worker remembers the ids of
+    at most ``memory`` pieces of text.
     """
-    tokens = settle(tokenized(docs, tokenizer, id_col, text_col, end), "tokens")
+    tokens = settle(tokenized(docs, tokenizer, id_col, text_col, end, memory), "tokens")
     dtype = str(PieceIds(tokenizer, 0).dtype)
     keyed = tokens.select("doc_id", "ids", "tokens", curve_key(tokens).alias("curve"))
     order = ["curve", "doc_id", "tokens"]

@@ -78,15 +78,15 @@ class PieceIds:
         self.direct = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
 
     @classmethod
-    def shared(cls, path: str) -> PieceIds:
+    def shared(cls, path: str, memory: int = MEMORY) -> PieceIds:
         """The one of this process, so that tasks which follow each other in a worker share what they remember.
 
         It hangs on the library's module, as this package's own travels by value with each task.
         """
         held = tokenizers.__dict__.setdefault("_scanloom_pieces", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
+        if (path, memory) not in held:
+            held[path, memory] = cls(path, memory)
+        return held[path, memory]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
