@@ -444,7 +444,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
             yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "cross_entropy", "rejected"])
             tidy()
 
-    made = docs.withColumn("_judged", judged(F.col(text_col).cast("string")))
+    # Not deterministic for Catalyst: it would judge a text once more for each filter on the verdict.
+    made = docs.withColumn("_judged", judged.asNondeterministic()(F.col(text_col).cast("string")))
     return made.withColumns({n: F.col("_judged")[x] for n, x in zip(names, ("lang_pred", "score", "cross_entropy", "rejected"), strict=True)}).drop("_judged")
 
 

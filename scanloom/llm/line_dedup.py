@@ -222,5 +222,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = measured(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("lines").alias("_gone")))
     on = docs[id_col].cast("long").eqNullSafe(few["_gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == few["_gone_key"])
     joined = docs.join(few, on, "left").drop("_gone_id", "_gone_key")
-    cut = F.coalesce(_without(F.when(F.col("_gone").isNotNull(), F.col(text_col).cast("string")), F.col("_gone")), F.col(text_col).cast("string"))
+    # Not deterministic for Catalyst: it would cut a text once more for each filter on what is left.
+    cut = F.coalesce(_without.asNondeterministic()(F.when(F.col("_gone").isNotNull(), F.col(text_col).cast("string")), F.col("_gone")), F.col(text_col).cast("string"))
     return joined.withColumn(text_col, cut).withColumn("lines_removed", F.greatest(F.lit(0), F.coalesce(F.size("_gone"), F.lit(0))).cast("long")).drop("_gone")
