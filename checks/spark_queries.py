@@ -806,7 +806,7 @@ def report_files(spark, sf):
     report = reports.findings_report(_secret_findings(spark, sf), "markdown", projects=projects)
     folder = f"{shared_folder(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
     reports.write_report(report.select("project_id", "report"), folder)
-    tree = file_source.read_tree(spark, folder, glob="*.txt")
+    tree = file_source.read_tree(spark, folder, glob="*.txt", max_size=None)
     return tree.select(F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), F.md5("content").alias("content_md5"))
 
 
