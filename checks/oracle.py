@@ -15,7 +15,7 @@ from scanloom.functions.severity import RULE_TO_FINDING
 from scanloom.operators import filters, issues, learning, reports, rewrite
 from scanloom.operators.rule_data import RULES
 from scanloom.operators.rule_predicates import PREDICATES
-from scanloom.plans import corpus
+from scanloom.plans import corpus, review
 from scanloom.sources.diffs import TRUNCATION
 
 
@@ -808,6 +808,15 @@ ORACLES["exit_status"] = sql(
     FROM (SELECT DISTINCT project_id FROM web) LEFT JOIN auth a USING (project_id) GROUP BY project_id"""
 )
 
+ORACLES["exit_status_of_raw_files"] = """
+    SELECT project_id, CAST((kind = 1)::INT + (s_suppkey % 2 = 0)::INT AS BIGINT) AS n_findings,
+      CAST(CASE WHEN kind IN (2, 3, 4) THEN 2 WHEN kind = 1 OR s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_status
+    FROM (SELECT 's' || s_suppkey AS project_id, s_suppkey, s_suppkey % 5 AS kind FROM supplier)"""
+ORACLES["file_outcomes"] = """
+    SELECT path, failed, count(*) AS n_files FROM (
+      SELECT 'app.py' AS path, CASE s_suppkey % 5 WHEN 2 THEN 'decode' WHEN 3 THEN 'parse' WHEN 4 THEN 'read' END AS failed FROM supplier
+      UNION ALL SELECT 'api/more.py', NULL FROM supplier) GROUP BY ALL"""
+
 # --- reports on findings -----------------------------------------------------------------
 
 _SECRET_FOUND = {
@@ -871,6 +880,12 @@ ORACLES["findings_markdown"] = sql(
       FROM secret_found GROUP BY project_id) r USING (project_id)""",
     **_SECRET_FOUND,
 )
+ORACLES["findings_by_file"] = sql(
+    f"""SELECT project_id, 0 AS part, md5('## Security Findings' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY file) || chr(10)) AS report_md5
+    FROM (SELECT project_id, file, '### ' || file || chr(10) || chr(10) || string_agg('- Line ' || line || ' [' || severity || '] ' || message || ' (`'
+        || rule_id || '`)', chr(10) {_ORDER}) AS block FROM secret_found GROUP BY project_id, file) GROUP BY project_id""",
+    **_SECRET_FOUND,
+)
 ORACLES["findings_in_parts"] = sql(
     """SELECT project_id, count(*) AS n_items, CAST(ceil(count(*) / 50.0) AS BIGINT) AS parts FROM ts_found GROUP BY project_id""",
     **_TS_FOUND,
@@ -1044,6 +1059,28 @@ _REVIEW = {
       FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY CASE severity WHEN 'ERROR' THEN 1 WHEN 'WARNING' THEN 2
         ELSE 3 END, category, file, message) AS rank FROM review_found) WHERE rank <= 10 GROUP BY pr_id""",
 }
+# The lines that are added hold one kind of secret only.
+_REVIEW["fixes"] = f"""
+      SELECT diff_id AS pr_id, path AS file, line_no AS line, {q(review.FIX_ACTION)} AS action,
+        path || ':' || line_no || ' becomes `' || trim(regexp_replace(line, '(token) = "[^"]+"', {q('\\1 = ' + _PY_READ % 'TOKEN')})) || '`' AS description
+      FROM quiet WHERE path LIKE '%.py' AND regexp_matches(line, 'token = "[^"]+"')"""
+_REVIEW["best"] = """
+      SELECT pr_id, string_agg('- **' || action || '**: ' || description, chr(10) ORDER BY rank) AS best
+      FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY action, description) AS rank FROM fixes) WHERE rank <= 5 GROUP BY pr_id"""
+ORACLES["review_gate_settings"] = sql(
+    """SELECT pr_id, changed_lines, errors, n_findings, risk_score, ok AS auto_approvable, has_tests,
+      CASE WHEN ok THEN 'PASS' WHEN errors > 0 THEN 'FAIL' ELSE 'WARNING' END AS status
+    FROM (SELECT *, risk_score <= 0.5 AND errors = 0 AND changed_lines <= 8 AND has_tests AS ok FROM (
+      SELECT d.diff_id AS pr_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '+'))) AS INTEGER) AS changed_lines,
+        coalesce(errors, 0) AS errors, coalesce(warnings, 0) + coalesce(errors, 0) AS n_findings,
+        round(least(1.0::DOUBLE, coalesce(errors, 0) * 0.3::DOUBLE + coalesce(warnings, 0) * 0.1::DOUBLE), 4) AS risk_score,
+        len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'diff --git ') AND contains(lower(x), 'test'))) > 0 AS has_tests
+      FROM diffs d LEFT JOIN (
+        SELECT pr_id, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings
+        FROM review_found WHERE file LIKE '%.py' AND rule_id <> 'debug.print-in-production' GROUP BY pr_id) c ON c.pr_id = d.diff_id))""",
+    **_REVIEW,
+)
+ORACLES["review_fixes"] = sql("SELECT * FROM fixes", **_REVIEW)
 ORACLES["review_findings"] = sql("SELECT * FROM review_found", **_REVIEW)
 ORACLES["review_categories"] = sql(
     "SELECT pr_id, security_errors, security_warnings, quality, testing, touches_tests FROM categories", **_REVIEW
@@ -1063,8 +1100,9 @@ ORACLES["review_comments"] = sql(
       || CASE test_check WHEN 'gaps' THEN '- Test Coverage: gaps detected' || chr(10)
         WHEN 'none' THEN '- Test Coverage: no tests in changes' || chr(10) ELSE '' END
       || chr(10) || CASE WHEN tops IS NULL THEN '' ELSE '### Top Findings' || chr(10) || tops || chr(10) || chr(10) END
+      || CASE WHEN best IS NULL THEN '' ELSE '### Suggested Fixes' || chr(10) || best || chr(10) || chr(10) END
       || '---' AS comment
-    FROM gated LEFT JOIN tops USING (pr_id)""",
+    FROM gated LEFT JOIN tops USING (pr_id) LEFT JOIN best USING (pr_id)""",
     **_REVIEW,
 )
 ORACLES["gate_by_source"] = sql(

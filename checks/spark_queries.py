@@ -606,6 +606,33 @@ def exit_status(spark, sf):
     return gate.exit_status(web(spark, sf), scan.findings(web(spark, sf)))
 
 
+def _raw_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A project per supplier with two binary files: clean, with an open route, no UTF-8, a bracket left open, or not read."""
+    rows = table(spark, sf, "supplier").withColumn("project_id", F.concat(F.lit("s"), "s_suppkey"))
+    kind, clean = F.col("s_suppkey") % 5, F.lit("x = [1, (2)]  # (\n").cast("binary")
+    open_route = F.lit("from fastapi import FastAPI\n\n@app.get('/x')\ndef read():\n    return 1\n").cast("binary")
+    first = (
+        F.when(kind == 0, clean)
+        .when(kind == 1, open_route)
+        .when(kind == 2, F.concat(clean, F.unhex(F.lit("FFFE"))))
+        .when(kind == 3, F.lit("x = (1,\n").cast("binary"))
+    )
+    file = lambda path, content: rows.select("project_id", F.lit(path).alias("path"), content.alias("content"))
+    other = F.when(F.col("s_suppkey") % 2 == 0, open_route).otherwise(clean)
+    return file("app.py", first).unionByName(file("api/more.py", other)).withColumn("length", F.octet_length("content").cast("long"))
+
+
+@query
+def exit_status_of_raw_files(spark, sf):
+    return scan.exit_status(_raw_files(spark, sf))
+
+
+@query
+def file_outcomes(spark, sf):
+    """Files by the step at which they fail."""
+    return file_source.decode_all(_raw_files(spark, sf)).groupBy("path", "failed").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 # --- reports on findings -----------------------------------------------------------
 
 
@@ -737,6 +764,23 @@ def review_categories(spark, sf):
     )
 
 
+@query
+def review_gate_settings(spark, sf):
+    """Python alone, without debug prints, weights and limits of its own, tests required."""
+    settings = gate.GateSettings(
+        threshold="WARNING", languages=("python",), excluded_rules=("debug.print-in-production",), require_tests=True,
+        max_changed=8, max_risk=0.5, weights={"high": 0.3, "medium": 0.1},
+    )
+    return review.review(diff_table(spark, sf), settings=settings).gate.select(
+        "pr_id", "changed_lines", "errors", "n_findings", "risk_score", "auto_approvable", "status", "has_tests"
+    )
+
+
+@query
+def review_fixes(spark, sf):
+    return review.review_fixes(filters.without_noise(hunk_table(spark, sf)))
+
+
 @query
 def review_comments(spark, sf):
     return review.review(diff_table(spark, sf)).comments
@@ -788,6 +832,12 @@ def env_upsert_existing(spark, sf):
     return rewrite.upsert_env(rewrite.redact_secrets(files), files, file_source.env_names(files))
 
 
+@query
+def findings_by_file(spark, sf):
+    found = _secret_findings(spark, sf)
+    return reports.findings_report(found, "files").select("project_id", "part", F.md5("report").alias("report_md5"))
+
+
 @query
 def report_formats(spark, sf):
     """Each format by a name in any case."""

@@ -6,16 +6,21 @@ row per group and task, however large a group is.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions import severity
+from scanloom.functions import paths, severity
 from scanloom.functions.severity import FINDING_LEVELS, WEIGHTS
+from scanloom.operators.filters import severe, without_rules
 
 # The limits of the gate and the groups of categories.
 MAX_RISK, MAX_CHANGED_LINES, RISK_CAP = 0.35, 400, 1.0
 QUALITY = ["maintainability", "performance", "clean-code"]
 TOP_FINDINGS, TOP_FIXES = 10, 5
+LANGUAGE_SUFFIXES = {"python": [".py"], "typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx"]}
 CLEAN, FINDINGS, ERROR = 0, 1, 2
 
 
@@ -85,15 +90,42 @@ def tests_check(testing: Column, touches_tests: Column) -> Column:
     return F.when(testing > 0, "gaps").when(~touches_tests, "none")
 
 
-def risk_score() -> Column:
-    """Sum of the weights of all findings, at most 1.
+@dataclass(frozen=True)
+class GateSettings:
+    """What a review counts and when it approves."""
+
+    threshold: str = "info"  # findings below this level of either scale are left out
+    languages: tuple[str, ...] = ()  # python, typescript, javascript; empty: all
+    excluded_rules: tuple[str, ...] = ()
+    require_tests: bool = False  # a change that touches no test file is not approved
+    max_risk: float = MAX_RISK
+    max_changed: int = MAX_CHANGED_LINES
+    weights: Mapping[str, float] = field(default_factory=lambda: dict(WEIGHTS))
+
+    def of_languages(self, hunks: DataFrame) -> DataFrame:
+        """Hunks of files in one of the languages."""
+        if not self.languages:
+            return hunks
+        unknown = set(self.languages) - set(LANGUAGE_SUFFIXES)
+        if unknown:
+            raise ValueError(f"languages are {sorted(LANGUAGE_SUFFIXES)}, not {sorted(unknown)}")
+        suffixes = [s for x in self.languages for s in LANGUAGE_SUFFIXES[x]]
+        return hunks.filter(paths.suffix_of(F.col("file_path")).isin(suffixes))
+
+    def counted(self, findings: DataFrame) -> DataFrame:
+        """Findings that are grave enough and of no excluded rule."""
+        return without_rules(severe(findings, self.threshold), self.excluded_rules)
+
+
+def risk_score(weights: Mapping[str, float] = WEIGHTS) -> Column:
+    """Sum of the weights of all findings, at most 1; a level without a weight counts nothing.
 
     The original names a score, its weights and its limit and gives no formula;
     this is ours. Counts are multiplied, so the order of rows does not matter.
     """
     total = F.lit(0.0)
     for level in FINDING_LEVELS:
-        total = total + F.col(f"n_{level}") * F.lit(WEIGHTS[level])
+        total = total + F.col(f"n_{level}") * F.lit(float(weights.get(level, 0.0)))
     return F.round(F.least(F.lit(RISK_CAP), total), 4)
 
 
@@ -104,16 +136,19 @@ def gate(
     key: str = "pr_id",
     max_risk: float = MAX_RISK,
     max_changed: int = MAX_CHANGED_LINES,
+    weights: Mapping[str, float] = WEIGHTS,
+    require_tests: bool = False,
 ) -> DataFrame:
     """One row per pull request of ``changes`` (``key, changed_lines``), with or without findings.
 
     ``status`` is PASS when approvable, FAIL on any ERROR, else WARNING.
-    ``exit_status`` is that of the gate step: 1 on high severity.
+    ``exit_status`` is that of the gate step: 1 on high severity. With
+    ``require_tests`` the column ``has_tests`` of ``changes`` must be true for approval.
     """
     counts = severity_by_category(findings, key)
     numbers = [c for c in counts.columns if c not in (key, "touches_tests")]
     rows = (
-        changes.select(key, "changed_lines")
+        changes.select(key, "changed_lines", *(["has_tests"] if require_tests else []))
         .join(counts, key, "left")
         .na.fill(0, numbers)
         .na.fill({"touches_tests": False})
@@ -121,8 +156,10 @@ def gate(
     # A change of unknown size is not approvable.
     small = F.coalesce(F.col("changed_lines") <= max_changed, F.lit(False))
     approvable = (F.col("risk_score") <= max_risk) & (F.col("errors") == 0) & small
+    if require_tests:
+        approvable = approvable & F.coalesce(F.col("has_tests"), F.lit(False))
     return (
-        rows.withColumn("risk_score", risk_score())
+        rows.withColumn("risk_score", risk_score(weights))
         .withColumn("auto_approvable", approvable)
         .withColumn("status", F.when(F.col("auto_approvable"), "PASS").when(F.col("errors") > 0, "FAIL").otherwise("WARNING"))
         .withColumn("test_check", tests_check(F.col("testing"), F.col("touches_tests")))

@@ -106,7 +106,25 @@ def _findings_markdown(items: Column, counts: Column, ids: Column) -> Column:
     )
 
 
+def _findings_by_file(items: Column, counts: Column, ids: Column) -> Column:
+    """A heading for each file; items come in the order of their files, so one look back tells where the next begins."""
+
+    def point(f: Column, i: Column) -> Column:
+        file = _or(f["file"], "unknown")
+        head = F.concat(F.lit("### "), file, F.lit("\n\n"))
+        begins = (i == 0) | (file != _or(F.get(items, i - 1)["file"], "unknown"))
+        line = F.concat(
+            F.lit("- Line "), _or(f["line"].cast("string"), "?"), F.lit(" ["), _or(f["severity"], "low"), F.lit("] "),
+            _or(f["message"], "No message"), F.lit(" (`"), _or(f["rule_id"], "unknown"), F.lit("`)"),
+        )
+        return F.concat(F.when(begins & (i > 0), "\n").otherwise(""), F.when(begins, head).otherwise(""), line)
+
+    body = F.array_join(F.transform(items, point), "\n")
+    return F.when(F.size(items) == 0, NO_ISSUES).otherwise(F.concat(F.lit("## Security Findings\n\n"), body, F.lit("\n")))
+
+
 _FINDING_FORMATS = {
+    "files": _findings_by_file,
     "markdown": _findings_markdown,
     "md": _findings_markdown,
     "json": _findings_json,
@@ -130,6 +148,8 @@ def findings_report(
 ) -> DataFrame:
     """``project_id, part, parts, report``. Findings are ordered by file, line and message.
 
+    The format is ``markdown`` by severity, ``files`` (Markdown by file), ``json`` or ``sarif``.
+
     With ``projects`` (``project_id``) clean projects get a report too.
     """
     render = _pick(_FINDING_FORMATS, format)

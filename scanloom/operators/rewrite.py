@@ -110,6 +110,14 @@ def redact_secrets(files: DataFrame, *, max_size: int | None = None, header: str
     return with_fields(files, let(done, with_first_line)).withColumn("modified", F.col("fixed_content") != content)
 
 
+def redact_lines(lines: DataFrame) -> DataFrame:
+    """Adds ``fixed_content, fixes, vars`` to lines of files (``path, content``): as in a file, but nothing is put above a line."""
+    lang, content = lang_of(F.col("path")), F.col("content")
+    fix = F.when(lang == "py", _redacted(content, "py")).when(lang == "js", _redacted(content, "js"))
+    fields = let(fix, lambda f: F.struct(f["text"].alias("fixed_content"), f["n"].alias("fixes"), f["vars"].alias("vars")))
+    return with_fields(lines, fields)
+
+
 def redact_text(content: Column) -> Column:
     """Plain redaction for text that is not code; names of generic assignments stay."""
     out = content

@@ -11,13 +11,15 @@ from scanloom.functions import text
 from scanloom.functions.arrays import let
 from scanloom.functions.lexer import lex
 from scanloom.functions.patterns import patterns_for
-from scanloom.operators import gate, rules, secrets
-from scanloom.operators.filters import DiffNoise, without_noise
+from scanloom.operators import gate, rewrite, rules, secrets
+from scanloom.operators.filters import DiffNoise, lang_of, without_noise
+from scanloom.operators.gate import GateSettings
 from scanloom.operators.reports import review_comment
 from scanloom.session import cut_lineage
 from scanloom.sources import diffs as diff_source
 
 SECRET_RULE, SECRET_MESSAGE = "secret-detection", "Hardcoded secret detected"
+FIX_ACTION = "Read the secret from the environment"
 
 
 @dataclass
@@ -25,6 +27,7 @@ class Review:
     findings: DataFrame  # pr_id, file, line, severity, category, message, rule_id
     gate: DataFrame  # one row per pull request
     comments: DataFrame  # pr_id, comment
+    fixes: DataFrame  # pr_id, file, line, action, description, or what was given
 
 
 def _hits(family: str) -> Column:
@@ -65,6 +68,32 @@ def review_findings(hunks: DataFrame) -> DataFrame:
     return found.select(F.col("project_id").alias("pr_id"), "file", "line", "severity", "category", "message", "rule_id")
 
 
+def review_fixes(hunks: DataFrame) -> DataFrame:
+    """``pr_id, file, line, action, description``: a fix for each added line that holds a secret.
+
+    The line is redacted by itself; the description shows where it stands and what it becomes.
+    """
+    family = lang_of(F.col("file_path"))
+    added = F.filter(
+        diff_source.added_in(F.struct("lines", "new_start", "is_binary")),
+        lambda x: F.when(family == "py", secrets.has_secret(x["line"], patterns_for("py"))).otherwise(secrets.has_secret(x["line"], patterns_for("js"))),
+    )
+    lines = (
+        hunks.filter(family.isin("py", "js"))
+        .select("diff_id", "file_path", F.explode(added).alias("_l"))
+        .select(
+            F.col("diff_id").alias("pr_id"), F.col("file_path").alias("path"), F.col("_l.line_no").alias("line"),
+            F.substring(F.col("_l.line"), F.lit(2), F.length("_l.line")).alias("content"),
+        )
+    )
+    fixed = rewrite.redact_lines(lines).filter(F.col("fixes") > 0)
+    place = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
+    return fixed.select(
+        "pr_id", F.col("path").alias("file"), "line", F.lit(FIX_ACTION).alias("action"),
+        F.concat(place, F.lit(" becomes `"), text.strip(F.col("fixed_content")), F.lit("`")).alias("description"),
+    )
+
+
 def _review_rules(spark: SparkSession) -> DataFrame:
     """The built-in rules and the secret check: 95 rows."""
     table = rules.rule_table(spark).select("rule_key", "rule_id", "message", "severity", "category")
@@ -72,15 +101,30 @@ def _review_rules(spark: SparkSession) -> DataFrame:
     return table.union(spark.createDataFrame([secret], table.schema))
 
 
-def review(diffs: DataFrame, *, noise: DiffNoise | None = None, fixes: DataFrame | None = None) -> Review:
-    """Findings, gate and comment for each diff (``diff_id, text``).
+def review(
+    diffs: DataFrame,
+    *,
+    noise: DiffNoise | None = None,
+    fixes: DataFrame | None = None,
+    settings: GateSettings | None = None,
+) -> Review:
+    """Findings, gate, fixes and comment for each diff (``diff_id, text``).
 
-    Findings are written once, as the gate and the comment both read them.
+    Findings are written once, as the gate and the comment both read them. ``fixes``
+    (``pr_id, action, description``) take the place of those found on added lines.
     """
+    settings = settings or GateSettings()
     source = diffs.select("diff_id", "text")
-    hunks = without_noise(diff_source.parse(source), noise)
-    findings = cut_lineage(review_findings(hunks))
-    changes = source.select(F.col("diff_id").alias("pr_id"), diff_source.changed_lines(F.col("text")).alias("changed_lines"))
-    gated = gate.gate(findings, changes)
-    return Review(findings, gated, review_comment(gated, findings, fixes))
+    hunks = settings.of_languages(without_noise(diff_source.parse(source), noise))
+    findings = cut_lineage(settings.counted(review_findings(hunks)))
+    changes = source.select(
+        F.col("diff_id").alias("pr_id"),
+        diff_source.changed_lines(F.col("text")).alias("changed_lines"),
+        diff_source.touches_tests(F.col("text")).alias("has_tests"),
+    )
+    gated = gate.gate(
+        findings, changes, max_risk=settings.max_risk, max_changed=settings.max_changed, weights=settings.weights, require_tests=settings.require_tests
+    )
+    fixes = review_fixes(hunks) if fixes is None else fixes
+    return Review(findings, gated, review_comment(gated, findings, fixes), fixes)
 

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.operators import issues, learning, rewrite
+from scanloom.operators import gate, issues, learning, rewrite
 from scanloom.operators.filters import scannable
 from scanloom.plans.joins import join_lookup
-from scanloom.sources.files import env_names
+from scanloom.sources.files import decode_all, env_names
 
 
 def with_learned(files: DataFrame, learned: DataFrame | None = None, *, method: str = "native") -> DataFrame:
@@ -49,6 +49,18 @@ def findings(files: DataFrame, *, learned: DataFrame | None = None, **options) -
     return issues.to_findings(issues.suggest_improvement(found.select(*columns)))
 
 
+def exit_status(raw: DataFrame, *, learned: DataFrame | None = None, **options) -> DataFrame:
+    """``project_id, n_findings, exit_status`` from files as they are read (binary ``content``).
+
+    A project with a file that cannot be read, decoded or parsed has status 2; its other
+    files are scanned all the same.
+    """
+    told = decode_all(raw)
+    whole = told.filter(F.col("failed").isNull()).drop("failed")
+    failed = told.filter(F.col("failed").isNotNull())
+    return gate.exit_status(raw, findings(whole, learned=learned, **options), failed)
+
+
 @dataclass
 class FixedTree:
     files: DataFrame  # each file with fixed_content, modified, fixes, vars, issues, improved_content, improved

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.arrays import let, with_fields
 from scanloom.operators.filters import is_added
-from scanloom.plans.ordered import BLOCK_ROWS, carry_forward, in_blocks, running_sum
+from scanloom.plans.ordered import BLOCK_ROWS, running
 
 # The kinds of change.
 ADDED, MODIFIED, DELETED, RENAMED, COPIED = DIFF_TYPES = ["added", "modified", "deleted", "renamed", "copied"]
@@ -259,6 +259,11 @@ def changed_lines(diff: Column) -> Column:
     return F.regexp_count(diff, F.lit(r"(?md)^\+"))
 
 
+def touches_tests(diff: Column) -> Column:
+    """A file of the diff names a test, in any case."""
+    return diff.rlike(r"(?mi)^diff --git .*test")
+
+
 def new_lines(lines: Column, new_start: Column) -> Column:
     """Lines of the new file in a hunk with their numbers: deleted lines and marks have none.
 
@@ -319,28 +324,24 @@ def parse_lines(diff_lines: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataF
     line, line_no = F.col("line"), F.col("line_no")
     is_file, is_hunk = line.startswith("diff --git "), line.rlike(_HUNK)
     is_new = line.startswith("+") | line.startswith(" ") | (line == "")
-    rows = in_blocks(diff_lines, "line_no", block_rows)
-    rows = running_sum(rows, "diff_id", "line_no", F.when(is_new, 1).otherwise(0), "_seen")
-    start = F.regexp_extract(line, _HUNK, 3).cast("int")
-    rows = carry_forward(
-        rows,
+    rows = running(
+        diff_lines,
         "diff_id",
         "line_no",
-        _file=F.when(
-            is_file,
-            F.struct(line_no.alias("at"), F.regexp_extract(line, r"^diff --git a/.+? b/(.+)$", 1).alias("path")),
-        ),
-        _hunk=F.when(
-            is_hunk,
-            F.struct(line_no.alias("at"), start.alias("start"), (start - F.col("_seen")).alias("base")),
-        ),
+        {"_seen": F.when(is_new, 1).otherwise(0)},
+        {
+            "_file": F.when(is_file, F.regexp_extract(line, r"^diff --git a/.+? b/(.+)$", 1)),
+            "_hunk": F.when(is_hunk, F.regexp_extract(line, _HUNK, 3).cast("int")),
+        },
+        block_rows,
     )
     in_hunk = F.col("_hunk.at") > F.col("_file.at")
+    seen_in_hunk = F.col("_seen") - F.col("_hunk._seen")
     return rows.select(
         *diff_lines.columns,
-        F.col("_file.path").alias("file_path"),
-        F.when(in_hunk, F.col("_hunk.start")).alias("new_start"),
-        F.when(in_hunk & is_new, F.col("_hunk.base") + F.col("_seen") - 1).alias("new_line_no"),
+        F.col("_file.value").alias("file_path"),
+        F.when(in_hunk, F.col("_hunk.value")).alias("new_start"),
+        F.when(in_hunk & is_new, F.col("_hunk.value") + seen_in_hunk - 1).alias("new_line_no"),
     )
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
+from scanloom.functions.arrays import let, with_fields
+from scanloom.functions.lexer import lex
 
 MAX_FILE_SIZE = 1_048_576
 
@@ -61,6 +63,35 @@ def decode(raw: DataFrame, *, lenient: bool = False) -> DataFrame:
     return raw.select("project_id", "path", "content", "length")
 
 
+#: Steps at which a file fails: there is no content, it is no UTF-8, its brackets or quotes do not close.
+READ, DECODE, PARSE = "read", "decode", "parse"
+
+
+def decode_all(raw: DataFrame) -> DataFrame:
+    """All files, also those that fail: ``project_id, path, content, length, failed``.
+
+    ``failed`` names the step, NULL where the file can be scanned. A file that is not
+    read or decoded has no ``content``; a Python file that does not parse keeps it.
+    """
+    decoded = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    broken = paths.name_of(F.col("path")).rlike(PY_GLOB) & ~closes(F.col("content"), "py")
+    failed = F.when(F.col("_raw").isNull(), READ).when(F.col("content").isNull(), DECODE).when(broken, PARSE)
+    rows = raw.withColumn("_raw", F.col("content")).withColumn("content", decoded)
+    return with_fields(rows, F.struct(failed.alias("failed"))).select("project_id", "path", "content", "length", "failed")
+
+
+def closes(content: Column, lang: str) -> Column:
+    """Whether all quotes and brackets of a text in Python (``py``) or a script (``js``) close; no more of its grammar is looked at."""
+
+    def even(code: Column) -> Column:
+        n = lambda sign: F.length(code) - F.length(F.translate(code, sign, ""))
+        pairs = [n(a) == n(b) for a, b in ("()", "[]", "{}")]
+        return pairs[0] & pairs[1] & pairs[2] & ~code.rlike("[\"'`]")
+
+    bare = lex(text.numbered(text.splitlines(content)), lang)["bare"]
+    return let(F.replace(bare, F.lit('""'), F.lit("")), even)
+
+
 def from_table(table: DataFrame, *, project: Column, path: Column, content: Column) -> DataFrame:
     """Any table with a text column as a files table."""
     return table.select(

@@ -125,6 +125,56 @@ def test_review(spark):
     assert "- [ERROR] security: Hardcoded secret detected" in comments["1"]
 
 
+def test_fixes_come_from_added_lines(spark):
+    text = (
+        "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,2 +7,5 @@\n keep = 1\n-password = 'old'\n+  password = 'new'\n password = 'kept'\n"
+        "+api_key = os.getenv('X')\n+k = 'sk_live_0123456789ab'\n"
+        "diff --git a/b.ts b/b.ts\n--- a/b.ts\n+++ b/b.ts\n@@ -1 +1,2 @@\n a\n+let token = 'x'\n"
+        "diff --git a/c.md b/c.md\n--- a/c.md\n+++ b/c.md\n@@ -1 +1,2 @@\n a\n+password = 'x'\n"
+    )
+    table = spark.createDataFrame([("1", text), ("2", ONE), (None, text), ("3", None)], "diff_id string, text string")
+    rows = review.review_fixes(diffs.parse(table)).where("pr_id = '1'").collect()
+    assert {(r.file, r.line, r.description.split(" becomes ")[1]) for r in rows} == {
+        ("a.py", 8, '`password = os.getenv("PASSWORD", "CHANGE_ME_IN_PRODUCTION")`'),
+        ("a.py", 11, '`k = os.getenv("API_KEY_1", "CHANGE_ME_IN_PRODUCTION")`'),
+        ("b.ts", 2, '`const token = process.env.TOKEN || "CHANGE_ME_IN_PRODUCTION";`'),
+    }
+    done = review.review(table)
+    comments = {r.pr_id: r.comment for r in done.comments.collect()}
+    assert comments["1"].count("- **Read the secret from the environment**: ") == 3 and "Suggested Fixes" not in comments["2"]
+
+
+def test_gate_settings(spark):
+    added = "diff --git a/{0} b/{0}\n--- a/{0}\n+++ b/{0}\n@@ -1 +1,3 @@\n a\n+print(1)\n+password = 'x'\n"
+    table = spark.createDataFrame([("py", added.format("a.py")), ("tested", added.format("tests/a.py")), ("ts", added.format("a.ts"))], "diff_id string, text string")
+
+    def judged(**settings):
+        rows = review.review(table, settings=gate.GateSettings(**settings)).gate.collect()
+        return {r.pr_id: (r.n_findings, r.risk_score, r.auto_approvable) for r in rows}
+
+    assert judged(languages=("python",))["ts"] == (0, 0.0, True)
+    quiet = judged(threshold="ERROR", excluded_rules=("secret-detection",))
+    assert quiet["py"][0] < judged()["py"][0]
+    only_info = {"excluded_rules": ("secret-detection", "python.password-in-config"), "languages": ("python",)}
+    assert judged(**only_info, require_tests=True)["py"][2] is False and judged(**only_info, require_tests=True)["tested"][2] is True
+    assert judged(**only_info, weights={"info": 0.03})["py"][1] == 0.03
+    with pytest.raises(ValueError):
+        judged(languages=("cobol",))
+
+
+def test_lines_of_a_diff_in_blocks_of_any_size(spark):
+    lines = MANY.split("\n")
+    rows = [(d, i, x) for d in ("a", "b") for i, x in enumerate(lines, 1)]
+    table = spark.createDataFrame(rows, "diff_id string, line_no int, line string")
+    whole = sorted(diffs.parse_lines(table).collect())
+    assert len(whole) == len(rows)
+    for size in (1, 2, 5):
+        assert sorted(diffs.parse_lines(table, block_rows=size).collect()) == whole
+    numbers = {r.line: r.new_line_no for r in whole if r.new_line_no}
+    wanted = {r.line: r.line_no for r in diffs.added_lines(diffs.parse(spark.createDataFrame([("a", MANY)], "diff_id string, text string"))).collect()}
+    assert wanted and all(numbers["+" + line] == at for line, at in wanted.items())
+
+
 def test_gate_numbers(spark):
     rows = [("1", "a.py", "WARNING", "testing", "m")] + [("2", "tests/a.py", "INFO", "clean-code", "m")] * 3
     found = spark.createDataFrame(rows, "pr_id string, file string, severity string, category string, message string")

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.operators import gate, reports
+from scanloom.plans import scan
 from scanloom.plans.grouping import collect_in_parts
+from scanloom.sources import files
 
 SCHEMA = "project_id string, file string, line int, message string, severity string, rule_id string, level string"
 
@@ -90,6 +92,28 @@ def test_summaries(spark, findings):
     assert {r.project_id: r.exit_status for r in gate.exit_status(projects, findings, failed).collect()} == {"p": 1, "clean": 0, "bad": 2}
 
 
+def test_status_of_files_that_fail(spark):
+    rows = [
+        ("ok", "a.py", b"x = '(' # [\ny = (1,\n 2)\n"), ("hit", "a.py", b"@app.get('/x')\ndef f():\n    return 1\n"), ("raw", "a.bin", b"\xff\xfe"),
+        ("raw", "b.py", b"x = 1\n"), ("open", "a.py", b"def f(:\n  x = 1\n"), ("open", "b.js", b"f(\n"), ("none", "a.py", None), ("blank", "a.py", b""),
+    ]
+    raw = spark.createDataFrame(rows, "project_id string, path string, content binary").withColumn("length", F.octet_length("content").cast("long"))
+    got = {(r.project_id, r.path): (r.failed, r.content is None) for r in files.decode_all(raw).collect()}
+    assert {k: v for k, v in got.items() if v[0]} == {("raw", "a.bin"): ("decode", True), ("open", "a.py"): ("parse", False), ("none", "a.py"): ("read", True)}
+    status = {r.project_id: (r.n_findings, r.exit_status) for r in scan.exit_status(raw).collect()}
+    assert status == {"ok": (0, 0), "hit": (1, 1), "raw": (0, 2), "open": (0, 2), "none": (0, 2), "blank": (0, 0)}
+
+
+def test_report_by_file(spark):
+    rows = [("p", "b.py", 2, "high", "m2", "r2"), ("p", "a.py", 9, "low", "m1", "r1"), ("p", "b.py", 1, None, None, None), ("p", None, None, "high", "x", "r3")]
+    found = spark.createDataFrame(rows, "project_id string, file string, line int, severity string, message string, rule_id string")
+    text = reports.findings_report(found, "files").first().report
+    assert text.split("\n\n")[0] == "## Security Findings" and text.count("### ") == 3
+    assert "### a.py\n\n- Line 9 [low] m1 (`r1`)\n" in text
+    assert "### b.py\n\n- Line 1 [low] No message (`unknown`)\n- Line 2 [high] m2 (`r2`)\n" in text
+    assert "### unknown\n\n- Line ? [high] x (`r3`)" in text
+
+
 def test_write(spark, findings, tmp_path):
     report = reports.findings_report(findings, "markdown")
     reports.write_report(report, str(tmp_path / "t"))

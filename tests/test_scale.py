@@ -130,3 +130,14 @@ def test_copies_follow_the_weight_of_a_key(spark):
         plain = joins.join_lookup(left, right, ["k"], how, salt_on=["id"])
         salted = joins.salted_join(left, right, ["k"], how, salt_on=["id"], heavy=heavy)
         assert sorted(map(str, plain.collect())) == sorted(map(str, salted.select(plain.columns).collect()))
+
+
+def test_lines_of_diffs_are_read_once_and_shuffled_once(spark, stored, tmp_path):
+    rows = stored.select(F.col("path").alias("diff_id"), F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    rows.write.parquet(str(tmp_path / "lines"))
+    done = diffs.parse_lines(spark.read.parquet(str(tmp_path / "lines")), block_rows=5)
+    done.write.parquet(str(tmp_path / "out"))
+    done.collect()
+    ran = plan(done).split("== Initial Plan ==")[0]
+    assert ran.count("FileScan parquet") == 1 and "ReusedExchange" in ran
+    assert ran.count("Exchange") - ran.count("ReusedExchange") <= 4
