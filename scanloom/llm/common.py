@@ -20,6 +20,8 @@ BATCH_ROWS = 250
 
 #: A side of a join is broadcast if it is measured to have at most so many rows and bytes of files.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bytes of files that a partition of a table in order has, up to so many partitions.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -130,6 +132,26 @@ def measured(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that ``df`` has already: for columns of its rows that are dropped again."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def range_partitions(written: DataFrame, size: int = RANGE_BYTES, most: int = MOST_RANGES) -> int:
+    """Partitions to deal the rows of a settled table to: each of about ``size`` bytes of its files, at least one for each core.
+
+    Beyond ``most`` partitions each grows, as Spark samples keys for every one of them.
+    """
+    held = sum(place.getContentSummary(path).getLength() for place, path in _folders(written))
+    return min(most, max(written.sparkSession.sparkContext.defaultParallelism, -(-held // size)))
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Equality of keys that also holds for null and null."""
     on = F.lit(True)

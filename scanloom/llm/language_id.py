@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import drop_settled, measured, plain_state, rebuilt, settle, tidied, tidy
+from scanloom.llm.common import drop_settled, measured, plain_state, rebuilt, settle, tidied, tidy, unused
 
 ORDER = 4
 BLANK = 32
@@ -445,8 +445,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
             tidy()
 
     # Not deterministic for Catalyst: it would judge a text once more for each filter on the verdict.
-    made = docs.withColumn("_judged", judged.asNondeterministic()(F.col(text_col).cast("string")))
-    return made.withColumns({n: F.col("_judged")[x] for n, x in zip(names, ("lang_pred", "score", "cross_entropy", "rejected"), strict=True)}).drop("_judged")
+    (held_in,) = unused(docs, "_judged")
+    made = docs.withColumn(held_in, judged.asNondeterministic()(F.col(text_col).cast("string")))
+    return made.withColumns({n: F.col(held_in)[x] for n, x in zip(names, ("lang_pred", "score", "cross_entropy", "rejected"), strict=True)}).drop(held_in)
 
 
 def _predict_joined(docs: DataFrame, model: Model, text_col: str, names: list[str]) -> DataFrame:
@@ -465,9 +466,10 @@ def _predict_joined(docs: DataFrame, model: Model, text_col: str, names: list[st
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     found = model.tables.entropies(texts).where("has_letters").select("text_key", "n", "h")
     judged = settle(found.mapInArrow(run, "_text_key binary, _lang string, _score double, _entropy double, _rejected boolean"), "judged")
-    made = docs.withColumn("_key", _key_of(text_col)).join(measured(judged), F.col("_key") == F.col("_text_key"), "left")
-    values = (F.coalesce("_lang", F.lit(UNDETERMINED)), F.coalesce("_score", F.lit(0.0)), F.col("_entropy"), F.coalesce("_rejected", F.lit(True)))
-    return made.withColumns(dict(zip(names, values, strict=True))).drop("_key", "_text_key", "_lang", "_score", "_entropy", "_rejected")
+    own, *given = temporary = unused(docs, "_key", *judged.columns)
+    made = docs.withColumn(own, _key_of(text_col)).join(measured(judged.toDF(*given)), F.col(own) == F.col(given[0]), "left")
+    values = (F.coalesce(given[1], F.lit(UNDETERMINED)), F.coalesce(given[2], F.lit(0.0)), F.col(given[3]), F.coalesce(given[4], F.lit(True)))
+    return made.withColumns(dict(zip(names, values, strict=True))).drop(*temporary)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

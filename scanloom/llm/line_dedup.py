@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.llm.common import measured, null_safe, settle, tidied, tidy
+from scanloom.llm.common import measured, null_safe, settle, tidied, tidy, unused
 
 MIN_WORDS = 5
 #: A Python worker hands on so many rows at a time.
@@ -219,9 +219,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     column named lines_removed is replaced.
     """
     gone = settle(removed_lines(docs, id_col, text_col, min_words), "removed")
-    few = measured(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("lines").alias("_gone")))
-    on = docs[id_col].cast("long").eqNullSafe(few["_gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == few["_gone_key"])
-    joined = docs.join(few, on, "left").drop("_gone_id", "_gone_key")
+    gone_id, gone_key, cut_lines = unused(docs, "_gone_id", "_gone_key", "_gone")
+    few = measured(gone.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key), F.col("lines").alias(cut_lines)))
+    on = docs[id_col].cast("long").eqNullSafe(few[gone_id]) & (F.xxhash64(docs[text_col].cast("string")) == few[gone_key])
+    joined = docs.join(few, on, "left").drop(gone_id, gone_key)
     # Not deterministic for Catalyst: it would cut a text once more for each filter on what is left.
-    cut = F.coalesce(_without.asNondeterministic()(F.when(F.col("_gone").isNotNull(), F.col(text_col).cast("string")), F.col("_gone")), F.col(text_col).cast("string"))
-    return joined.withColumn(text_col, cut).withColumn("lines_removed", F.greatest(F.lit(0), F.coalesce(F.size("_gone"), F.lit(0))).cast("long")).drop("_gone")
+    cut = F.coalesce(_without.asNondeterministic()(F.when(F.col(cut_lines).isNotNull(), F.col(text_col).cast("string")), F.col(cut_lines)), F.col(text_col).cast("string"))
+    return joined.withColumn(text_col, cut).withColumn("lines_removed", F.greatest(F.lit(0), F.coalesce(F.size(cut_lines), F.lit(0))).cast("long")).drop(cut_lines)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.llm.common import measured, settle
+from scanloom.llm.common import measured, settle, unused
 
 #: A line goes if more documents than this of one host hold it.
 MAX_DOCS = 10
@@ -121,18 +121,19 @@ def line_rules(docs: DataFrame, host: Column | None = None, text_col: str = "tex
     """
     host = F.col("source") if host is None else host
     frequent = settle(frequent_lines(docs, host, text_col, max_docs), "frequent")
-    profiled = docs.withColumn("_host", host.cast("string")).withColumn("_p", _profile(F.col(text_col).cast("string"))).drop(text_col)
-    profiled = profiled.withColumns({c: F.col(f"_p.{c}") for c in _BASE}).withColumn("_lines", F.arrays_zip("_p.lines", "_p.sizes")).drop("_p")
-    profiled = settle(profiled.withColumn("_row", F.monotonically_increasing_id()), "profiles")
+    of, at, profile, held, gone = temporary = unused(docs, "_host", "_row", "_p", "_lines", "_removed")
+    profiled = docs.withColumn(of, host.cast("string")).withColumn(profile, _profile(F.col(text_col).cast("string"))).drop(text_col)
+    profiled = profiled.withColumns({c: F.col(profile)[c] for c in _BASE}).withColumn(held, F.arrays_zip(F.col(profile)["lines"], F.col(profile)["sizes"])).drop(profile)
+    profiled = settle(profiled.withColumn(at, F.monotonically_increasing_id()), "profiles")
 
-    lines = profiled.select("_row", "_host", F.explode("_lines").alias("x")).select("_row", "_host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
+    lines = profiled.select(at, F.col(of).alias("of"), F.explode(held).alias("x")).select(at, "of", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
     common = measured(frequent)
-    found = lines.join(common, lines["_host"].eqNullSafe(common["host"]) & (lines["line"] == common["line"]))
-    removed = settle(found.groupBy("_row").agg(F.sum("words").alias("_removed")), "removed")
-    judged = profiled.drop("_lines").join(removed, "_row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("_removed", F.lit(0)))
+    found = lines.join(common, lines["of"].eqNullSafe(common["host"]) & (lines["line"] == common["line"]))
+    removed = settle(found.groupBy(at).agg(F.sum("words").alias(gone)), "removed")
+    judged = profiled.drop(held).join(removed, at, "left").withColumn("words_left", F.col("n_words") - F.coalesce(gone, F.lit(0)))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     kept = ~base_failed & (F.col("words_left") >= min_words) & (F.col("words_left") >= min_share * F.col("n_words"))
-    return judged.withColumn("base_failed", base_failed).withColumn("kept", kept).drop("_host", "_row", "_removed")
+    return judged.withColumn("base_failed", base_failed).withColumn("kept", kept).drop(*temporary)
 
 
 @F.pandas_udf(T.StringType())
@@ -149,12 +150,12 @@ def _clean(texts: pd.Series, gone: pd.Series) -> pd.Series:
 def without_frequent_lines(docs: DataFrame, host: Column | None = None, text_col: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """``docs``, all rows and columns, with the frequent lines of each host cut from the texts; null texts stay null."""
     host = F.col("source") if host is None else host
-    keyed = docs.withColumn("_host", host.cast("string")).withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
+    of, key, held, of2, key2 = unused(docs, "_host", "_key", "_gone", "_of", "_of_key")
+    keyed = docs.withColumn(of, host.cast("string")).withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
     frequent = settle(frequent_lines(docs, host, text_col, max_docs), "frequent")
-    lines = keyed.select("_host", "_key", F.explode(_profile(F.col(text_col).cast("string"))["lines"]).alias("line"))
+    lines = keyed.select(F.col(of).alias(of2), F.col(key).alias(key2), F.explode(_profile(F.col(text_col).cast("string"))["lines"]).alias("line"))
     common = measured(frequent)
-    found = lines.join(common, lines["_host"].eqNullSafe(common["host"]) & (lines["line"] == common["line"]))
-    gone = settle(found.groupBy(lines["_host"], "_key").agg(F.collect_set(lines["line"]).alias("_gone")), "removed")
-    gone = gone.withColumnsRenamed({"_host": "_of", "_key": "_of_key"})
-    joined = keyed.join(gone, keyed["_host"].eqNullSafe(gone["_of"]) & (keyed["_key"] == gone["_of_key"]), "left")
-    return joined.withColumn(text_col, _clean(F.col(text_col).cast("string"), F.col("_gone"))).select(*docs.columns)
+    found = lines.join(common, lines[of2].eqNullSafe(common["host"]) & (lines["line"] == common["line"]))
+    gone = settle(found.groupBy(of2, key2).agg(F.collect_set(lines["line"]).alias(held)), "removed")
+    joined = keyed.join(gone, keyed[of].eqNullSafe(gone[of2]) & (keyed[key] == gone[key2]), "left")
+    return joined.withColumn(text_col, _clean(F.col(text_col).cast("string"), F.col(held))).select(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import measured, settle
+from scanloom.llm.common import measured, settle, unused
 
 LEVELS = ("domain", "language", "source")
 SEED = "mix-1"
@@ -129,18 +129,15 @@ def mix(docs: DataFrame, total: Column, max_epochs: int = MAX_EPOCHS, seed: str
     empty table.
     """
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    named = {
-        "_domain": domain_of(F.col(source_col).cast("string")),
-        "_language": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)),
-        "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)),
-        "_id": id_text,
-    }
-    tree = docs.withColumns(named)
-    rows = settle(tree.select(F.col("_domain").alias("domain"), F.col("_language").alias("language"), F.col("_source").alias("source"), F.col("_id").alias("id_text"), words(F.col(text_col).cast("string")).alias("tokens")), "rows")
+    temporary = unused(docs, "_domain", "_language", "_source", "_id", "_epochs", "_last", "_next")
+    *leaf, own_id, whole, last, following = temporary
+    names = (domain_of(F.col(source_col).cast("string")), F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)), F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), id_text)
+    tree = docs.withColumns(dict(zip([*leaf, own_id], names, strict=True)))
+    rows = settle(tree.select(*[F.col(x).alias(level) for x, level in zip(leaf, LEVELS, strict=True)], F.col(own_id).alias("id_text"), words(F.col(text_col).cast("string")).alias("tokens")), "rows")
     plan = settle(mixing_plan(rows, total, max_epochs, seed, weights), "plan")
-    plan = plan.select(*[F.col(x).alias(f"_{x}") for x in LEVELS], F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
-    taken = tree.join(measured(plan), [f"_{x}" for x in LEVELS]).withColumn("_next", draw(F.col("_id"), F.col("_epochs"), seed))
-    epochs = F.col("_epochs") + F.when(F.col("_next") <= F.col("_last"), 1).otherwise(0)
+    plan = plan.select(*[F.col(level).alias(x) for x, level in zip(leaf, LEVELS, strict=True)], F.col("epochs").alias(whole), F.col("last").alias(last))
+    taken = tree.join(measured(plan), leaf).withColumn(following, draw(F.col(own_id), F.col(whole), seed))
+    epochs = F.col(whole) + F.when(F.col(following) <= F.col(last), 1).otherwise(0)
     taken = taken.withColumn("epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0).cast("long"), epochs - 1)).otherwise(F.array().cast("array<long>"))))
-    taken = taken.withColumn("draw", draw(F.col("_id"), F.col("epoch"), seed)).withColumn("tokens", words(F.col(text_col).cast("string")))
-    return taken.withColumn("domain", F.col("_domain")).withColumn("language", F.col("_language")).drop(*named, "_epochs", "_last", "_next")
+    taken = taken.withColumn("draw", draw(F.col(own_id), F.col("epoch"), seed)).withColumn("tokens", words(F.col(text_col).cast("string")))
+    return taken.withColumn("domain", F.col(leaf[0])).withColumn("language", F.col(leaf[1])).drop(*temporary)

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, line string, fp string, epoch string, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, line string, fp string, epoch string, key string, _gone string, _last string, _id string, _row string, _judged string, _HOST string"
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +23,7 @@ def odd_docs(spark):
         (9, "another text under the same id with a few more words in it", "fr", "src5"),
         (10, "ü" * 40 + " ñandú 東京 \U0001f600 fin", "es", "src6"),
     ]
-    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "w", "l", "f", "e", "k") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "w", "l", "f", "e", "k", *"abcdef") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -103,7 +103,7 @@ def test_limits_of_rejection_come_from_all_texts(spark):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     got = lid.identify(odd_docs).select("doc_id", "text", "lang_pred", "score", "rejected", "held_out").collect()
-    assert len(got) == odd_docs.count()
+    assert len(got) == odd_docs.count() and set(odd_docs.columns) <= set(lid.identify(odd_docs).columns)
     for r in got:
         assert (r.lang_pred == "und") == (not lid.has_letter(r.text)) and 0 <= r.score <= 1
         assert r.held_out is not None and (r.doc_id is not None or not r.held_out)

@@ -36,6 +36,7 @@ def test_odd_rows(odd_docs, no_docs):
     got = lf.line_rules(odd_docs)
     assert got.count() == odd_docs.count() and got.where("base_failed is null or kept is null or n_words is null").count() == 0
     assert set(odd_docs.columns) - {"text"} <= set(got.columns)
+    assert {(r["_row"], r["_HOST"]) for r in got.collect()} == {("d", "f")}
     for r in got.collect():
         assert not (r.base_failed and r.kept)
     assert lf.line_rules(no_docs).count() == 0 and lf.without_frequent_lines(no_docs).count() == 0

@@ -71,6 +71,7 @@ def test_only_dataframe_functions_run(odd_docs):
 
 def test_odd_rows(odd_docs, no_docs):
     whole = mixing.mix(odd_docs, F.col("all_tokens"), max_epochs=1)
+    assert {r["_last"] for r in whole.collect()} == {"b"} and {r["_id"] for r in whole.collect()} == {"c"}
     assert set(odd_docs.columns) <= set(whole.columns) and whole.where("tokens > 0").count() == odd_docs.where(mixing.words(F.col("text")) > 0).count()
     assert mixing.mix(no_docs, F.col("all_tokens")).count() == 0
     assert mixing.mix(odd_docs, F.lit(0)).where("tokens > 0").count() == 0
