@@ -160,12 +160,17 @@ def weak_label() -> Column:
 def fit(labelled: DataFrame, sample: int = SAMPLE):
     """A forest fitted on at most ``sample`` findings of each label, dealt by a hash; None if one of the labels is missing.
 
-    ``labelled``: FEATURES, label (0 or 1, others and null are left out), and candidate_id.
+    ``labelled``: FEATURES, label (0 or 1, others and null are left out), and what tells
+    findings apart: doc_id, path, number and candidate. However the rows lie in files and
+    partitions, the same are chosen and seen in the same order.
     """
-    parts = [labelled.where(F.col("label") == x).orderBy(F.xxhash64("candidate_id", F.lit(SEED)), "candidate_id").limit(sample) for x in (0.0, 1.0)]
-    chosen = settle(parts[0].unionByName(parts[1]).select("label", *FEATURES), "sample")
+    own = ["doc_id", "path", "number", "candidate", *FEATURES]
+    order = [F.xxhash64(*own[:4], F.lit(SEED)), *own]
+    parts = [labelled.where(F.col("label") == x).orderBy(*order).limit(sample) for x in (0.0, 1.0)]
+    chosen = settle(parts[0].unionByName(parts[1]).select("label", *own), "sample")
     if chosen.select("label").distinct().count() < 2:
         return None
+    chosen = chosen.repartition(1).sortWithinPartitions("label", *order).select("label", *FEATURES)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen))
 

@@ -77,6 +77,12 @@ def test_odd_rows_and_single_labels(odd_docs, no_docs, spark):
     assert [r.secret for r in sf.scan(odd_docs, only).collect()] == [True]
 
 
+def test_same_forest_however_the_rows_lie(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    found = [sorted(map(tuple, sf.scan(d, sample=8).select("doc_id", "number", "candidate", "p_secret").collect())) for d in (docs, docs.repartition(7, "text"))]
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_only_dataframe_functions_run(odd_docs):
     plan = sf.scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("Python", "Pandas", "Arrow") if x in plan]
