@@ -17,15 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import drop_settled, settle, tidied
-from scanloom.llm.tokens import MEMORY, PieceIds
+from scanloom.llm.common import drop_settled, range_partitions, settle, tidied
+from scanloom.llm.tokens import PieceIds
 
 SEQUENCE = 1024
 END = 0
 DIMENSIONS, BITS, BUCKETS, SEED = 3, 16, 256, 17
 
-#: Texts whose new pieces are encoded together.
-TEXTS = 64
+#: Texts whose new pieces are encoded together, and pieces that a worker remembers at most.
+TEXTS, MEMORY = 64, 600_000
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tokens", pa.int64())] + [(f"x{i}", pa.float32()) for i in range(DIMENSIONS)])
 _TOKENS_DDL = "doc_id long, ids binary, tokens long, " + ", ".join(f"x{i} float" for i in range(DIMENSIONS))
@@ -184,6 +184,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     dtype = str(PieceIds(tokenizer, 0).dtype)
     keyed = tokens.select("doc_id", "ids", "tokens", curve_key(tokens).alias("curve"))
     order = ["curve", "doc_id", "tokens"]
-    pieces = settle(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(tidied(_pack(sequence, dtype)), _PIECES_DDL), "pieces")
+    pieces = settle(keyed.repartitionByRange(range_partitions(tokens), *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(tidied(_pack(sequence, dtype)), _PIECES_DDL), "pieces")
     drop_settled(tokens)
     return pieces

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 
 from scanloom.llm import packing, token_counts
+from scanloom.llm.common import range_partitions
 from scanloom.llm.tokens import PieceIds, load, windows
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -98,3 +99,35 @@ def test_copies_lie_side_by_side(spark):
 def test_nothing_to_pack(no_docs):
     assert packing.pack(no_docs, public_tokenizers.path(FILES[0])).count() == 0
     assert packing.cut_lengths(700, 1024) == [512, 128, 32, 16, 8, 4] and packing.cut_lengths(0, 1024) == []
+
+
+def test_neighbours_follow_the_curve_of_plainly_computed_keys(spark):
+    """Ids, vectors, projections and keys by the definition, one document at a time."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    library = load(path)
+    matrix, points = packing.projection(), {}
+    for doc, text in docs.collect():
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        vector = np.zeros(packing.BUCKETS)
+        for i in ids:
+            h = i * 0x9E3779B97F4A7C15 % (1 << 64)
+            vector[(h >> 40) % packing.BUCKETS] += 1 if h >> 63 else -1
+        points[doc] = (vector @ matrix.astype(float) / len(ids)).astype(np.float32).astype(float), len(ids)
+    x = np.array([p for p, _ in points.values()])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    cells = np.minimum(((np.tanh(0.8 * z) + 1) / 2 * 65536).astype(int), 65535)
+    keys = dict(zip(points, packing.hilbert_keys(cells).tolist(), strict=True))
+    pieces = packing.pack(docs, path).select("doc_id", "start", "sequence_id", "offset").collect()
+    begins = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert sorted(begins) == sorted(points)
+    # A coordinate may fall into the next cell by rounding of the sums, so a few keys may differ by a turn of the curve.
+    wrong = sum((keys[a], a) > (keys[b], b) for a, b in zip(begins, begins[1:], strict=False))
+    assert wrong <= 0.02 * len(begins)
+
+
+def test_partitions_follow_the_bytes(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert range_partitions(table) == cores and range_partitions(table, size=100) > cores and range_partitions(table, size=1, most=50) == 50
