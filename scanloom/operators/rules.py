@@ -29,8 +29,10 @@ RULES_SCHEMA = (
 )
 _HITS = "array<struct<line:int,rule_key:string>>"
 RULES_PER_BATCH = 500
-#: Characters of the key under which a user's rule is found.
-GRAM = 3
+#: Least and most characters of the key under which a user's rule is found.
+GRAM, LONGEST_KEY = 3, 32
+#: A literal that one in so many rules needs is looked for in a line before their keys are.
+SHARED = 16
 _RULE_OF = {f"{r[0]}/{r[1]}": r for r in RULES}
 
 
@@ -378,10 +380,12 @@ def match_line_rules(table: DataFrame, lang: str, content: str, *, keys: Iterabl
 def match_user_rules(files: DataFrame, rules: DataFrame, *, batch: int = RULES_PER_BATCH) -> DataFrame:
     """Line rules given as rows (``rule_key, regex, mask, languages``), any number of them.
 
-    Rules are found by an index: of the literals that a regex needs, the three
-    characters that fewest rules need are its key, and a line meets the rules whose
-    key it holds. The distinct keys go to all tasks, so only lines that hold one
-    leave theirs. A regex that needs no three characters in a row is tried on every
+    Rules are found by an index: of the literals that a regex needs, the one that
+    fewest rules need is its key, up to ``LONGEST_KEY`` characters of it, so rules meet
+    in a key only if they need the same literal. The first ``GRAM`` characters of all
+    keys go to all tasks with the lengths of the keys and the literals that many rules
+    share, so only lines that hold both leave theirs, once for each run of characters
+    that may be a key. A regex that needs no three characters in a row is tried on every
     line of its languages, ``batch`` of them to a row.
 
     A null mask is ``comments``; a repeated language counts once; equal rows are one
@@ -395,14 +399,15 @@ def match_user_rules(files: DataFrame, rules: DataFrame, *, batch: int = RULES_P
     lines = _masked_lines(files).select("project_id", "path", "lang", "line", F.inline(texts))
     spread_by = ["project_id", "path", "line"]
 
-    keyed = known.filter(F.col("gram").isNotNull()).select("lang", "mask", "gram", "rule_key", "regex")
-    grams = lines.withColumn("gram", F.explode(grams_of(F.col("text"))))
-    held = join_lookup(grams, keyed.select("lang", "mask", "gram").distinct(), ["lang", "mask", "gram"], "leftsemi", salt_on=spread_by)
-    met = join_lookup(held, keyed, ["lang", "mask", "gram"], "inner", salt_on=spread_by)
+    keyed = known.filter(F.col("key").isNotNull())
+    met = join_lookup(_held_keys(lines, keyed, spread_by), keyed.drop("sign"), ["lang", "mask", "key"], "inner", salt_on=spread_by)
     by_key = met.filter(F.rlike("text", F.col("regex"))).select(*out)
 
-    others = known.filter(F.col("gram").isNull())
-    part = F.pmod(F.xxhash64("rule_key", "regex"), F.lit(max(1, -(-others.count() // batch))))
+    others = known.filter(F.col("key").isNull())
+    n_others = others.count()
+    if not n_others:
+        return by_key
+    part = F.pmod(F.xxhash64("rule_key", "regex"), F.lit(-(-n_others // batch)))
     batches = others.withColumn("_part", part).groupBy("lang", "mask", "_part").agg(F.collect_list(F.struct("rule_key", "regex")).alias("rules"))
     tried = join_lookup(lines, batches.drop("_part"), ["lang", "mask"], "inner", salt_on=spread_by)
     matching = F.filter("rules", lambda r: F.rlike(F.col("text"), r["regex"]))
@@ -410,8 +415,31 @@ def match_user_rules(files: DataFrame, rules: DataFrame, *, batch: int = RULES_P
     return by_key.unionByName(one_by_one)
 
 
+def _held_keys(lines: DataFrame, keyed: DataFrame, spread_by: list[str]) -> DataFrame:
+    """``lines`` with ``key``: a row for each run of characters of a text that is as long as a key and begins like it.
+
+    Written once, as finding them reads all files and the join behind it may read them twice.
+    """
+    gram = F.left(F.col("key"), F.lit(GRAM))
+    ways = keyed.groupBy("lang", "mask", gram.alias("gram"), F.length("key").alias("n")).agg(F.collect_set("sign").alias("signs"))
+    begins = ways.groupBy("lang", "mask", "gram").agg(F.collect_list(F.struct("n", "signs")).alias("ways"))
+    grams = lines.withColumn("gram", F.explode(grams_of(F.col("text"))))
+    near = join_lookup(grams, begins, ["lang", "mask", "gram"], "inner", salt_on=spread_by)
+    # Keys are printable and hold no sign of a regex. Behind a look-ahead the next run may overlap.
+    runs = lambda w: F.regexp_extract_all(
+        F.col("text"), F.concat(F.lit("(?=("), F.col("gram"), F.lit("[ -~]{"), (w["n"] - GRAM).cast("string"), F.lit("}))")), F.lit(1)
+    )
+    may = F.filter("ways", lambda w: F.exists(w["signs"], lambda s: F.contains(F.col("text"), s)))
+    keys = F.flatten(F.transform(may, lambda w: F.array_distinct(runs(w))))
+    return cut_lineage(near.select(*lines.columns, F.explode(keys).alias("key")))
+
+
 def _known_rules(rules: DataFrame) -> DataFrame:
-    """``lang, mask, rule_key, regex, gram``: a row for each rule and language, with the key under which the rule is found."""
+    """``lang, mask, rule_key, regex, key, sign``: a row for each rule and language.
+
+    ``key`` is the literal under which the rule is found, ``sign`` the one that it shares with
+    most rules, if one in ``SHARED`` has it; empty if none.
+    """
     mask = F.coalesce("mask", F.lit("comments"))
     known = mask.isin("none", "comments", "strings")
     usable = rules.filter(F.col("rule_key").isNotNull() & F.col("regex").isNotNull())
@@ -420,11 +448,21 @@ def _known_rules(rules: DataFrame) -> DataFrame:
         F.explode(F.array_distinct("languages")).alias("lang"),
     ).distinct()
     rows = rows.filter(F.col("lang").isNotNull())
-    needed = rows.select("*", F.explode(F.flatten(F.transform(needed_literals(F.col("regex")), grams_of))).alias("gram"))
-    same = ["lang", "mask", "rule_key", "regex"]
-    counts = needed.groupBy("lang", "mask", "gram").agg(F.count("*").alias("n"))
-    rarest = needed.join(counts, ["lang", "mask", "gram"]).groupBy(*same).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    return rows.join(rarest, same, "left")
+    literals = F.array_distinct(F.flatten(F.transform(needed_literals(F.col("regex")), _key_pieces)))
+    needed = rows.select("*", F.explode_outer(literals).alias("key"))
+    every = rows.groupBy("lang", "mask").agg(F.count("*").alias("rules"))
+    counts = needed.groupBy("lang", "mask", "key").agg(F.count("*").alias("n")).join(F.broadcast(every), ["lang", "mask"])
+    counted = join_lookup(needed, counts, ["lang", "mask", "key"], "inner", salt_on=["rule_key", "regex"])
+    rarest = F.min(F.struct("n", (-F.length("key")).alias("short"), "key"))["key"]
+    sign = F.max(F.when(F.col("n") * SHARED >= F.col("rules"), F.struct("n", "key")))["key"]
+    return counted.groupBy("lang", "mask", "rule_key", "regex").agg(rarest.alias("key"), F.coalesce(sign, F.lit("")).alias("sign"))
+
+
+def _key_pieces(literal: Column) -> Column:
+    """A literal, or pieces of ``LONGEST_KEY`` characters that cover it."""
+    last = F.greatest(F.length(literal) - (LONGEST_KEY - 1), F.lit(1))
+    at = F.concat(F.sequence(F.lit(1), last, F.lit(LONGEST_KEY)), F.array(last))
+    return F.transform(at, lambda i: F.substring(literal, i, F.lit(LONGEST_KEY)))
 
 
 _ESCAPE = r"\\(?:[xN]\{[^}]*\}|x..|u....|[pP]\{[^}]*\}|[pP].|c.|0[0-7]{1,3}|k<[^>]*>|[0-9]+|.)"

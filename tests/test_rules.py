@@ -239,6 +239,25 @@ def test_user_rules_by_index_equal_plain_search(spark, make_files):
     assert got == want
 
 
+def test_user_rules_meet_lines_by_whole_literals(spark, make_files):
+    """Rules that differ in a number share no key, however many there are; long literals differ at any place."""
+    long = "a" * 40
+    own = [(f"n{i}", rf'\bjwt_secret\s*=\s*"{i}"', "none", ["py"]) for i in range(100, 6000)]
+    own += [(f"l{i}", f"{long}{i}{long}", "none", ["py"]) for i in range(100, 200)]
+    table = spark.createDataFrame(own, "rule_key string, regex string, mask string, languages array<string>")
+    known = rules._known_rules(table)
+    assert known.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+    code = "".join(f'jwt_secret = "{i}"\nx = "{i}"\n{long}{i}{long}\n' for i in range(90, 5000, 7))
+    found = rules.match_user_rules(make_files({"a.py": code}), table).collect()
+    want = {(3 * k + 1, f"n{i}") for k, i in enumerate(range(90, 5000, 7)) if i >= 100}
+    want |= {(3 * k + 3, f"l{i}") for k, i in enumerate(range(90, 5000, 7)) if 100 <= i < 200}
+    assert {(h.line, h.rule_key) for h in found} == want and len(found) == len(want)
+    # Lines with a number and no ``jwt_secret`` are not looked up.
+    lines = rules._masked_lines(make_files({"a.py": code})).select("project_id", "path", "lang", "line", F.lit("none").alias("mask"), F.col("_raw").alias("text"))
+    held = rules._held_keys(lines, known.filter("rule_key like 'n%'"), ["path", "line"])
+    assert held.filter("text like 'x%'").count() == 0 and held.count() > 0
+
+
 def test_user_rules_do_not_pass_through_the_driver(spark, make_files, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame as Frame
 
