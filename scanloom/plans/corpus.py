@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from scanloom.sources.tables import spread, table
 
 NL = "chr(10)"
+#: A row of a few numbers becomes a file or a diff, whose work is some milliseconds.
+ROWS_PER_TASK = 20_000
 
 
 def _quote(s: str) -> str:
@@ -262,7 +264,7 @@ DIFFS = {
 def rendered(spark: SparkSession, folder: str, corpus: dict[str, str]) -> DataFrame:
     """A corpus over the tables of ``folder``; file corpora also get ``length``."""
     cols = [f"{expr} AS {name}" for name, expr in corpus.items() if name != "table"]
-    out = spread(table(spark, folder, corpus["table"])).selectExpr(*cols)
+    out = spread(table(spark, folder, corpus["table"]), ROWS_PER_TASK).selectExpr(*cols)
     if "content" in corpus:
         out = out.withColumn("length", F.octet_length("content").cast("long"))
     return out

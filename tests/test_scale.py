@@ -141,3 +141,13 @@ def test_lines_of_diffs_are_read_once_and_shuffled_once(spark, stored, tmp_path)
     ran = plan(done).split("== Initial Plan ==")[0]
     assert ran.count("FileScan parquet") == 1 and "ReusedExchange" in ran
     assert ran.count("Exchange") - ran.count("ReusedExchange") <= 4
+
+
+def test_rows_of_a_task_are_bounded_where_files_are_rendered(spark, tmp_path):
+    """Numbers compress well, so the splits of a table do not tell how much work its rows become."""
+    from scanloom.sources.tables import spread, table
+
+    spark.range(100_000).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = corpus.rendered(spark, str(tmp_path), corpus.DIFFS).groupBy(F.spark_partition_id()).count()
+    assert rows.agg(F.max("count")).first()[0] <= corpus.ROWS_PER_TASK
+    assert spread(table(spark, str(tmp_path), "orders"), 7_000).rdd.getNumPartitions() == 15
