@@ -495,13 +495,13 @@ def function_rules(spark, sf):
 @query
 def pair_rules(spark, sf):
     files = py_samples(spark, sf).unionByName(ts_samples(spark, sf))
-    return rules.match_rules(files, keys=_keys("J")).drop("lang")
+    return rules.match_rules_once(files, keys=_keys("J")).drop("lang")
 
 
 @query
 def all_rules_by_severity(spark, sf):
     files = py_samples(spark, sf).unionByName(ts_samples(spark, sf))
-    found = rules.rule_findings(rules.match_rules(files))
+    found = rules.rule_findings(rules.match_rules_once(files))
     return found.groupBy("project_id", "severity", "category").agg(F.count(F.lit(1)).alias("n_findings"))
 
 

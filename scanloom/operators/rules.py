@@ -271,7 +271,7 @@ def _lexed(files: DataFrame) -> DataFrame:
     rows = (
         files.withColumn("lang", rule_lang(F.col("path")))
         .filter(F.col("lang").isNotNull())
-        .select("project_id", "path", "lang", "content")
+        .select("project_id", "path", "lang", "content", *[c for c in ("_digest",) if c in files.columns])
         .withColumn("_raw", text.splitlines(F.col("content")))
     )
     lexed = _by_family(lex(text.numbered(F.col("_raw")), "py"), lex(text.numbered(F.col("_raw")), "js"))
@@ -348,17 +348,51 @@ def match_rules(files: DataFrame, *, keys: Iterable[str] | None = None, strict:
     (``pack/id``); ``strict`` adds the tests that the text of a rule promises
     and its pattern lacks.
     """
+    rows = _hits_of(files, keys, strict)
+    return rows.select("project_id", "path", "lang", F.explode("_hits").alias("_h")).select("project_id", "path", "lang", "_h.line", "_h.rule_key")
+
+
+def _hits_of(files: DataFrame, keys: Iterable[str] | None, strict: bool) -> DataFrame:
+    """``files`` that rules look at with ``_hits``."""
     keys = None if keys is None else list(keys)
     unknown = set(keys or ()) - set(_RULE_OF)
     if unknown:
         raise ValueError(f"no such rules: {sorted(unknown)}")
     hits = _by_family(_family_hits("py", keys, strict), _family_hits("js", keys, strict))
     pairs = {r for family in ("py", "js") for r in _selected(family, "J", keys).values()}
-    return (
-        _prepare(files, pairs)
-        .select("project_id", "path", "lang", F.explode(hits).alias("_h"))
-        .select("project_id", "path", "lang", "_h.line", "_h.rule_key")
-    )
+    return with_fields(_prepare(files, pairs), F.struct(hits.alias("_hits")))
+
+
+def match_rules_once(files: DataFrame, *, keys: Iterable[str] | None = None, strict: bool = False) -> DataFrame:
+    """What ``match_rules`` gives, with files of the same language and text matched once.
+
+    Trees hold many copies of a file: vendored, generated, forked. One pass tells how
+    many texts differ; where that is over half, files are matched where they are.
+    Otherwise the distinct texts are matched and their hits joined to the files by
+    language and digest, so texts that are copies do not move.
+    """
+    known = files.withColumn("lang", rule_lang(F.col("path"))).filter(F.col("lang").isNotNull())
+    texts = once(known.select("lang", "content"))
+    if texts is None:
+        return match_rules(files, keys=keys, strict=strict)
+    named = texts.select(F.lit(None).cast("string").alias("project_id"), F.concat(F.lit("a."), "lang").alias("path"), "content", F.sha2("content", 256).alias("_digest"))
+    hits = _hits_of(named, keys, strict).filter(F.size("_hits") > 0)
+    of_file = known.select("project_id", "path", "lang", F.sha2("content", 256).alias("_digest"))
+    found = join_lookup(of_file, hits.select("lang", "_digest", "_hits"), ["lang", "_digest"], "inner", salt_on=["path"])
+    return found.select("project_id", "path", "lang", F.inline("_hits"))
+
+
+#: Distinct texts that a task matches.
+TEXTS_PER_TASK = 2_000
+
+
+def once(texts: DataFrame) -> DataFrame | None:
+    """The distinct rows of a table of texts, spread by their number; None if over half of all rows differ."""
+    row = texts.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*texts.columns)).alias("differ")).first()
+    if 2 * row["differ"] > row["n"]:
+        return None
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-row["differ"] // TEXTS_PER_TASK))
+    return texts.distinct().repartition(tasks)
 
 
 def match_line_rules(table: DataFrame, lang: str, content: str, *, keys: Iterable[str] | None = None) -> DataFrame:

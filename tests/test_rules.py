@@ -138,6 +138,22 @@ def test_pairs_against_brute_force(make_files, spark):
     assert got == want and len(want) > 20
 
 
+def test_copies_are_matched_once(spark, make_files, monkeypatch):
+    """Copies of a text in a language give the hits of each file; a text differs by language."""
+    texts = [*corpus.PY_SAMPLES[:6], *corpus.TS_SAMPLES[:6], "", "x"]
+    tree = {(f"p{i % 3}", f"{i}-{k}.{suffix}"): t for i in range(4) for k, t in enumerate(texts) for suffix in ("py", "ts", "js", "tsx", "md")}
+    rows = make_files(tree)
+    rows = rows.union(rows.limit(20)).union(spark.createDataFrame([(None, "n.py", None, 0)] * 3, rows.schema))
+    seen, before = [], rules._hits_of
+    monkeypatch.setattr(rules, "_hits_of", lambda f, *a: seen.append(f.count()) or before(f, *a))
+    for strict in (False, True):
+        plain = sorted(map(str, rules.match_rules(rows, strict=strict).collect()))
+        assert sorted(map(str, rules.match_rules_once(rows, strict=strict).collect())) == plain and len(plain) > 100
+    assert seen[1] == seen[3] == 3 * len(texts) + 1
+    apart = make_files({f"{i}.py": f"breakpoint()\nx = {i}" for i in range(20)})
+    assert rules.match_rules_once(apart).count() == rules.match_rules(apart).count() == 20 and seen[-1] == 20
+
+
 def test_user_rules_of_any_number(spark, hits):
     files, _ = hits
     rows = [("u/1", r"\bcursor\b", "comments", ["py"]), ("u/2", r"JWT_SECRET", "strings", ["py", "ts"]), ("u/3", r"@ts-ignore", "none", ["ts"])]
