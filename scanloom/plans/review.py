@@ -45,6 +45,20 @@ def _masked_new_side(family: str) -> Column:
 
 def review_findings(hunks: DataFrame) -> DataFrame:
     """Secrets and line rules on the added lines of hunks, in one pass (``diff_id`` is the pull request)."""
+    return _findings(_added_hits(hunks))
+
+
+def _findings(hits: DataFrame) -> DataFrame:
+    """Findings from ``_added_hits``."""
+    found = rules.rule_findings(hits, F.broadcast(_review_rules(hits.sparkSession)))
+    return found.select(F.col("project_id").alias("pr_id"), "file", "line", "severity", "category", "message", "rule_id")
+
+
+def _added_hits(hunks: DataFrame) -> DataFrame:
+    """``project_id, path, line, rule_key, content``: rules that added lines match, with the text of a line that holds a secret.
+
+    Rules and fixes look at files of the same languages.
+    """
     by_family = lambda f: F.when(F.col("lang") == "py", f("py")).otherwise(f("js"))
     shown = hunks.filter(~F.col("is_binary")).withColumn("lang", rules.rule_lang(F.col("file_path"))).filter(F.col("lang").isNotNull())
     # The new side of a hunk is lexed as a whole, so that a string or comment of several lines is one.
@@ -62,10 +76,10 @@ def review_findings(hunks: DataFrame) -> DataFrame:
         F.col("diff_id").alias("project_id"),
         F.col("file_path").alias("path"),
         F.col("line_no").alias("line"),
+        F.col("line").alias("content"),
         F.explode(by_family(_hits)).alias("rule_key"),
     )
-    found = rules.rule_findings(hits, F.broadcast(_review_rules(hunks.sparkSession)))
-    return found.select(F.col("project_id").alias("pr_id"), "file", "line", "severity", "category", "message", "rule_id")
+    return hits.withColumn("content", F.when(F.col("rule_key") == SECRET_RULE, F.col("content")))
 
 
 def review_fixes(hunks: DataFrame) -> DataFrame:
@@ -86,6 +100,11 @@ def review_fixes(hunks: DataFrame) -> DataFrame:
             F.substring(F.col("_l.line"), F.lit(2), F.length("_l.line")).alias("content"),
         )
     )
+    return _fixes(lines)
+
+
+def _fixes(lines: DataFrame) -> DataFrame:
+    """Fixes of lines with secrets (``pr_id, path, line, content``)."""
     fixed = rewrite.redact_lines(lines).filter(F.col("fixes") > 0)
     place = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
     return fixed.select(
@@ -110,13 +129,15 @@ def review(
 ) -> Review:
     """Findings, gate, fixes and comment for each diff (``diff_id, text``).
 
-    Findings are written once, as the gate and the comment both read them. ``fixes``
+    Hits are written once, as the gate, the comment and the fixes all read them, so hunks are
+    parsed once. ``fixes``
     (``pr_id, action, description``) take the place of those found on added lines.
     """
     settings = settings or GateSettings()
     source = diffs.select("diff_id", "text")
     hunks = settings.of_languages(without_noise(diff_source.parse(source), noise))
-    findings = cut_lineage(settings.counted(review_findings(hunks)))
+    hits = cut_lineage(_added_hits(hunks))
+    findings = settings.counted(_findings(hits))
     changes = source.select(
         F.col("diff_id").alias("pr_id"),
         diff_source.changed_lines(F.col("text")).alias("changed_lines"),
@@ -125,6 +146,8 @@ def review(
     gated = gate.gate(
         findings, changes, max_risk=settings.max_risk, max_changed=settings.max_changed, weights=settings.weights, require_tests=settings.require_tests
     )
-    fixes = review_fixes(hunks) if fixes is None else fixes
+    if fixes is None:
+        secret = hits.filter(F.col("rule_key") == SECRET_RULE)
+        fixes = _fixes(secret.select(F.col("project_id").alias("pr_id"), "path", "line", "content"))
     return Review(findings, gated, review_comment(gated, findings, fixes), fixes)
 

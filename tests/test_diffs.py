@@ -221,3 +221,21 @@ def test_truncation_is_told_in_the_report(spark):
     assert got["many"].startswith(f"> ⚠️ **Diff Truncated**: {len(MANY)} characters, head 200 kept") and "Truncated" not in got["one"]
     told = json.loads(reports.report_of_diffs(table, "json", max_size=200).where("diff_id = 'many'").first().report)
     assert told["is_truncated"] and "head 200" in told["truncation_reason"]
+
+
+def test_a_review_parses_hunks_once(spark, monkeypatch):
+    """Fixes come from the hits that findings come from, and are those of the hunks."""
+    from pyspark.sql import functions as F
+
+    from scanloom.plans import corpus, review
+
+    table = corpus.rendered(spark, "/root/testdata/sf0.001", corpus.DIFFS).select("diff_id", "text").limit(60)
+    extra = "diff --git a/{0} b/{0}\n--- a/{0}\n+++ b/{0}\n@@ -1,1 +1,3 @@\n a\n+api_key = 'sk_live_12345678901234567890'\n+password = \"p4ss-w0rd\"\n"
+    more = [(f, extra.format(f)) for f in ("a.py", "a.ts", "a.tsx", "a.js", "a.jsx", ".js", "a.md", "x/.env.example")]
+    table = table.unionByName(spark.createDataFrame(more, "diff_id string, text string")).localCheckpoint()
+    want = sorted(map(str, review.review_fixes(review.without_noise(review.diff_source.parse(table))).collect()))
+    done = review.review(table)
+    assert sorted(map(str, done.fixes.collect())) == want and len(want) > 10
+    assert "regexp" not in done.findings._jdf.queryExecution().optimizedPlan().toString()
+    plan = done.fixes._jdf.queryExecution().optimizedPlan().toString()
+    assert "@@ -" not in plan  # the header of a hunk is not looked for again
