@@ -58,11 +58,16 @@ def _body_size(hunk_lines: Column) -> Column:
 
 def _own_lines(hunk: Column) -> Column:
     """Lines of a hunk without what follows it."""
-    return let(_lines_of(hunk), lambda body: F.slice(body, F.lit(1), _body_size(body)))
+    return let(F.split(hunk, "\n", -1), lambda body: F.slice(body, F.lit(1), _body_size(body)))
+
+
+def _without_end(piece: Column) -> Column:
+    """A piece of a diff without its last line end."""
+    return F.when(piece.endswith("\n"), F.substring(piece, F.lit(1), F.length(piece) - 1)).otherwise(piece)
 
 
 def _lines_of(piece: Column) -> Column:
-    return F.split(F.regexp_replace(piece, r"\n\z", ""), "\n", -1)
+    return F.split(_without_end(piece), "\n", -1)
 
 
 # Stands between the files of a diff without git headers while they are cut; a private-use character.
@@ -96,14 +101,21 @@ def _cut_plain(diff: Column) -> Column:
 
 
 def _file_chunks(diff: Column) -> Column:
-    """One text per file, from its header on. Diffs without git headers are cut at ``---``/``+++``."""
-    git = F.split(diff, r"(?md)^(?=diff --git )", -1)
-    chunks = F.when(diff.rlike(r"(?md)^diff --git "), git).otherwise(_cut_plain(diff))
+    """One text per file, from its header on and without its last line end. Diffs without git headers are cut at ``---``/``+++``."""
+    git = F.split(_without_end(diff), r"\n(?=diff --git )", -1)
+    plain = F.transform(_cut_plain(diff), _without_end)
+    chunks = F.when(diff.startswith("diff --git ") | diff.contains("\ndiff --git "), git).otherwise(plain)
     return F.filter(chunks, lambda c: c.startswith("diff --git ") | c.startswith("--- "))
 
 
-def _found(head: Column, regex: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(head, regex, group), F.lit(""))
+def _found(head: Column, regex: str) -> Column:
+    """What the first match of a regex holds; regexes begin with a line end, which is far cheaper to find than ``^``."""
+    return F.get(F.regexp_extract_all(head, F.lit(regex), F.lit(1)), F.lit(0))
+
+
+def _has_line(head: Column, begin: str) -> Column:
+    """A line of a header begins with a text."""
+    return head.contains("\n" + begin)
 
 
 def _count(line: Column, group: int) -> Column:
@@ -112,77 +124,107 @@ def _count(line: Column, group: int) -> Column:
     return F.when(line == "", 0).otherwise(F.when(got == "", 1).otherwise(got.cast("int")))
 
 
-def _start(line: Column, group: int) -> Column:
-    return F.when(line == "", 0).otherwise(F.regexp_extract(line, _HUNK, group).cast("int"))
-
-
-def _names(head: Column) -> Column:
-    """struct<old, new, is_new, is_gone> from the header of a file."""
-    old = F.coalesce(
-        _found(head, r"(?md)^--- (?:a/)?([^\t\r\n]+)"),
-        _found(head, r"(?md)^(?:rename|copy) from ([^\r\n]+)"),
-        _found(head, r"(?md)^diff --git a/(.+?) b/"),
-    )
-    new = F.coalesce(
-        _found(head, r"(?md)^\+\+\+ (?:b/)?([^\t\r\n]+)"),
-        _found(head, r"(?md)^(?:rename|copy) to ([^\r\n]+)"),
-        _found(head, r"(?md)^diff --git a/.+? b/([^\r\n]+)"),
-    )
-    return let(
-        F.struct(old.alias("old"), new.alias("new")),
-        lambda n: F.struct(
-            n["old"].alias("old"),
-            n["new"].alias("new"),
-            (head.rlike(r"(?md)^new file mode") | (n["old"] == "/dev/null")).alias("is_new"),
-            (head.rlike(r"(?md)^deleted file mode") | (n["new"] == "/dev/null")).alias("is_gone"),
-        ),
-    )
-
-
 def _file_fields(chunk: Column) -> Column:
     """struct<old_file, new_file, diff_type, is_binary, _hunks> of one file of a diff.
 
-    A file without hunks has one empty hunk, so that it keeps a row.
+    A file without hunks has one empty hunk, so that it keeps a row. A header is cut off with a
+    line end in front, so that all its lines begin behind one.
     """
 
+    def named(cut: Column) -> Column:
+        head = cut[0]
+        old = F.coalesce(
+            _found(head, r"(?d)\n--- (?:a/)?([^\t\r\n]+)"),
+            _found(head, r"(?d)\n(?:rename|copy) from ([^\r\n]+)"),
+            _found(head, r"(?d)\ndiff --git a/(.+?) b/"),
+        )
+        new = F.coalesce(
+            _found(head, r"(?d)\n\+\+\+ (?:b/)?([^\t\r\n]+)"),
+            _found(head, r"(?d)\n(?:rename|copy) to ([^\r\n]+)"),
+            _found(head, r"(?d)\ndiff --git a/.+? b/([^\r\n]+)"),
+        )
+        return F.struct(cut.alias("cut"), old.alias("old"), new.alias("new"))
+
     def fields(x: Column) -> Column:
-        head, names, cut = x["cut"][0], x["names"], x["cut"]
+        cut, head = x["cut"], x["cut"][0]
+        is_new = _has_line(head, "new file mode") | (x["old"] == "/dev/null")
+        is_gone = _has_line(head, "deleted file mode") | (x["new"] == "/dev/null")
         kind = (
-            F.when(names["is_new"], ADDED)
-            .when(names["is_gone"], DELETED)
-            .when(head.rlike(r"(?md)^rename from "), RENAMED)
-            .when(head.rlike(r"(?md)^copy from "), COPIED)
+            F.when(is_new, ADDED)
+            .when(is_gone, DELETED)
+            .when(_has_line(head, "rename from "), RENAMED)
+            .when(_has_line(head, "copy from "), COPIED)
             .otherwise(MODIFIED)
         )
+        binary = _has_line(head, "GIT binary patch") | (head.contains("Binary files ") & head.rlike(r"(?d)\nBinary files .* differ"))
         return F.struct(
-            F.when(~names["is_new"], names["old"]).alias("old_file"),
-            F.when(~names["is_gone"], names["new"]).alias("new_file"),
+            F.when(~is_new, x["old"]).alias("old_file"),
+            F.when(~is_gone, x["new"]).alias("new_file"),
             kind.alias("diff_type"),
-            head.rlike(r"(?md)^(Binary files .* differ|GIT binary patch)").alias("is_binary"),
+            binary.alias("is_binary"),
             F.when(F.size(cut) > 1, F.slice(cut, F.lit(2), F.size(cut))).otherwise(F.array(F.lit(""))).alias("_hunks"),
         )
 
-    cut = F.split(chunk, r"(?md)^(?=@@ -\d)", -1)
-    return let(let(cut, lambda c: F.struct(c.alias("cut"), _names(c[0]).alias("names"))), fields)
+    cut = F.split(F.concat(F.lit("\n"), chunk), r"\n(?=@@ -\d)", -1)
+    return let(let(cut, named), fields)
 
 
-def _hunk_fields(hunk: Column) -> Column:
-    """struct of the line range, the lines and their counts."""
-    lines = F.when(hunk == "", F.array().cast("array<string>")).otherwise(_own_lines(hunk))
+#: The four numbers of a hunk header, empty where left out; the rest of the hunk goes.
+_RANGE = r"(?s)^(?:@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@)?.*"
+
+
+#: A line, with its first sign as the group.
+_LINE = r"([^\n])[^\n]*+\n?"
+
+
+def _beginning(hunk: Column, sign: str) -> Column:
+    """How many lines behind the first begin with a sign of several characters."""
+    gone = F.octet_length(hunk) - F.octet_length(F.replace(hunk, F.lit("\n" + sign), F.lit("\n")))
+    return F.when(hunk.contains("\n" + sign), F.floor(gone / len(sign)).cast("int")).otherwise(0)
 
-    def fields(body: Column) -> Column:
-        first = F.coalesce(F.get(body, F.lit(0)), F.lit(""))
-        return F.struct(
-            _start(first, 1).alias("old_start"),
-            _count(first, 2).alias("old_count"),
-            _start(first, 3).alias("new_start"),
-            _count(first, 4).alias("new_count"),
-            body.alias("lines"),
-            F.size(F.filter(body, is_added)).alias("additions"),
-            F.size(F.filter(body, lambda x: x.startswith("-") & ~x.startswith("---"))).alias("deletions"),
-        )
 
-    return let(lines, fields)
+def _hunk_fields(hunk: Column, more: dict[str, Column] | None = None) -> Column:
+    """struct of the line range, the lines and their counts, behind ``more``.
+
+    Where the first signs of all lines fit the counts of the header, which is nearly
+    everywhere, the hunk ends where its text does and they are counted as one text. Only
+    others are folded.
+    """
+
+    def fields(x: Column) -> Column:
+        start = lambda i: F.when(x["range"][i] != "", x["range"][i].cast("int"))
+        count = lambda i: F.when(x["range"][i] == "", 1).otherwise(x["range"][i].cast("int"))
+        named = lambda old, n_old, new, n_new, lines, added, deleted: F.struct(
+            *[c.alias(n) for n, c in (more or {}).items()],
+            old.cast("int").alias("old_start"),
+            n_old.cast("int").alias("old_count"),
+            new.cast("int").alias("new_start"),
+            n_new.cast("int").alias("new_count"),
+            lines.alias("lines"),
+            added.cast("int").alias("additions"),
+            deleted.cast("int").alias("deletions"),
+        )
+        signs = lambda sign: F.octet_length(x["signs"]) - F.octet_length(F.replace(x["signs"], F.lit(sign), F.lit("")))
+        old, new = signs("-"), signs("+")
+        kept = F.octet_length(x["signs"]) - old - new
+        fits = x["signs"].rlike(r"^@[-+ ]*\z") & ~hunk.endswith("\n") & (count(1) == kept + old - 1) & (count(3) == kept + new - 1)
+        zero = F.lit(0)
+        return (
+            F.when(hunk == "", named(zero, zero, zero, zero, F.array().cast("array<string>"), zero, zero))
+            .when(fits, named(
+                start(0), count(1), start(2), count(3), F.split(hunk, "\n", -1), new - _beginning(hunk, "+++"), old - _beginning(hunk, "---"),
+            ))
+            .otherwise(let(_own_lines(hunk), lambda body: named(
+                start(0), count(1), start(2), count(3), body, F.size(F.filter(body, is_added)),
+                F.size(F.filter(body, lambda line: line.startswith("-") & ~line.startswith("---"))),
+            )))
+        )
+
+    facts = F.struct(
+        F.split(F.regexp_replace(hunk, _RANGE, "$1 $2 $3 $4"), " ", -1).alias("range"),
+        F.regexp_replace(hunk, _LINE, "$1").alias("signs"),
+    )
+    return let(facts, fields)
 
 
 def parse(diffs: DataFrame, text: str = "text") -> DataFrame:
@@ -218,24 +260,17 @@ def hunks_in_row(diffs: DataFrame, text: str = "text") -> DataFrame:
     report of whole diffs moves nothing.
     """
 
-    def of_file(chunk: Column, i: Column) -> Column:
-        def of_hunk(f: Column, hunk: Column, j: Column) -> Column:
-            return let(
-                _hunk_fields(hunk),
-                lambda x: F.struct(
-                    (i + 1).alias("file_no"),
-                    (j + 1).alias("hunk_no"),
-                    F.coalesce(f["new_file"], f["old_file"]).alias("file_path"),
-                    *[f[c].alias(c) for c in ("old_file", "new_file", "diff_type")],
-                    *[x[c].alias(c) for c in ("additions", "deletions", "lines")],
-                    f["is_binary"].alias("is_binary"),
-                    *[x[c].alias(c) for c in ("old_start", "old_count", "new_start", "new_count")],
-                ),
+    def of_file(f: Column, i: Column) -> Column:
+        def of_hunk(hunk: Column, j: Column) -> Column:
+            return _hunk_fields(
+                hunk,
+                {"file_no": i + 1, "hunk_no": j + 1, "file_path": F.coalesce(f["new_file"], f["old_file"])}
+                | {c: f[c] for c in ("old_file", "new_file", "diff_type", "is_binary")},
             )
 
-        return let(_file_fields(chunk), lambda f: F.transform(f["_hunks"], lambda h, j: of_hunk(f, h, j)))
+        return F.transform(f["_hunks"], of_hunk)
 
-    files = F.flatten(F.transform(_file_chunks(F.col(text)), of_file))
+    files = F.flatten(F.transform(F.transform(_file_chunks(F.col(text)), _file_fields), of_file))
     return with_fields(diffs, F.struct(files.alias("files"))).drop(text)
 
 

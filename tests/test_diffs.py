@@ -239,3 +239,20 @@ def test_a_review_parses_hunks_once(spark, monkeypatch):
     assert "regexp" not in done.findings._jdf.queryExecution().optimizedPlan().toString()
     plan = done.fixes._jdf.queryExecution().optimizedPlan().toString()
     assert "@@ -" not in plan  # the header of a hunk is not looked for again
+
+
+def test_hunks_that_fit_their_counts_are_not_folded(spark):
+    """Signs are counted in the text; a hunk with a line too many, an empty one or a note is still ended by its counts."""
+    text = (
+        "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,3 +1,4 @@ f\n a\n-b\n+c\n+++d\n e\n"
+        "@@ -9 +10,2 @@\n a\n+b\n\n@@ -20,2 +30,2 @@\n a\n\n@@ -5 odd\n+x\n"
+        "diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1 +1 @@\n-a\n+b\n\\ No newline at end of file"
+    )
+    table = spark.createDataFrame([("1", text)], "diff_id string, text string")
+    rows = diffs.parse(table).orderBy("file_no", "hunk_no").collect()
+    assert [(r.old_start, r.old_count, r.new_start, r.new_count, r.lines[1:], r.additions, r.deletions) for r in rows] == [
+        (1, 3, 1, 4, [" a", "-b", "+c", "+++d", " e"], 1, 1), (9, 1, 10, 2, [" a", "+b"], 1, 0), (20, 2, 30, 2, [" a", ""], 0, 0),
+        (None, 1, None, 1, ["+x"], 1, 0), (1, 1, 1, 1, ["-a", "+b", "\\ No newline at end of file"], 1, 1),
+    ]
+    whole = diffs.hunks_in_row(table).select(F.inline("files")).collect()
+    assert [(r.file_no, r.hunk_no, r.new_start, r.lines, r.additions) for r in whole] == [(r.file_no, r.hunk_no, r.new_start, r.lines, r.additions) for r in rows]
