@@ -34,10 +34,12 @@ _TDQ = r'"""(?:[^"\\]++|\\.|"(?!""))*+"""'
 _TSQ = r"'''(?:[^'\\]++|\\.|'(?!''))*+'''"
 _BT = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 
+#: What strings and comments begin with; a text without them is one token.
+SIGNS = {"py": "\"'#", "js": "\"'`/"}
 # Behind any token the next one begins, so together they are the text.
 _TOKENS = {
-    "py": rf"(?s){_TDQ}|{_TSQ}|{_DQ}|{_SQ}|#[^\n]*+|[^\"'#]++|[\"']",
-    "js": rf"(?s){_DQ}|{_SQ}|{_BT}|//[^\n]*+|/\*.*?\*/|[^\"'`/]++|[\"'`/]",
+    "py": rf"(?s){_TDQ}|{_TSQ}|{_DQ}|{_SQ}|#[^\n]*+|[^{SIGNS['py']}]++|[\"']",
+    "js": rf"(?s){_DQ}|{_SQ}|{_BT}|//[^\n]*+|/\*.*?\*/|[^{SIGNS['js']}]++|[\"'`/]",
 }
 _PREFIX = r"(?i)(?<!\w)([rbuf]{1,2})$"
 #: Code in front of a string that begins a line; a line that a backslash continues does not begin.

@@ -73,18 +73,22 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
     )
 
 
+def without_marks(line: Column) -> Column:
+    """A line whose private-use signs cannot be taken for marks."""
+    swapped = F.replace(F.replace(line, F.lit(MARK_OPEN), F.lit(PLACEHOLDER)), F.lit(MARK_CLOSE), F.lit(PLACEHOLDER))
+    return F.when(line.contains(MARK_OPEN) | line.contains(MARK_CLOSE), swapped).otherwise(line)
+
+
 def numbered(lines: Column) -> Column:
     """Lines joined by newlines, each led by a mark with its 1-based number.
 
     A regex can then cross lines, drop text, and still tell on which line a
     match starts, with no window and no shuffle.
     """
-    swap = F.lit(PLACEHOLDER)
-    clean = lambda s: F.replace(F.replace(s, F.lit(MARK_OPEN), swap), F.lit(MARK_CLOSE), swap)
     return F.array_join(
         F.transform(
             lines,
-            lambda line, i: F.concat(F.lit(MARK_OPEN), (i + 1).cast("string"), F.lit(MARK_CLOSE), clean(line)),
+            lambda line, i: F.concat(F.lit(MARK_OPEN), (i + 1).cast("string"), F.lit(MARK_CLOSE), without_marks(line)),
         ),
         "\n",
     )

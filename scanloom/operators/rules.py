@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import paths, text
 from scanloom.functions.arrays import fold, let, with_fields
-from scanloom.functions.lexer import lex
+from scanloom.functions.lexer import SIGNS, lex
 from scanloom.operators.rule_data import RULES
 from scanloom.operators.rule_predicates import PREDICATES, Block, Func, Line, Pair, block_regex
 from scanloom.plans.joins import join_lookup
@@ -297,6 +297,16 @@ def masked(raw: Column, lexed: Column) -> Column:
     return let(lexed, of)
 
 
+def masked_lines(raw: Column, family: str) -> Column:
+    """``_pieces`` of lines. Where nothing begins a string or comment, all is code and nothing is cut into tokens."""
+    as_they_are = F.transform(
+        raw,
+        lambda x, i: let(text.without_marks(x), lambda c: F.struct((i + 1).alias("line"), c.alias("text"), x.alias("raw"), c.alias("bare"))),
+    )
+    lexed = masked(raw, lex(text.numbered(raw), family))["_pieces"]
+    return F.when(F.exists(raw, lambda x: x.rlike(f"[{SIGNS[family]}]")), lexed).otherwise(as_they_are)
+
+
 _CODE_LINE = "struct<line:int,indent:int,text:string,end_block:int,end_body:int>"
 
 
@@ -405,7 +415,7 @@ def match_line_rules(table: DataFrame, lang: str, content: str, *, keys: Iterabl
     family = "py" if lang == "py" else "js"
     rules = {k: r for k, r in _selected(family, "L", keys).items() if lang in _RULE_OF[k][4]}
     raw = text.splitlines(F.col(content))
-    pieces = let(raw, lambda r: masked(r, lex(text.numbered(r), family))["_pieces"])
+    pieces = let(raw, lambda r: masked_lines(r, family))
     rows = table.select(*keep, F.explode(pieces).alias("_p"))
     hits = _line_hits(F.col("_p.raw"), F.col("_p.text"), F.col("_p.bare"), rules, False)
     return rows.select(*keep, F.col("_p.line").alias("line"), F.explode(hits).alias("rule_key"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import text
 from scanloom.functions.arrays import let
-from scanloom.functions.lexer import lex
 from scanloom.functions.patterns import patterns_for
 from scanloom.operators import gate, rewrite, rules, secrets
 from scanloom.operators.filters import DiffNoise, lang_of, without_noise
@@ -40,7 +39,7 @@ def _hits(family: str) -> Column:
 def _masked_new_side(family: str) -> Column:
     """The lines of ``_new``: as they are, without comments, without strings."""
     raw = F.transform("_new", lambda x: F.substring(x["line"], F.lit(2), F.length(x["line"])))
-    return let(raw, lambda r: rules.masked(r, lex(text.numbered(r), family))["_pieces"])
+    return let(raw, lambda r: rules.masked_lines(r, family))
 
 
 def review_findings(hunks: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def _added_hits(hunks: DataFrame) -> DataFrame:
     Rules and fixes look at files of the same languages.
     """
     by_family = lambda f: F.when(F.col("lang") == "py", f("py")).otherwise(f("js"))
-    shown = hunks.filter(~F.col("is_binary")).withColumn("lang", rules.rule_lang(F.col("file_path"))).filter(F.col("lang").isNotNull())
+    shown = hunks.filter(~F.col("is_binary") & (F.col("additions") > 0)).withColumn("lang", rules.rule_lang(F.col("file_path"))).filter(F.col("lang").isNotNull())
     # The new side of a hunk is lexed as a whole, so that a string or comment of several lines is one.
     added = (
         shown.withColumn("_new", diff_source.new_lines(F.col("lines"), F.col("new_start")))

@@ -256,3 +256,18 @@ def test_hunks_that_fit_their_counts_are_not_folded(spark):
     ]
     whole = diffs.hunks_in_row(table).select(F.inline("files")).collect()
     assert [(r.file_no, r.hunk_no, r.new_start, r.lines, r.additions) for r in whole] == [(r.file_no, r.hunk_no, r.new_start, r.lines, r.additions) for r in rows]
+
+
+def test_reviews_cut_only_hunks_with_strings_or_comments_into_tokens(spark):
+    from scanloom.functions import text
+    from scanloom.functions.lexer import lex
+    from scanloom.operators import rules
+
+    table = spark.createDataFrame([(["a = 1", "", "print(x)"],), (["'''", "print(1)", "'''"],), (["x", "// eval(y)"],), ([],)], "raw array<string>")
+    for family in ("py", "js"):
+        both = table.select(rules.masked_lines(F.col("raw"), family), rules.masked(F.col("raw"), lex(text.numbered(F.col("raw")), family))["_pieces"]).collect()
+        assert all(list(got) == list(want) for got, want in both)
+    found = review.review_findings(diffs.parse(spark.createDataFrame([("1", ONE), ("2", MANY)], "diff_id string, text string")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(additions#" in plan.split("Filter", 1)[1]  # hunks that add nothing end here
+    assert {(r.pr_id, r.line, r.rule_id) for r in found.collect()} == {("1", 2, "debug.print-in-production")}
